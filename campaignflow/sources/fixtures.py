@@ -28,7 +28,8 @@ def ad_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag == "N", qty * 8).alias("reach"),
         F.when(flag == "A", qty * 3).alias("video_views"),
         status.alias("campaign_type"),
-        F.when(flag != "R", F.round(price * 0.05, 2)).alias("daily_budget"),
+        # 5% of the price in whole cents, halves up.
+        F.when(flag != "R", F.floor(price * 5 + 0.5) / 100).alias("daily_budget"),
         F.struct("l_orderkey", "l_linenumber").alias("row_order"),
     )
 
