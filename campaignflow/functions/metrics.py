@@ -63,22 +63,11 @@ def naive_pace(pace="revenue_roll_mean_28", horizon="horizon_days") -> Column:
     return F.greatest(F.coalesce(col(pace), F.lit(0.0)) * col(horizon), F.lit(0.0))
 
 
-def auc(scored, label: str, score: str):
-    """Rank-sum AUC from counts per distinct score, ties shared equally.
-
-    The cumulative count runs over equal-width score buckets first, so no task ever orders all rows.
-    """
-    from pyspark.sql import Window as W
-
-    per_score = scored.groupBy(F.col(score).alias("s")).agg(
-        F.sum((F.col(label) > 0).cast("long")).alias("pos"), F.sum((F.col(label) <= 0).cast("long")).alias("neg"))
-    per_score = per_score.withColumn("bucket", F.floor(F.col("s") * 1000))
-    buckets = per_score.groupBy("bucket").agg(F.sum("neg").alias("bucket_neg"))
-    # At most 1001 buckets for a probability score, so this window is small by construction.
-    below = buckets.select("bucket", (F.sum("bucket_neg").over(W.orderBy("bucket")) - F.col("bucket_neg")).alias("below"))
-    inside = W.partitionBy("bucket").orderBy("s")
-    ranked = per_score.join(below, "bucket").withColumn(
-        "neg_before", F.col("below") + F.sum("neg").over(inside) - F.col("neg"))
-    return ranked.agg(
-        (F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
-         / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)).cast("double")).alias("auc"))
+def auc(scored, label: str, score: str) -> float:
+    """Exact area under the ROC curve, ties shared equally; Spark ranks the scores by range partitioning."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    rows = scored.select((F.col(label) > 0).cast("double").alias("label"), F.col(score).cast("double").alias("score"))
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label",
+                                              metricName="areaUnderROC", numBins=0)
+    return evaluator.evaluate(rows)
