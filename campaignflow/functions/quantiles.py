@@ -2,6 +2,7 @@
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +28,34 @@ def pin_median(columns, middle: int) -> list[Column]:
     return out
 
 
-def exact_quantiles(df: DataFrame, targets: dict[str, tuple[str, float]], limit: int = SORT_LIMIT) -> dict[str, float]:
+def exact_quantiles(df: DataFrame, targets, limit: int = SORT_LIMIT) -> dict[str, tuple]:
     """Linear-interpolated quantile of whole columns, exact at any size.
 
-    ``targets`` maps a name to (column, level). Each pass narrows a bracket around the wanted ranks with a
+    ``targets`` maps a name to (column, level), the level being a number or a function of the row count; the
+    result maps it to (row count, level, value). Each pass narrows a bracket around the wanted ranks with a
     mergeable sketch and counts what lies below and inside it, so about 1/1000 of the bracket survives per
     pass; only a bracket whose counted size is within ``limit`` is sorted. Ties of any size end at once because
     the bracket closes on one value. The driver sees a handful of scalars per pass.
     """
     names = list(targets)
+    df = df.select(*{targets[n][0] for n in names}).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _select_ranks(df, targets, names, limit)
+    finally:
+        df.unpersist()
+
+
+def _select_ranks(df: DataFrame, targets, names, limit) -> dict[str, tuple]:
     sizes = df.agg(*[F.count(targets[n][0]).alias(n) for n in names]).first()
-    state, found = {}, {}
+    state, found, done = {}, {}, {}
     for n in names:
         if not sizes[n]:
-            found[n] = None
+            done[n] = (0, None, None)
             continue
-        h = (sizes[n] - 1) * targets[n][1]
+        ask = targets[n][1]
+        level = ask(sizes[n]) if callable(ask) else ask
+        done[n] = (sizes[n], level)
+        h = (sizes[n] - 1) * level
         state[n] = {"h": h, "low": None, "high": None, "below": 0, "inside": sizes[n]}
 
     def inside(n):
@@ -73,7 +86,7 @@ def exact_quantiles(df: DataFrame, targets: dict[str, tuple[str, float]], limit:
                 found[n] = s["low"]
         wide = [n for n in wide if n not in found and state[n]["inside"] > limit]
 
-    rest = [n for n in names if n not in found]
+    rest = [n for n in state if n not in found]
     if rest:
         lists = df.agg(*[F.sort_array(F.collect_list(inside(n))).alias(n) for n in rest])
         picks = []
@@ -84,4 +97,4 @@ def exact_quantiles(df: DataFrame, targets: dict[str, tuple[str, float]], limit:
             b = F.col(n)[math.ceil(s["h"]) - s["below"]]
             picks.append((a + (b - a) * frac).alias(n))
         found.update(lists.select(*picks).first().asDict())
-    return found
+    return {n: (*done[n], found[n]) if n in state else done[n] for n in names}

@@ -39,7 +39,10 @@ def dense_calendar(daily: DataFrame) -> DataFrame:
     so_far = ordered.rowsBetween(W.unboundedPreceding, 0)
     ahead = ordered.rowsBetween(0, W.unboundedFollowing)
 
-    observed = daily.select(
+    # A fixed partition number keeps adaptive execution from merging these small partitions into a few tasks:
+    # the expansion below multiplies the rows, and all feature windows run in the same stage.
+    tasks = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    observed = daily.repartition(tasks, "campaign_id").select(
         "campaign_id",
         "date",
         F.coalesce(F.lead("date").over(ordered), F.date_add("date", 1)).alias("next_date"),

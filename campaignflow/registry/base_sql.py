@@ -74,6 +74,9 @@ for _d in (7, 14, 28, 56):
 for _c in ("conversions", "clicks", "impressions", "reach", "video_views"):
     _windows.append(f"{_roll('sum', _c, 28)} AS {_c}_roll_sum_28")
 
+for _h in (30, 60, 90):
+    _windows += [f"sum({c}) OVER (w ROWS BETWEEN 1 FOLLOWING AND {_h} FOLLOWING) AS {c}_next_{_h}" for c in ("revenue", "spend")]
+
 CTES["rolled"] = f"""
 SELECT *, {", ".join(_windows)},
        {_roll('avg', 'was_observed', 30)} AS was_observed_frac_30,
@@ -117,25 +120,15 @@ FROM canonical GROUP BY channel, campaign_type, date"""
 
 GROUP_DAY = ("canonical", "group_day")
 
-CTES["origins"] = """
-SELECT f.*, h.horizon_days, f.date AS origin_date,
-       sum(n.revenue) AS target_revenue, sum(n.spend) AS actual_spend_sum,
-       sum(n.spend) / h.horizon_days AS planned_future_daily_budget
-FROM features f CROSS JOIN (VALUES (30), (60), (90)) h(horizon_days)
-JOIN dense n ON n.campaign_id = f.campaign_id AND n.date > f.date AND n.date <= f.date + h.horizon_days
-GROUP BY ALL"""
-
-# Forward sums from cumulative totals: revenue up to origin + h minus revenue up to the origin.
 CTES["frame"] = """
 SELECT f.*, f.date AS origin_date, h.horizon_days,
-       g.revenue_to_date - f.revenue_to_date AS target_revenue,
-       g.spend_to_date - f.spend_to_date AS actual_spend_sum,
-       (g.spend_to_date - f.spend_to_date) / h.horizon_days AS planned_future_daily_budget
+       CASE h.horizon_days WHEN 30 THEN revenue_next_30 WHEN 60 THEN revenue_next_60 ELSE revenue_next_90 END AS target_revenue,
+       CASE h.horizon_days WHEN 30 THEN spend_next_30 WHEN 60 THEN spend_next_60 ELSE spend_next_90 END AS actual_spend_sum,
+       CASE h.horizon_days WHEN 30 THEN spend_next_30 WHEN 60 THEN spend_next_60 ELSE spend_next_90 END / h.horizon_days
+         AS planned_future_daily_budget
 FROM features f CROSS JOIN (VALUES (30), (60), (90)) h(horizon_days)
-JOIN rolled g ON g.campaign_id = f.campaign_id AND g.date = f.date + h.horizon_days
 WHERE f.day_number - 1 >= 14 AND (f.day_number - 1 - 14) % 3 = 0
   AND f.day_number - 1 + h.horizon_days < f.n_days"""
-del CTES["origins"]
 
 FRAME = (*FEATURES, "frame")
 
