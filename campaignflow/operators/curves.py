@@ -8,11 +8,15 @@ from campaignflow.functions.scalars import clip, col, safe_ratio
 
 GROUP = ["channel", "campaign_type"]
 N_MIN, N_MAX = 0.3, 6.0
-# First grid: K from max/1024 to max*50 in half octaves, n over its whole range.
-K_STEPS = [j / 2 for j in range(-20, 12)]
-N_STEPS = [0.3, 0.45, 0.6, 0.8, 1.0, 1.25, 1.5, 1.8, 2.2, 2.7, 3.3, 4.0, 4.8, 5.4, 6.0]
-# Refinements: offsets in octaves of K and as a share of n, three rounds.
-REFINE = [[j / 8 for j in range(-4, 5)], [j / 32 for j in range(-4, 5)], [j / 128 for j in range(-4, 5)]]
+# First grid: K from max/1024 to max*32 in octaves, n over its whole range.
+K_STEPS = [float(j) for j in range(-10, 6)]
+N_STEPS = [0.3, 0.5, 0.75, 1.0, 1.4, 1.9, 2.6, 3.6, 4.8, 6.0]
+# Refinements around the best pair: octaves of K and shares of n, three rounds.
+REFINE = [
+    ([j / 4 for j in range(-3, 4)], [j / 10 for j in range(-3, 4)]),
+    ([j / 16 for j in range(-3, 4)], [j / 40 for j in range(-3, 4)]),
+    ([j / 64 for j in range(-3, 4)], [j / 160 for j in range(-3, 4)]),
+]
 
 
 def hill(x, L, K, n) -> Column:
@@ -75,17 +79,34 @@ def recency_roas(points: DataFrame, keys=GROUP) -> DataFrame:
         F.count(F.lit(1)).alias("n_points"))
 
 
-def _best(points: DataFrame, candidates: DataFrame, keys) -> DataFrame:
-    """Closed-form L and weighted squared error of every candidate (K, n) of a group; the smallest error wins."""
-    joined = points.join(candidates, list(keys)).withColumn("c", F.explode("grid")).select(
-        *keys, "x", "y", "w", "L_max", F.col("c.K").alias("K"), F.col("c.n").alias("n"))
-    basis = joined.withColumn("h", hill("x", F.lit(1.0), "K", "n"))
-    sums = basis.groupBy(*keys, "K", "n", "L_max").agg(
-        F.sum(F.col("w") * F.col("y") * F.col("y")).alias("a"), F.sum(F.col("w") * F.col("h") * F.col("y")).alias("b"),
-        F.sum(F.col("w") * F.col("h") * F.col("h")).alias("c"))
-    fit = sums.withColumn("L", F.least(F.coalesce(safe_ratio("b", "c"), F.lit(0.0)), F.col("L_max")))
-    scored = fit.withColumn("sse", F.col("a") - 2 * F.col("L") * F.col("b") + F.col("L") * F.col("L") * F.col("c"))
-    return scored.groupBy(*keys, "L_max").agg(F.min(F.struct("sse", "n", "K", "L")).alias("best"))
+def _best(points: DataFrame, start: DataFrame, keys, grid, first: bool = False) -> DataFrame:
+    """Try a grid of (K, n) around each group's starting pair; closed-form L, smallest weighted error wins.
+
+    Every point meets the few candidates of its own group and is summed away again before the shuffle.
+    ``grid`` lists (octaves of K, n or share of n). Sums without weights give the residual spread on the way.
+    """
+    offsets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in grid])
+    n = F.col("o.m") if first else clip(F.col("n0") * (1 + F.col("o.m")), N_MIN, N_MAX)
+    K = F.col("K0") * F.pow(F.lit(2.0), F.col("o.k"))
+    tried = points.join(start, list(keys)).select("*", F.explode(offsets).alias("o"))
+    # x^n as exp(n ln x): the same value, cheaper than a general power.
+    tried = tried.select(*keys, "K0", "n0", "L_max", "o", "y", "w", F.exp(n * F.col("ln_x")).alias("xn"),
+                         F.exp(n * F.ln(K)).alias("kn"))
+    tried = tried.withColumn("h", F.col("xn") / (F.col("kn") + F.col("xn") + 1e-9))
+    y, w, h = F.col("y"), F.col("w"), F.col("h")
+    sums = tried.groupBy(*keys, "K0", "n0", "L_max", "o").agg(
+        F.sum(w * y * y).alias("a"), F.sum(w * h * y).alias("b"), F.sum(w * h * h).alias("c"),
+        F.count(y).alias("cnt"), F.sum(y).alias("sy"), F.sum(h).alias("sh"), F.sum(y * y).alias("syy"),
+        F.sum(y * h).alias("syh"), F.sum(h * h).alias("shh"))
+    fit = sums.withColumns({"L": F.least(F.coalesce(safe_ratio("b", "c"), F.lit(0.0)), F.col("L_max")), "n": n, "K": K})
+    L, cnt = F.col("L"), F.col("cnt")
+    mean = (F.col("sy") - L * F.col("sh")) / cnt
+    spread = (F.col("syy") - 2 * L * F.col("syh") + L * L * F.col("shh")) / cnt - mean * mean
+    scored = fit.withColumns({
+        "sse": F.col("a") - 2 * L * F.col("b") + L * L * F.col("c"),
+        "resid": F.sqrt(F.greatest(spread, F.lit(0.0)))})
+    best = scored.groupBy(*keys, "L_max").agg(F.min(F.struct("sse", "n", "K", "L", "resid")).alias("best"))
+    return best.select(*keys, "L_max", F.col("best.K").alias("K0"), F.col("best.n").alias("n0"), "best")
 
 
 def fit_hill_curves(group_days: DataFrame, keys=GROUP, half_life=45.0, min_points: int = 8,
@@ -97,7 +118,9 @@ def fit_hill_curves(group_days: DataFrame, keys=GROUP, half_life=45.0, min_point
     of its range) fall back to the recency-weighted ROAS line.
     """
     keys = list(keys)
-    points = weighted_points(group_days, keys, half_life)
+    # Spread the days of a group over all tasks: the grid makes them expensive and the sums combine anyway.
+    tasks = int(group_days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = weighted_points(group_days, keys, half_life).repartition(tasks, *keys, "date")
     stats = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_points"),
         F.count_distinct(F.bround("x", 0)).alias("n_levels"),
@@ -108,22 +131,16 @@ def fit_hill_curves(group_days: DataFrame, keys=GROUP, half_life=45.0, min_point
         F.coalesce(safe_ratio(F.sum(F.col("y") * F.col("w")), F.sum(F.col("x") * F.col("w"))), F.lit(0.0)).alias("fallback_roas"),
     )
     attempt = (F.col("n_points") >= min_points) & (F.col("n_levels") >= min_levels) & (F.col("sum_y") > 0)
-    first_grid = F.array(*[
-        F.struct((F.col("max_x") * (2.0 ** k)).alias("K"), F.lit(n).alias("n")) for k in K_STEPS for n in N_STEPS])
-    candidates = stats.where(attempt).select(
-        *keys, ((F.col("max_y") * 1.5 + 1.0) * 20 + 1).alias("L_max"), first_grid.alias("grid"))
-    best = _best(points, candidates, keys)
-    for offsets in REFINE:
-        around = F.array(*[
-            F.struct((F.col("best.K") * (2.0 ** k)).alias("K"),
-                     clip(F.col("best.n") * (1 + n), N_MIN, N_MAX).alias("n")) for k in offsets for n in offsets])
-        best = _best(points, best.select(*keys, "L_max", F.array_distinct(around).alias("grid")), keys)
-    chosen = best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in ("sse", "n", "K", "L")])
-    spread = points.join(chosen, keys).groupBy(*keys).agg(
-        F.stddev_pop(F.col("y") - hill("x", "L", "K", "n")).alias("resid"))
+    start = stats.where(attempt).select(
+        *keys, ((F.col("max_y") * 1.5 + 1.0) * 20 + 1).alias("L_max"), F.col("max_x").alias("K0"), F.lit(1.0).alias("n0"))
+    logged = points.select(*keys, F.ln("x").alias("ln_x"), "y", "w")
+    best = _best(logged, start, keys, [(k, n) for k in K_STEPS for n in N_STEPS], first=True)
+    for octaves, shares in REFINE:
+        best = _best(logged, best.drop("best"), keys, [(k, m) for k in octaves for m in shares])
+    chosen = best.select(*keys, "best.*")
 
     total = F.col("swyy") - F.col("swy") * F.col("swy") / F.col("sw")
-    out = stats.join(chosen, keys, "left").join(spread, keys, "left").withColumns({
+    out = stats.join(chosen, keys, "left").withColumns({
         "r_squared": F.when(F.col("sse").isNotNull(), F.when(total > 0, 1 - F.col("sse") / total).otherwise(0.0)),
         "n_at_bound": (F.col("n") <= N_MIN * 1.001) | (F.col("n") >= N_MAX * 0.999),
     })

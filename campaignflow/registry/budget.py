@@ -42,11 +42,11 @@ GROUP BY channel, campaign_type, l_max"""
 
 
 CTES["best1"] = best_sql("grid1")
-for _i, _offsets in enumerate(C.REFINE, 2):
+for _i, (_octaves, _shares) in enumerate(C.REFINE, 2):
     CTES[f"grid{_i}"] = f"""
 SELECT DISTINCT channel, campaign_type, l_max, best.kk * pow(2.0::DOUBLE, k) AS kk,
        least(6.0::DOUBLE, greatest(0.3::DOUBLE, best.n * (1 + m))) AS n
-FROM best{_i - 1}, (SELECT unnest({_offsets}::DOUBLE[]) AS k), (SELECT unnest({_offsets}::DOUBLE[]) AS m)"""
+FROM best{_i - 1}, (SELECT unnest({_octaves}::DOUBLE[]) AS k), (SELECT unnest({_shares}::DOUBLE[]) AS m)"""
     CTES[f"best{_i}"] = best_sql(f"grid{_i}")
 CTES["curves"] = """
 SELECT s.channel, s.campaign_type, n_points, fallback_roas, r2, at_bound, coalesce(r2 >= 0.1 AND NOT at_bound, false) AS fit_ok, l, kk, n,
