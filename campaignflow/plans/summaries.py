@@ -56,3 +56,19 @@ def scope_summaries(live: DataFrame, group_days: DataFrame, curves: DataFrame, h
                 F.coalesce("anomalies", F.array().cast(listed.schema["anomalies"].dataType)).alias("anomalies"),
                 status.alias("saturation_status"))
     )
+
+
+def grounding_context():
+    """The numbers a text about a scope may quote, as JSON in plain decimal notation.
+
+    Deltas are listed by magnitude because sentences put the direction in words.
+    """
+    def plain(c, digits=2):
+        return F.col(c).cast(f"decimal(38,{digits})").alias(c)
+
+    return F.to_json(F.struct(
+        F.struct("channel", "window_days", F.lit(80).alias("band_percent")).alias("scope"),
+        F.struct(plain("revenue_p10"), plain("revenue_p50"), plain("revenue_p90"), plain("roas_p50", 4)).alias("forecast"),
+        F.struct(F.abs("revenue_delta_pct").alias("revenue_delta_pct"), F.abs("spend_delta_pct").alias("spend_delta_pct"))
+        .alias("period_over_period"),
+        "anomalies", "saturation_status"))

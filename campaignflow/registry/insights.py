@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from campaignflow.functions.scalars import safe_ratio
 from campaignflow.operators import insights as I
-from campaignflow.plans.summaries import scope_summaries
+from campaignflow.plans.summaries import grounding_context, scope_summaries
 from campaignflow.registry.base_sql import CTES, with_ctes
 from campaignflow.registry.budget import CURVES, SATURATED, curves, saturated
 from campaignflow.registry.core import query, rnd, rounded, sql_rnd, sql_rounded
@@ -99,15 +99,14 @@ def summaries(spark, sf_dir):
 def narrative(spark, sf_dir):
     told = I.narrative(summaries(spark, sf_dir))
     return told.select(F.coalesce("channel", F.lit("total")).alias("scope"), "summary", "risk_flags",
-                       F.to_json(F.struct("revenue_p10", "revenue_p50", "revenue_p90", "roas_p50", "revenue_delta_pct", "spend_delta_pct",
-                                          "saturation_status", "anomalies")).alias("context"))
+                       grounding_context().alias("context"))
 
 
 @query("narrative_is_grounded")
 def narrative_is_grounded(spark, sf_dir):
-    told = I.narrative(summaries(spark, sf_dir)).withColumn("scope", F.coalesce("channel", F.lit("total")))
-    context = F.to_json(F.struct("window_days", "revenue_p10", "revenue_p50", "revenue_p90", "revenue_delta_pct", "anomalies", F.lit(80).alias("band")))
-    rows = told.select("scope", F.concat_ws(" ", "summary", "risk_flags").alias("text"), context.alias("context"))
+    told = I.narrative(summaries(spark, sf_dir))
+    rows = told.select(F.coalesce("channel", F.lit("total")).alias("scope"),
+                       F.concat_ws(" ", "summary", "risk_flags").alias("text"), grounding_context().alias("context"))
     return I.grounding_verdict(rows, rows, "scope")
 
 
