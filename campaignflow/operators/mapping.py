@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from campaignflow.functions.scalars import col
 from campaignflow.functions.text_match import name_score
@@ -39,8 +40,7 @@ def exact_mapping(catalogue: DataFrame) -> DataFrame:
     return found.withColumn("field", F.when(first, F.col("alias"))).drop("alias")
 
 
-@F.pandas_udf("array<double>")
-def fuzzy_scores(names: pd.Series) -> pd.Series:
+def _score_names(names: pd.Series) -> pd.Series:
     """Best alias score of each name for every field of ``FUZZY_FIELDS``."""
     pools = [[plain(a) for a in ALIASES[f]] for f in FUZZY_FIELDS]
     known = {n: [max(name_score(n, a) for a in pool) for pool in pools] for n in names.unique()}
@@ -101,6 +101,7 @@ def map_columns(catalogue: DataFrame) -> DataFrame:
 
     Sources are settled independently, each in its own group of at most a few hundred header cells.
     """
+    fuzzy_scores = F.pandas_udf(_score_names, T.ArrayType(T.DoubleType()))
     exact = exact_mapping(catalogue).withColumn("scores", fuzzy_scores(normalised("raw_col")))
     return exact.groupBy("source").applyInPandas(
         _assign_source,

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from campaignflow.registry.core import ORACLES, QUERIES
 
-FAMILIES = ["features", "forecast", "groups", "hierarchy", "budget", "insights", "ingest"]
+FAMILIES = ["features", "forecast", "groups", "hierarchy", "budget", "insights", "ingest", "calibration", "models"]
 
 
 def _load():
