@@ -9,15 +9,21 @@ from campaignflow.functions.scalars import safe_ratio
 from campaignflow.operators.daily import campaign_day, dense_calendar
 from campaignflow.schema import FEATURES, FRAME_KEYS, HORIZONS, MIN_ORIGIN_AGE
 
-BY_CAMPAIGN = W.partitionBy("campaign_id")
-BY_DATE = BY_CAMPAIGN.orderBy("date")
+def by_campaign():
+    return W.partitionBy("campaign_id")
 
 
-def _last(days: int):
-    return BY_DATE.rowsBetween(1 - days, 0)
+def by_date():
+    return by_campaign().orderBy("date")
 
 
-TO_DATE = BY_DATE.rowsBetween(W.unboundedPreceding, 0)
+def last_days(days: int):
+    """The current day and the ones before it, ``days`` in all."""
+    return by_date().rowsBetween(1 - days, 0)
+
+
+def to_date():
+    return by_date().rowsBetween(W.unboundedPreceding, 0)
 
 
 def add_daily_features(dense: DataFrame) -> DataFrame:
@@ -26,34 +32,34 @@ def add_daily_features(dense: DataFrame) -> DataFrame:
     All windows share the campaign partitioning of the dense calendar, so no further shuffle is added.
     Columns a caller does not select are pruned together with their window expressions.
     """
-    out = dense.select("*", F.min("date").over(BY_CAMPAIGN).alias("first_date"), iso_week_key("date").alias("iso_key"))
+    out = dense.select("*", F.min("date").over(by_campaign()).alias("first_date"), iso_week_key("date").alias("iso_key"))
     out = out.withColumns(calendar_columns("date"))
 
     windows = {
         "campaign_age_days": F.datediff("date", "first_date"),
-        "last_nonzero_date": F.last(F.when(F.col("revenue") > 0, F.col("date")), ignorenulls=True).over(TO_DATE),
-        "was_observed_frac_30": F.avg("was_observed").over(_last(30)),
-        "n_days_to_date": F.count(F.lit(1)).over(TO_DATE),
-        "revenue_to_date": F.sum("revenue").over(TO_DATE),
-        "spend_to_date": F.sum("spend").over(TO_DATE),
+        "last_nonzero_date": F.last(F.when(F.col("revenue") > 0, F.col("date")), ignorenulls=True).over(to_date()),
+        "was_observed_frac_30": F.avg("was_observed").over(last_days(30)),
+        "n_days_to_date": F.count(F.lit(1)).over(to_date()),
+        "revenue_to_date": F.sum("revenue").over(to_date()),
+        "spend_to_date": F.sum("spend").over(to_date()),
         # Same ISO week one year earlier, summed over the days that were actually reported.
         "revenue_same_week_last_year": F.sum(F.when(F.col("was_observed") == 1, F.col("revenue"))).over(
-            BY_CAMPAIGN.orderBy("iso_key").rangeBetween(-100, -100)
+            by_campaign().orderBy("iso_key").rangeBetween(-100, -100)
         ),
     }
     for days in (7, 14, 28):
-        windows[f"revenue_lag_{days}"] = F.lag("revenue", days).over(BY_DATE)
-        windows[f"spend_lag_{days}"] = F.lag("spend", days).over(BY_DATE)
+        windows[f"revenue_lag_{days}"] = F.lag("revenue", days).over(by_date())
+        windows[f"spend_lag_{days}"] = F.lag("spend", days).over(by_date())
     for days in (7, 28):
-        windows[f"conversions_lag_{days}"] = F.lag("conversions", days).over(BY_DATE)
-        windows[f"revenue_roll_mean_{days}"] = F.avg("revenue").over(_last(days))
-        windows[f"revenue_roll_std_{days}"] = F.stddev_samp("revenue").over(_last(days))
-        windows[f"spend_roll_mean_{days}"] = F.avg("spend").over(_last(days))
+        windows[f"conversions_lag_{days}"] = F.lag("conversions", days).over(by_date())
+        windows[f"revenue_roll_mean_{days}"] = F.avg("revenue").over(last_days(days))
+        windows[f"revenue_roll_std_{days}"] = F.stddev_samp("revenue").over(last_days(days))
+        windows[f"spend_roll_mean_{days}"] = F.avg("spend").over(last_days(days))
     for days in (7, 14, 28, 56):
-        windows[f"revenue_roll_sum_{days}"] = F.sum("revenue").over(_last(days))
-        windows[f"spend_roll_sum_{days}"] = F.sum("spend").over(_last(days))
+        windows[f"revenue_roll_sum_{days}"] = F.sum("revenue").over(last_days(days))
+        windows[f"spend_roll_sum_{days}"] = F.sum("spend").over(last_days(days))
     for c in ("conversions", "clicks", "impressions", "reach", "video_views"):
-        windows[f"{c}_roll_sum_28"] = F.sum(c).over(_last(28))
+        windows[f"{c}_roll_sum_28"] = F.sum(c).over(last_days(28))
     out = out.withColumns(windows)
 
     out = out.withColumns(
@@ -63,7 +69,7 @@ def add_daily_features(dense: DataFrame) -> DataFrame:
             ),
             **funnel_ratios(),
             **{f"trailing_roas_{d}": safe_ratio(f"revenue_roll_sum_{d}", f"spend_roll_sum_{d}") for d in (7, 28, 56)},
-            "revenue_trend_14_28": F.col("revenue_roll_mean_28") - F.lag("revenue_roll_mean_28", 14).over(BY_DATE),
+            "revenue_trend_14_28": F.col("revenue_roll_mean_28") - F.lag("revenue_roll_mean_28", 14).over(by_date()),
             "campaign_expanding_revenue_mean": F.col("revenue_to_date") / F.col("n_days_to_date"),
             "campaign_expanding_roas": safe_ratio("revenue_to_date", "spend_to_date"),
         }
@@ -97,10 +103,10 @@ def forward_targets(daily: DataFrame, horizons=HORIZONS, stride: int = 3,
     """
     indexed = daily.select(
         "*",
-        (F.row_number().over(BY_DATE) - 1).alias("day_index"),
-        F.count(F.lit(1)).over(BY_CAMPAIGN).alias("n_days"),
-        *[F.sum("revenue").over(BY_DATE.rowsBetween(1, h)).alias(f"revenue_next_{h}") for h in horizons],
-        *[F.sum("spend").over(BY_DATE.rowsBetween(1, h)).alias(f"spend_next_{h}") for h in horizons],
+        (F.row_number().over(by_date()) - 1).alias("day_index"),
+        F.count(F.lit(1)).over(by_campaign()).alias("n_days"),
+        *[F.sum("revenue").over(by_date().rowsBetween(1, h)).alias(f"revenue_next_{h}") for h in horizons],
+        *[F.sum("spend").over(by_date().rowsBetween(1, h)).alias(f"spend_next_{h}") for h in horizons],
     )
     origins = indexed.where(
         (F.col("day_index") >= min_age)
@@ -140,7 +146,7 @@ def training_frame(canonical: DataFrame, horizons=HORIZONS, stride: int = 3) ->
 
 def latest_snapshot(daily: DataFrame) -> DataFrame:
     """Each campaign's own last calendar day, tagged with the last day of the whole data set."""
-    newest = daily.withColumn("last_date", F.max("date").over(BY_CAMPAIGN)).where(F.col("date") == F.col("last_date"))
+    newest = daily.withColumn("last_date", F.max("date").over(by_campaign())).where(F.col("date") == F.col("last_date"))
     as_of = newest.agg(F.max("date").alias("forecast_as_of"))
     return newest.drop("last_date").withColumnRenamed("date", "origin_date").join(F.broadcast(as_of))
 

@@ -1,7 +1,5 @@
 """Forecast models on Spark ML: Tweedie and hurdle regressions, boosted trees, quantile forest."""
 
-from functools import reduce
-
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -21,6 +19,10 @@ SOMETIMES_MISSING = [
     "revenue_lag_28", "revenue_roll_std_28", "ctr_roll_28", "cvr_roll_28", "cpa_roll_28", "frequency_roll_28",
     "video_view_rate_roll_28", "trailing_roas_28", "revenue_trend_14_28", "revenue_same_week_last_year", "daily_budget",
 ]
+# Inputs of the log-link regressions: a near-collinear set would make their least-squares steps unstable.
+CORE = ["horizon_days", "planned_future_daily_budget", "revenue_roll_mean_28", "spend_roll_mean_28", "revenue_roll_std_28",
+        "campaign_expanding_revenue_mean", "campaign_expanding_roas", "trailing_roas_28", "campaign_age_days",
+        "days_since_last_nonzero_revenue", "was_observed_frac_30", "is_q4", "is_holiday_window", "days_to_dec25"]
 SEED = 42
 
 
@@ -41,15 +43,29 @@ def encoder() -> Pipeline:
         OneHotEncoder(inputCols=indexed, outputCols=hot),
         VectorAssembler(inputCols=[*[f"x_{c}" for c in NUMERIC_FEATURES], *[f"na_{c}" for c in SOMETIMES_MISSING], *hot],
                         outputCol="features"),
+        VectorAssembler(inputCols=[*[f"x_{c}" for c in CORE], *hot], outputCol="core"),
     ])
 
 
-def tweedie(power: float) -> GeneralizedLinearRegression:
-    return GeneralizedLinearRegression(
-        family="tweedie", variancePower=power, linkPower=0.0, labelCol=TARGET, weightCol=WEIGHT, regParam=0.01, maxIter=8)
+def mean_target(train: DataFrame) -> float:
+    return train.agg(F.avg(TARGET).alias("m")).first()["m"] or 1.0
+
+
+def fit_tweedie(train: DataFrame, power: float):
+    """Log-link Tweedie regression on the target in units of its mean, and that unit."""
+    unit = mean_target(train)
+    glm = GeneralizedLinearRegression(
+        family="tweedie", variancePower=power, linkPower=0.0, featuresCol="core", labelCol="units", weightCol=WEIGHT,
+        regParam=0.01, maxIter=10)
+    return glm.fit(train.withColumn("units", F.col(TARGET) / unit)), unit
+
+
+def predict_tweedie(model, rows: DataFrame, name: str = "tweedie") -> DataFrame:
+    glm, unit = model
+    return glm.transform(rows).withColumn(name, F.col("prediction") * unit).drop("prediction")
 
 
-def bounded(prediction, ceiling) -> F.col:
+def bounded(prediction, ceiling):
     """Point forecasts stay within [0, ceiling]: a log link can run away on inputs far from the training range."""
     return F.least(F.greatest(F.col(prediction), F.lit(0.0)), F.col(ceiling) if isinstance(ceiling, str) else F.lit(ceiling))
 
@@ -57,41 +73,41 @@ def bounded(prediction, ceiling) -> F.col:
 def sweep_tweedie(folds: DataFrame, powers=TWEEDIE_POWERS) -> DataFrame:
     """Mean validation deviance per power over the walk-forward folds in ``folds`` (columns fold, role).
 
-    One fit per (fold, power); the validation scores of all fits are summed up in a single union.
+    One fit per (fold, power). A fold keeps only the columns the regression reads while its powers are tried.
     """
     ids = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    scored = []
+    measured = []
     for fold in ids:
-        part = folds.where(F.col("fold") == fold)
+        part = folds.where(F.col("fold") == fold).select("core", TARGET, WEIGHT, "role").persist()
         train, held = part.where("role = 'train'"), part.where("role = 'validation'")
         for p in powers:
-            out = tweedie(p).fit(train).transform(held)
-            scored.append(out.select(F.lit(p).alias("power"), F.lit(fold).alias("fold"), TARGET, "prediction"))
-    every = reduce(DataFrame.unionByName, scored)
-    by_power = F.lit(None)
-    for p in powers:
-        by_power = F.when(F.col("power") == p, tweedie_deviance(TARGET, "prediction", p)).otherwise(by_power)
-    per_fold = every.groupBy("power", "fold").agg(by_power.alias("deviance"))
+            out = predict_tweedie(fit_tweedie(train, p), held)
+            measured.append((fold, p, out.agg(tweedie_deviance(TARGET, "tweedie", p).alias("d")).first()["d"]))
+        part.unpersist()
+    per_fold = folds.sparkSession.createDataFrame(measured, "fold int, power double, deviance double")
     return per_fold.groupBy("power").agg(F.avg("deviance").alias("deviance"), F.count(F.lit(1)).alias("n_folds"))
 
 
 def fit_hurdle(train: DataFrame):
-    """P(revenue > 0) and the gamma mean of positive revenue."""
-    marked = train.withColumn("sold", (F.col(TARGET) > 0).cast("double"))
-    classifier = LogisticRegression(labelCol="sold", weightCol=WEIGHT, regParam=0.01, maxIter=20,
-                                    predictionCol="sold_class", probabilityCol="sold_p", rawPredictionCol="sold_raw").fit(marked)
+    """P(revenue > 0) and the gamma mean of positive revenue, in units of the mean target."""
+    unit = mean_target(train)
+    marked = train.withColumns({"sold": (F.col(TARGET) > 0).cast("double"), "units": F.col(TARGET) / unit})
+    classifier = LogisticRegression(
+        featuresCol="core", labelCol="sold", weightCol=WEIGHT, regParam=0.01, maxIter=20, predictionCol="sold_class",
+        probabilityCol="sold_p", rawPredictionCol="sold_raw").fit(marked)
     gamma = GeneralizedLinearRegression(
-        family="gamma", link="log", labelCol=TARGET, weightCol=WEIGHT, regParam=0.01, maxIter=8,
-        predictionCol="positive_mean").fit(train.where(F.col(TARGET) > 0))
-    return classifier, gamma
+        family="gamma", link="log", featuresCol="core", labelCol="units", weightCol=WEIGHT, regParam=0.01, maxIter=10,
+        predictionCol="positive_units").fit(marked.where("sold = 1"))
+    return classifier, gamma, unit
 
 
 def predict_hurdle(models, rows: DataFrame) -> DataFrame:
-    classifier, gamma = models
+    classifier, gamma, unit = models
     scored = gamma.transform(classifier.transform(rows))
     share = vector_to_array("sold_p")[1]
-    return scored.withColumns({"sold_share": share, "hurdle": share * F.greatest(F.col("positive_mean"), F.lit(0.0))}).drop(
-        "sold_class", "sold_p", "sold_raw")
+    mean = F.greatest(F.col("positive_units"), F.lit(0.0)) * unit
+    return scored.withColumns({"sold_share": share, "positive_mean": mean, "hurdle": share * mean}).drop(
+        "sold_class", "sold_p", "sold_raw", "positive_units")
 
 
 def hurdle_quality(scored: DataFrame) -> dict[str, float]:

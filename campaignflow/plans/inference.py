@@ -53,8 +53,7 @@ def whatif_sweep(trained, canonical: DataFrame, group_days: DataFrame, multiplie
         *[F.sum(shown[c]).alias(c) for c in QUANTILE_COLUMNS]).withColumn("scope", F.coalesce("channel", F.lit("total")))
     packed = totals.groupBy("scope").agg(F.array_sort(F.collect_list(
         F.struct("multiplier", "spend", "n_flagged", *QUANTILE_COLUMNS))).alias("p"))
-    fitted = packed.select("scope", "p", *[
-        isotonic(F.transform("p", lambda r, c=c: r[c])).alias(f"fit_{c}") for c in QUANTILE_COLUMNS])
+    fitted = packed.select("scope", "p", *[isotonic(F.col(f"p.{c}")).alias(f"fit_{c}") for c in QUANTILE_COLUMNS])
     rows = fitted.select("scope", F.posexplode("p").alias("i", "r"), *[f"fit_{c}" for c in QUANTILE_COLUMNS])
     ordered = F.array_sort(F.array(*[F.col(f"fit_{c}")[F.col("i")] for c in QUANTILE_COLUMNS]))
     return rows.select("scope", "r.multiplier", "r.spend", "r.n_flagged", ordered.alias("q")).select(

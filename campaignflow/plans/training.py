@@ -27,7 +27,7 @@ def assembled(frame: DataFrame):
     """Fitted encoder and the persisted frame with its feature vector; only what the models read is kept."""
     prepared = D.prepare(frame)
     encoder = D.encoder().fit(prepared)
-    keep = [*ROW, "channel", "campaign_type", "target_revenue", "revenue_roll_mean_28", "features", "anomaly_weight"]
+    keep = [*ROW, "channel", "campaign_type", "target_revenue", "revenue_roll_mean_28", "features", "core", "anomaly_weight"]
     extra = [c for c in ("split",) if c in frame.columns]
     return encoder, encoder.transform(prepared).select(*keep, *extra).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -63,8 +63,8 @@ def point_candidates(canonical: DataFrame, power: float = 1.5) -> tuple[DataFram
     train, held = frame.where("split = 'train'"), frame.where("split = 'calibration'")
     top = train.agg((F.max("target_revenue") * 2).alias("top")).first()["top"]
     hurdle = D.fit_hurdle(train)
-    scored = D.tweedie(power).fit(train).transform(held).withColumn("tweedie", D.bounded("prediction", top))
-    scored = D.predict_hurdle(hurdle, scored.drop("prediction"))
+    scored = D.predict_tweedie(D.fit_tweedie(train, power), held)
+    scored = D.predict_hurdle(hurdle, scored)
     scored = D.boosted().fit(train).transform(scored)
-    scored = scored.withColumns({"hurdle": D.bounded("hurdle", top), "boosted": D.bounded("boosted", top)}).persist()
+    scored = scored.withColumns({c: D.bounded(c, top) for c in ("tweedie", "hurdle", "boosted")}).persist()
     return scored, D.hurdle_quality(scored)

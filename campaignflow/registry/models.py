@@ -10,12 +10,23 @@ from campaignflow.plans import training as T
 from campaignflow.registry.budget import MULTIPLIERS
 from campaignflow.registry.core import iso, query, rnd, rounded
 from campaignflow.registry.groups import group_days
-from campaignflow.schema import NUMERIC_FEATURES, QUANTILE_COLUMNS
+from campaignflow.schema import QUANTILE_COLUMNS
 from campaignflow.sources.bundle import read_bundle, write_bundle
 from campaignflow.sources.fixtures import ad_canonical
 from campaignflow.sources.workdir import scratch
 
 
+_TRAINED = {}
+
+
+def trained_forest(spark, sf_dir):
+    """Train once per application and data folder; the queries below only read the result."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = T.train_forest(ad_canonical(spark, sf_dir))
+    return _TRAINED[key]
+
+
 @query("tweedie_sweep")
 def tweedie_sweep(spark, sf_dir):
     frame = T.weighted_frame(ad_canonical(spark, sf_dir)).where("split IN ('train', 'calibration')").drop("split")
@@ -34,7 +45,7 @@ def point_models(spark, sf_dir):
 
 @query("quantile_forest")
 def quantile_forest(spark, sf_dir):
-    out = T.evaluate_forest(T.train_forest(ad_canonical(spark, sf_dir)))
+    out = T.evaluate_forest(trained_forest(spark, sf_dir))
     return out.select("stage", "horizon_days", "n_rows", rnd("crps", 2).alias("crps"),
                       *rounded(4, "wape", "naive_wape", "coverage_90", "coverage_80", "coverage_50"))
 
@@ -43,7 +54,7 @@ def quantile_forest(spark, sf_dir):
 def forest_predictions(spark, sf_dir):
     canonical = ad_canonical(spark, sf_dir)
     path = scratch(spark, "bundle")
-    write_bundle(T.train_forest(canonical), path)
+    write_bundle(trained_forest(spark, sf_dir), path)
     out = I.predictions(read_bundle(spark, path), canonical, group_days(spark, sf_dir))
     return out.select("campaign_id", "horizon_days", iso("origin_date", "origin_day"), *rounded(2, *QUANTILE_COLUMNS, "q50_display"),
                       rnd("roas_p50", 4).alias("roas_p50"), "plausibility_flag", "saturation_status")
@@ -52,24 +63,23 @@ def forest_predictions(spark, sf_dir):
 @query("whatif_sweep")
 def whatif_sweep(spark, sf_dir):
     canonical = ad_canonical(spark, sf_dir)
-    out = I.whatif_sweep(T.train_forest(canonical), canonical, group_days(spark, sf_dir), MULTIPLIERS)
+    out = I.whatif_sweep(trained_forest(spark, sf_dir), canonical, group_days(spark, sf_dir), MULTIPLIERS)
     return out.select("scope", "multiplier", "n_flagged", *rounded(2, "spend", *QUANTILE_COLUMNS))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    encoder, frame = T.assembled(T.weighted_frame(ad_canonical(spark, sf_dir)))
-    forest, _ = D.fit_quantile_forest(frame.where("split = 'train'"))
-    return D.importance(spark, forest, D.input_names(frame)).select("rank", "feature", rnd("gain", 6).alias("gain"))
+    trained = trained_forest(spark, sf_dir)
+    return D.importance(spark, trained["forest"], D.input_names(trained["frame"])).select("rank", "feature", rnd("gain", 6).alias("gain"))
 
 
 @query("driver_attributions")
 def driver_attributions(spark, sf_dir):
     prepared = D.prepare(T.weighted_frame(ad_canonical(spark, sf_dir))).persist()
     encoder = D.encoder().fit(prepared)
-    model = D.tweedie(1.5).fit(encoder.transform(prepared.where("split = 'train'")))
-    inputs = [f"x_{c}" for c in NUMERIC_FEATURES]
-    # The assembler puts the numeric inputs first, in this order.
+    model, _ = D.fit_tweedie(encoder.transform(prepared.where("split = 'train'")), 1.5)
+    inputs = [f"x_{c}" for c in D.CORE]
+    # The assembler of ``core`` puts the numeric inputs first, in this order.
     coefficients = spark.createDataFrame(
         [tuple(float(v) for v in model.coefficients.toArray()[:len(inputs)])], ", ".join(f"b_{c} double" for c in inputs))
     out = C.linear_attributions(prepared.where("split = 'holdout'"), coefficients, inputs, by="channel", top=5)
