@@ -14,13 +14,23 @@ def campaign_day(canonical: DataFrame, order: str = "row_order") -> DataFrame:
     """One row per (campaign_id, date).
 
     Five activity columns sum to 0 when nothing was reported, ``reach`` and ``video_views`` stay NULL.
-    Attributes take the first non-null value in ``order``. Every aggregate merges partial results, so a
-    campaign holding a third of the rows is reduced on the map side before the shuffle.
+    Attributes take the first non-null value in ``order`` (a BIGINT).
+
+    The heavy first step groups by the text attributes as well, which leaves only numeric buffers: it hashes
+    and combines on the map side, so a campaign holding a third of the rows shrinks before the shuffle. The
+    second step settles the attributes among the few combinations left per day.
     """
-    return canonical.groupBy("campaign_id", "date").agg(
+    combined = canonical.groupBy("campaign_id", "date", *ATTRIBUTES).agg(
+        F.min(order).alias("o"),
+        *[F.sum(c).alias(c) for c in [*ZERO_SUMMED, *NULL_SUMMED]],
+        F.min(F.when(F.col("daily_budget").isNotNull(), F.col(order))).alias("budget_o"),
+        F.min_by("daily_budget", F.when(F.col("daily_budget").isNotNull(), F.col(order))).alias("daily_budget"),
+    )
+    return combined.groupBy("campaign_id", "date").agg(
         *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ZERO_SUMMED],
         *[F.sum(c).alias(c) for c in NULL_SUMMED],
-        *[first_by(c, order).alias(c) for c in [*ATTRIBUTES, "daily_budget"]],
+        *[first_by(c, "o").alias(c) for c in ATTRIBUTES],
+        F.min_by("daily_budget", "budget_o").alias("daily_budget"),
     )
 
 
@@ -37,7 +47,7 @@ def dense_calendar(daily: DataFrame) -> DataFrame:
     by_campaign = W.partitionBy("campaign_id")
     ordered = by_campaign.orderBy("date")
     so_far = ordered.rowsBetween(W.unboundedPreceding, 0)
-    ahead = ordered.rowsBetween(0, W.unboundedFollowing)
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
     # A fixed partition number keeps adaptive execution from merging these small partitions into a few tasks:
     # the expansion below multiplies the rows, and all feature windows run in the same stage.
@@ -46,7 +56,7 @@ def dense_calendar(daily: DataFrame) -> DataFrame:
         "campaign_id",
         "date",
         F.coalesce(F.lead("date").over(ordered), F.date_add("date", 1)).alias("next_date"),
-        *[F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.first(c, ignorenulls=True).over(ahead)).alias(c)
+        *[F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.first(c, ignorenulls=True).over(whole)).alias(c)
           for c in ATTRIBUTES],
         F.last("daily_budget", ignorenulls=True).over(so_far).alias("daily_budget"),
         *ZERO_SUMMED,

@@ -1,17 +1,16 @@
 """Spend response, allocation, backtest, regret and the budget sweep."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from campaignflow.functions.isotonic import interpolate, isotonic
-from campaignflow.functions.metrics import coverage  # noqa: F401
 from campaignflow.operators import allocation as A
 from campaignflow.operators import backtest as T
-from campaignflow.operators import bounds as B
 from campaignflow.operators import curves as C
 from campaignflow.operators import features as X
 from campaignflow.registry.base_sql import CTES, GROUP_DAY, with_ctes
-from campaignflow.registry.core import iso, query, rnd, rounded, sql_iso, sql_rnd, sql_rounded
-from campaignflow.registry.features import SCORING, SNAPSHOT, features
+from campaignflow.registry.core import iso, query, rnd, rounded, shared, sql_iso, sql_rnd, sql_rounded
+from campaignflow.registry.features import SCORING, SNAPSHOT
 from campaignflow.registry.groups import group_days
 from campaignflow.registry.forecast import live_scoring
 
@@ -71,6 +70,7 @@ def slope(x: str) -> str:
             f"ELSE coalesce(fallback_roas, 0) END")
 
 
+@shared
 def curves(spark, sf_dir):
     return C.fit_hill_curves(group_days(spark, sf_dir))
 
@@ -98,7 +98,7 @@ SELECT channel, campaign_type, sum(coalesce(spend_roll_mean_28, spend_lag_7, 0))
 
 
 def current_spend(spark, sf_dir):
-    snap = X.latest_snapshot(features(spark, sf_dir))
+    snap = live_scoring(spark, sf_dir).where("horizon_days = 30")
     return snap.groupBy(*C.GROUP).agg(F.sum(X.recent_pace()).alias("current_spend"))
 
 
@@ -224,11 +224,11 @@ def roas_floor(spark, sf_dir):
 
 @query("budget_moves")
 def budget_moves(spark, sf_dir):
-    moves = A.budget_moves(allocation(spark, sf_dir))
-    uplift = F.col("predicted_revenue") - F.sum("current_revenue").over(__import__("pyspark").sql.Window.partitionBy("scenario"))
-    return moves.withColumn("daily_uplift", uplift).select(
+    uplift = F.col("predicted_revenue") - F.sum("current_revenue").over(W.partitionBy("scenario"))
+    moves = A.budget_moves(allocation(spark, sf_dir).withColumn("daily_uplift", uplift))
+    return moves.select(
         "rank", "channel", "campaign_type", rnd("change", 2).alias("change"), rnd("historical_spend", 2).alias("current"),
-        rnd("allocation", 2).alias("recommended"), rnd("marginal_roas", 4).alias("marginal_roas"))
+        rnd("allocation", 2).alias("recommended"), rnd("marginal_roas", 4).alias("marginal_roas"), rnd("daily_uplift", 2).alias("daily_uplift"))
 
 
 @query("policy_backtest")

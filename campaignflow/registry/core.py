@@ -1,5 +1,8 @@
 """Query registry: a Spark callable and, where one exists, the DuckDB statement that must agree with it."""
 
+from functools import wraps
+
+from pyspark import StorageLevel
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +28,23 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def shared(fn):
+    """Keep the frame of ``fn(spark, sf_dir)`` for the application: many queries read these same few tables.
+
+    Lost blocks are recomputed from lineage; what does not fit in memory goes to executor disk.
+    """
+    kept = {}
+
+    @wraps(fn)
+    def get(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in kept:
+            kept[key] = fn(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return kept[key]
+
+    return get
+
+
 def rnd(c, digits: int = 4) -> Column:
     return F.round(col(c) + F.lit(SHIFT[digits]), digits)
 

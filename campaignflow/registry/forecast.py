@@ -10,9 +10,9 @@ from campaignflow.operators import features as X
 from campaignflow.operators import hierarchy as H
 from campaignflow.operators import splits as S
 from campaignflow.registry.base_sql import CTES, FRAME, with_ctes
-from campaignflow.registry.core import iso, query, rnd, rounded, sql_iso, sql_rnd, sql_rounded
+from campaignflow.registry.core import iso, query, rnd, rounded, shared, sql_iso, sql_rnd, sql_rounded
 from campaignflow.registry.features import SCORING, features
-from campaignflow.schema import BANDS, MIN_ORIGIN_AGE, QUANTILE_COLUMNS, QUANTILES, quantile_column
+from campaignflow.schema import BANDS, QUANTILE_COLUMNS, QUANTILES, quantile_column
 
 # Quantiles of a pace forecast as multiples of its median: a model-free forecast every engine computes alike.
 PACE_SPREAD = [0.35, 0.5, 0.75, 1.0, 1.3, 1.8, 2.2]
@@ -42,9 +42,15 @@ def pace_quantiles(frame):
     return frame.withColumns({c: F.col("prediction") * m for m, c in zip(PACE_SPREAD, QUANTILE_COLUMNS)})
 
 
+SCORED_COLUMNS = ["campaign_id", "channel", "campaign_type", "origin_date", "horizon_days", "target_revenue", "spend",
+                  "revenue_roll_mean_28", "spend_roll_mean_28", "was_observed_frac_30", "planned_future_daily_budget"]
+
+
+@shared
 def scored(spark, sf_dir):
+    """Origins with targets and the pace forecast, only the columns the queries read."""
     frame = X.forward_targets(features(spark, sf_dir)).withColumn("spend", F.col("actual_spend_sum"))
-    return pace_quantiles(frame)
+    return pace_quantiles(frame.select(*SCORED_COLUMNS))
 
 
 def split_frame(spark, sf_dir):
@@ -60,8 +66,13 @@ def naive_forecast(spark, sf_dir):
                     rnd(safe_ratio("naive_revenue", "assumed_spend_total"), 6).alias("roas_p50"))
 
 
+LIVE_COLUMNS = ["campaign_id", "campaign_name", "channel", "campaign_type", "origin_date", "forecast_as_of", "horizon_days",
+                "planned_future_daily_budget", "revenue_roll_mean_28", "spend_roll_mean_28", "spend_lag_7"]
+
+
+@shared
 def live_scoring(spark, sf_dir):
-    s = X.expand_horizons(X.latest_snapshot(features(spark, sf_dir)))
+    s = X.expand_horizons(X.latest_snapshot(features(spark, sf_dir))).select(*LIVE_COLUMNS)
     return s.withColumns({"naive_revenue": M.naive_pace(),
                           "assumed_spend_total": F.col("planned_future_daily_budget") * F.col("horizon_days")})
 

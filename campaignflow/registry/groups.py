@@ -7,13 +7,14 @@ from campaignflow.operators import daily as D
 from campaignflow.operators import insights as I
 from campaignflow.operators import segments as S
 from campaignflow.registry.base_sql import CTES, GROUP_DAY, with_ctes
-from campaignflow.registry.core import iso, query, rnd, rounded, sql_iso, sql_rnd, sql_rounded
+from campaignflow.registry.core import iso, query, rnd, rounded, shared, sql_iso, sql_rnd, sql_rounded
 from campaignflow.registry.features import SCORING, features
 from campaignflow.registry.forecast import SCORED, live_scoring, scored
 from campaignflow.operators import features as X
 from campaignflow.sources.fixtures import ad_canonical, order_canonical, table
 
 
+@shared
 def group_days(spark, sf_dir):
     return D.group_day(ad_canonical(spark, sf_dir))
 

@@ -22,10 +22,8 @@ REPORT_SCHEMA = T.StructType([
 def read_raw(spark: SparkSession, paths) -> DataFrame:
     """Header CSV, every column a string, plus the position of the row in its files."""
     frame = spark.read.option("header", True).option("multiLine", False).csv(paths)
-    order = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-                     F.monotonically_increasing_id().alias("i"))
     keep = [c for i, c in enumerate(frame.columns) if not (i == 0 and is_index_column(c))]
-    return frame.select(*[F.col(f"`{c}`") for c in keep], order.alias("row_order"))
+    return frame.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("row_order"))
 
 
 def is_index_column(name: str) -> bool:

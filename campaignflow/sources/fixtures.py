@@ -9,12 +9,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ad_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as canonical campaign rows; ``row_order`` is the file order that decides ``first``."""
+    """Order lines as canonical campaign rows; ``row_order`` is the position that decides ``first``."""
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     price, qty = F.col("l_extendedprice"), F.col("l_quantity")
     sold = qty >= 25
+    # 5% of the price in whole cents, halves up.
+    cents = F.floor(price * 5 + 0.5)
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
         F.when(flag == "A", "search_net").when(flag == "N", "social_net").otherwise("partner_net").alias("channel"),
         F.concat(flag, F.lit("::"), status, F.lit("-"), F.col("p_brand")).alias("campaign_id"),
@@ -28,9 +30,9 @@ def ad_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag == "N", qty * 8).alias("reach"),
         F.when(flag == "A", qty * 3).alias("video_views"),
         status.alias("campaign_type"),
-        # 5% of the price in whole cents, halves up.
-        F.when(flag != "R", F.floor(price * 5 + 0.5) / 100).alias("daily_budget"),
-        F.struct("l_orderkey", "l_linenumber").alias("row_order"),
+        F.when(flag != "R", cents / 100).alias("daily_budget"),
+        # Order line position; the budget's cents settle lines that share a position.
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + cents).alias("row_order"),
     )
 
 
