@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from campaignflow.functions.scalars import safe_ratio
 from campaignflow.operators.allocation import allocate
 from campaignflow.operators.curves import GROUP, fit_hill_curves, response
+from campaignflow.sources.workdir import checkpointed
 
 
 def trailing_budget(group_days: DataFrame, days: int = 28) -> DataFrame:
@@ -52,7 +53,8 @@ def policy_backtest(group_days: DataFrame, total_budget: DataFrame | None = None
         "u.window", "u.role", *GROUP, "date", "spend", "revenue")
 
     keys = ["window", "role", *GROUP]
-    curves = fit_hill_curves(used, keys, half_life=F.when(F.col("role") == "decide", F.lit(half_life)))
+    # A few rows per window and group, read several times below: cut the long fitting plan here.
+    curves = checkpointed(fit_hill_curves(used, keys, half_life=F.when(F.col("role") == "decide", F.lit(half_life))))
     decide = curves.where(F.col("role") == "decide").drop("role")
     score = curves.where(F.col("role") == "score").drop("role")
 
@@ -62,7 +64,7 @@ def policy_backtest(group_days: DataFrame, total_budget: DataFrame | None = None
     decide = decide.join(spent, ["window", *GROUP]).join(span, "window").withColumn(
         "historical_spend", F.col("spent") / F.col("span"))
     budgets = windows.select("window").join(F.broadcast(budget))
-    plans = allocate(decide, budgets, scenario=["window"], steps=steps)
+    plans = checkpointed(allocate(decide, budgets, scenario=["window"], steps=steps))
 
     replanned = plans.select("window", *GROUP, F.col("allocation").alias("replan"))
     frozen = plans.where(F.col("window") == 0).select(*GROUP, F.col("allocation").alias("frozen"))
