@@ -31,12 +31,12 @@ RULES = (
     Rule("length", "n_words < 50", "n_words < 80"),
     Rule("word_length", "word_chars < 2.5 * n_words OR word_chars > 12 * n_words"),
     Rule("symbols", "n_symbols > 0.1 * n_words"),
-    Rule("repeated_lines", "n_dup_lines > 0.3 * n_lines", "n_lines < 3"),
+    Rule("repeated_lines", "n_dup_lines > 0.5 * n_lines", "n_lines < 3"),
     Rule("repeated_words", "n_repeat_words > 0.3 * n_words"),
     Rule("letters", "n_letters < 0.8 * word_chars"),
     Rule("word_letters", "n_alpha_words < 0.7 * n_words"),
 )
-ROUNDS = 20
+ROUNDS = 12
 #: Belief before the documents are seen, and how many documents, as a share of all, it weighs: the share of good
 #: documents and how often a rule rejects a bad and a good one. It also tells the two classes apart.
 BELIEF_GOOD, BELIEF_BAD_REJECTED, BELIEF_GOOD_REJECTED, BELIEF_SHARE = 0.8, 0.4, 0.03, 0.05

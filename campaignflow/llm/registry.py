@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campaignflow.llm import decontaminate, quality
+from campaignflow.llm import decontaminate, mixing, quality
 from campaignflow.llm.common import documents
 
 
@@ -11,9 +11,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(documents(spark, sf_dir), benchmark))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mixture(documents(spark, sf_dir)))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op7_quality)}
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_mixing, op7_quality)}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op4_mixing": mixing.ORACLE}
