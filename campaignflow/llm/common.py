@@ -153,3 +153,12 @@ def list_column(values: np.ndarray, offsets: np.ndarray, kind=None) -> pa.Array:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def per_group(fn, **fixed):
+    """``fn(table, **fixed)`` in the form that ``applyInArrow`` recognises."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return fn(group, **fixed)
+
+    return run

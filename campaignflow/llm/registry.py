@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campaignflow.llm import decontaminate, mixing, quality
+from campaignflow.llm import decontaminate, mixing, quality, substring_dedup
 from campaignflow.llm.common import documents
 
 
@@ -11,6 +11,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(documents(spark, sf_dir), benchmark))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(documents(spark, sf_dir), columns=("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixture(documents(spark, sf_dir)))
 
@@ -19,5 +23,5 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_mixing, op7_quality)}
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op4_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_mixing, op7_quality)}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
