@@ -1,9 +1,11 @@
 """Queries over the driver's tables for the text operators, and the DuckDB statements that check them."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from campaignflow.llm import decontaminate, mixing, quality, substring_dedup
+from campaignflow.llm import decontaminate, mixing, quality, substring_dedup, token_counts, token_files
 from campaignflow.llm.common import documents
+from campaignflow.sources.workdir import scratch
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +17,24 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(documents(spark, sf_dir), columns=("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_files.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, path)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixture(documents(spark, sf_dir)))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.cumulative(token_counts.histogram(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_mixing, op7_quality)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op6_token_counts, op7_quality)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
