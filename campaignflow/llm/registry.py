@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from campaignflow.llm import decontaminate, mixing, quality, substring_dedup, token_counts, token_files
+from campaignflow.llm import decontaminate, language, mixing, quality, substring_dedup, token_counts, token_files
 from campaignflow.llm.common import documents
 from campaignflow.sources.workdir import scratch
 
@@ -27,6 +27,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixture(documents(spark, sf_dir)))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.cumulative(token_counts.histogram(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -36,5 +40,5 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op6_token_counts, op7_quality)}
+    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op5_language, op6_token_counts, op7_quality)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE}

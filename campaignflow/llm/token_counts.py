@@ -59,17 +59,15 @@ def cumulative(hist: DataFrame) -> DataFrame:
         (F.col("total_tokens") - kept).alias("lost_tokens"), ((F.col("total_docs") - F.col("docs_over")) / F.col("total_docs")).alias("share_fitting"))
 
 
-def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
-    """(limit, truncated_tokens, docs_cut) for any limits, from ``cumulative``: the longest occurring length up to a limit answers it."""
-    spark = table.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit long")
-    totals = table.agg(F.max("total_docs").alias("all_docs"))
-    best = (asked.join(F.broadcast(table), F.col("length") <= F.col("limit"), "left").groupBy("limit")
-            .agg(F.max_by(F.struct("docs_over", "tokens_over", "total_tokens"), "length").alias("b")))
-    best = best.join(F.broadcast(totals))
-    over = F.coalesce(F.col("b.docs_over"), F.col("all_docs"))
-    fit = F.coalesce(F.col("b.total_tokens") - F.col("b.tokens_over"), F.lit(0))
-    return best.select("limit", (fit + F.col("limit") * over).alias("truncated_tokens"), over.alias("docs_cut"))
+def at_limits(table: DataFrame, limits: list[int]) -> list[tuple[int, int, int]]:
+    """(limit, truncated tokens, documents cut) for any limits, from ``cumulative``: the longest length up to a limit answers it."""
+    below = [F.max_by(F.struct("docs_over", "tokens_over"), F.when(F.col("length") <= x, F.col("length"))) for x in limits]
+    *found, docs, tokens = table.agg(*below, F.max("total_docs"), F.max("total_tokens")).first()
+    out = []
+    for limit, row in zip(limits, found, strict=True):
+        cut, longer = (row["docs_over"], row["tokens_over"]) if row else (docs or 0, tokens or 0)
+        out.append((limit, (tokens or 0) - longer + limit * cut, cut))
+    return out
 
 
 def quantile(table: DataFrame, q: float) -> int | None:
