@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from campaignflow.llm import decontaminate, language, mixing, quality, substring_dedup, token_counts, token_files
+from campaignflow.llm import decontaminate, language, mixing, pii, quality, substring_dedup, token_counts, token_files
 from campaignflow.llm.common import documents
 from campaignflow.sources.workdir import scratch
 
@@ -39,6 +39,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(documents(spark, sf_dir)))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(documents(spark, sf_dir)))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op5_language, op6_token_counts, op7_quality)}
+    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op5_language, op6_token_counts, op7_quality, op9_pii)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
