@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from campaignflow.llm import decontaminate, language, mixing, pii, quality, substring_dedup, token_counts, token_files
+from campaignflow.llm import attention_lm, decontaminate, language, mixing, pii, quality, substring_dedup, token_counts, token_files
 from campaignflow.llm.common import documents
 from campaignflow.sources.workdir import scratch
 
@@ -32,7 +32,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.cumulative(token_counts.histogram(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+    return token_counts.cumulative(token_counts.histogram(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(documents(spark, sf_dir)))
 
 
+def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.scored(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op5_language, op6_token_counts, op7_quality, op9_pii)}
+    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op5_language, op6_token_counts, op7_quality, op9_pii, op10_attention_lm)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE}

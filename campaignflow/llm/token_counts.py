@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from campaignflow.llm.tokens import encoder
+from campaignflow.llm.attention_lm import ids_of
 
 #: Lengths are summed in groups of this many first, so no window sees all lengths at once.
 GROUP = 1024
@@ -21,9 +21,9 @@ GROUP = 1024
 
 def length_rows(batches, path: str):
     """Batches of texts to their distinct lengths and how many texts have them."""
-    own = encoder(path)
+    own = ids_of(path)
     for batch in batches:
-        lengths = np.fromiter((len(ids) // 4 for ids in own.encode(batch.column(0).to_pylist())), np.int64, batch.num_rows)
+        lengths = np.array(own.lengths(batch.column(0).to_pylist()), np.int64)
         length, n = np.unique(lengths, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n)], names=["length", "n_docs"])
 
