@@ -112,7 +112,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_ids are left out of the list but their windows count as hits; other columns are ignored. Very long texts are
     worked on whole. Rows are told apart by their place in the input, which must be a stored table.
     """
-    spark = documents.sparkSession
+    return _found(documents.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text"), benchmark).drop("id")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns, that are not contaminated."""
+    row = F.monotonically_increasing_id().alias("id")
+    bad = digest(_found(documents.select(row, "doc_id", "text"), benchmark), "id").where("contaminated").select("id")
+    whole = F.struct(*[F.col(f"`{x}`") for x in documents.columns]).alias("whole")
+    return documents.select(row, whole).join(bad, "id", "left_anti").select("whole.*")
+
+
+def _found(numbered: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contamination`` of rows (id, doc_id, text), with the id."""
+    spark = numbered.sparkSession
     items = c.written(benchmark_grams(benchmark), "items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 13 values at most
     number = F.shiftrightunsigned("gram", 64 - FILTER_BITS.bit_length() + 1)
@@ -123,8 +136,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     def grams(batches):
         yield from gram_rows(batches, sizes, shared.value)
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = (docs.select(F.monotonically_increasing_id().alias("id"), "text", "doc_id")
+    rows = (numbered.select("id", F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
             .mapInArrow(with_doc_id(grams), SCHEMA + ", doc_id long"))
     few = items.count() <= BROADCAST_ROWS
     right = items.withColumnRenamed("around", "item_around")
@@ -169,7 +181,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     merged = per_doc.withColumn("spans", F.aggregate(F.sort_array("spans"), start, extend, finish))
     return merged.select(
-        "doc_id", "n_words", "spans",
+        "id", "doc_id", "n_words", "spans",
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]).alias("n_hit"),
         F.array_distinct(F.flatten("lists")).alias("item_ids"))
 
@@ -188,10 +200,10 @@ def with_doc_id(rows):
     return run
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(found: DataFrame, *more: str) -> DataFrame:
     """The contract's columns from ``contamination``: contaminated if at least a twentieth of the words is hit."""
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        *more, "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(F.transform("item_ids", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 

@@ -1,9 +1,10 @@
 """Queries over the driver's tables for the text operators, and the DuckDB statements that check them."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from campaignflow.llm import attention_lm, decontaminate, language, mixing, pii, quality, substring_dedup, token_counts, token_files
+from campaignflow.llm import attention_lm, decontaminate, jaccard, language, mixing, pii, quality, substring_dedup, token_counts, token_files
 from campaignflow.llm.common import documents
 from campaignflow.sources.workdir import scratch
 
@@ -39,6 +40,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(documents(spark, sf_dir)))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(jaccard.joined(documents(spark, sf_dir)))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(documents(spark, sf_dir)))
 
@@ -48,5 +53,5 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op5_language, op6_token_counts, op7_quality, op9_pii, op10_attention_lm)}
+    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op5_language, op6_token_counts, op7_quality, op8_jaccard, op9_pii, op10_attention_lm)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
