@@ -140,7 +140,8 @@ def judged(documents: DataFrame) -> DataFrame:
 def filtered(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are kept, with all their columns; as ``judged`` decides."""
     whole = F.struct(*[F.col(f"`{x}`") for x in documents.columns]).alias("doc_id")
-    df = voted(measured(documents.select(whole, "text")))
+    # Written with the measures, so that the filter is not pushed below them, which would compute them many times over.
+    df = c.written(voted(measured(documents.select(whole, "text"))).drop("text"), "measures")
     _, kept = verdict(estimate(df))
     return df.where(kept).select("doc_id.*")
 
