@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +156,27 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def packed_texts(df: DataFrame) -> DataFrame:
+    """``df`` with its column ``text`` compressed to ``packed``, for texts that are about to be shuffled; null stays null."""
+    others = [n for n in df.columns if n != "text"]
+    types = dict(df.dtypes)
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = batch.column(len(others)).to_pylist()
+            packed = pa.array([None if t is None else press.compress(t.encode()) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(others)], packed], names=[*others, "packed"])
+
+    return df.select(*others, "text").mapInArrow(pack, ", ".join([*(f"{n} {types[n]}" for n in others), "packed binary"]))
+
+
+def unpacked_texts(packed: pa.Array) -> list[bytes]:
+    """The UTF-8 texts of a column ``packed``; null is empty."""
+    press = zstandard.ZstdDecompressor()
+    return [b"" if p is None else press.decompress(p) for p in packed.to_pylist()]
+
+
 def per_group(fn, **fixed):
     """``fn(table, **fixed)`` in the form that ``applyInArrow`` recognises."""
 

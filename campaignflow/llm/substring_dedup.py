@@ -74,8 +74,11 @@ def table(rows: list[tuple]) -> pa.RecordBatch:
          pa.array(names, pa.binary()), pa.array(places, pa.binary())], names=["kind", "batch", "bucket", "n", "names", "places"])
 
 
-def parcels(batch: int, at: np.ndarray, names: np.ndarray, width: int, buckets: int) -> list[tuple]:
-    """What a batch sends: its own repeats, and each different name once to its bucket. ``at`` ascends."""
+def parcels(batch: int, at: np.ndarray, names: np.ndarray, width: int, buckets: int, last: bool) -> list[tuple]:
+    """What a batch sends: its own repeats, and each different name once to its bucket. ``at`` ascends.
+
+    After the last level nobody needs the names of windows that are known to repeat.
+    """
     rows = []
     if not len(at):
         return rows
@@ -86,7 +89,7 @@ def parcels(batch: int, at: np.ndarray, names: np.ndarray, width: int, buckets:
     again = np.zeros(len(order), bool)
     again[order] = np.repeat(run > 1, run)
     if again.any():
-        rows.append((KNOWN, batch, batch % buckets, int(again.sum()), pack_names(names[again], width), pack_places(at[again])))
+        rows.append((KNOWN, batch, batch % buckets, int(again.sum()), b"" if last else pack_names(names[again], width), pack_places(at[again])))
     once = np.sort(order[new])
     at, names = at[once], names[once]
     bucket = (names % np.uint64(buckets)).astype(np.int32)
@@ -98,7 +101,7 @@ def parcels(batch: int, at: np.ndarray, names: np.ndarray, width: int, buckets:
     return rows
 
 
-def first_level(batches, length: int, width: int, buckets: int, batch_words: int):
+def first_level(batches, length: int, width: int, buckets: int, batch_words: int, last: bool):
     """Batches of (row, text) to parcels with the names of all windows of ``length`` words."""
     for arrow in batches:
         ids = arrow.column(0).to_numpy(zero_copy_only=False)
@@ -115,11 +118,11 @@ def first_level(batches, length: int, width: int, buckets: int, batch_words: int
             place = np.flatnonzero(c.in_one_text(starts, len(hashes), length))
             names = c.gram_hashes(hashes, length)[place] >> np.uint64(64 - 8 * width)
             rows = [(DIRECTORY, batch, batch % buckets, to - at, ids[at:to].astype("<i8").tobytes(), starts.astype("<i8").tobytes())]
-            yield table(rows + parcels(batch, place, names, width, buckets))
+            yield table(rows + parcels(batch, place, names, width, buckets, last))
             at = to
 
 
-def answers(group: pa.Table, width: int) -> pa.Table:
+def answers(group: pa.Table, width: int, last: bool) -> pa.Table:
     """One bucket's parcels to the places whose name is in two parcels or more; what is no question passes through."""
     rows = group.to_pylist()
     out = [tuple(r.values()) for r in rows if r["kind"] != ASKED]
@@ -136,7 +139,8 @@ def answers(group: pa.Table, width: int) -> pa.Table:
             hit, mine = found[at:at + r["n"]], names[at:at + r["n"]]
             at += r["n"]
             if hit.any():
-                out.append((KNOWN, r["batch"], r["bucket"], int(hit.sum()), pack_names(mine[hit], width), pack_places(unpack_places(r["places"])[hit])))
+                named = b"" if last else pack_names(mine[hit], width)
+                out.append((KNOWN, r["batch"], r["bucket"], int(hit.sum()), named, pack_places(unpack_places(r["places"])[hit])))
     return pa.Table.from_batches([table(out)])
 
 
@@ -147,16 +151,17 @@ def surviving(rows: list[dict], width: int) -> tuple[int, dict, np.ndarray, np.n
     if not known:
         return directory["batch"], directory, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at, index = np.unique(np.concatenate([unpack_places(r["places"]) for r in known]), return_index=True)
-    return directory["batch"], directory, at, np.concatenate([unpack_names(r["names"], width) for r in known])[index]
+    names = np.concatenate([unpack_names(r["names"], width) for r in known])
+    return directory["batch"], directory, at, names[index] if len(names) else names
 
 
-def next_level(group: pa.Table, shift: int, width: int, next_width: int, buckets: int) -> pa.Table:
+def next_level(group: pa.Table, shift: int, width: int, next_width: int, buckets: int, last: bool) -> pa.Table:
     """One batch: windows of which the part that begins ``shift`` words later survived, too, under the pair's name."""
     batch, directory, at, names = surviving(group.to_pylist(), width)
     later = np.searchsorted(at, at + shift)
     both = (later < len(at)) & (at[np.minimum(later, len(at) - 1)] == at + shift) if len(at) else np.zeros(0, bool)
     pair = c.mixed(c.mixed(names[both]) * np.uint64(c.GRAM_STEP) + names[later[both]])
-    return pa.Table.from_batches([table([tuple(directory.values()), *parcels(batch, at[both], pair, next_width, buckets)])])
+    return pa.Table.from_batches([table([tuple(directory.values()), *parcels(batch, at[both], pair, next_width, buckets, last)])])
 
 
 SPANS = "row long, begins array<int>, ends array<int>"
@@ -185,21 +190,21 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     sizes = levels(length)
     width = FIRST_BYTES if len(sizes) > 1 else NEXT_BYTES
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    sent = rows.mapInArrow(partial(first_level, length=sizes[0], width=width, buckets=buckets, batch_words=batch_words), SCHEMA)
+    sent = rows.mapInArrow(partial(first_level, length=sizes[0], width=width, buckets=buckets, batch_words=batch_words, last=len(sizes) == 1), SCHEMA)
     for size, longer in zip(sizes, [*sizes[1:], None], strict=True):
-        known = sent.groupBy("bucket").applyInArrow(c.per_group(answers, width=width), SCHEMA).groupBy("batch")
+        known = sent.groupBy("bucket").applyInArrow(c.per_group(answers, width=width, last=longer is None), SCHEMA).groupBy("batch")
         if longer is None:
             return known.applyInArrow(c.per_group(spans, length=size, width=width), SPANS)
-        sent = known.applyInArrow(c.per_group(next_level, shift=longer - size, width=width, next_width=NEXT_BYTES, buckets=buckets), SCHEMA)
+        sent = known.applyInArrow(c.per_group(next_level, shift=longer - size, width=width, next_width=NEXT_BYTES, buckets=buckets, last=longer == length), SCHEMA)
         width = NEXT_BYTES
 
 
 def kept_texts(batches, names):
-    """Rows of (doc_id, text, begins, ends) to the words that stay, joined by one space, with their digest."""
+    """Rows of (doc_id, packed text, begins, ends) to the words that stay, joined by one space, with their digest."""
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, begins, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            words = (text or "").encode().split()
+        for text, begins, ends in zip(c.unpacked_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            words = text.split()
             stay, at = [], 0
             for begin, end in zip(begins or (), ends or (), strict=True):
                 stay += words[at:begin]
@@ -225,7 +230,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, columns=("doc_id
     found = repeated(documents, length)
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_text": "string", "kept_sha256": "string"}
-    joined = rows.join(found, "row", "left").select("doc_id", "text", "begins", "ends")
+    joined = c.packed_texts(rows).join(found, "row", "left").select("doc_id", "packed", "begins", "ends")
     return joined.mapInArrow(partial(kept_texts, names=list(columns)), ", ".join(f"{n} {kinds[n]}" for n in columns))
 
 
