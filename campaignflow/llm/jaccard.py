@@ -139,10 +139,12 @@ def set_rows(batches, shared):
 
 
 def segment_rows(batches):
-    """Batches of (cls, text) to one row per class and fragment with its shingles, 48 bits each."""
+    """Batches of (cls, packed text) to one row per class and fragment with its shingles, 48 bits each."""
     for batch in batches:
         cls = batch.column(0).to_numpy(zero_copy_only=False)
-        data, offsets = c.text_buffer(batch.column(1))
+        texts = c.unpacked_texts(batch.column(1))
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
         for at, to in slices(offsets):
             text, value = sets_of(data, offsets, at, to)
             group = text * FRAGMENTS + cell_of(value) // CELLS
@@ -272,7 +274,7 @@ def joined(documents: DataFrame) -> DataFrame:
     stars = lists.select("cls", F.explode(F.array(*[f"leader{i}" for i in range(LEADERS)])).alias("leader"))
     pairs = ordered(F.col("cls"), F.col("leader"), stars)
     wanted = lists.select("cls").distinct().join(classes.select("cls", "row"), "cls")
-    segments = c.written(rows.select("row", "text").join(wanted, "row").select("cls", "text").mapInArrow(
+    segments = c.written(c.packed_texts(rows.select("row", "text")).join(wanted, "row").select("cls", "packed").mapInArrow(
         segment_rows, "cls long, fragment int, shingles binary"), "segments")
     links = c.written(verified(pairs, classes, segments), "links")
     labels = components(links)
