@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from campaignflow.llm import common as c
 from campaignflow.llm.language import held_out
 
-SPAN, STRIDE, WIDTH = 32, 16, 16
-SINGLE, SHARED = 40, 22
+SPAN, STRIDE, WIDTH = 24, 16, 16
+SINGLE, SHARED = 32, 15
 EPOCHS, BATCH, RATE = 3, 32, 0.01
 #: Words that make up at least this share of the training text are looked up in a broadcast table of 1 / share rows at
 #: most; the others are joined.
@@ -123,8 +123,11 @@ def start() -> np.ndarray:
     return np.concatenate([np.zeros(n) if name in ("bias", "mix") else rng.normal(0, 0.25, n) for (name, _), n in zip(SHAPES, SIZES, strict=True)]).astype(np.float32)
 
 
+LIMIT = np.float32(60)
 CAUSAL = np.arange(SPAN)[None, :] <= (SPAN - STRIDE + np.arange(STRIDE))[:, None]
 
+SEEN = CAUSAL.astype(np.float32)
+
 
 def attended(q: np.ndarray, k: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Attention of the last STRIDE positions to all positions up to each that are not before the text."""
@@ -194,7 +197,7 @@ class Scorer:
         p, self.vocabulary = unpacked(flat.astype(np.float32)), vocabulary
         x = p["embed"][:, None, :] + p["place"][None]
         lead = SPAN - STRIDE
-        self.q, self.k, self.v = (x[:, lead:] @ p["query"]), x @ p["key"], x @ p["value"] @ p["mix"]
+        self.q, self.k, self.v = (x[:, lead:] @ p["query"]) * np.float32(WIDTH ** -0.5), x @ p["key"], x @ p["value"] @ p["mix"]
         self.x, self.out, self.bias = x[:, lead:], p["out"], p["bias"]
 
     def scores(self, lists: list[np.ndarray]) -> np.ndarray:
@@ -205,13 +208,21 @@ class Scorer:
         for at in range(0, len(text), 2048):
             symbols, ids = v.symbol[inputs[at:at + 2048]], target[at:at + 2048]
             last = symbols[:, SPAN - STRIDE:]
-            a = attended(self.q[last, late], self.k[symbols, place], symbols != v.pad)
-            h = self.x[last, late] + a @ self.v[symbols, place]
+            a = self.q[last, late] @ self.k[symbols, place].transpose(0, 2, 1)
+            # Scaled products are limited, so the exponentials need no shift by their maximum.
+            np.clip(a, -LIMIT, LIMIT, out=a)
+            np.exp(a, out=a)
+            a *= SEEN
+            early = np.flatnonzero(symbols[:, 0] == v.pad)
+            a[early] *= (symbols[early] != v.pad)[:, None, :]
+            h = a @ self.v[symbols, place]
+            h /= a.sum(axis=2, keepdims=True)
+            h += self.x[last, late]
             real = ids >= 0
             h, ids, own = h[real], ids[real], np.broadcast_to(text[at:at + 2048, None], real.shape)[real]
             logits = h @ self.out
             logits += self.bias
-            logits -= logits.max(axis=1, keepdims=True)
+            np.clip(logits, -LIMIT, LIMIT, out=logits)
             right = logits[np.arange(len(ids)), v.of[ids]]
             np.exp(logits, out=logits)
             log10 = (right - np.log(logits.sum(axis=1))) / np.log(10.0) + v.within[ids]
