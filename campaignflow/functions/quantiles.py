@@ -32,10 +32,11 @@ def exact_quantiles(df: DataFrame, targets, limit: int = SORT_LIMIT) -> dict[str
     """Linear-interpolated quantile of whole columns, exact at any size.
 
     ``targets`` maps a name to (column, level), the level being a number or a function of the row count; the
-    result maps it to (row count, level, value). Each pass narrows a bracket around the wanted ranks with a
-    mergeable sketch and counts what lies below and inside it, so about 1/1000 of the bracket survives per
-    pass; only a bracket whose counted size is within ``limit`` is sorted. Ties of any size end at once because
-    the bracket closes on one value. The driver sees a handful of scalars per pass.
+    result maps it to (row count, level, value). The two ranks beside a level are looked for separately. Each
+    pass takes a bracket of data values around a rank from a mergeable sketch, counts what is below, at and
+    between its ends, and either ends at one of them or goes on strictly between. So every pass removes both
+    ends with all their ties, and as a rule all but 1/1000 of the bracket; only a bracket of ``limit`` counted
+    rows or fewer is sorted. The driver sees a handful of scalars per pass.
     """
     names = list(targets)
     df = df.select(*{targets[n][0] for n in names}).persist(StorageLevel.MEMORY_AND_DISK)
@@ -47,54 +48,62 @@ def exact_quantiles(df: DataFrame, targets, limit: int = SORT_LIMIT) -> dict[str
 
 def _select_ranks(df: DataFrame, targets, names, limit) -> dict[str, tuple]:
     sizes = df.agg(*[F.count(targets[n][0]).alias(n) for n in names]).first()
-    state, found, done = {}, {}, {}
+    done, ranks, open_ranks, found = {}, {}, {}, {}
     for n in names:
-        if not sizes[n]:
-            done[n] = (0, None, None)
-            continue
-        ask = targets[n][1]
-        level = ask(sizes[n]) if callable(ask) else ask
+        level = None
+        if sizes[n]:
+            ask = targets[n][1]
+            level = ask(sizes[n]) if callable(ask) else ask
+            h = (sizes[n] - 1) * level
+            ranks[n] = (math.floor(h), math.ceil(h), h - math.floor(h))
+            for rank in ranks[n][:2]:
+                open_ranks[targets[n][0], rank] = {"low": None, "high": None, "below": 0, "inside": sizes[n]}
         done[n] = (sizes[n], level)
-        h = (sizes[n] - 1) * level
-        state[n] = {"h": h, "low": None, "high": None, "below": 0, "inside": sizes[n]}
 
-    def inside(n):
-        c, s = F.col(targets[n][0]), state[n]
+    def inside(key):
+        c, s = F.col(key[0]), open_ranks[key]
         kept = c.isNotNull()
         if s["low"] is not None:
-            kept = kept & c.between(s["low"], s["high"])
+            kept = kept & (c > s["low"]) & (c < s["high"])
         return F.when(kept, c)
 
-    wide = [n for n in state if state[n]["inside"] > limit]
-    while wide:
+    while wide := [k for k, s in open_ranks.items() if s["inside"] > limit]:
         asks = []
-        for n in wide:
-            s = state[n]
-            p = (s["h"] - s["below"]) / max(s["inside"] - 1, 1)
-            asks.append(F.percentile_approx(inside(n), [max(p - 5e-4, 0.0), min(p + 5e-4, 1.0)], 20000).alias(n))
+        for i, k in enumerate(wide):
+            p = (k[1] - open_ranks[k]["below"]) / max(open_ranks[k]["inside"] - 1, 1)
+            asks.append(F.percentile_approx(inside(k), [max(p - 5e-4, 0.0), min(p + 5e-4, 1.0)], 20000).alias(f"k{i}"))
         brackets = df.agg(*asks).first()
-        counts = df.agg(
-            *[F.count_if(F.col(targets[n][0]) < brackets[n][0]).alias(f"b_{n}") for n in wide],
-            *[F.count_if(F.col(targets[n][0]).between(*brackets[n])).alias(f"i_{n}") for n in wide],
-        ).first()
-        for n in wide:
-            s = state[n]
-            s.update(low=brackets[n][0], high=brackets[n][1], below=counts[f"b_{n}"], inside=counts[f"i_{n}"])
-            if not s["below"] <= math.floor(s["h"]) <= math.ceil(s["h"]) < s["below"] + s["inside"]:
-                raise ValueError(f"quantile bracket of {n} lost its rank")
-            if s["low"] == s["high"]:
-                found[n] = s["low"]
-        wide = [n for n in wide if n not in found and state[n]["inside"] > limit]
-
-    rest = [n for n in state if n not in found]
-    if rest:
-        lists = df.agg(*[F.sort_array(F.collect_list(inside(n))).alias(n) for n in rest])
-        picks = []
-        for n in rest:
-            s = state[n]
-            k, frac = math.floor(s["h"]), s["h"] - math.floor(s["h"])
-            a = F.col(n)[k - s["below"]]
-            b = F.col(n)[math.ceil(s["h"]) - s["below"]]
-            picks.append((a + (b - a) * frac).alias(n))
-        found.update(lists.select(*picks).first().asDict())
-    return {n: (*done[n], found[n]) if n in state else done[n] for n in names}
+        counts = []
+        for i, k in enumerate(wide):
+            c, (low, high) = inside(k), brackets[f"k{i}"]
+            tests = {"l": c < low, "a": c == low, "m": (c > low) & (c < high), "b": c == high}
+            counts += [F.count_if(test).alias(f"{name}{i}") for name, test in tests.items()]
+        got = df.agg(*counts).first()
+        for i, k in enumerate(wide):
+            s, (low, high) = open_ranks[k], brackets[f"k{i}"]
+            first = s["below"] + got[f"l{i}"]
+            middle = first + got[f"a{i}"]
+            last = middle + got[f"m{i}"]
+            if first <= k[1] < middle or low == high and first <= k[1]:
+                found[k] = low
+            elif middle <= k[1] < last:
+                open_ranks[k] = {"low": low, "high": high, "below": middle, "inside": got[f"m{i}"]}
+            elif last <= k[1] < last + got[f"b{i}"]:
+                found[k] = high
+            else:
+                raise ValueError(f"the bracket of {k} lost its rank")
+        open_ranks = {k: s for k, s in open_ranks.items() if k not in found}
+
+    if rest := list(open_ranks):
+        lists = df.agg(*[F.sort_array(F.collect_list(inside(k))).alias(f"k{i}") for i, k in enumerate(rest)])
+        picked = lists.select(*[F.col(f"k{i}")[k[1] - open_ranks[k]["below"]].alias(f"k{i}") for i, k in enumerate(rest)]).first()
+        found.update({k: picked[f"k{i}"] for i, k in enumerate(rest)})
+    out = {}
+    for n in names:
+        if n not in ranks:
+            out[n] = (0, None, None)
+            continue
+        low, high, share = ranks[n]
+        a, b = found[targets[n][0], low], found[targets[n][0], high]
+        out[n] = (*done[n], a + (b - a) * share)
+    return out

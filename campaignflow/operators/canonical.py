@@ -106,7 +106,7 @@ def to_canonical(raw: DataFrame, mapping: dict[str, str], source: str, channel:
     kind = campaign_type(text("campaign_type"), name) if "campaign_type" in by_field else infer_type(name)
     columns = {
         "channel": owner,
-        "campaign_id": F.concat_ws("::", owner, ident),
+        "campaign_id": F.concat_ws("::", F.coalesce(owner, F.lit("nan")), F.coalesce(ident, F.lit("nan"))),
         "campaign_name": name,
         "date": parse_date(text("date")),
         "spend": F.greatest(activity("spend"), F.lit(0.0)),

@@ -94,7 +94,7 @@ def daily_features(canonical: DataFrame) -> DataFrame:
     return add_daily_features(dense_calendar(campaign_day(canonical)))
 
 
-def forward_targets(daily: DataFrame, horizons=HORIZONS, stride: int = 3,
+def forward_targets(daily: DataFrame, horizons=HORIZONS, stride: int = 1,
                     min_age: int = MIN_ORIGIN_AGE) -> DataFrame:
     """One row per campaign, origin day and horizon whose whole forward window lies inside the calendar.
 
@@ -137,7 +137,7 @@ def forward_targets(daily: DataFrame, horizons=HORIZONS, stride: int = 3,
     )
 
 
-def training_frame(canonical: DataFrame, horizons=HORIZONS, stride: int = 3) -> DataFrame:
+def training_frame(canonical: DataFrame, horizons=HORIZONS, stride: int = 1) -> DataFrame:
     """Keys, targets and the full feature manifest."""
     frame = forward_targets(daily_features(canonical), horizons, stride)
     columns = list(dict.fromkeys([*FRAME_KEYS, "target_revenue", "actual_spend_sum", *FEATURES]))

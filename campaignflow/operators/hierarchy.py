@@ -81,22 +81,22 @@ def residual_offsets(series: DataFrame, by=("horizon_days",), min_obs: int = 15)
 
 
 def reconcile(live: DataFrame, history: DataFrame, by=("horizon_days",), snapshot=()) -> DataFrame:
-    """Coherent quantiles and ROAS ranges for every node known to the history.
+    """Coherent quantiles and ROAS ranges for every node known to the history or the forecast.
 
     ``live`` has one row per campaign (per ``by`` and ``snapshot`` keys) with the quantile columns and spend.
-    A historical campaign without a live row counts as 0. The median is the plain sum up the tree (which is
+    A historical campaign without a live row counts as 0; one without history has the band of its own forecast. The median is the plain sum up the tree (which is
     already coherent, so a projection of it changes nothing); the band is the median plus the node's residual
     offsets, or the sorted sum of quantiles where the history is too short.
     """
     by, snapshot = list(by), list(snapshot)
-    known = history.dropna(subset=["target_revenue", "prediction"]).select(*by, *TREE).distinct()
-    if snapshot:
-        known = known.join(live.select(*by, *snapshot).distinct(), by)
     has_spend = "spend" in live.columns
     values = [*QUANTILE_COLUMNS, *(["spend"] if has_spend else [])]
     keys = [*by, *snapshot, *TREE]
-    padded = known.join(live.select(*keys, *values), keys, "left").select(
-        *keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in values])
+    padded = live.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in values])
+    if not snapshot:
+        # Campaigns that only the history knows still have a node; among snapshots a missing row adds nothing.
+        known = history.dropna(subset=["target_revenue", "prediction"]).select(*by, *TREE).distinct()
+        padded = padded.join(known, keys, "full").select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in values])
     nodes = rollup_tree(padded, [F.sum(c).alias(c) for c in values], by=[*by, *snapshot])
     nodes = nodes.withColumn("reconciled_median", F.col(quantile_column(0.5)))
     offsets = residual_offsets(node_series(history, by), by)

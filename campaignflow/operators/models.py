@@ -56,7 +56,7 @@ def fit_tweedie(train: DataFrame, power: float):
     unit = mean_target(train)
     glm = GeneralizedLinearRegression(
         family="tweedie", variancePower=power, linkPower=0.0, featuresCol="core", labelCol="units", weightCol=WEIGHT,
-        regParam=0.01, maxIter=10)
+        regParam=0.01, maxIter=25)
     return glm.fit(train.withColumn("units", F.col(TARGET) / unit)), unit
 
 
@@ -65,9 +65,9 @@ def predict_tweedie(model, rows: DataFrame, name: str = "tweedie") -> DataFrame:
     return glm.transform(rows).withColumn(name, F.col("prediction") * unit).drop("prediction")
 
 
-def bounded(prediction, ceiling):
-    """Point forecasts stay within [0, ceiling]: a log link can run away on inputs far from the training range."""
-    return F.least(F.greatest(F.col(prediction), F.lit(0.0)), F.col(ceiling) if isinstance(ceiling, str) else F.lit(ceiling))
+def floored(prediction):
+    """Point forecasts are not negative."""
+    return F.greatest(F.col(prediction), F.lit(0.0))
 
 
 def sweep_tweedie(folds: DataFrame, powers=TWEEDIE_POWERS) -> DataFrame:
@@ -96,7 +96,7 @@ def fit_hurdle(train: DataFrame):
         featuresCol="core", labelCol="sold", weightCol=WEIGHT, regParam=0.01, maxIter=20, predictionCol="sold_class",
         probabilityCol="sold_p", rawPredictionCol="sold_raw").fit(marked)
     gamma = GeneralizedLinearRegression(
-        family="gamma", link="log", featuresCol="core", labelCol="units", weightCol=WEIGHT, regParam=0.01, maxIter=10,
+        family="gamma", link="log", featuresCol="core", labelCol="units", weightCol=WEIGHT, regParam=0.01, maxIter=25,
         predictionCol="positive_units").fit(marked.where("sold = 1"))
     return classifier, gamma, unit
 

@@ -16,7 +16,7 @@ from campaignflow.schema import HORIZONS, QUANTILE_COLUMNS
 ROW = ["campaign_id", "origin_date", "horizon_days"]
 
 
-def weighted_frame(canonical: DataFrame, horizons=HORIZONS, stride: int = 3) -> DataFrame:
+def weighted_frame(canonical: DataFrame, horizons=HORIZONS, stride: int = 1) -> DataFrame:
     """Training frame with the anomaly weight and the chronological split label."""
     frame = X.training_frame(canonical, horizons, stride)
     weighted = S.overlap_weights(frame, S.anomalous_segments(group_day(canonical)))
@@ -61,10 +61,9 @@ def point_candidates(canonical: DataFrame, power: float = 1.5) -> tuple[DataFram
     """Fit the three point models on the training rows and score them on the calibration rows."""
     _, frame = assembled(weighted_frame(canonical))
     train, held = frame.where("split = 'train'"), frame.where("split = 'calibration'")
-    top = train.agg((F.max("target_revenue") * 2).alias("top")).first()["top"]
     hurdle = D.fit_hurdle(train)
     scored = D.predict_tweedie(D.fit_tweedie(train, power), held)
     scored = D.predict_hurdle(hurdle, scored)
     scored = D.boosted().fit(train).transform(scored)
-    scored = scored.withColumns({c: D.bounded(c, top) for c in ("tweedie", "hurdle", "boosted")}).persist()
+    scored = scored.withColumns({c: D.floored(c) for c in ("tweedie", "hurdle", "boosted")}).persist()
     return scored, D.hurdle_quality(scored)

@@ -127,7 +127,7 @@ SELECT f.*, f.date AS origin_date, h.horizon_days,
        CASE h.horizon_days WHEN 30 THEN spend_next_30 WHEN 60 THEN spend_next_60 ELSE spend_next_90 END / h.horizon_days
          AS planned_future_daily_budget
 FROM features f CROSS JOIN (VALUES (30), (60), (90)) h(horizon_days)
-WHERE f.day_number - 1 >= 14 AND (f.day_number - 1 - 14) % 3 = 0
+WHERE f.day_number - 1 >= 14
   AND f.day_number - 1 + h.horizon_days < f.n_days"""
 
 FRAME = (*FEATURES, "frame")

@@ -10,9 +10,9 @@ from campaignflow.streaming import conformal_stream as S
 
 
 def campaign_sequence(spark, sf_dir):
-    """90% pace band and outcome per campaign and origin date at the 30-day horizon."""
-    rows = scored(spark, sf_dir).where("horizon_days = 30")
-    return rows.select(F.col("campaign_id").alias("series"), F.unix_date("origin_date").cast("long").alias("seq"),
+    """90% pace band and outcome per origin date, one series for each campaign and horizon."""
+    rows = scored(spark, sf_dir)
+    return rows.select(F.concat_ws("/", "campaign_id", "horizon_days").alias("series"), F.unix_date("origin_date").cast("long").alias("seq"),
                        F.col("q05").alias("low"), F.col("q95").alias("high"), F.col("target_revenue").alias("y"))
 
 

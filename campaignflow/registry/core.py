@@ -10,6 +10,7 @@ from campaignflow.functions.scalars import col
 
 QUERIES = {}
 ORACLES = {}
+KEPT = []
 
 # Engines break exact decimal ties differently; a shift far below the last kept digit, the same on both
 # sides, moves ties off the rounding boundary.
@@ -34,6 +35,7 @@ def shared(fn):
     Lost blocks are recomputed from lineage; what does not fit in memory goes to executor disk.
     """
     kept = {}
+    KEPT.append(kept)
 
     @wraps(fn)
     def get(spark, sf_dir):
@@ -45,6 +47,14 @@ def shared(fn):
     return get
 
 
+def release():
+    """Forget the frames that queries share, so that the next query starts cold."""
+    for kept in KEPT:
+        for frame in kept.values():
+            frame.unpersist()
+        kept.clear()
+
+
 def rnd(c, digits: int = 4) -> Column:
     return F.round(col(c) + F.lit(SHIFT[digits]), digits)
 

@@ -31,7 +31,7 @@ def trained_forest(spark, sf_dir):
 def tweedie_sweep(spark, sf_dir):
     frame = T.weighted_frame(ad_canonical(spark, sf_dir)).where("split IN ('train', 'calibration')").drop("split")
     _, rows = T.assembled(frame)
-    out = D.sweep_tweedie(P.walk_forward_roles(rows, n_folds=2))
+    out = D.sweep_tweedie(P.walk_forward_roles(rows, n_folds=4))
     return out.select("power", "n_folds", rnd("deviance", 2).alias("deviance"))
 
 

@@ -20,8 +20,11 @@ REPORT_SCHEMA = T.StructType([
 
 
 def read_raw(spark: SparkSession, paths) -> DataFrame:
-    """Header CSV, every column a string, plus the position of the row in its files."""
-    frame = spark.read.option("header", True).option("multiLine", False).csv(paths)
+    """Header CSV, every column a string, plus the position of the row in its files.
+
+    Quoted cells may hold commas, line breaks and doubled quotes; so a file is one task.
+    """
+    frame = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(paths)
     keep = [c for i, c in enumerate(frame.columns) if not (i == 0 and is_index_column(c))]
     return frame.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("row_order"))
 

@@ -14,11 +14,12 @@ STATE = ("level double, integral double, smooth double, total double, seen bigin
          "gram array<double>, moment array<double>, last_seq bigint, n_late bigint")
 
 
-def calibrate_stream(sequence: DataFrame, method: str = "adaptive", window: int = 2000, **options) -> DataFrame:
+def calibrate_stream(sequence: DataFrame, method: str = "adaptive", window: int | None = None, **options) -> DataFrame:
     """Calibrated interval per arriving (series, seq, low, high, y) row, with the controller kept as state.
 
-    ``window`` bounds the scores a series remembers and so the state per key. Rows must arrive in ``seq`` order
-    across triggers; a row at or before the last one handled is counted in ``n_late`` and otherwise ignored.
+    A series remembers all its scores, as in the batch, unless ``window`` bounds them. Rows must arrive in ``seq``
+    order across triggers; a row at or before the last one handled comes out without an interval, counted in
+    ``n_late``.
     """
 
     def handle(key, chunks, state: GroupState):
@@ -31,10 +32,12 @@ def calibrate_stream(sequence: DataFrame, method: str = "adaptive", window: int
         for seq, low, high, y in zip(pdf["seq"], pdf["low"], pdf["high"], pdf["y"]):
             if last is not None and seq <= last:
                 late += 1
+                out.append((key[0], seq, None, None, None, None, None, late))
                 continue
             out.append((key[0], seq, *controller.step(low, high, y), late))
             last = int(seq)
-        controller.scores = controller.scores[-(window + 1):]
+        if window is not None:
+            controller.scores = controller.scores[-(window + 1):]
         state.update((*controller.dump(), last, late))
         yield pd.DataFrame(out, columns=["series", "seq", "level", "correction", "low", "high", "covered", "n_late"])
 
