@@ -139,7 +139,7 @@ def mixed(documents: DataFrame, seed: int = SEED) -> DataFrame:
 
 #: The same rule with a plain running sum per source.
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
   greatest(0.05, 1 - 2.0::DOUBLE * (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '{NOISE}', '', 'g'))) / greatest(length(coalesce(text, '')), 1)) AS weight,
   (('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), '{SEED}')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE AS u FROM documents),
 k AS MATERIALIZED (SELECT *, -ln(u) / weight AS key FROM d),
