@@ -144,10 +144,14 @@ def training_frame(canonical: DataFrame, horizons=HORIZONS, stride: int = 1) ->
     return frame.select(*columns)
 
 
-def latest_snapshot(daily: DataFrame) -> DataFrame:
-    """Each campaign's own last calendar day, tagged with the last day of the whole data set."""
+def latest_snapshot(daily: DataFrame, observed: DataFrame | None = None) -> DataFrame:
+    """Each campaign's own last calendar day, tagged with the last day of the whole data set.
+
+    ``observed``: the rows that ``daily`` was built from. Their dates alone give the last day, which spares building the
+    calendar and its shuffle a second time.
+    """
     newest = daily.withColumn("last_date", F.max("date").over(by_campaign())).where(F.col("date") == F.col("last_date"))
-    as_of = newest.agg(F.max("date").alias("forecast_as_of"))
+    as_of = (newest if observed is None else observed).agg(F.max("date").alias("forecast_as_of"))
     return newest.drop("last_date").withColumnRenamed("date", "origin_date").join(F.broadcast(as_of))
 
 

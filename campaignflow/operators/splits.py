@@ -64,18 +64,22 @@ def walk_forward_roles(frame: DataFrame, n_folds: int = 4, first: float = 0.5, l
     )
 
 
-def campaign_folds(frame: DataFrame, n_folds: int = 5, salts: int = 64) -> DataFrame:
-    """Assign whole campaigns to folds of similar size.
+def campaign_folds(frame: DataFrame, n_folds: int = 5) -> DataFrame:
+    """Assign whole campaigns to folds of similar size: ranked by size, then dealt to and fro.
 
-    Campaigns with the same number of rows are dealt round-robin, within a hash slice so that a size class
-    shared by most campaigns still spreads over many tasks.
+    Ranks come from counts per size and hash slice, of which there are no more than days times slices, so neither the
+    campaigns nor a size that most of them share stand in one task.
     """
     sizes = frame.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    sliced = sizes.withColumn("slice", F.pmod(F.xxhash64("campaign_id"), F.lit(salts)))
-    dealt = W.partitionBy("n_rows", "slice").orderBy("campaign_id")
-    return sliced.select(
-        "campaign_id", "n_rows",
-        F.pmod(F.row_number().over(dealt) + F.col("slice"), F.lit(n_folds)).cast("int").alias("fold"))
+    sliced = sizes.withColumn("slice", F.substring(F.md5(F.col("campaign_id").cast("string")), 1, 2))
+    classes = sliced.groupBy("n_rows", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.orderBy(F.col("n_rows").desc(), "slice")) - F.col("n")
+    offsets = classes.select(F.col("n_rows").alias("of_size"), F.col("slice").alias("of_slice"), before.alias("before"))
+    inside = F.row_number().over(W.partitionBy("n_rows", "slice").orderBy("campaign_id")) - 1
+    ranked = sliced.withColumn("inside", inside).join(
+        offsets, (F.col("n_rows") == F.col("of_size")) & F.col("slice").eqNullSafe(F.col("of_slice")))
+    place = (F.col("before") + F.col("inside")) % (2 * n_folds)
+    return ranked.select("campaign_id", "n_rows", F.least(place, 2 * n_folds - 1 - place).cast("int").alias("fold"))
 
 
 def even_origin_subset(frame: DataFrame, k: int) -> DataFrame:

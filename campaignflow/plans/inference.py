@@ -24,7 +24,7 @@ def score(trained, scenarios: DataFrame, keys) -> DataFrame:
 
 def predictions(trained, canonical: DataFrame, group_days: DataFrame) -> DataFrame:
     """One calibrated, plausibility-checked forecast row per campaign and horizon."""
-    live = X.expand_horizons(X.latest_snapshot(X.daily_features(canonical)))
+    live = X.expand_horizons(X.latest_snapshot(X.daily_features(canonical), canonical))
     quantiles = C.apply_cqr(score(trained, live, ["campaign_id", "horizon_days"]), trained["cqr"])
     out = live.select(*SHOWN).join(quantiles, ["campaign_id", "horizon_days"])
     out = out.withColumn("assumed_spend_total", F.col("planned_future_daily_budget") * F.col("horizon_days"))
@@ -41,7 +41,7 @@ def whatif_sweep(trained, canonical: DataFrame, group_days: DataFrame, multiplie
     Every campaign is rescored at every multiplier in one job; the median is clamped to the group's ROAS envelope
     before it is summed, and each quantile's curve is made monotone over the grid.
     """
-    snap = X.latest_snapshot(X.daily_features(canonical)).withColumn("horizon_days", F.lit(horizon))
+    snap = X.latest_snapshot(X.daily_features(canonical), canonical).withColumn("horizon_days", F.lit(horizon))
     grid = snap.withColumn("multiplier", F.explode(F.array(*[F.lit(float(m)) for m in multipliers]))).withColumn(
         "planned_future_daily_budget", X.recent_pace() * F.col("multiplier"))
     keys = ["campaign_id", "channel", "campaign_type", "multiplier", "planned_future_daily_budget"]

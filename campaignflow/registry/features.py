@@ -132,7 +132,7 @@ SELECT campaign_id, campaign_name, channel, campaign_type, {sql_iso('date', 'ori
        {sql_iso('forecast_as_of', 'as_of_day')}, campaign_age_days, {sql_rounded(4, *SNAPSHOT_SUMS)},
        {sql_rounded(6, *SNAPSHOT_RATIOS)} FROM snapshot""", *SNAPSHOT))
 def latest_snapshot(spark, sf_dir):
-    s = X.latest_snapshot(features(spark, sf_dir))
+    s = X.latest_snapshot(features(spark, sf_dir), ad_canonical(spark, sf_dir))
     return s.select("campaign_id", "campaign_name", "channel", "campaign_type", iso("origin_date", "origin_day"),
                     iso("forecast_as_of", "as_of_day"), "campaign_age_days", *rounded(4, *SNAPSHOT_SUMS),
                     *rounded(6, *SNAPSHOT_RATIOS))
@@ -149,5 +149,5 @@ SCORING = (*SNAPSHOT, "scoring")
 @query("horizon_expand", with_ctes(f"""
 SELECT campaign_id, horizon_days, {sql_rounded(6, 'planned_future_daily_budget')} FROM scoring""", *SCORING))
 def horizon_expand(spark, sf_dir):
-    s = X.expand_horizons(X.latest_snapshot(features(spark, sf_dir)))
+    s = X.expand_horizons(X.latest_snapshot(features(spark, sf_dir), ad_canonical(spark, sf_dir)))
     return s.select("campaign_id", "horizon_days", *rounded(6, "planned_future_daily_budget"))

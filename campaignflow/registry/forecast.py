@@ -13,6 +13,7 @@ from campaignflow.registry.base_sql import CTES, FRAME, with_ctes
 from campaignflow.registry.core import iso, query, rnd, rounded, shared, sql_iso, sql_rnd, sql_rounded
 from campaignflow.registry.features import SCORING, features
 from campaignflow.schema import BANDS, QUANTILE_COLUMNS, QUANTILES, quantile_column
+from campaignflow.sources.fixtures import ad_canonical
 
 # Quantiles of a pace forecast as multiples of its median: a model-free forecast every engine computes alike.
 PACE_SPREAD = [0.35, 0.5, 0.75, 1.0, 1.3, 1.8, 2.2]
@@ -72,7 +73,7 @@ LIVE_COLUMNS = ["campaign_id", "campaign_name", "channel", "campaign_type", "ori
 
 @shared
 def live_scoring(spark, sf_dir):
-    s = X.expand_horizons(X.latest_snapshot(features(spark, sf_dir))).select(*LIVE_COLUMNS)
+    s = X.expand_horizons(X.latest_snapshot(features(spark, sf_dir), ad_canonical(spark, sf_dir))).select(*LIVE_COLUMNS)
     return s.withColumns({"naive_revenue": M.naive_pace(),
                           "assumed_spend_total": F.col("planned_future_daily_budget") * F.col("horizon_days")})
 
@@ -112,18 +113,26 @@ FROM scored s, folds"""
 FOLDS = (*SCORED, "folds", "fold_rows")
 
 
+#: Large sums of targets (four decimals) are exact, so the order of addition cannot show in the last digit.
+EXACT_REVENUE = "CAST(sum(CAST(target_revenue AS DECIMAL(20, 4))) AS DOUBLE)"
+
+
 @query("walk_forward_folds", with_ctes(f"""
-SELECT fold, role, count(*) AS n_rows, {sql_rnd('sum(target_revenue)', 2)} AS revenue
+SELECT fold, role, count(*) AS n_rows, {sql_rnd(EXACT_REVENUE, 2)} AS revenue
 FROM fold_rows WHERE role IS NOT NULL
   AND fold IN (SELECT fold FROM fold_rows GROUP BY fold HAVING count(*) FILTER (role = 'train') >= 200
                AND count(*) FILTER (role = 'validation') >= 50)
 GROUP BY ALL""", *FOLDS))
 def walk_forward_folds(spark, sf_dir):
     return S.walk_forward_roles(scored(spark, sf_dir)).groupBy("fold", "role").agg(
-        F.count(F.lit(1)).alias("n_rows"), rnd(F.sum("target_revenue"), 2).alias("revenue"))
+        F.count(F.lit(1)).alias("n_rows"), rnd(F.expr(EXACT_REVENUE), 2).alias("revenue"))
 
 
-@query("campaign_folds")
+@query("campaign_folds", with_ctes("""
+, z AS (SELECT campaign_id, count(*) AS n_rows, substr(md5(campaign_id), 1, 2) AS slice FROM scored GROUP BY campaign_id),
+r AS (SELECT *, (row_number() OVER (ORDER BY n_rows DESC, slice, campaign_id) - 1) % 10 AS place FROM z)
+SELECT CAST(CASE WHEN place < 5 THEN place ELSE 9 - place END AS INTEGER) AS fold, count(*) AS n_campaigns,
+       CAST(sum(n_rows) AS BIGINT) AS n_rows FROM r GROUP BY ALL""".replace("\n, z AS", ", z AS", 1), *SCORED))
 def campaign_folds(spark, sf_dir):
     return S.campaign_folds(scored(spark, sf_dir)).groupBy("fold").agg(
         F.count(F.lit(1)).alias("n_campaigns"), F.sum("n_rows").alias("n_rows"))
@@ -270,7 +279,7 @@ CROSSED = ["revenue_lag_7", "revenue_lag_14", "revenue_lag_28", "revenue_roll_me
     + f" FROM (SELECT campaign_id, list_sort([{', '.join(f'coalesce({c}, 0)' for c in CROSSED)}]) AS l FROM snapshot)",
     *SCORING[:-1]))
 def quantile_sort(spark, sf_dir):
-    s = X.latest_snapshot(features(spark, sf_dir))
+    s = X.latest_snapshot(features(spark, sf_dir), ad_canonical(spark, sf_dir))
     fixed = sort_row([F.coalesce(c, F.lit(0.0)) for c in CROSSED])
     return s.select("campaign_id", *[rnd(c, 6).alias(f"s{i}") for i, c in enumerate(fixed)])
 
@@ -281,7 +290,7 @@ SELECT campaign_id, {sql_rounded(6, 'p0', 'p1', 'p2', 'p3', 'p4')} FROM (
   FROM (SELECT campaign_id, {', '.join(f'greatest(coalesce({c}, 0) - 500, 0) AS c{i}' for i, c in enumerate(CROSSED))} FROM snapshot))""",
     *SCORING[:-1]))
 def pinned_crossing(spark, sf_dir):
-    s = X.latest_snapshot(features(spark, sf_dir))
+    s = X.latest_snapshot(features(spark, sf_dir), ad_canonical(spark, sf_dir))
     fixed = pin_median([F.coalesce(c, F.lit(0.0)) - 500 for c in CROSSED], 2)
     return s.select("campaign_id", *[rnd(c, 6).alias(f"p{i}") for i, c in enumerate(fixed)])
 
@@ -302,11 +311,11 @@ def cross_validation_report(spark, sf_dir):
 @query("out_of_fold", with_ctes(f"""
 , v AS (SELECT *, row_number() OVER (PARTITION BY campaign_id, origin_date, horizon_days ORDER BY fold) AS rn
         FROM fold_rows WHERE role = 'validation')
-SELECT fold, horizon_days, count(*) AS n_rows, {sql_rnd('sum(target_revenue)', 2)} AS revenue FROM v WHERE rn = 1 GROUP BY ALL""".replace("\n, v AS", ", v AS", 1), *FOLDS))
+SELECT fold, horizon_days, count(*) AS n_rows, {sql_rnd(EXACT_REVENUE, 2)} AS revenue FROM v WHERE rn = 1 GROUP BY ALL""".replace("\n, v AS", ", v AS", 1), *FOLDS))
 def out_of_fold(spark, sf_dir):
     held = S.walk_forward_roles(scored(spark, sf_dir)).where("role = 'validation'")
     return C.first_fold(held).groupBy("fold", "horizon_days").agg(
-        F.count(F.lit(1)).alias("n_rows"), rnd(F.sum("target_revenue"), 2).alias("revenue"))
+        F.count(F.lit(1)).alias("n_rows"), rnd(F.expr(EXACT_REVENUE), 2).alias("revenue"))
 
 
 ATTRIBUTED = ["revenue_roll_mean_28", "spend_roll_mean_28", "planned_future_daily_budget", "was_observed_frac_30"]

@@ -124,7 +124,16 @@ def test_walk_forward_folds_expand(spark):
 def test_campaign_folds_keep_campaigns_whole_and_balanced(spark):
     folds = pdf(P.campaign_folds(frame(spark, 3, 500)))
     assert folds["campaign_id"].is_unique and set(folds["fold"]) == set(range(5))
-    assert folds.groupby("fold").size().max() - folds.groupby("fold").size().min() <= 60
+    assert folds.groupby("fold").size().max() - folds.groupby("fold").size().min() <= 1
+
+
+def test_campaign_folds_balance_rows_of_unequal_campaigns(spark):
+    rows = spark.range(1, 41).selectExpr("concat('c', id) AS campaign_id", "explode(sequence(1L, id * id)) AS n")
+    folds = pdf(P.campaign_folds(rows, 4))
+    per_fold = folds.groupby("fold")["n_rows"].sum()
+    assert len(folds) == 40 and folds["n_rows"].sum() == rows.count()
+    assert set(folds.groupby("fold").size()) == {10} and per_fold.max() - per_fold.min() <= 1600
+    assert P.campaign_folds(rows.limit(0)).count() == 0
 
 
 def test_even_subset_spans_the_range(spark):
