@@ -1,10 +1,11 @@
 """Scores of texts under a causal self-attention model and under word counts.
 
-The model reads the ids of a public byte-level BPE vocabulary. Ids fall into classes of like frequency, the most frequent ones
-alone; one layer of causal self-attention predicts the class of the next id, and counts over all training texts share a
-class's probability among its ids. It is trained in numpy: every training text gives a window, each partition runs Adam
-over its own windows, and the weights are averaged, weighted by windows, between the epochs. For scoring, windows of SPAN ids overlap so
-that each id is scored once, with SPAN - STRIDE ids before it at least, where the text has them.
+The model reads the ids of a public byte-level BPE vocabulary, each with an embedding of its own. One layer of causal
+self-attention predicts the class of the next id: classes hold ids of like frequency, the most frequent ones alone, and counts
+over all training texts share a class's probability among its ids. It is trained in numpy on every id of every training text:
+each partition runs Adam over all windows of its texts, and the weights are averaged between the epochs, weighted by windows; an
+id's embedding is weighted by the times it was read. Windows of SPAN ids overlap so that each id is a target once, with
+SPAN - STRIDE ids before it at least, where the text has them.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from pyspark.sql import functions as F
 from campaignflow.llm import common as c
 from campaignflow.llm.language import held_out
 
-SPAN, STRIDE, WIDTH = 24, 16, 16
-SINGLE, SHARED = 32, 15
+SPAN, STRIDE, WIDTH = 32, 16, 16
+SINGLE, SHARED = 40, 22
+#: Symbols of the 50k vocabulary: its ids, and the end, the begin and what is before a text.
+SYMBOLS = 50_259
+#: Pieces in which the embeddings of a partition are averaged.
+SHARDS = 16
 EPOCHS, BATCH, RATE = 3, 32, 0.01
 #: Words that make up at least this share of the training text are looked up in a broadcast table of 1 / share rows at
 #: most; the others are joined.
@@ -65,10 +70,10 @@ def ids_of(path: str) -> Ids:
     return _IDS[path]
 
 
-def windows(lists: list[np.ndarray], end: int, pad: int, begin: int):
-    """All windows of some texts: inputs (n x SPAN), targets (n x STRIDE, -1 where a text is over) and each window's text.
+def laid_out(lists: list[np.ndarray], end: int, pad: int, begin: int):
+    """Some texts in one row: input symbols, targets (-1 where a text is over), where each window begins, and each window's text.
 
-    An input row ends with the symbols before its targets; what is before a text's begin is ``pad``.
+    An input is the symbol before its target; what is before a text's begin is ``pad``.
     """
     lead = SPAN - STRIDE
     counts = np.array([-(-(len(x) + 1) // STRIDE) for x in lists], np.int64)
@@ -83,8 +88,18 @@ def windows(lists: list[np.ndarray], end: int, pad: int, begin: int):
         target[at + len(x)] = end
     text = np.repeat(np.arange(len(lists)), counts)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    first = starts[:-1][text] + nth * STRIDE
-    return inputs[first[:, None] + np.arange(SPAN)], target[first[:, None] + lead + np.arange(STRIDE)], text
+    return inputs, target, starts[:-1][text] + nth * STRIDE, text
+
+
+def cut(inputs: np.ndarray, target: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that begin at ``first``: inputs (n x SPAN) and targets (n x STRIDE)."""
+    return inputs[first[:, None] + np.arange(SPAN)], target[first[:, None] + (SPAN - STRIDE) + np.arange(STRIDE)]
+
+
+def windows(lists: list[np.ndarray], end: int, pad: int, begin: int):
+    """All windows of some texts: inputs, targets and each window's text."""
+    inputs, target, first, text = laid_out(lists, end, pad, begin)
+    return *cut(inputs, target, first), text
 
 
 class Vocabulary:
@@ -100,27 +115,30 @@ class Vocabulary:
         if len(rest):
             self.of[rest] = SINGLE + np.minimum((mass - 1) / mass[-1] * SHARED, SHARED - 1).astype(np.int64)
         self.n = SINGLE + SHARED + 1
-        self.end, self.begin, self.pad = size, self.n, self.n + 1
+        self.end, self.begin, self.pad = size, size + 1, size + 2
         self.of[size] = self.n - 1
         total = np.bincount(self.of[:size], counts + 1.0, minlength=self.n)
         self.within = np.concatenate([np.log10((counts + 1.0) / total[self.of[:size]]), [0.0]])
-        # Inputs are classes, too; the begin of a text and what is before it are symbols of their own.
-        self.symbol = np.concatenate([self.of, [self.begin, self.pad]])
+        # Inputs are the ids themselves; the begin of a text and what is before it are symbols of their own.
+        self.symbol = np.arange(size + 3)
 
 
-SHAPES = (("embed", (SINGLE + SHARED + 3, WIDTH)), ("place", (SPAN, WIDTH)), ("query", (WIDTH, WIDTH)), ("key", (WIDTH, WIDTH)),
-          ("value", (WIDTH, WIDTH)), ("mix", (WIDTH, WIDTH)), ("out", (WIDTH, SINGLE + SHARED + 1)), ("bias", (SINGLE + SHARED + 1,)))
+#: All weights but the embeddings, which come first.
+SHAPES = (("place", (SPAN, WIDTH)), ("query", (WIDTH, WIDTH)), ("key", (WIDTH, WIDTH)), ("value", (WIDTH, WIDTH)), ("mix", (WIDTH, WIDTH)),
+          ("out", (WIDTH, SINGLE + SHARED + 1)), ("bias", (SINGLE + SHARED + 1,)))
 SIZES = [int(np.prod(s)) for _, s in SHAPES]
 
 
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
-    parts = np.split(flat, np.cumsum(SIZES)[:-1])
-    return {name: part.reshape(shape) for (name, shape), part in zip(SHAPES, parts, strict=True)}
+    rest = len(flat) - sum(SIZES)
+    parts = np.split(flat[rest:], np.cumsum(SIZES)[:-1])
+    return {"embed": flat[:rest].reshape(-1, WIDTH)} | {name: part.reshape(shape) for (name, shape), part in zip(SHAPES, parts, strict=True)}
 
 
-def start() -> np.ndarray:
+def start(symbols: int = SYMBOLS) -> np.ndarray:
     rng = np.random.default_rng(1)
-    return np.concatenate([np.zeros(n) if name in ("bias", "mix") else rng.normal(0, 0.25, n) for (name, _), n in zip(SHAPES, SIZES, strict=True)]).astype(np.float32)
+    rest = [np.zeros(n) if name in ("bias", "mix") else rng.normal(0, 0.25, n) for (name, _), n in zip(SHAPES, SIZES, strict=True)]
+    return np.concatenate([rng.normal(0, 0.25, symbols * WIDTH), *rest]).astype(np.float32)
 
 
 LIMIT = np.float32(60)
@@ -139,9 +157,8 @@ def attended(q: np.ndarray, k: np.ndarray, known: np.ndarray) -> np.ndarray:
     return score
 
 
-def gradient(flat: np.ndarray, symbols: np.ndarray, target: np.ndarray, pad: int) -> tuple[float, np.ndarray]:
-    """Mean loss in nats of the targets that are not -1, and its gradient."""
-    p = unpacked(flat)
+def gradients(p: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, pad: int):
+    """Mean loss in nats of the targets that are not -1, the symbols read and the gradient of their embeddings, and that of all other weights."""
     lead = SPAN - STRIDE
     x = p["embed"][symbols] + p["place"]
     q, k, v = x[:, lead:] @ p["query"], x @ p["key"], x @ p["value"]
@@ -173,51 +190,94 @@ def gradient(flat: np.ndarray, symbols: np.ndarray, target: np.ndarray, pad: int
     dx = dk @ p["key"].T + dv @ p["value"].T
     dx[:, lead:] += dh + dq @ p["query"].T
     g["place"] = dx.sum(axis=0)
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], symbols, dx)
-    return float(loss), np.concatenate([g[name].ravel() for name, _ in SHAPES]).astype(np.float32)
+    order = np.argsort(symbols, axis=None, kind="stable")
+    read = symbols.ravel()[order]
+    new = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
+    return float(loss), read[new], np.add.reduceat(dx.reshape(-1, WIDTH)[order], new, axis=0), np.concatenate([g[name].ravel() for name, _ in SHAPES])
+
+
+def gradient(flat: np.ndarray, symbols: np.ndarray, target: np.ndarray, pad: int) -> tuple[float, np.ndarray]:
+    """Mean loss in nats of the targets that are not -1, and its gradient by all weights."""
+    loss, read, embed, rest = gradients(unpacked(flat), symbols, target, pad)
+    g = np.zeros(len(flat), np.float32)
+    unpacked(g)["embed"][read] = embed
+    g[len(flat) - len(rest):] = rest
+    return loss, g
+
+
+class Adam:
+    """Weights and their moments; embeddings and their moments move when they are read."""
+
+    def __init__(self, flat: np.ndarray):
+        self.flat = flat.copy()
+        self.m, self.s, self.step = np.zeros_like(flat), np.zeros_like(flat), 0
+        self.weights, self.m_of, self.s_of = (unpacked(x)["embed"] for x in (self.flat, self.m, self.s))
+        self.parts = unpacked(self.flat)
+        self.rest = slice(len(flat) - sum(SIZES), None)
+        self.read = np.zeros(len(self.weights), np.int64)
+
+    def learn(self, symbols: np.ndarray, target: np.ndarray, pad: int) -> None:
+        """One step over some windows."""
+        _, read, embed, rest = gradients(self.parts, symbols, target, pad)
+        self.step += 1
+        self.read[read] += 1
+        scale_m, scale_s = np.float32(RATE / (1 - 0.9 ** self.step)), np.float32(1 / (1 - 0.98 ** self.step))
+        for x, m, s, at, g in ((self.weights, self.m_of, self.s_of, read, embed), (self.flat, self.m, self.s, self.rest, rest)):
+            now_m = np.float32(0.9) * m[at] + np.float32(0.1) * g
+            now_s = np.float32(0.98) * s[at] + np.float32(0.02) * (g * g)
+            m[at], s[at] = now_m, now_s
+            x[at] -= scale_m * now_m / (np.sqrt(now_s * scale_s) + np.float32(1e-6))
 
 
 def trained(flat: np.ndarray, symbols: np.ndarray, target: np.ndarray, pad: int) -> np.ndarray:
     """One epoch of Adam over the given windows, in the given order."""
-    flat = flat.copy()
-    m, s = np.zeros_like(flat), np.zeros_like(flat)
-    for step, at in enumerate(range(0, len(symbols), BATCH), 1):
-        _, g = gradient(flat, symbols[at:at + BATCH], target[at:at + BATCH], pad)
-        m = 0.9 * m + 0.1 * g
-        s = 0.98 * s + 0.02 * g * g
-        flat -= np.float32(RATE) * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.98 ** step)) + np.float32(1e-6))
-    return flat
+    adam = Adam(flat)
+    for at in range(0, len(symbols), BATCH):
+        adam.learn(symbols[at:at + BATCH], target[at:at + BATCH], pad)
+    return adam.flat
+
+
+def epoch_of(batches, begin: np.ndarray, v: Vocabulary, epoch: int) -> tuple[Adam, int]:
+    """One epoch of Adam over all windows of all texts in batches of lists of ids, and the number of windows."""
+    adam, n = Adam(begin), 0
+    for lists in batches:
+        inputs, target, first, _ = laid_out(lists, v.end, v.pad, v.begin)
+        classes = np.where(target >= 0, v.of[target], -1)
+        first = np.random.default_rng(epoch).permutation(first)
+        for at in range(0, len(first), BATCH):
+            adam.learn(*cut(inputs, classes, first[at:at + BATCH]), v.pad)
+        n += len(first)
+    return adam, n
 
 
 class Scorer:
-    """The model with its inner products prepared per symbol and place."""
+    """The model with its inner products prepared per symbol and per place."""
 
     def __init__(self, flat: np.ndarray, vocabulary: Vocabulary):
         p, self.vocabulary = unpacked(flat.astype(np.float32)), vocabulary
-        x = p["embed"][:, None, :] + p["place"][None]
-        lead = SPAN - STRIDE
-        self.q, self.k, self.v = (x[:, lead:] @ p["query"]) * np.float32(WIDTH ** -0.5), x @ p["key"], x @ p["value"] @ p["mix"]
-        self.x, self.out, self.bias = x[:, lead:], p["out"], p["bias"]
+        self.of_symbol, self.of_place = (
+            (x @ p["query"] * np.float32(WIDTH ** -0.5), x @ p["key"], x @ p["value"] @ p["mix"], x) for x in (p["embed"], p["place"]))
+        self.out, self.bias = p["out"], p["bias"]
 
     def scores(self, lists: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each list of ids and its end."""
         v, total = self.vocabulary, np.zeros(len(lists))
         inputs, target, text = windows(lists, v.end, v.end + 2, v.end + 1)
-        place, late = np.arange(SPAN), np.arange(STRIDE)
+        lead = SPAN - STRIDE
+        (q, k, value, x), (place_q, place_k, place_value, place_x) = self.of_symbol, self.of_place
         for at in range(0, len(text), 2048):
-            symbols, ids = v.symbol[inputs[at:at + 2048]], target[at:at + 2048]
-            last = symbols[:, SPAN - STRIDE:]
-            a = self.q[last, late] @ self.k[symbols, place].transpose(0, 2, 1)
+            symbols, ids = inputs[at:at + 2048], target[at:at + 2048]
+            last = symbols[:, lead:]
+            a = (q[last] + place_q[lead:]) @ (k[symbols] + place_k).transpose(0, 2, 1)
             # Scaled products are limited, so the exponentials need no shift by their maximum.
             np.clip(a, -LIMIT, LIMIT, out=a)
             np.exp(a, out=a)
             a *= SEEN
             early = np.flatnonzero(symbols[:, 0] == v.pad)
             a[early] *= (symbols[early] != v.pad)[:, None, :]
-            h = a @ self.v[symbols, place]
+            h = a @ (value[symbols] + place_value)
             h /= a.sum(axis=2, keepdims=True)
-            h += self.x[last, late]
+            h += x[last] + place_x[lead:]
             real = ids >= 0
             h, ids, own = h[real], ids[real], np.broadcast_to(text[at:at + 2048, None], real.shape)[real]
             logits = h @ self.out
@@ -230,12 +290,12 @@ class Scorer:
         return total
 
 
-WORD, ID, WINDOW = 0, 1, 2
-GATHERED = "kind int, item long, n long, ids array<long>"
+WORD, ID, TEXT = 0, 1, 2
+GATHERED = "kind int, item long, n long, ids array<int>"
 
 
 def gathered(batches, path: str):
-    """Batches of (row key, training text) to counts of words and of ids, and one window of each text, chosen by its key."""
+    """Batches of (row key, training text) to counts of words and of ids, and all ids of each text."""
     own = ids_of(path)
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -244,78 +304,88 @@ def gathered(batches, path: str):
         word, n = np.unique(c.word_hashes(data, begin, end, lower=True), return_counts=True)
         yield gathered_rows(WORD, c.signed(word), n)
         count = np.zeros(own.size, np.int64)
-        chosen = []
-        for i, key in enumerate(keys.tolist()):
-            ids = own.folded(data[offsets[i]:offsets[i + 1]].tobytes())
-            np.add.at(count, ids, 1)
-            at = key % (-(-(len(ids) + 1) // STRIDE)) * STRIDE
-            chosen.append(np.concatenate([[at, len(ids)], ids[max(0, at - (SPAN - STRIDE) - 1):at + STRIDE]]))
+        for at, to in slices(offsets):
+            lists = [own.folded(data[offsets[i]:offsets[i + 1]].tobytes()) for i in range(at, to)]
+            flat = np.concatenate(lists)
+            count += np.bincount(flat, minlength=own.size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(to - at, TEXT, np.int32)), pa.array(keys[at:to]), pa.array(np.ones(to - at, np.int64)),
+                 c.list_column(flat.astype(np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]))], names=["kind", "item", "n", "ids"])
         seen = np.flatnonzero(count)
         yield gathered_rows(ID, seen, count[seen])
-        sizes = np.array([len(x) for x in chosen])
-        flat = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(chosen), WINDOW, np.int32)), pa.array(keys), pa.array(np.ones(len(chosen), np.int64)),
-             c.list_column(flat, np.concatenate([[0], np.cumsum(sizes)]))], names=["kind", "item", "n", "ids"])
+
+
+def slices(offsets: np.ndarray):
+    """Texts from, to: SLICE_BYTES or one text at a time."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        yield at, to
+        at = to
 
 
 def gathered_rows(kind: int, item: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(item), kind, np.int32)), pa.array(item.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(item), pa.list_(pa.int64()))],
+        [pa.array(np.full(len(item), kind, np.int32)), pa.array(item.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(item), pa.list_(pa.int32()))],
         names=["kind", "item", "n", "ids"])
 
 
-def chosen_windows(rows: list[list[int]], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and target classes of stored windows: [place of the first target, number of ids, the ids around]."""
-    lead = SPAN - STRIDE
-    symbols = np.full((len(rows), SPAN), v.pad, np.int64)
-    target = np.full((len(rows), STRIDE), -1, np.int64)
-    for i, (at, n, *ids) in enumerate(rows):
-        ids = v.of[np.array(ids, np.int64)]
-        low = max(0, at - lead - 1)
-        for j in range(SPAN):
-            before = at - lead + j - 1  # an input is the id before its place
-            if before == -1:
-                symbols[i, j] = v.begin
-            elif low <= before < low + len(ids):
-                symbols[i, j] = ids[before - low]
-        for j in range(STRIDE):
-            if at + j < n:
-                target[i, j] = ids[at + j - low]
-            elif at + j == n:
-                target[i, j] = v.n - 1
-    return symbols, target
+AVERAGED = "part int, weights binary, n binary"
+
+
+def shards(adam: Adam, n: int):
+    """The embeddings in SHARDS pieces, each with the steps that read it, and the other weights with the number of windows."""
+    pieces = list(zip(np.array_split(adam.weights, SHARDS), np.array_split(adam.read, SHARDS), strict=True))
+    pieces.append((adam.flat[adam.rest][None], np.array([n], np.int64)))
+    for part, (weights, times) in enumerate(pieces):
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([weights.tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary())], names=["part", "weights", "n"])
+
+
+def averaged(batches):
+    """The weighted mean of each piece that a partition holds; what no partition has read stays as it began, the same in all of them."""
+    total: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for part, raw, times in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            n = np.frombuffer(times, np.int64)
+            weights = np.frombuffer(raw, np.float32).reshape(len(n), -1).astype(np.float64)
+            if part not in total:
+                total[part] = [weights * n[:, None], n.copy(), weights]
+            else:
+                total[part][0] += weights * n[:, None]
+                total[part][1] += n
+    for part, (weights, n, begin) in total.items():
+        mean = np.where(n[:, None] > 0, weights / np.maximum(n, 1)[:, None], begin).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["part", "weights", "n"])
 
 
 def fit(stored: DataFrame, v: Vocabulary, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after ``epochs`` rounds: every partition trains on its windows, then weights are averaged by windows."""
-    spark, flat = stored.sparkSession, start()
-    rows = stored.where(F.col("kind") == WINDOW).select("item", "ids")
+    """Weights after ``epochs`` rounds: every partition trains on all windows of its texts, then weights are averaged."""
+    spark, flat = stored.sparkSession, start(len(v.symbol))
+    rows = stored.where(F.col("kind") == TEXT).select("ids")
     for epoch in range(epochs):
         shared = spark.sparkContext.broadcast((flat, v))
 
         def run(batches, shared=shared, epoch=epoch):
             begin, v = shared.value
-            flat, n = begin, 0
-            for batch in batches:
-                symbols, target = chosen_windows(batch.column(1).to_pylist(), v)
-                order = np.random.default_rng(epoch).permutation(len(symbols))
-                flat, n = trained(flat, symbols[order], target[order], v.pad), n + len(symbols)
+            adam, n = epoch_of((lists_of(batch.column(0)) for batch in batches), begin, v, epoch)
             if n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64) * n), pa.array(np.full(len(flat), n))], names=["i", "x", "n"])
+                yield from shards(adam, n)
 
-        # One row per weight reaches the driver.
-        found = rows.mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+        # The weights reach the driver once, in SHARDS + 1 pieces.
+        found = rows.mapInArrow(run, AVERAGED).repartition(SHARDS + 1, "part").mapInArrow(averaged, AVERAGED).collect()
         shared.unpersist()
         if not found:
             break
-        flat = np.zeros(len(flat), np.float32)
-        for r in found:
-            flat[r["i"]] = r["x"]
+        flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["part"])])
     return flat
 
 
+def lists_of(column: pa.Array) -> list[np.ndarray]:
+    """The ids of each text of an Arrow list column."""
+    offsets, ids = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
+    return [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def scored(documents: DataFrame, tokenizer: str) -> DataFrame:
     """Per row of ``documents``: doc_id, held_out, n_tokens (words and the end), n_known, train_tokens, base_score and score.
 
@@ -331,7 +401,7 @@ def scored(documents: DataFrame, tokenizer: str) -> DataFrame:
     key = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)).alias("key")
     stored = c.written(rows.where("NOT held_out").select(key, "text").mapInArrow(partial(gathered, path=tokenizer), GATHERED), "gathered")
     words = c.written(stored.where(F.col("kind") == WORD).groupBy(F.col("item").alias("word")).agg(F.sum("n").alias("n")), "words")
-    n_docs = stored.where(F.col("kind") == WINDOW).count()
+    n_docs = stored.where(F.col("kind") == TEXT).count()
     n_words, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     train_tokens, distinct = n_words + n_docs, n_distinct + (n_docs > 0)
 
@@ -368,11 +438,9 @@ def scored(documents: DataFrame, tokenizer: str) -> DataFrame:
             found = at >= 0
             known = np.bincount(text[found], minlength=batch.num_rows) + end_known
             part = np.bincount(text[found], log10[at[found]], minlength=batch.num_rows) + end_log10
-            scores, i = [np.zeros(0)], 0
-            while i < batch.num_rows:
-                to = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
-                scores.append(model.scores([own.folded(data[offsets[j]:offsets[j + 1]].tobytes()) for j in range(i, min(to, batch.num_rows))]))
-                i = to
+            scores = [np.zeros(0)]
+            for i, to in slices(offsets):
+                scores.append(model.scores([own.folded(data[offsets[j]:offsets[j + 1]].tobytes()) for j in range(i, to)]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(first) + 1), pa.array(known.astype(np.int64)), pa.array(part),
                  pa.array(np.concatenate(scores))], names=["row", "doc_id", "held_out", "n_tokens", "known", "part", "score"])

@@ -359,3 +359,15 @@ def test_pipeline_stages_chain(spark, docs, texts, tmp_path):
         sizes.append(now.count())
     assert sizes[0] >= sizes[1] >= sizes[2] > 0 and sizes[3] == sizes[4]
     counted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), map(tuple, now.collect()))
+
+
+def test_attention_trains_on_every_id(spark):
+    """Ids far into the only text are read, each by its own embedding; the windows of one epoch cover every id and the end."""
+    ids = np.arange(1000)
+    v = attention_lm.Vocabulary(np.ones(1100))
+    adam, n = attention_lm.epoch_of([[ids], [ids[:5], ids[:0]]], attention_lm.start(len(v.symbol)), v, 0)
+    assert n == math.ceil(1001 / 16) + 2 and (adam.read[:1000] > 0).all() and (adam.read[1000:1100] == 0).all()
+    stored = spark.createDataFrame([(attention_lm.TEXT, 1, 1, ids.tolist()), (attention_lm.TEXT, 2, 1, [7, 8])], attention_lm.GATHERED).repartition(2)
+    before, after = (attention_lm.unpacked(x)["embed"] for x in (attention_lm.start(len(v.symbol)), attention_lm.fit(stored, v, 1)))
+    moved = (before != after).any(axis=1)
+    assert moved[:1000].all() and not moved[1000:1100].any()
