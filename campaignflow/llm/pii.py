@@ -1,9 +1,9 @@
 """Personal data and the terms that give it away. DataFrame functions only.
 
-Fixed patterns find e-mail and IP addresses, card and phone numbers. For every value found, the words beside it are
-counted with it over the whole corpus. A word discloses a value if their pointwise mutual information comes near to the
-value's own information content: who sees the word can tell the value. Such words are spans, too, and are generalised with the
-values when a text is sanitised.
+Fixed patterns find e-mail and IP addresses, card and phone numbers. For every value found, all words of the texts that hold
+it are counted with it, by document, over the whole corpus. A word discloses a value if their pointwise mutual information
+comes near to the value's own information content: who sees the word can tell the value. Such words are spans, too, at every
+place of every text, and are generalised with the values when a text is sanitised.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SMALL = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])$"
 
-#: Words within this many characters of a value are its surroundings.
-REACH = 40
-#: A word discloses a value if it is beside it in this many documents and their mutual information is this share of the
+#: A word discloses a value if it is with it in this many documents and their mutual information is this share of the
 #: value's information content.
 LEAST_DOCUMENTS, DISCLOSED = 2, 0.95
+#: Stands for an e-mail address where words are counted; Unicode has no such character.
+HIDDEN = "\uffff"
+WORD = r"[^\x20\x09-\x0D]+"
+PLACES = "array<struct<start:int,kind:int,end:int>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -82,76 +84,96 @@ def _kept(text: Column, number: int, kind: str, pattern: str, possible: Column,
         x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
 
 
-def term(word: Column) -> Column:
-    """A word without the punctuation at its ends, in lower case; empty for words of under three letters."""
-    bare = F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.when(F.length(F.regexp_replace(bare, r"[^\p{L}]+", "")) >= 3, bare).otherwise(F.lit(""))
+def bare(word: Column) -> Column:
+    """A word without the punctuation at its ends, in lower case."""
+    return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
-def surroundings(text: Column, span: Column) -> Column:
-    """The characters before and after a span, up to ``REACH`` each."""
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    return F.struct(
-        F.xxhash64(span["kind"], F.lower(span["value"])).alias("entity"), low.alias("low"), span["end"].alias("high"),
-        F.substring(text, low + 1, span["start"] - low).alias("left"), F.substring(text, span["end"] + 1, F.lit(REACH)).alias("right"))
+def terms_of(text: Column) -> Column:
+    """Hashes of the different terms of a text: words of three letters or more that hold no e-mail address."""
+    hidden = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, HIDDEN)).otherwise(text)
+    words = F.array_distinct(F.filter(F.split(hidden, c.SPACE), lambda w: ~F.contains(w, F.lit(HIDDEN))))
+    terms = F.filter(F.array_distinct(F.transform(words, bare)), lambda t: F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) >= 3)
+    return F.transform(terms, lambda t: F.xxhash64(t))
 
 
-def beside(near: Column) -> Column:
-    """Array of (start, end, term) for the whole words in a span's ``surroundings``."""
-    # A word must be seen to begin and end: white space on both sides, or the text's own end.
-    before = F.filter(matches(near["left"], r"[^\x20\x09-\x0D]+"), lambda w: ((w["start"] > 0) | (near["low"] == 0)) & (w["end"] < F.length(near["left"])))
-    after = F.filter(matches(near["right"], r"[^\x20\x09-\x0D]+"), lambda w: (w["start"] > 0) & ((w["end"] < F.length(near["right"])) | (F.length(near["right"]) < REACH)))
+def places_of(text: Column, hits: Column, spans: Column) -> Column:
+    """Where a text has a word whose term is among ``hits`` and that no base span touches, in one pass."""
+    gap, word = F.transform(F.split(text, WORD, -1), F.length), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    both = F.transform(F.arrays_zip(F.slice(gap, 1, F.size(word)).alias("gap"), word.alias("word")), lambda x: F.struct(
+        x["gap"].alias("gap"), F.length(x["word"]).alias("size"), F.array_contains(hits, F.xxhash64(bare(x["word"]))).alias("hit")))
 
-    def moved(words, by):
-        return F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), term(w["value"]).alias("term")))
+    def add(acc, x):
+        start = acc["at"] + x["gap"]
+        end = start + x["size"]
+        own = F.array(F.struct(start.alias("start"), F.lit(4).alias("kind"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["hit"], F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"))
 
-    return F.filter(F.concat(moved(before, near["low"]), moved(after, near["high"])), lambda w: w["term"] != "")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("found"))
+    found = F.aggregate(both, start, add, lambda acc: acc["found"])
+    return F.filter(found, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """Per row: row, doc_id, the spans of each base kind, and ``around``: value, term and place of every word beside a span."""
+    """Per row: row, doc_id, text, the spans of each base kind, and hashes of its different values and terms."""
     df = documents.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df = df.select("row", "doc_id", "text", *base_spans(F.col("text")))
+        F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("whole"))
+    df = df.select("row", "doc_id", "text", *base_spans(F.col("whole")), terms_of(F.col("whole")).alias("terms"))
     df = df.withColumn("spans", F.array_sort(F.concat(*KINDS[:4])))
-    near = F.transform("spans", lambda s: surroundings(F.col("text"), s))
-    around = F.transform(near, lambda x: F.struct(x["entity"].alias("entity"), beside(x).alias("words")))
-    return df.withColumn("around", F.when(F.size("spans") > 0, around)).drop("text")
-
-
-def disclosing(base: DataFrame, documents: DataFrame) -> DataFrame:
-    """(entity, term) pairs whose mutual information reaches the threshold; counts are of documents, over all of them."""
-    total = base.count()
-    pairs = base.select("row", F.explode("around").alias("a")).select("row", "a.entity", F.explode_outer("a.words").alias("w"))
-    pairs = pairs.select("row", "entity", F.xxhash64("w.term").alias("term"), F.col("w").isNotNull().alias("has_word"))
-    entities = pairs.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    joint = (pairs.where("has_word").select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint"))
-             .where(F.col("n_joint") >= LEAST_DOCUMENTS))
-    words = F.array_distinct(F.transform(c.words_of(F.col("text").cast("string")), lambda w: F.xxhash64(term(w))))
-    terms = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    df = joint.join(entities, "entity").join(terms, "term")
-    content = -F.log(F.col("n_entity") / F.lit(float(max(total, 1))))
+    return df.withColumn("entities", F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))))
+
+
+def disclosing(base: DataFrame) -> DataFrame:
+    """(entity, term) pairs whose mutual information reaches the threshold; counts are of documents, over all of them.
+
+    The threshold is n_joint >= n_term * (n_entity / total) ** (1 - DISCLOSED). As n_joint is at most the number of the
+    entity's documents, and at most the number of the term's documents that hold a value, terms and pairs that cannot reach
+    it are left out before they meet; none is lost by that.
+    """
+    total = float(max(base.count(), 1))
+    entities = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = c.written(entities.where((F.col("n_entity") >= LEAST_DOCUMENTS) & (F.col("n_entity") < total)), "entities")
+
+    def least(n_term: Column, n_entity: Column) -> Column:
+        return n_term * F.pow(n_entity / F.lit(total), F.lit(1 - DISCLOSED)) * F.lit(1 - 1e-9)
+
+    most = entities.agg(F.max(F.col("n_entity") / least(F.lit(1.0), F.col("n_entity")))).first()[0] or 0.0
+    terms = base.select(F.explode("terms").alias("term"), (F.size("entities") > 0).cast("long").alias("beside"))
+    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"), F.sum("beside").alias("n_beside"))
+    terms = c.written(terms.where(
+        (F.col("n_beside") >= LEAST_DOCUMENTS) & (F.col("n_term") <= F.lit(most))
+        & (F.col("n_beside") >= least(F.col("n_term"), F.lit(float(LEAST_DOCUMENTS))))), "terms")
+    holders = base.where(F.size("entities") > 0)
+    of_row = holders.select("row", F.explode("entities").alias("entity")).join(entities, "entity")
+    pairs = holders.select("row", F.explode("terms").alias("term")).join(terms, "term").join(of_row, "row").where(
+        F.col("n_entity") >= least(F.col("n_term"), F.col("n_entity")))
+    joint = pairs.groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("n_joint"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).where(F.col("n_joint") >= LEAST_DOCUMENTS)
+    content = -F.log(F.col("n_entity") / F.lit(total))
     information = F.log(F.col("n_joint") / F.col("n_term")) + content
-    return df.where((content > 0) & (information >= DISCLOSED * content)).select("entity", "term")
+    return joint.where((content > 0) & (information >= DISCLOSED * content)).select("entity", "term")
+
+
+def marked(documents: DataFrame) -> DataFrame:
+    """``spans`` and the text."""
+    base = c.written(found(documents), "pii")
+    terms = c.written(disclosing(base).select("term").distinct(), "disclosing")
+    hits = c.written(base.select("row", F.explode("terms").alias("term")).join(terms, "term").groupBy("row").agg(F.collect_list("term").alias("hits")), "hits")
+    places = base.select("row", "text", "spans").join(hits, "row").select("row", places_of(F.col("text"), F.col("hits"), F.col("spans")).alias("terms"))
+    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    df = base.select("row", "doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], plain.alias("base"))
+    df = df.join(places, "row", "left")
+    return df.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(PLACES))))).drop("terms")
 
 
 def spans(documents: DataFrame) -> DataFrame:
     """Per row of ``documents``: row, doc_id, n_email, n_ip, n_card, n_phone, base (array of kind number, start, end), all spans with terms.
 
     Null and empty texts have no spans; texts are scanned whole; a null doc_id is kept; rows that repeat a doc_id are documents of
-    their own, counted each. Other columns are ignored. The input must be a stored table, as its rows are numbered.
+    their own, counted each. Other columns are ignored.
     """
-    base = c.written(found(documents), "pii")
-    pairs = disclosing(base, documents)
-    places = base.select("row", F.explode("around").alias("a")).select("row", "a.entity", F.explode("a.words").alias("w"))
-    places = places.select("row", "entity", F.xxhash64("w.term").alias("term"), "w.start", "w.end")
-    hits = places.join(pairs, ["entity", "term"]).groupBy("row").agg(
-        F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
-    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    df = base.select("row", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], plain.alias("base"))
-    df = df.join(hits, "row", "left")
-    return df.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))).drop("terms")
+    return marked(documents).drop("text")
 
 
 def listed(spans: str) -> Column:
@@ -162,7 +184,7 @@ def listed(spans: str) -> Column:
 
 def sanitised(documents: DataFrame) -> DataFrame:
     """doc_id and text, every span replaced by ``<kind>``; of spans that overlap, the first one replaces both."""
-    df = documents.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")).join(spans(documents), "row")
+    df = marked(documents)
     names = F.array(*map(F.lit, KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

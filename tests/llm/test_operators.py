@@ -371,3 +371,35 @@ def test_attention_trains_on_every_id(spark):
     before, after = (attention_lm.unpacked(x)["embed"] for x in (attention_lm.start(len(v.symbol)), attention_lm.fit(stored, v, 1)))
     moved = (before != after).any(axis=1)
     assert moved[:1000].all() and not moved[1000:1100].any()
+
+
+def test_pii_terms_of_whole_texts(spark, tmp_path):
+    """A name far from the value discloses it, and is marked at each of its places, also in a text without the value."""
+    rng = random.Random(4)
+    far = [f"Mr. Quibbleton, {prose(rng, 60)} joe@corp.example {prose(rng, 60)} (quibbleton)" for _ in range(30)]
+    some = [*far, "so quibbleton left", *[f"sunny {prose(rng, 30)}" for _ in range(30)]]
+    spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.digest(pii.spans(docs)).collect()}
+    for i, t in enumerate(far):
+        assert {"term:4:15", f"term:{len(t) - 12}:{len(t)}"} <= set(got[i])
+    assert got[30] == ["term:3:13"] and got[31] == [""]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert not any("quibbleton" in t.lower() or "joe@" in t for t in clean.values()) and clean[30] == "so <term> left"
+
+
+def test_pii_disclosing_against_plain_counts(spark, tmp_path):
+    """Nothing is lost by what is left out before values and terms meet."""
+    rng = random.Random(8)
+    some = [" ".join(rng.choice([f"word{rng.randrange(40)}", f"rare{rng.randrange(400)}", f"m{rng.randrange(25)}@x.yz", "common", "a1"]) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    entity, term, joint = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in some:
+        e, w = {x for x in t.split() if "@" in x}, {x for x in t.split() if "@" not in x and x != "a1"}
+        entity.update(e)
+        term.update(w)
+        joint.update((x, y) for x in e for y in w)
+    want = {y for (x, y), n in joint.items() if n >= 2 and math.log(n / term[y]) - math.log(entity[x] / 300) >= -0.95 * math.log(entity[x] / 300)}
+    marked = {some[r["doc_id"]][int(a):int(b)] for r in pii.digest(pii.spans(spark.read.parquet(str(tmp_path / "d")))).collect()
+              for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "term"}
+    assert want and marked == want
