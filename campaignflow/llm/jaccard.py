@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning, and the components of its links.
 
-One global order of all shingles, rare ones first by the counts of a fixed-size sketch, is cut into fragments. Two sets of
-similarity 90 % share one of the first shingles in that order (a tenth of the set and one more): the head fragment, from
+One global order of all shingles, rare ones first by the counts of a fixed-size sketch, is cut into fragments. Two similar
+sets share one of the first shingles in that order (at 90 %, a tenth of the set and one more): the head fragment, from
 which pairs come. Fragment sizes bound what a pair can share; pairs within the bound are counted fragment by fragment, each
 on its own, and the partial overlaps are summed per pair.
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from campaignflow.llm import common as c
 
+#: Words of a shingle and the least similarity of a link, where a caller names none.
 SHINGLE = 3
 PERCENT = 90
 #: Fragments that are counted separately, and the finer cells in each whose sizes bound the overlap.
@@ -33,15 +34,15 @@ LEADERS = 2
 SHORT_LIST, BLOCK = 64, 512
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of texts ``first`` to ``last``: (text, hash), sorted. Fewer words than SHINGLE are one shingle."""
+def sets_of(data: np.ndarray, offsets: np.ndarray, first: int, last: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of texts ``first`` to ``last``: (text, hash), sorted. Fewer words than ``shingle`` are one shingle."""
     data, offsets = data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
     begin, end, start = c.word_spans(data, offsets, c.SPACE_BYTES)
     words = c.word_hashes(data, begin, end, lower=True)
-    whole = c.in_one_text(start, len(words), SHINGLE)
+    whole = c.in_one_text(start, len(words), shingle)
     text = np.repeat(np.arange(last - first), np.diff(start))
-    out_text, out = [text[:len(whole)][whole]], [c.gram_hashes(words, SHINGLE)[whole]]
-    for n in range(1, SHINGLE):
+    out_text, out = [text[:len(whole)][whole]], [c.gram_hashes(words, shingle)[whole]]
+    for n in range(1, shingle):
         at = start[:-1][np.diff(start) == n]
         grams = c.gram_hashes(words, n)
         out_text.append(text[at] if len(at) else text[:0])
@@ -62,13 +63,13 @@ def slices(offsets: np.ndarray):
         at = to
 
 
-def sketch_rows(batches):
+def sketch_rows(batches, shingle):
     """One partition's counts of shingle cells, 16 bits each, in SKETCH_PARTS pieces."""
     count = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         data, offsets = c.text_buffer(batch.column(0))
         for at, to in slices(offsets):
-            _, value = sets_of(data, offsets, at, to)
+            _, value = sets_of(data, offsets, at, to, shingle)
             count += np.bincount((value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(count))
     pieces = np.minimum(count, 65535).astype("<u2").reshape(SKETCH_PARTS, -1)
     yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["part", "counts"])
@@ -86,10 +87,10 @@ def summed(batches):
             [pa.array([part], pa.int32()), pa.array([np.minimum(piece, 2**31 - 1).astype("<u4").tobytes()], pa.binary())], names=["part", "counts"])
 
 
-def sketch(documents: DataFrame) -> np.ndarray:
+def sketch(documents: DataFrame, shingle: int) -> np.ndarray:
     """Counts of documents by shingle cell, over all documents; 4 MB, however many there are."""
     kind = "part int, counts binary"
-    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(sketch_rows, kind)
+    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(partial(sketch_rows, shingle=shingle), kind)
     found = rows.repartition(SKETCH_PARTS, "part").mapInArrow(summed, kind).collect()
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in found:
@@ -105,14 +106,14 @@ def cell_of(value: np.ndarray) -> np.ndarray:
 SETS = "row long, doc_id long, n long, cls long, head array<long>, parts array<int>"
 
 
-def set_rows(batches, shared):
+def set_rows(batches, shared, shingle, percent):
     """Batches of (row, doc_id, text) to each text's class, head shingles and number of shingles by cell."""
     counts = shared.value
     for batch in batches:
         data, offsets = c.text_buffer(batch.column(2))
         pieces = []
         for at, to in slices(offsets):
-            text, value = sets_of(data, offsets, at, to)
+            text, value = sets_of(data, offsets, at, to, shingle)
             n = np.bincount(text, minlength=to - at)
             # Two independent sums over the set; equal sets, equal class.
             total = np.zeros(to - at, np.uint64)
@@ -125,7 +126,7 @@ def set_rows(batches, shared):
             order = np.lexsort((value, rank, text))
             start = np.concatenate([[0], np.cumsum(n)])
             place = np.arange(len(text)) - start[text]
-            need = n - (PERCENT * n + 99) // 100 + 1
+            need = n - (percent * n + 99) // 100 + 1
             head = order[place < need[text]]
             pieces.append((n, cls, parts, value[head], np.bincount(text[head], minlength=to - at)))
         if not pieces:
@@ -138,7 +139,7 @@ def set_rows(batches, shared):
             names=["row", "doc_id", "n", "cls", "head", "parts"])
 
 
-def segment_rows(batches):
+def segment_rows(batches, shingle):
     """Batches of (cls, packed text) to one row per class and fragment with its shingles, 48 bits each."""
     for batch in batches:
         cls = batch.column(0).to_numpy(zero_copy_only=False)
@@ -146,7 +147,7 @@ def segment_rows(batches):
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         for at, to in slices(offsets):
-            text, value = sets_of(data, offsets, at, to)
+            text, value = sets_of(data, offsets, at, to, shingle)
             group = text * FRAGMENTS + cell_of(value) // CELLS
             order = np.argsort(group, kind="stable")
             group, value = group[order], value[order]
@@ -169,23 +170,24 @@ def overlap_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(partial_overlap, pa.int64())], names=["a", "b", "overlap"])
 
 
-def similar(shared: Column, n_a: Column, n_b: Column) -> Column:
-    """Is the similarity PERCENT or more if ``shared`` shingles are common?"""
-    return 100 * shared >= PERCENT * (n_a + n_b - shared)
+def similar(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Is the similarity ``percent`` or more if ``shared`` shingles are common?"""
+    return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, segments: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b), those that are linked."""
     a = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
     b = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
     most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    near = pairs.join(a, "a").where(F.col("n_a") > 0).join(b, "b").where(similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")) & similar(most, F.col("n_a"), F.col("n_b")))
+    near = pairs.join(a, "a").where(F.col("n_a") > 0).join(b, "b").where(
+        similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent) & similar(most, F.col("n_a"), F.col("n_b"), percent))
     near = c.written(near.select("a", "b", "n_a", "n_b"), "near")
     left = segments.select(F.col("cls").alias("a"), "fragment", F.col("shingles").alias("one"))
     right = segments.select(F.col("cls").alias("b"), "fragment", F.col("shingles").alias("two"))
     both = near.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "one", "two")
     overlap = both.mapInArrow(overlap_rows, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    return near.join(overlap, ["a", "b"]).where(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return near.join(overlap, ["a", "b"]).where(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,16 +212,16 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("component"))
 
 
-def across_short(placed: DataFrame, classes: DataFrame) -> DataFrame:
+def across_short(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in each list, whose sizes allow a link: SHORT_LIST / 2 per row at most."""
     sized = placed.join(classes.select("cls", "n"), "cls")
     left = sized.select("token", F.col("cls").alias("a"), F.col("component").alias("component_a"), F.col("n").alias("n_a"))
     right = sized.select("token", F.col("cls").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"))
-    possible = similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))
+    possible = similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent)
     return left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & possible).select("a", "b")
 
 
-def compared(group: pa.Table) -> pa.Table:
+def compared(group: pa.Table, percent: int) -> pa.Table:
     """Two blocks of one list: pairs of different components whose sizes by cell allow a link, each at its first common head shingle."""
     token, low, high = (group.column(k)[0].as_py() for k in ("token", "low", "high"))
     cls, component, n, block = (group.column(k).to_numpy() for k in ("cls", "component", "n", "block"))
@@ -229,26 +231,26 @@ def compared(group: pa.Table) -> pa.Table:
     for i in np.flatnonzero(block == low):
         # Within one block, each pair is met from its smaller class.
         other = (block == high) & (component != component[i]) & ((cls > cls[i]) | (low != high))
-        other = np.flatnonzero(other & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        other = np.flatnonzero(other & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
         most = np.minimum(parts[other], parts[i]).sum(axis=1, dtype=np.int64)
-        for j in other[100 * most >= PERCENT * (n[other] + n[i] - most)]:
+        for j in other[100 * most >= percent * (n[other] + n[i] - most)]:
             if min(set(head[i]).intersection(head[j])) == token:
                 a_out.append(min(cls[i], cls[j]))
                 b_out.append(max(cls[i], cls[j]))
     return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
 
-def across_long(placed: DataFrame, classes: DataFrame) -> DataFrame:
+def across_long(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The same for long lists, block against block: every comparison is made, only pairs within the bound are rows."""
     blocks = F.ceil(F.col("size") / BLOCK)
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(9)), blocks).cast("int")).withColumn(
         "with", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
     dealt = dealt.select("token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "cls", "component")
     whole = dealt.join(classes.select("cls", "n", "parts", "head"), "cls")
-    return whole.groupBy("token", "low", "high").applyInArrow(c.per_group(compared), "a long, b long")
+    return whole.groupBy("token", "low", "high").applyInArrow(c.per_group(compared, percent=percent), "a long, b long")
 
 
-def joined(documents: DataFrame) -> DataFrame:
+def joined(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``documents``: row, doc_id, n_shingles, cls (equal sets, equal class), component_id (smallest doc_id linked).
 
     Null and empty texts have no shingles, are linked with nothing and are their own component. Rows that repeat a doc_id and
@@ -258,8 +260,8 @@ def joined(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(sketch(documents))
-    sets = c.written(rows.mapInArrow(partial(set_rows, shared=counts), SETS), "sets")
+    counts = spark.sparkContext.broadcast(sketch(documents, shingle))
+    sets = c.written(rows.mapInArrow(partial(set_rows, shared=counts, shingle=shingle, percent=percent), SETS), "sets")
     some = sets.where("n > 0")
     classes = c.written(some.groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("head").alias("head")), "classes")
@@ -275,17 +277,17 @@ def joined(documents: DataFrame) -> DataFrame:
     pairs = ordered(F.col("cls"), F.col("leader"), stars)
     wanted = lists.select("cls").distinct().join(classes.select("cls", "row"), "cls")
     segments = c.written(c.packed_texts(rows.select("row", "text")).join(wanted, "row").select("cls", "packed").mapInArrow(
-        segment_rows, "cls long, fragment int, shingles binary"), "segments")
-    links = c.written(verified(pairs, classes, segments), "links")
+        partial(segment_rows, shingle=shingle), "cls long, fragment int, shingles binary"), "segments")
+    links = c.written(verified(pairs, classes, segments, percent), "links")
     labels = components(links)
     # Lists whose classes are in several components still: compare across components, but not what was compared.
     placed = lists.select("token", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     open_lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
     open_lists = open_lists.where("low <> high").select("token", "size")
     placed = c.written(placed.join(open_lists, "token"), "open")
-    rest = across_short(placed.where(F.col("size") <= SHORT_LIST), classes).union(across_long(placed.where(F.col("size") > SHORT_LIST), classes))
+    rest = across_short(placed.where(F.col("size") <= SHORT_LIST), classes, percent).union(across_long(placed.where(F.col("size") > SHORT_LIST), classes, percent))
     rest = rest.distinct().join(pairs, ["a", "b"], "left_anti")
-    more = c.written(verified(rest, classes, segments), "links")
+    more = c.written(verified(rest, classes, segments, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     of_class = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -295,12 +297,12 @@ def joined(documents: DataFrame) -> DataFrame:
     return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
-def representatives(documents: DataFrame) -> DataFrame:
+def representatives(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``documents``, all columns, that are their component's smallest doc_id; of rows that repeat it, the first.
 
     Rows without shingles all stay.
     """
-    found = joined(documents)
+    found = joined(documents, shingle, percent)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("empty", F.when(F.col("n_shingles") == 0, F.col("row")))
     keep = keep.groupBy("component_id", "empty").agg(F.min("row").alias("row")).select("row")
     whole = F.struct(*[F.col(f"`{x}`") for x in documents.columns]).alias("whole")

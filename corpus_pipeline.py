@@ -16,8 +16,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group that similar documents link."""
-    return jaccard.representatives(docs)
+    """The smallest doc_id of each group that documents link whose shingles of five words are similar by 80 % or more."""
+    return jaccard.representatives(docs, shingle=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("token-ID / binary output", write_ids),
 ]
 
-#: The first and the last stage have no SQL form; tests check the pipeline stage by stage against brute force.
+#: The first and the last stage have no SQL form; tests check each stage by itself, the Jaccard stage against brute force.
 ORACLE_SQL = None
 
 

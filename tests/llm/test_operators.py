@@ -403,3 +403,35 @@ def test_pii_disclosing_against_plain_counts(spark, tmp_path):
     marked = {some[r["doc_id"]][int(a):int(b)] for r in pii.digest(pii.spans(spark.read.parquet(str(tmp_path / "d")))).collect()
               for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "term"}
     assert want and marked == want
+
+
+def test_pipeline_jaccard_stage_against_all_pairs(spark, tmp_path):
+    """The stage links five-word shingles from 80 %: appended text, one changed block, scattered changes."""
+    rng = random.Random(6)
+    some = []
+    for _ in range(6):
+        base = prose(rng, 300).split()
+        scattered = list(base)
+        for i in range(10, 300, 50):
+            scattered[i] = "changed"
+        block = base[:100] + prose(rng, 24).split() + base[124:]
+        some += [base, base + prose(rng, rng.randrange(40, 90)).split(), block, scattered, prose(rng, 300).split()]
+    some += [[], ["one"], ["one"], ["a", "b", "c", "d"], ["a", "b", "c", "e"]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(some)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in ([x.translate(LOWER) for x in t] for t in some)]
+    linked = {i: {j for j in range(len(sets)) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} | {i} for i in range(len(sets))}
+    while True:
+        wider = {i: set().union(*(linked[j] for j in own)) for i, own in linked.items()}
+        if wider == linked:
+            break
+        linked = wider
+    want = sorted(i for i, own in linked.items() if min(own) == i)
+    assert len(want) < len(some) - 10
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for short in (jaccard.SHORT_LIST, 0):
+        jaccard.SHORT_LIST, before = short, jaccard.SHORT_LIST
+        kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+        jaccard.SHORT_LIST = before
+        assert sorted(r["doc_id"] for r in kept) == want
