@@ -250,17 +250,27 @@ def across_long(placed: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return whole.groupBy("token", "low", "high").applyInArrow(c.per_group(compared, percent=percent), "a long, b long")
 
 
+def numbered(documents: DataFrame) -> DataFrame:
+    """Row number and all columns (``whole``), written once: every later job reads the numbers and none counts again."""
+    whole = F.struct(*[F.col(f"`{x}`") for x in documents.columns]).alias("whole")
+    return c.written(documents.select(F.monotonically_increasing_id().alias("row"), whole), "numbered", "zstd")
+
+
 def joined(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``documents``: row, doc_id, n_shingles, cls (equal sets, equal class), component_id (smallest doc_id linked).
 
     Null and empty texts have no shingles, are linked with nothing and are their own component. Rows that repeat a doc_id and
     a text are one class; rows that repeat a doc_id with other texts keep their own sets. Texts of any length count whole;
-    a null doc_id counts as larger than any; other columns are ignored. An empty table gives no rows. The input must be a
-    stored table, as its rows are numbered twice.
+    a null doc_id counts as larger than any; other columns are ignored. An empty table gives no rows.
     """
-    spark = documents.sparkSession
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(sketch(documents, shingle))
+    return linked(numbered(documents.select("doc_id", "text")), shingle, percent)
+
+
+def linked(table: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``joined`` of a ``numbered`` table."""
+    spark = table.sparkSession
+    rows = table.select("row", F.col("whole.doc_id").cast("long").alias("doc_id"), F.col("whole.text").cast("string").alias("text"))
+    counts = spark.sparkContext.broadcast(sketch(rows, shingle))
     sets = c.written(rows.mapInArrow(partial(set_rows, shared=counts, shingle=shingle, percent=percent), SETS), "sets")
     some = sets.where("n > 0")
     classes = c.written(some.groupBy("cls").agg(
@@ -302,11 +312,11 @@ def representatives(documents: DataFrame, shingle: int = SHINGLE, percent: int =
 
     Rows without shingles all stay.
     """
-    found = joined(documents, shingle, percent)
+    table = numbered(documents)
+    found = linked(table, shingle, percent)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("empty", F.when(F.col("n_shingles") == 0, F.col("row")))
     keep = keep.groupBy("component_id", "empty").agg(F.min("row").alias("row")).select("row")
-    whole = F.struct(*[F.col(f"`{x}`") for x in documents.columns]).alias("whole")
-    return documents.select(F.monotonically_increasing_id().alias("row"), whole).join(keep, "row").select("whole.*")
+    return table.join(keep, "row").select("whole.*")
 
 
 def digest(df: DataFrame) -> DataFrame:

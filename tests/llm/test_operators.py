@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrameWriter
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -435,3 +436,23 @@ def test_pipeline_jaccard_stage_against_all_pairs(spark, tmp_path):
         kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
         jaccard.SHORT_LIST = before
         assert sorted(r["doc_id"] for r in kept) == want
+
+
+def test_jaccard_rows_keep_their_numbers(spark, docs, monkeypatch):
+    """File splits that change from job to job, as when executors come and go, change nothing."""
+    want = sorted(map(str, jaccard.digest(jaccard.joined(docs)).collect()))
+    kept = sorted(map(str, jaccard.representatives(docs).collect()))
+    parquet, calls = DataFrameWriter.parquet, []
+
+    def other_splits(self, *args, **kwargs):
+        parquet(self, *args, **kwargs)
+        calls.append(args)
+        spark.conf.set("spark.sql.files.minPartitionNum", [1, 100][len(calls) % 2])
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", other_splits)
+    try:
+        assert sorted(map(str, jaccard.digest(jaccard.joined(docs)).collect())) == want
+        assert sorted(map(str, jaccard.representatives(docs).collect())) == kept
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(calls) > 4
