@@ -75,23 +75,34 @@ class Parts:
 
 
 class Encoder:
-    """Texts to ids with a vocabulary file of the tokenizers library; strings of special tokens are ordinary text."""
+    """Texts to ids with a vocabulary file of the tokenizers library; strings of added tokens are ordinary text.
 
-    def __init__(self, path: str):
+    With ``added``, they are the ids that the file gives them, as by the library's default: texts that hold one are encoded
+    whole.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        self.whole, self.held = Tokenizer.from_file(path), None
+        strings = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        if added and strings:
+            self.held = re.compile("|".join(map(re.escape, strings)))
         self.bare, self.spaced = Parts(self.tokenizer, ""), Parts(self.tokenizer, " ")
 
     def parts(self, texts: list[str | None]) -> Iterator[list[bytes]]:
         """For each text, null being empty, the ids of its parts in order, as native unsigned 32-bit integers."""
-        heads, tails = [], []
-        for text in texts:
+        heads, tails, whole = [], [], {}
+        for i, text in enumerate(texts):
             if not text:
                 cut = [[], []]
+            elif self.held and self.held.search(text):
+                cut = [[], []]
+                whole[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
             elif IN_RUN.search(text):
                 cut = [stretches(text), []]
             else:
@@ -102,8 +113,8 @@ class Encoder:
         self.bare.learn(heads)
         self.spaced.learn(tails)
         bare, spaced = self.bare.known, self.spaced.known
-        for head, tail in zip(heads, tails, strict=True):
-            yield [*map(bare.__getitem__, head), *map(spaced.__getitem__, tail)]
+        for i, (head, tail) in enumerate(zip(heads, tails, strict=True)):
+            yield [whole[i]] if i in whole else [*map(bare.__getitem__, head), *map(spaced.__getitem__, tail)]
 
     def encode(self, texts: list[str | None], about: int = 1 << 22) -> Iterator[bytes]:
         """The ids of each text in order, ``about`` characters worked on at a time."""
@@ -121,8 +132,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+    """The worker's encoder for a vocabulary file, with the ids of its added tokens."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]

@@ -456,3 +456,14 @@ def test_jaccard_rows_keep_their_numbers(spark, docs, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert len(calls) > 4
+
+
+def test_token_files_hold_the_librarys_ids(spark, tmp_path):
+    """Texts with and without the added token give the ids of an untouched tokenizer."""
+    some = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>\n<|endoftext|>y z", "plain text  here", "<|endoftext>", None, ""]
+    spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    token_files.write_tokens(spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "ids"), JSON)
+    tk = Tokenizer.from_file(JSON)
+    want = {i: [*tk.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(some)}
+    assert {r["doc_id"]: r["ids"] for r in token_files.read_tokens(spark, str(tmp_path / "ids"), with_ids=True).collect()} == want
+    assert want[0].count(50256) == 1
