@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by vertical partitioning, and the components of its links.
+"""N-gram Jaccard join by a prefix filter and hash fragments, and the components of its links.
 
-One global order of all shingles, rare ones first by the counts of a fixed-size sketch, is cut into fragments. Two similar
-sets share one of the first shingles in that order (at 90 %, a tenth of the set and one more): the head fragment, from
-which pairs come. Fragment sizes bound what a pair can share; pairs within the bound are counted fragment by fragment, each
-on its own, and the partial overlaps are summed per pair.
+All shingles have one global order, rare ones first by the counts of a fixed-size sketch. Two similar sets share one of their
+first shingles in that order (at 90 %, a tenth of the set and one more): the head, from which pairs come. Apart from that
+order, shingles are dealt to fragments by their hash. Fragment sizes bound what a pair can share; pairs within the bound are
+counted fragment by fragment, each on its own, and the partial overlaps are summed per pair.
 
 Equal sets are one class from the start. In the list of classes that share a head shingle, all are first compared with two
 leaders; only classes that are not connected by then are compared with each other. So a group of near copies costs about
@@ -99,7 +99,7 @@ def sketch(documents: DataFrame, shingle: int) -> np.ndarray:
 
 
 def cell_of(value: np.ndarray) -> np.ndarray:
-    """The cell of each shingle. Fragments go by hash, which is how the order ranks shingles of like frequency."""
+    """The cell of each shingle. Fragments go by hash, not by the order of the head."""
     return ((value >> np.uint64(20)) % np.uint64(FRAGMENTS * CELLS)).astype(np.int64)
 
 
