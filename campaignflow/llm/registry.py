@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from campaignflow.llm import attention_lm, conversations, decontaminate, jaccard, language, mixing, pii, quality, substring_dedup, token_counts, token_files, vector_codes
+from campaignflow.llm import attention_lm, conversations, decontaminate, jaccard, language, mixing, pii, quality, substring_dedup, token_counts, token_files, toxicity, vector_codes
 from campaignflow.llm.common import documents
 from campaignflow.sources.workdir import scratch
 
@@ -52,6 +52,10 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.scored(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -62,6 +66,6 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op5_language, op6_token_counts, op7_quality, op8_jaccard, op9_pii, op10_attention_lm, op12_vector_codes, op13_conversations)} | {"pipeline": corpus_pipeline.run}
+    op1_decontaminate, op2_substring_dedup, op3_token_files, op4_mixing, op5_language, op6_token_counts, op7_quality, op8_jaccard, op9_pii, op10_attention_lm, op11_toxicity, op12_vector_codes, op13_conversations)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op12_vector_codes": vector_codes.ORACLE,
            "op13_conversations": conversations.ORACLE}
