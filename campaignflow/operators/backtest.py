@@ -31,13 +31,14 @@ def replan_windows(group_days: DataFrame, horizon: int = 90, every: int = 30, lo
         for i in range(n)])).alias("w")).select("w.*", F.datediff("w.window_end", "w.window_start").alias("n_days"))
 
 
-def policy_backtest(group_days: DataFrame, total_budget: DataFrame | None = None, horizon: int = 90,
-                    every: int = 30, lookback: int = 15, half_life: float = 45.0, steps: int = 200) -> DataFrame:
-    """Score a frozen plan against re-planning at every window, both on the window's own curves.
+def policy_plans(group_days: DataFrame, total_budget: DataFrame | None = None, horizon: int = 90,
+                 every: int = 30, lookback: int = 15, half_life: float = 45.0, steps: int = 200) -> DataFrame:
+    """Per window and group: the frozen and the re-planned daily spend, and the revenue of both on the window's own curve.
 
     A history row is copied once per window it serves, as decision history (before the window) or as scoring
     data (the window and its lookback); all curves are then fitted in one grouped job and all allocations in
-    another. Only the few windows repeat, never the source rows: the input is one row per group and day.
+    another. Only the few windows repeat, never the source rows: the input is one row per group and day. Groups without
+    a curve in the window earn nothing there. ``fresh_fit``: the group has a fitted curve to decide by in this window.
     """
     windows = replan_windows(group_days, horizon, every, lookback)
     budget = trailing_budget(group_days) if total_budget is None else total_budget
@@ -66,17 +67,29 @@ def policy_backtest(group_days: DataFrame, total_budget: DataFrame | None = None
     budgets = windows.select("window").join(F.broadcast(budget))
     plans = checkpointed(allocate(decide, budgets, scenario=["window"], steps=steps))
 
+    # The plan of the first window serves every window; a window's number is all that is added to its rows.
+    every_window = F.explode(F.array(*[F.lit(i) for i in range(math.ceil(horizon / every))]))
+    frozen = plans.where(F.col("window") == 0).select(*GROUP, F.col("allocation").alias("frozen"), every_window.alias("window"))
     replanned = plans.select("window", *GROUP, F.col("allocation").alias("replan"))
-    frozen = plans.where(F.col("window") == 0).select(*GROUP, F.col("allocation").alias("frozen"))
-    both = windows.select("window").join(F.broadcast(frozen)).join(replanned, ["window", *GROUP], "full")
+    fresh = decide.select("window", *GROUP, F.col("fit_ok").alias("fresh_fit"))
+    both = frozen.join(replanned, ["window", *GROUP], "full").join(fresh, ["window", *GROUP], "full")
     scored = both.join(score, ["window", *GROUP], "left").withColumns({
         f"{p}_revenue": F.when(F.col("fit_ok").isNotNull(), response(p)).otherwise(0.0) for p in ("frozen", "replan")})
-    fresh = decide.groupBy("window").agg(F.count_if("fit_ok").alias("n_fresh_fits"))
-    per_window = scored.groupBy("window").agg(
+    return windows.drop("score_from").join(scored, "window").select(
+        *windows.drop("score_from").columns, *GROUP, "frozen", "replan", "frozen_revenue", "replan_revenue", F.coalesce("fresh_fit", F.lit(False)).alias("fresh_fit"))
+
+
+def policy_summary(plans: DataFrame) -> DataFrame:
+    """Totals of ``policy_plans`` per window."""
+    return plans.groupBy("window", "window_start", "window_end", "n_days").agg(
         *[F.coalesce(F.sum(f"{p}_revenue"), F.lit(0.0)).alias(f"{p}_daily_revenue") for p in ("frozen", "replan")],
         *[F.coalesce(F.sum(p), F.lit(0.0)).alias(f"{p}_daily_spend") for p in ("frozen", "replan")],
-        F.sort_array(F.collect_list(F.struct(*GROUP, "frozen", "replan"))).alias("allocations"))
-    return windows.drop("score_from").join(per_window, "window").join(fresh, "window")
+        F.count_if("fresh_fit").alias("n_fresh_fits"))
+
+
+def policy_backtest(group_days: DataFrame, total_budget: DataFrame | None = None, **options) -> DataFrame:
+    """Score a frozen plan against re-planning at every window, both on the window's own curves."""
+    return policy_summary(policy_plans(group_days, total_budget, **options))
 
 
 def actual_windows(group_days: DataFrame, windows: DataFrame) -> DataFrame:

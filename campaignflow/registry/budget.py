@@ -1,6 +1,5 @@
 """Spend response, allocation, backtest, regret and the budget sweep."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from campaignflow.functions.isotonic import interpolate, isotonic
@@ -9,53 +8,60 @@ from campaignflow.operators import backtest as T
 from campaignflow.operators import curves as C
 from campaignflow.operators import features as X
 from campaignflow.registry.base_sql import CTES, GROUP_DAY, with_ctes
-from campaignflow.registry.core import iso, query, rnd, rounded, shared, sql_iso, sql_rnd, sql_rounded
+from campaignflow.registry.core import compose, iso, query, rnd, rounded, shared, sql_iso, sql_rnd, sql_rounded
 from campaignflow.registry.features import SCORING, SNAPSHOT
 from campaignflow.registry.groups import group_days
 from campaignflow.registry.forecast import live_scoring
+from campaignflow.schema import HORIZONS
+from campaignflow.sources.workdir import checkpointed
 
 G = "channel, campaign_type"
 
-CTES["points"] = """
-SELECT channel, campaign_type, date, spend AS x, revenue AS y,
-       least(1.0::DOUBLE, greatest(1e-3::DOUBLE, pow(0.5::DOUBLE, date_diff('day', date, max(date) OVER (PARTITION BY channel, campaign_type)) / 45.0::DOUBLE))) AS w
-FROM group_day WHERE spend > 0"""
-CTES["stats"] = """
-SELECT channel, campaign_type, count(*) AS n_points, count(DISTINCT round_even(x, 0)) AS n_levels, sum(y) AS sum_y, max(y) AS max_y,
-       max(x) AS max_x, sum(w) AS sw, sum(w * y) AS swy, sum(w * y * y) AS swyy, stddev_pop(y) AS std_y, sum(w * y) / sum(w * x) AS fallback_roas
-FROM points GROUP BY ALL"""
-CTES["grid1"] = f"""
-SELECT channel, campaign_type, (max_y * 1.5 + 1.0) * 20 + 1 AS l_max, max_x * pow(2.0::DOUBLE, k) AS kk, n
-FROM stats, (SELECT unnest({C.K_STEPS}::DOUBLE[]) AS k), (SELECT unnest({C.N_STEPS}::DOUBLE[]) AS n)
-WHERE n_points >= 8 AND n_levels >= 5 AND sum_y > 0"""
 
 
-def best_sql(grid: str) -> str:
+def points_sql(source: str, keys: str = G, half_life: str = "45.0::DOUBLE") -> str:
+    return f"""
+SELECT {keys}, date, spend AS x, revenue AS y, coalesce(least(1.0::DOUBLE, greatest(1e-3::DOUBLE,
+       pow(0.5::DOUBLE, date_diff('day', date, max(date) OVER (PARTITION BY {keys})) / {half_life}))), 1) AS w FROM {source} WHERE spend > 0"""
+
+
+def best_sql(points: str, grid: str, keys: str) -> str:
     return f"""
-SELECT channel, campaign_type, l_max, min(struct_pack(sse := a - 2 * l * b + l * l * c, n := n, kk := kk, l := l)) AS best
-FROM (SELECT channel, campaign_type, l_max, kk, n, a, b, c, least(coalesce(b / nullif(c, 0), 0), l_max) AS l
-  FROM (SELECT channel, campaign_type, l_max, kk, n, sum(w * y * y) AS a, sum(w * h * y) AS b, sum(w * h * h) AS c
-    FROM (SELECT p.channel, p.campaign_type, x, y, w, l_max, kk, n, pow(x, n) / (pow(kk, n) + pow(x, n) + 1e-9::DOUBLE) AS h
-          FROM points p JOIN {grid} g ON g.channel = p.channel AND g.campaign_type = p.campaign_type) GROUP BY 1, 2, 3, 4, 5))
-GROUP BY channel, campaign_type, l_max"""
-
-
-CTES["best1"] = best_sql("grid1")
-for _i, (_octaves, _shares) in enumerate(C.REFINE, 2):
-    CTES[f"grid{_i}"] = f"""
-SELECT DISTINCT channel, campaign_type, l_max, best.kk * pow(2.0::DOUBLE, k) AS kk,
-       least(6.0::DOUBLE, greatest(0.3::DOUBLE, best.n * (1 + m))) AS n
-FROM best{_i - 1}, (SELECT unnest({_octaves}::DOUBLE[]) AS k), (SELECT unnest({_shares}::DOUBLE[]) AS m)"""
-    CTES[f"best{_i}"] = best_sql(f"grid{_i}")
-CTES["curves"] = """
-SELECT s.channel, s.campaign_type, n_points, fallback_roas, r2, at_bound, coalesce(r2 >= 0.1 AND NOT at_bound, false) AS fit_ok, l, kk, n,
-       coalesce(resid, std_y) AS residual_std
+SELECT {keys}, l_max, min(struct_pack(sse := a - 2 * l * b + l * l * c, n := n, kk := kk, l := l)) AS best
+FROM (SELECT {keys}, l_max, kk, n, a, b, c, least(coalesce(b / nullif(c, 0), 0), l_max) AS l
+  FROM (SELECT {keys}, l_max, kk, n, sum(w * y * y) AS a, sum(w * h * y) AS b, sum(w * h * h) AS c
+    FROM (SELECT {keys}, x, y, w, l_max, kk, n, pow(x, n) / (pow(kk, n) + pow(x, n) + 1e-9::DOUBLE) AS h
+          FROM {points} JOIN {grid} USING ({keys})) GROUP BY {keys}, l_max, kk, n))
+GROUP BY {keys}, l_max"""
+
+
+def curve_ctes(points: str, keys: str = G, prefix: str = "") -> dict[str, str]:
+    """Definitions of the fitted curves of each key over the table ``points``; the last is ``<prefix>curves``."""
+    p = prefix
+    out = {f"{p}stats": f"""
+SELECT {keys}, count(*) AS n_points, count(DISTINCT round_even(x, 0)) AS n_levels, sum(y) AS sum_y, max(y) AS max_y,
+       max(x) AS max_x, sum(w) AS sw, sum(w * y) AS swy, sum(w * y * y) AS swyy, stddev_pop(y) AS std_y, sum(w * y) / sum(w * x) AS fallback_roas
+FROM {points} GROUP BY ALL""", f"{p}grid1": f"""
+SELECT {keys}, (max_y * 1.5 + 1.0) * 20 + 1 AS l_max, max_x * pow(2.0::DOUBLE, k) AS kk, n
+FROM {p}stats, (SELECT unnest({C.K_STEPS}::DOUBLE[]) AS k), (SELECT unnest({C.N_STEPS}::DOUBLE[]) AS n)
+WHERE n_points >= 8 AND n_levels >= 5 AND sum_y > 0""", f"{p}best1": best_sql(points, f"{p}grid1", keys)}
+    for i, (octaves, shares) in enumerate(C.REFINE, 2):
+        out[f"{p}grid{i}"] = f"""
+SELECT DISTINCT {keys}, l_max, best.kk * pow(2.0::DOUBLE, k) AS kk, least(6.0::DOUBLE, greatest(0.3::DOUBLE, best.n * (1 + m))) AS n
+FROM {p}best{i - 1}, (SELECT unnest({octaves}::DOUBLE[]) AS k), (SELECT unnest({shares}::DOUBLE[]) AS m)"""
+        out[f"{p}best{i}"] = best_sql(points, f"{p}grid{i}", keys)
+    out[f"{p}curves"] = f"""
+SELECT {keys}, n_points, fallback_roas, r2, at_bound, coalesce(r2 >= 0.1 AND NOT at_bound, false) AS fit_ok, l, kk, n, coalesce(resid, std_y) AS residual_std
 FROM (SELECT s.*, b.best.l AS l, b.best.kk AS kk, b.best.n AS n, 1 - b.best.sse / (swyy - swy * swy / sw) AS r2,
              b.best.n <= 0.3003 OR b.best.n >= 5.994 AS at_bound
-      FROM stats s LEFT JOIN best4 b ON b.channel = s.channel AND b.campaign_type = s.campaign_type) s
-LEFT JOIN (SELECT p.channel, p.campaign_type, stddev_pop(y - b.best.l * pow(x, b.best.n) / (pow(b.best.kk, b.best.n) + pow(x, b.best.n) + 1e-9::DOUBLE)) AS resid
-           FROM points p JOIN best4 b ON b.channel = p.channel AND b.campaign_type = p.campaign_type GROUP BY 1, 2) r
-  ON r.channel = s.channel AND r.campaign_type = s.campaign_type"""
+      FROM {p}stats s LEFT JOIN {p}best4 b USING ({keys})) s
+LEFT JOIN (SELECT {keys}, stddev_pop(y - best.l * pow(x, best.n) / (pow(best.kk, best.n) + pow(x, best.n) + 1e-9::DOUBLE)) AS resid
+           FROM {points} JOIN {p}best4 USING ({keys}) GROUP BY {keys}) r USING ({keys})"""
+    return out
+
+
+CTES["points"] = points_sql("group_day")
+CTES |= curve_ctes("points")
 CURVES = ("points", "stats", "grid1", "best1", "grid2", "best2", "grid3", "best3", "grid4", "best4", "curves")
 
 
@@ -160,42 +166,50 @@ def hill_divergence(spark, sf_dir):
         *C.GROUP, "hill_checked", rnd("hill_ratio", 6).alias("hill_ratio"), "hill_divergence_flag")
 
 
+#: Groups folded one after another in the statements: the kinds of campaigns in these tables.
+FOLDS = 6
+
+
+def plan_ctes(priced: str, prefix: str = "", floor: float | None = None) -> dict[str, str]:
+    """Definitions that fold the groups of every ``scenario`` of ``priced`` (scenario, g, step, cap, curve) and walk back: ``<prefix>taken``, ``<prefix>stop``."""
+    p = prefix
+    out = {f"{p}rev": f"""SELECT scenario, g, k, {respond('(k * step)')} AS r FROM {priced}, range(201) t(k) WHERE k <= cap
+UNION ALL SELECT scenario, g, 0, 0 FROM (SELECT DISTINCT scenario FROM {priced}), range(1, {FOLDS + 1}) t(g) WHERE (scenario, g) NOT IN (SELECT (scenario, g) FROM {priced})""",
+           f"{p}dp0": f"SELECT DISTINCT scenario, 0::BIGINT AS b, 0.0::DOUBLE AS v, 0::BIGINT AS k FROM {priced}"}
+    for g in range(1, FOLDS + 1):
+        out[f"{p}dp{g}"] = f"""
+SELECT scenario, b, best.v AS v, best.k AS k FROM (SELECT scenario, d.b + r.k AS b, max(struct_pack(v := d.v + r.r, k := r.k)) AS best
+FROM {p}dp{g - 1} d JOIN {p}rev r USING (scenario) WHERE r.g = {g} AND d.b + r.k <= 200 GROUP BY 1, 2)"""
+    out[f"{p}stop"] = f"SELECT scenario, max(b) AS b FROM {p}dp{FOLDS} GROUP BY 1" if floor is None else (
+        f"SELECT scenario, coalesce(max(b) FILTER (WHERE b > 0 AND v / (b * step) >= {floor}), 0) AS b FROM {p}dp{FOLDS} JOIN (SELECT scenario, max(step) AS step FROM {priced} GROUP BY 1) USING (scenario) GROUP BY 1")
+    out[f"{p}at{FOLDS}"] = f"SELECT scenario, b, 0::BIGINT AS k, 0 AS g FROM {p}stop"
+    for g in range(FOLDS, 0, -1):
+        out[f"{p}at{g - 1}"] = f"SELECT scenario, a.b - d.k AS b, d.k AS k, {g} AS g FROM {p}at{g} a JOIN {p}dp{g} d USING (scenario, b)"
+    out[f"{p}taken"] = " UNION ALL ".join(f"SELECT scenario, g, k FROM {p}at{i}" for i in range(FOLDS))
+    return out
+
+
 CTES["priced"] = f"""
-SELECT c.*, u.spend AS hist, t.total / 200 AS step, t.total, row_number() OVER (ORDER BY {G}) AS g,
+SELECT 0 AS scenario, c.*, u.spend AS hist, t.total / 200 AS step, t.total, row_number() OVER (ORDER BY {G}) AS g,
        CAST(least(200, floor(CASE WHEN u.spend > 0 THEN u.spend * 4 ELSE t.total END / (t.total / 200) + 1e-9)) AS INTEGER) AS cap
 FROM curves c JOIN current u USING ({G}), (SELECT sum(spend) AS total FROM current) t"""
-CTES["rev"] = f"SELECT g, k, {respond('(k * step)')} AS r FROM priced, range(201) t(k) WHERE k <= cap"
-CTES["dp0"] = "SELECT 0::BIGINT AS b, 0.0::DOUBLE AS v, 0::BIGINT AS k"
-for _g in range(1, 7):
-    CTES[f"dp{_g}"] = f"""
-SELECT b, best.v AS v, best.k AS k FROM (SELECT d.b + r.k AS b, max(struct_pack(v := d.v + r.r, k := r.k)) AS best
-FROM dp{_g - 1} d JOIN rev r ON r.g = {_g} AND d.b + r.k <= 200 GROUP BY 1)"""
-DP = ("priced", "rev", *[f"dp{i}" for i in range(7)])
-
-
-def plan_sql(floor: float | None) -> dict[str, str]:
-    stop = "SELECT max(b) AS b FROM dp6" if floor is None else (
-        f"SELECT coalesce(max(b) FILTER (WHERE b > 0 AND v / (b * step) >= {floor}), 0) AS b FROM dp6, (SELECT max(step) AS step FROM priced)")
-    out = {"at6": stop}
-    for g in range(6, 0, -1):
-        out[f"at{g - 1}"] = f"SELECT a.b - d.k AS b, d.k AS k, {g} AS g FROM at{g} a JOIN dp{g} d ON d.b = a.b"
-    return out
 
 
-def allocation_sql(floor: float | None) -> str:
-    plan = plan_sql(floor)
-    ctes = {**CTES, **plan}
-    taken = " UNION ALL ".join(f"SELECT g, k FROM at{i}" for i in range(6))
-    from campaignflow.registry.core import compose
+def allocated_sql(body: str, floor: float | None = None) -> str:
+    """``body`` over ``allocated``: the groups of the current plan with their allocation and the plan's revenue."""
+    plan = {"priced": CTES["priced"], **plan_ctes("priced", floor=floor), "allocated": f"""
+SELECT p.*, t.k * p.step AS allocation, (SELECT d.v FROM dp{FOLDS} d JOIN stop USING (scenario, b)) AS revenue, (SELECT b FROM stop) AS stopped,
+       {respond('hist')} AS current_revenue FROM priced p JOIN taken t USING (scenario, g)"""}
+    return compose({**CTES, **plan}, body, *SNAPSHOT, "group_day", *CURVES, "current", *plan)
+
 
-    body = f"""
-SELECT p.channel, p.campaign_type, {sql_rnd('t.k * p.step')} AS allocation, {sql_rnd(slope('(t.k * p.step)'), 6)} AS marginal_roas,
-       {sql_rnd('hist')} AS historical_spend, {sql_rnd('(SELECT d.v FROM dp6 d JOIN at6 a ON a.b = d.b)', 2)} AS predicted_revenue,
-       {sql_rnd('p.total - (SELECT b FROM at6) * p.step')} AS unallocated,
-       {'false' if floor is None else '(SELECT b FROM at6) < (SELECT max(b) FROM dp6)'} AS floor_binding,
-       {sql_rnd('(SELECT d.v FROM dp6 d JOIN at6 a ON a.b = d.b) + 0.6745 * (SELECT sqrt(sum(residual_std * residual_std)) FROM priced)', 2)} AS predicted_high
-FROM priced p JOIN ({taken}) t ON t.g = p.g"""
-    return compose(ctes, body, *SNAPSHOT, "group_day", *CURVES, "current", *DP, *plan)
+def allocation_sql(floor: float | None) -> str:
+    return allocated_sql(f"""
+SELECT channel, campaign_type, {sql_rnd('allocation')} AS allocation, {sql_rnd(slope('allocation'), 6)} AS marginal_roas,
+       {sql_rnd('hist')} AS historical_spend, {sql_rnd('revenue', 2)} AS predicted_revenue, {sql_rnd('total - stopped * step')} AS unallocated,
+       {'false' if floor is None else f'stopped < (SELECT max(b) FROM dp{FOLDS})'} AS floor_binding,
+       {sql_rnd('revenue + 0.6745 * (SELECT sqrt(sum(residual_std * residual_std)) FROM priced)', 2)} AS predicted_high
+FROM allocated""", floor)
 
 
 def allocation(spark, sf_dir, floor=None):
@@ -222,27 +236,95 @@ def roas_floor(spark, sf_dir):
     return allocation_columns(allocation(spark, sf_dir, 16.0))
 
 
-@query("budget_moves")
+@query("budget_moves", allocated_sql(f"""
+SELECT * EXCLUDE (size) FROM (
+  SELECT CAST(row_number() OVER (ORDER BY abs(allocation - hist) DESC, {G}) AS INTEGER) AS rank, {G}, {sql_rnd('allocation - hist', 2)} AS change, {sql_rnd('hist', 2)} AS current,
+         {sql_rnd('allocation', 2)} AS recommended, {sql_rnd(slope('allocation'), 4)} AS marginal_roas,
+         {sql_rnd('revenue - (SELECT sum(current_revenue) FROM allocated)', 2)} AS daily_uplift, abs(allocation - hist) AS size
+  FROM allocated WHERE abs(allocation - hist) >= 1) WHERE rank <= 6"""))
 def budget_moves(spark, sf_dir):
-    uplift = F.col("predicted_revenue") - F.sum("current_revenue").over(W.partitionBy("scenario"))
-    moves = A.budget_moves(allocation(spark, sf_dir).withColumn("daily_uplift", uplift))
+    plan = allocation(spark, sf_dir)
+    moves = A.budget_moves(plan).join(A.uplift(plan).select("scenario", "daily_uplift"), "scenario")
     return moves.select(
         "rank", "channel", "campaign_type", rnd("change", 2).alias("change"), rnd("historical_spend", 2).alias("current"),
         rnd("allocation", 2).alias("recommended"), rnd("marginal_roas", 4).alias("marginal_roas"), rnd("daily_uplift", 2).alias("daily_uplift"))
 
 
-@query("policy_backtest")
+@query("budget_uplift", allocated_sql(f"""
+SELECT {sql_rnd('max(allocated.total)', 2)} AS budget, {sql_rnd('sum(hist)', 2)} AS current_spend, {sql_rnd('sum(allocation)', 2)} AS recommended_spend,
+       {sql_rnd('sum(current_revenue)', 2)} AS current_revenue, {sql_rnd('max(revenue)', 2)} AS predicted_revenue, h AS horizon_days,
+       {sql_rnd('max(revenue) - sum(current_revenue)', 2)} AS daily_uplift, {sql_rnd('(max(revenue) - sum(current_revenue)) * h', 2)} AS period_uplift,
+       {sql_rnd('100 * (max(revenue) - sum(current_revenue)) / sum(current_revenue)')} AS uplift_pct
+FROM allocated, (SELECT unnest([30, 60, 90]) AS h) GROUP BY h"""))
+def budget_uplift(spark, sf_dir):
+    """Current against recommended spend: uplift per day, per period of each horizon, and in per cent."""
+    plan = checkpointed(allocation(spark, sf_dir))
+    budget = plan.groupBy("scenario").agg(F.max("total_budget").alias("budget"))
+    rows = budget.join(A.uplift(plan), "scenario").withColumn("horizon_days", F.explode(F.array(*[F.lit(h) for h in HORIZONS])))
+    return rows.withColumn("period_uplift", F.col("daily_uplift") * F.col("horizon_days")).select(
+        "horizon_days", *rounded(2, "budget", "current_spend", "recommended_spend", "current_revenue", "predicted_revenue", "daily_uplift", "period_uplift"),
+        rnd("uplift_pct").alias("uplift_pct"))
+
+
+WR = f"\"window\", role, {G}"
+BACKTEST = {
+    "win": """SELECT CAST(i AS INTEGER) AS "window", max(date) - 90 + i::INTEGER * 30 AS s, max(date) - 60 + i::INTEGER * 30 AS e, max(date) - 105 + i::INTEGER * 30 AS f
+FROM group_day, range(3) t(i) GROUP BY i""",
+    "budget": """SELECT sum(spend) / 28 AS total FROM group_day, (SELECT max(date) AS last FROM group_day) WHERE date >= last - 28""",
+    "used": f"""SELECT "window", 'decide' AS role, {G}, date, spend, revenue FROM group_day, win WHERE date < s
+UNION ALL SELECT "window", 'score', {G}, date, spend, revenue FROM group_day, win WHERE date >= f AND date < e""",
+    "bt_points": points_sql("used", WR, "CASE WHEN role = 'decide' THEN 45.0::DOUBLE END"),
+    **curve_ctes("bt_points", WR, "bt_"),
+    "bt_priced": f"""SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY {G}) AS g, total / 200 AS step,
+  CAST(least(200, floor(CASE WHEN hist > 0 THEN hist * 4 ELSE total END / (total / 200) + 1e-9)) AS INTEGER) AS cap
+FROM (SELECT c."window" AS scenario, c.*, h.spent / s.span AS hist, total FROM bt_curves c
+  JOIN (SELECT {WR}, sum(spend) AS spent FROM used GROUP BY ALL) h USING ({WR})
+  JOIN (SELECT "window", date_diff('day', min(date), max(date)) + 1 AS span FROM used WHERE role = 'decide' GROUP BY 1) s USING ("window"), budget WHERE role = 'decide')""",
+    **plan_ctes("bt_priced", "bt_"),
+    "planned": f"""SELECT p."window", {G}, t.k * p.step AS spend FROM bt_priced p JOIN bt_taken t USING (scenario, g)""",
+    "plans": f"""SELECT "window", {G}, frozen, replan, coalesce(fresh_fit, false) AS fresh_fit,
+  CASE WHEN c.fit_ok IS NULL THEN 0 ELSE {respond('frozen')} END AS frozen_revenue, CASE WHEN c.fit_ok IS NULL THEN 0 ELSE {respond('replan')} END AS replan_revenue
+FROM (SELECT w."window", {G}, spend AS frozen FROM planned, (SELECT "window" FROM win) w WHERE planned."window" = 0) FULL JOIN (SELECT "window", {G}, spend AS replan FROM planned) USING ("window", {G})
+  FULL JOIN (SELECT "window", {G}, fit_ok AS fresh_fit FROM bt_curves WHERE role = 'decide') USING ("window", {G})
+  LEFT JOIN (SELECT * FROM bt_curves WHERE role = 'score') c USING ("window", {G})""",
+    "policy": """SELECT "window", s, e, date_diff('day', s, e) AS n_days, count(*) FILTER (fresh_fit) AS n_fresh_fits, sum(frozen_revenue) AS frozen_daily_revenue,
+  sum(replan_revenue) AS replan_daily_revenue, coalesce(sum(frozen), 0) AS frozen_daily_spend, coalesce(sum(replan), 0) AS replan_daily_spend FROM plans JOIN win USING ("window") GROUP BY 1, 2, 3""",
+}
+
+
+def backtest_sql(body: str) -> str:
+    return compose({**CTES, **BACKTEST}, body, *GROUP_DAY, *BACKTEST)
+
+
+@shared
+def policy_plans(spark, sf_dir):
+    return T.policy_plans(group_days(spark, sf_dir))
+
+
+@query("policy_backtest", backtest_sql(f"""
+SELECT "window", {sql_iso('s', 'window_start')}, {sql_iso('e', 'window_end')}, CAST(n_days AS INTEGER) AS n_days, n_fresh_fits,
+       {sql_rounded(2, 'frozen_daily_revenue', 'replan_daily_revenue', 'frozen_daily_spend', 'replan_daily_spend')} FROM policy"""))
 def policy_backtest(spark, sf_dir):
-    out = T.policy_backtest(group_days(spark, sf_dir))
+    out = T.policy_summary(policy_plans(spark, sf_dir))
     return out.select("window", iso("window_start", "window_start"), iso("window_end", "window_end"), "n_days", "n_fresh_fits",
-                      *rounded(2, "frozen_daily_revenue", "replan_daily_revenue", "frozen_daily_spend", "replan_daily_spend"),
-                      F.to_json("allocations").alias("allocations"))
+                      *rounded(2, "frozen_daily_revenue", "replan_daily_revenue", "frozen_daily_spend", "replan_daily_spend"))
+
 
+@query("backtest_allocations", backtest_sql(f"""
+SELECT "window", {G}, {sql_rounded(2, 'frozen', 'replan', 'frozen_revenue', 'replan_revenue')}, fresh_fit FROM plans"""))
+def backtest_allocations(spark, sf_dir):
+    """Both plans of every window, one row per group."""
+    return policy_plans(spark, sf_dir).select("window", *C.GROUP, *rounded(2, "frozen", "replan", "frozen_revenue", "replan_revenue"), "fresh_fit")
 
-@query("regret_audit")
+
+@query("regret_audit", backtest_sql(f"""
+SELECT sum(n_days)::BIGINT AS n_days, {sql_rnd('sum(a * n_days) / sum(n_days)', 2)} AS actual_avg, {sql_rnd('sum(frozen_daily_revenue * n_days) / sum(n_days)', 2)} AS frozen_avg,
+       {sql_rnd('sum(replan_daily_revenue * n_days) / sum(n_days)', 2)} AS replan_avg,
+       {sql_rnd('sum(frozen_daily_revenue * n_days) / sum(a * n_days) - 1', 6)} AS frozen_vs_actual, {sql_rnd('sum(replan_daily_revenue * n_days) / sum(a * n_days) - 1', 6)} AS replan_vs_actual,
+       {sql_rnd('sum(replan_daily_revenue * n_days) / sum(frozen_daily_revenue * n_days) - 1', 6)} AS replan_vs_frozen
+FROM policy JOIN (SELECT "window", sum(revenue) / 30 AS a FROM group_day JOIN win ON date >= s AND date < e GROUP BY 1) USING ("window")"""))
 def regret_audit(spark, sf_dir):
-    g = group_days(spark, sf_dir)
-    out = T.regret_audit(g, T.policy_backtest(g))
+    out = T.regret_audit(group_days(spark, sf_dir), T.policy_summary(policy_plans(spark, sf_dir)))
     return out.select("n_days", *rounded(2, "actual_avg", "frozen_avg", "replan_avg"),
                       *rounded(6, "frozen_vs_actual", "replan_vs_actual", "replan_vs_frozen"))
 
