@@ -74,7 +74,7 @@ def policy_plans(group_days: DataFrame, total_budget: DataFrame | None = None, h
     fresh = decide.select("window", *GROUP, F.col("fit_ok").alias("fresh_fit"))
     both = frozen.join(replanned, ["window", *GROUP], "full").join(fresh, ["window", *GROUP], "full")
     scored = both.join(score, ["window", *GROUP], "left").withColumns({
-        f"{p}_revenue": F.when(F.col("fit_ok").isNotNull(), response(p)).otherwise(0.0) for p in ("frozen", "replan")})
+        f"{p}_revenue": F.coalesce(F.when(F.col("fit_ok").isNotNull(), response(p)), F.lit(0.0)) for p in ("frozen", "replan")})
     return windows.drop("score_from").join(scored, "window").select(
         *windows.drop("score_from").columns, *GROUP, "frozen", "replan", "frozen_revenue", "replan_revenue", F.coalesce("fresh_fit", F.lit(False)).alias("fresh_fit"))
 

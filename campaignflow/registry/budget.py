@@ -283,7 +283,7 @@ FROM (SELECT c."window" AS scenario, c.*, h.spent / s.span AS hist, total FROM b
     **plan_ctes("bt_priced", "bt_"),
     "planned": f"""SELECT p."window", {G}, t.k * p.step AS spend FROM bt_priced p JOIN bt_taken t USING (scenario, g)""",
     "plans": f"""SELECT "window", {G}, frozen, replan, coalesce(fresh_fit, false) AS fresh_fit,
-  CASE WHEN c.fit_ok IS NULL THEN 0 ELSE {respond('frozen')} END AS frozen_revenue, CASE WHEN c.fit_ok IS NULL THEN 0 ELSE {respond('replan')} END AS replan_revenue
+  coalesce(CASE WHEN c.fit_ok IS NOT NULL THEN {respond('frozen')} END, 0) AS frozen_revenue, coalesce(CASE WHEN c.fit_ok IS NOT NULL THEN {respond('replan')} END, 0) AS replan_revenue
 FROM (SELECT w."window", {G}, spend AS frozen FROM planned, (SELECT "window" FROM win) w WHERE planned."window" = 0) FULL JOIN (SELECT "window", {G}, spend AS replan FROM planned) USING ("window", {G})
   FULL JOIN (SELECT "window", {G}, fit_ok AS fresh_fit FROM bt_curves WHERE role = 'decide') USING ("window", {G})
   LEFT JOIN (SELECT * FROM bt_curves WHERE role = 'score') c USING ("window", {G})""",
