@@ -3,7 +3,7 @@
 import math
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,25 +71,35 @@ def first_fold(validation: DataFrame, keys=("campaign_id", "origin_date", "horiz
     return validation.withColumn("pick", F.row_number().over(order)).where("pick = 1").drop("pick")
 
 
-def linear_attributions(rows: DataFrame, coefficients: DataFrame, features, by: str, top: int = 10, min_rows: int = 20) -> DataFrame:
-    """Mean absolute and signed contribution ``b * (x - mean x)`` per feature, for the total and per group.
+def linear_attributions(rows: DataFrame, terms: dict[str, list[tuple]], by: str, top: int = 10, min_rows: int = 20, within=()) -> DataFrame:
+    """Mean absolute and signed contribution of every feature, for the total and per group, strongest first.
 
-    ``coefficients`` is one row with a column ``b_<feature>`` each. The contributions are aggregated as columns
-    and only then turned into rows, so the input is never multiplied by the number of features.
+    A feature's contribution to a row is the sum of ``b * (x - mean x)`` over its ``terms``, pairs of (b, x) with b a number or
+    column; means are those of the rows, of each combination of ``within`` where given. Contributions are aggregated
+    as columns and only then turned into rows, so the input is never multiplied by the number of features. Missing values add nothing.
     """
-    means = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in features])
-    joined = rows.join(F.broadcast(means)).join(F.broadcast(coefficients))
+    within = list(within)
+    columns = {f: [(b if isinstance(b, Column) else F.lit(float(b)), x) for b, x in pairs] for f, pairs in terms.items()}
+    names = list(dict.fromkeys(x for pairs in columns.values() for _, x in pairs))
+    means = rows.groupBy(*within).agg(*[F.avg(x).alias(f"m_{x}") for x in names])
+    # One row, or one per combination of ``within``, which adaptive execution measures.
+    joined = rows.join(means, within) if within else rows.join(F.broadcast(means))
     aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for f in features:
-        c = F.col(f"b_{f}") * (F.col(f) - F.col(f"m_{f}"))
-        aggs += [F.avg(F.abs(c)).alias(f"a_{f}"), F.avg(c).alias(f"s_{f}")]
-    grouped = joined.groupingSets([[], [F.col(by)]], by).agg(*aggs).withColumn(by, F.coalesce(by, F.lit("total")))
+    for f, pairs in columns.items():
+        c = sum(F.coalesce(b * (F.col(x) - F.col(f"m_{x}")), F.lit(0.0)) for b, x in pairs)
+        aggs += [F.sum(F.abs(c)).alias(f"a_{f}"), F.sum(c).alias(f"s_{f}")]
+    # The total comes from the groups' sums, one row each, not from the rows again.
+    groups = joined.groupBy(*within, by).agg(*aggs)
+    sums = [F.sum(c).alias(c) for c in ("n_rows", *(f"{k}_{f}" for f in terms for k in ("a", "s")))]
+    keys = [F.col(w) for w in within]
+    grouped = groups.groupingSets([keys, [*keys, F.col(by)]], *within, by).agg(*sums).withColumn(by, F.coalesce(by, F.lit("total")))
+    grouped = grouped.select(*within, by, "n_rows", *[(F.col(f"{k}_{f}") / F.col("n_rows")).alias(f"{k}_{f}") for f in terms for k in ("a", "s")])
     cells = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f"a_{f}").alias("mean_abs"), F.col(f"s_{f}").alias("mean_signed"))
-        for f in features])
-    ranked = W.partitionBy(by).orderBy(F.col("mean_abs").desc(), "feature")
+        for f in terms])
+    ranked = W.partitionBy(*within, by).orderBy(F.col("mean_abs").desc(), "feature")
     return (
         grouped.where(F.col("n_rows") >= min_rows)
-        .select(by, "n_rows", F.explode(cells).alias("c")).select(by, "n_rows", "c.*")
+        .select(*within, by, "n_rows", F.explode(cells).alias("c")).select(*within, by, "n_rows", "c.*")
         .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
     )

@@ -1,50 +1,79 @@
 """Forecast models on Spark ML: Tweedie and hurdle regressions, boosted trees, quantile forest."""
 
-from pyspark.ml import Pipeline
+from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from campaignflow.functions.metrics import auc, gamma_deviance, tweedie_deviance
 from campaignflow.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, QUANTILE_COLUMNS, QUANTILES
+from campaignflow.sources.workdir import stored
 
 TARGET, WEIGHT = "target_revenue", "anomaly_weight"
 # Tweedie variance powers tried.
 TWEEDIE_POWERS = [1.1, 1.3, 1.5, 1.7, 1.9]
-# Columns that may be missing; each gets an indicator beside its zero-filled value.
-SOMETIMES_MISSING = [
-    "revenue_lag_28", "revenue_roll_std_28", "ctr_roll_28", "cvr_roll_28", "cpa_roll_28", "frequency_roll_28",
-    "video_view_rate_roll_28", "trailing_roas_28", "revenue_trend_14_28", "revenue_same_week_last_year", "daily_budget",
-]
-# Inputs of the log-link regressions: a near-collinear set would make their least-squares steps unstable.
-CORE = ["horizon_days", "planned_future_daily_budget", "revenue_roll_mean_28", "spend_roll_mean_28", "revenue_roll_std_28",
-        "campaign_expanding_revenue_mean", "campaign_expanding_roas", "trailing_roas_28", "campaign_age_days",
-        "days_since_last_nonzero_revenue", "was_observed_frac_30", "is_q4", "is_holiday_window", "days_to_dec25"]
+#: Directions that hold less than this share of the inputs' variance repeat others and are left out of the regressions.
+LEAST_SHARE = 1e-4
 SEED = 42
 
 
 def prepare(frame: DataFrame) -> DataFrame:
-    """Signed-log numeric inputs with missing values zero-filled and flagged; trees are unaffected by the log."""
+    """Signed-log numeric inputs with missing values zero-filled, and a flag for each of them; trees are unaffected by the log."""
     numeric = {f"x_{c}": F.signum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
                * F.log1p(F.abs(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))) for c in NUMERIC_FEATURES}
-    flags = {f"na_{c}": F.col(c).isNull().cast("double") for c in SOMETIMES_MISSING}
+    flags = {f"na_{c}": F.col(c).isNull().cast("double") for c in NUMERIC_FEATURES}
     return frame.withColumns({**numeric, **flags})
 
 
-def encoder() -> Pipeline:
-    """Index the two categories (unseen ones get their own index) and assemble one feature vector."""
-    indexed = [f"i_{c}" for c in CATEGORICAL_FEATURES]
-    hot = [f"h_{c}" for c in CATEGORICAL_FEATURES]
+def missing_somewhere(prepared: DataFrame) -> list[str]:
+    """Inputs that are missing in some row, in the order of the schema: one aggregation over all rows."""
+    found = prepared.agg(*[F.max(f"na_{c}").alias(c) for c in NUMERIC_FEATURES]).first()
+    return [c for c in NUMERIC_FEATURES if found[c]]
+
+
+def fit_encoder(prepared: DataFrame) -> PipelineModel:
+    """``features`` for trees: every input, a flag for every input that is missing somewhere, and the categories one-hot.
+
+    All of it comes from the rows it is fitted on; unseen categories get their own slot.
+    """
+    indexed, hot = [f"i_{c}" for c in CATEGORICAL_FEATURES], [f"h_{c}" for c in CATEGORICAL_FEATURES]
+    flags = [f"na_{c}" for c in missing_somewhere(prepared)]
     return Pipeline(stages=[
         StringIndexer(inputCols=CATEGORICAL_FEATURES, outputCols=indexed, handleInvalid="keep"),
         OneHotEncoder(inputCols=indexed, outputCols=hot),
-        VectorAssembler(inputCols=[*[f"x_{c}" for c in NUMERIC_FEATURES], *[f"na_{c}" for c in SOMETIMES_MISSING], *hot],
-                        outputCol="features"),
-        VectorAssembler(inputCols=[*[f"x_{c}" for c in CORE], *hot], outputCol="core"),
-    ])
+        VectorAssembler(inputCols=[*[f"x_{c}" for c in NUMERIC_FEATURES], *flags, *hot], outputCol="features"),
+    ]).fit(prepared)
+
+
+def fit_basis(encoded: DataFrame) -> PipelineModel:
+    """``core`` for regressions: ``features`` standardised and turned into uncorrelated directions.
+
+    Inputs of very different scale that nearly repeat each other (sums over 7, 14, 28 days) would leave the least-squares
+    steps of the regressions undetermined; directions that repeat others are left out, no input is.
+    """
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(encoded)
+    basis = PCA(k=scaler.mean.size, inputCol="scaled", outputCol="directions").fit(scaler.transform(encoded))
+    kept = [i for i, v in enumerate(basis.explainedVariance.toArray()) if v > LEAST_SHARE]
+    return PipelineModel(stages=[scaler, basis, VectorSlicer(inputCol="directions", outputCol="core", indices=kept)])
+
+
+def input_weights(basis: PipelineModel, coefficients: Sequence[float]) -> np.ndarray:
+    """Coefficients of ``core`` carried back to the slots of ``features``."""
+    scaler, turned, slicer = basis.stages
+    spread = scaler.std.toArray()
+    back = turned.pc.toArray()[:, slicer.getIndices()] @ np.asarray(coefficients)
+    return np.where(spread > 0, back / np.where(spread > 0, spread, 1), 0.0)
 
 
 def mean_target(train: DataFrame) -> float:
@@ -56,7 +85,7 @@ def fit_tweedie(train: DataFrame, power: float):
     unit = mean_target(train)
     glm = GeneralizedLinearRegression(
         family="tweedie", variancePower=power, linkPower=0.0, featuresCol="core", labelCol="units", weightCol=WEIGHT,
-        regParam=0.01, maxIter=25)
+        regParam=0.01, maxIter=15, tol=1e-4)
     return glm.fit(train.withColumn("units", F.col(TARGET) / unit)), unit
 
 
@@ -73,19 +102,34 @@ def floored(prediction):
 def sweep_tweedie(folds: DataFrame, powers=TWEEDIE_POWERS) -> DataFrame:
     """Mean validation deviance per power over the walk-forward folds in ``folds`` (columns fold, role).
 
-    One fit per (fold, power). A fold keeps only the columns the regression reads while its powers are tried.
+    One fit per (fold, power), side by side. Deviances of different powers have different scales, so powers compare by
+    the deviance of power 1.5 of their forecasts.
     """
     ids = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    measured = []
-    for fold in ids:
-        part = folds.where(F.col("fold") == fold).select("core", TARGET, WEIGHT, "role").persist()
-        train, held = part.where("role = 'train'"), part.where("role = 'validation'")
-        for p in powers:
-            out = predict_tweedie(fit_tweedie(train, p), held)
-            measured.append((fold, p, out.agg(tweedie_deviance(TARGET, "tweedie", p).alias("d")).first()["d"]))
-        part.unpersist()
-    per_fold = folds.sparkSession.createDataFrame(measured, "fold int, power double, deviance double")
-    return per_fold.groupBy("power").agg(F.avg("deviance").alias("deviance"), F.count(F.lit(1)).alias("n_folds"))
+    rows = folds.select("fold", "core", TARGET, WEIGHT, "role").persist()
+
+    def measure(task):
+        fold, power = task
+        part = rows.where(F.col("fold") == fold)
+        out = predict_tweedie(fit_tweedie(part.where("role = 'train'"), power), part.where("role = 'validation'"))
+        found = out.agg(tweedie_deviance(TARGET, "tweedie", power).alias("own"), tweedie_deviance(TARGET, "tweedie", 1.5).alias("common")).first()
+        return (fold, power, found["own"], found["common"])
+
+    measured = side_by_side(measure, [(f, p) for f in ids for p in powers])
+    rows.unpersist()
+    per_fold = folds.sparkSession.createDataFrame(measured, "fold int, power double, own double, common double")
+    return per_fold.groupBy("power").agg(F.avg("own").alias("deviance"), F.avg("common").alias("common_deviance"), F.count(F.lit(1)).alias("n_folds"))
+
+
+def best_power(swept: DataFrame) -> float:
+    """The power with the least common deviance; the lower of equal ones."""
+    return swept.orderBy("common_deviance", "power").first()["power"]
+
+
+def side_by_side(fn, tasks: list, at_once: int = 4) -> list:
+    """``fn`` of each task, a few at a time: the fits are Spark jobs that share the cluster."""
+    with ThreadPool(min(at_once, max(1, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(fn), tasks)
 
 
 def fit_hurdle(train: DataFrame):
@@ -96,7 +140,7 @@ def fit_hurdle(train: DataFrame):
         featuresCol="core", labelCol="sold", weightCol=WEIGHT, regParam=0.01, maxIter=20, predictionCol="sold_class",
         probabilityCol="sold_p", rawPredictionCol="sold_raw").fit(marked)
     gamma = GeneralizedLinearRegression(
-        family="gamma", link="log", featuresCol="core", labelCol="units", weightCol=WEIGHT, regParam=0.01, maxIter=25,
+        family="gamma", link="log", featuresCol="core", labelCol="units", weightCol=WEIGHT, regParam=0.01, maxIter=15, tol=1e-4,
         predictionCol="positive_units").fit(marked.where("sold = 1"))
     return classifier, gamma, unit
 
@@ -124,29 +168,88 @@ def boosted(rounds: int = 15) -> GBTRegressor:
 
 # ---------------------------------------------------------------- quantile forest
 
-def fit_quantile_forest(train: DataFrame, trees: int = 20, depth: int = 8, accuracy: int = 5000):
-    """Forest plus the target quantiles of every (tree, leaf).
+#: Settings of the forest that ``choose_settings`` compares.
+SETTINGS = [
+    {"trees": 10, "depth": 8, "least": 40, "share": "onethird", "sample": 0.6},
+    {"trees": 10, "depth": 6, "least": 40, "share": "onethird", "sample": 0.6},
+    {"trees": 10, "depth": 8, "least": 100, "share": "onethird", "sample": 0.6},
+    {"trees": 10, "depth": 8, "least": 15, "share": "onethird", "sample": 0.8},
+    {"trees": 10, "depth": 8, "least": 40, "share": "sqrt", "sample": 0.6},
+    {"trees": 10, "depth": 8, "least": 40, "share": "0.6", "sample": 0.8},
+    {"trees": 20, "depth": 6, "least": 60, "share": "sqrt", "sample": 0.8},
+]
+#: Values of a leaf are put in so many slices of about equal size, so that the largest leaf is no single task's work.
+SLICES = 64
 
-    The quantiles come from a mergeable sketch, so a leaf holding most rows keeps a bounded state and combines
-    before the shuffle; leaves below the accuracy are exact.
-    """
+
+def fit_quantile_forest(train: DataFrame, settings: dict | None = None):
+    """Forest, and a table (tree, leaf_id, q) with the weighted target quantiles of every leaf: trees x 2^depth rows at most."""
+    use = settings or SETTINGS[0]
     forest = RandomForestRegressor(
-        labelCol=TARGET, weightCol=WEIGHT, numTrees=trees, maxDepth=depth, maxBins=32, minInstancesPerNode=40,
-        subsamplingRate=0.6, featureSubsetStrategy="onethird", leafCol="leaf", predictionCol="forest_mean", seed=SEED).fit(train)
-    placed = forest.transform(train).select(TARGET, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_id"))
-    leaves = placed.groupBy("tree", "leaf_id").agg(F.percentile_approx(TARGET, QUANTILES, accuracy).alias("q"))
-    return forest, leaves
+        labelCol=TARGET, weightCol=WEIGHT, numTrees=use["trees"], maxDepth=use["depth"], maxBins=32, minInstancesPerNode=use["least"],
+        subsamplingRate=use["sample"], featureSubsetStrategy=use["share"], leafCol="leaf", predictionCol="forest_mean", seed=SEED).fit(train)
+    placed = forest.transform(train).select(F.col(TARGET).alias("value"), F.col(WEIGHT).cast("double").alias("w"), vector_to_array("leaf").cast("array<int>").alias("leaf"))
+    # Read three times below.
+    return forest, leaf_quantiles(stored(placed, "leaves").select("value", "w", F.posexplode("leaf").alias("tree", "leaf_id")))
 
 
-def predict_quantiles(forest, leaves: DataFrame, rows: DataFrame, keys) -> DataFrame:
-    """Average each quantile over the trees; averages of ordered values stay ordered, so nothing can cross.
+def leaf_quantiles(placed: DataFrame, quantiles=QUANTILES, slices: int = SLICES) -> DataFrame:
+    """Exact weighted quantiles of ``value`` by (tree, leaf_id): the least value at which the share of weight reaches each.
 
-    ``keys`` identify a row. The leaf table has at most trees x 2^depth rows.
+    Approximate cuts deal a leaf's values to slices, whose weights add up before anything is sent. The sums show which
+    slice holds each quantile; only the rows of those slices are shuffled, to be counted by value and summed in order.
+    """
+    leaf = ["tree", "leaf_id"]
+    cuts = placed.groupBy(*leaf).agg(F.percentile_approx("value", [i / slices for i in range(1, slices)], 1000).alias("cuts"))
+    # One row per leaf: trees x 2^depth rows of ``slices`` numbers.
+    dealt = placed.join(F.broadcast(cuts), leaf).select(*leaf, "value", "w", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("slice"))
+    sums = dealt.groupBy(*leaf, "slice").agg(F.sum("w").alias("inside"))
+    before = F.coalesce(F.sum("inside").over(W.partitionBy(*leaf).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.withColumns({"before": before, "total": F.sum("inside").over(W.partitionBy(*leaf))})
+
+    def reached(weight, q):
+        # Sums of weights in another order differ in their last digits: a billionth of the total is no difference.
+        return weight + 1e-9 * F.col("total") >= q * F.col("total")
+
+    # A leaf without any weight has all its quantiles at its least value.
+    holds = [~reached(F.col("before"), q) & reached(F.col("before") + F.col("inside"), q) for q in quantiles]
+    wanted = sums.where(reduce(Column.__or__, holds, (F.col("total") <= 0) & (F.col("slice") == 0)))
+    # One row per leaf and quantile at most.
+    near = dealt.join(F.broadcast(wanted.select(*leaf, "slice", "before", "total")), [*leaf, "slice"])
+    counts = near.groupBy(*leaf, "slice", "value").agg(F.sum("w").alias("w"), F.first("before").alias("before"), F.first("total").alias("total"))
+    run = F.col("before") + F.sum("w").over(W.partitionBy(*leaf, "slice").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    summed = counts.withColumn("run", run)
+    return summed.groupBy(*leaf).agg(F.array(*[F.min(F.when(reached(F.col("run"), q) | (F.col("total") <= 0), F.col("value"))) for q in quantiles]).alias("q"))
+
+
+def leaf_table(leaves: DataFrame) -> np.ndarray:
+    """The quantiles as an array (tree, leaf, quantile): at most trees x 2^depth x 7 numbers, whatever the training data."""
+    rows = leaves.collect()
+    table = np.zeros((max(r["tree"] for r in rows) + 1, max(int(r["leaf_id"]) for r in rows) + 1, len(rows[0]["q"])))
+    for r in rows:
+        table[r["tree"], int(r["leaf_id"])] = r["q"]
+    return table
+
+
+def predict_quantiles(forest, table: np.ndarray, rows: DataFrame) -> DataFrame:
+    """``rows`` with the quantile columns: each quantile averaged over the leaves that a row falls into, at least 0.
+
+    Averages of ordered values stay ordered, so nothing can cross. The leaf table goes to the tasks once; a row is
+    looked up where it stands, without a shuffle or a join.
     """
-    keys = list(keys)
-    placed = forest.transform(rows).select(*keys, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_id"))
-    return placed.join(leaves, ["tree", "leaf_id"]).groupBy(*keys).agg(*[
-        F.greatest(F.avg(F.col("q")[i]), F.lit(0.0)).alias(c) for i, c in enumerate(QUANTILE_COLUMNS)])
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<double>")
+    def look_up(leaves: pd.Series) -> pd.Series:
+        own = shared.value
+        if not len(leaves):
+            return pd.Series([], dtype=object)
+        at = np.stack(leaves.to_numpy()).astype(np.int64)
+        return pd.Series(list(np.maximum(own[np.arange(own.shape[0]), at].mean(axis=1), 0.0)))
+
+    placed = forest.transform(rows).withColumn("q", look_up(vector_to_array("leaf")))
+    names = [c for c in rows.columns if c not in QUANTILE_COLUMNS]
+    return placed.select(*names, *[F.col("q")[i].alias(c) for i, c in enumerate(QUANTILE_COLUMNS)])
 
 
 def importance(spark, forest, names: list[str], top: int = 10) -> DataFrame:

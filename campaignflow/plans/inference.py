@@ -10,23 +10,32 @@ from campaignflow.operators import calibration as C
 from campaignflow.operators import curves as H
 from campaignflow.operators import features as X
 from campaignflow.operators import models as D
+from campaignflow.plans import training as T
 from campaignflow.schema import QUANTILE_COLUMNS
 
 SHOWN = ["campaign_id", "campaign_name", "channel", "campaign_type", "origin_date", "forecast_as_of", "horizon_days",
          "planned_future_daily_budget"]
 
 
-def score(trained, scenarios: DataFrame, keys) -> DataFrame:
-    """Quantiles of each scenario row, joined back to its own columns."""
+def score(trained, scenarios: DataFrame) -> DataFrame:
+    """``scenarios`` with calibratable quantiles and, where the bundle has point models, ``point_forecast`` of the winner.
+
+    Every step works inside the row: no shuffle, no join.
+    """
     prepared = trained["encoder"].transform(D.prepare(scenarios))
-    return D.predict_quantiles(trained["forest"], trained["leaves"], prepared, keys)
+    out = D.predict_quantiles(trained["forest"], trained["leaves"], prepared)
+    shown = [*scenarios.columns, *QUANTILE_COLUMNS]
+    if "point" in trained:
+        out = T.predict_points(trained["point"]["models"], trained["point"]["basis"].transform(out)).withColumn("point_forecast", F.col(trained["point"]["winner"]))
+        shown.append("point_forecast")
+    return out.select(*shown)
 
 
 def predictions(trained, canonical: DataFrame, group_days: DataFrame) -> DataFrame:
     """One calibrated, plausibility-checked forecast row per campaign and horizon."""
     live = X.expand_horizons(X.latest_snapshot(X.daily_features(canonical), canonical))
-    quantiles = C.apply_cqr(score(trained, live, ["campaign_id", "horizon_days"]), trained["cqr"])
-    out = live.select(*SHOWN).join(quantiles, ["campaign_id", "horizon_days"])
+    out = C.apply_cqr(score(trained, live), trained["cqr"])
+    out = out.select(*SHOWN, *QUANTILE_COLUMNS, *(["point_forecast"] if "point" in trained else []))
     out = out.withColumn("assumed_spend_total", F.col("planned_future_daily_budget") * F.col("horizon_days"))
     out = out.withColumn("roas_p50", safe_ratio("q50", "assumed_spend_total"))
     out = B.clamp_to_bounds(out, B.roas_bounds(group_days), "q50", "assumed_spend_total")
@@ -44,8 +53,7 @@ def whatif_sweep(trained, canonical: DataFrame, group_days: DataFrame, multiplie
     snap = X.latest_snapshot(X.daily_features(canonical), canonical).withColumn("horizon_days", F.lit(horizon))
     grid = snap.withColumn("multiplier", F.explode(F.array(*[F.lit(float(m)) for m in multipliers]))).withColumn(
         "planned_future_daily_budget", X.recent_pace() * F.col("multiplier"))
-    keys = ["campaign_id", "channel", "campaign_type", "multiplier", "planned_future_daily_budget"]
-    scored = score(trained, grid, keys).withColumn("spend", F.col("planned_future_daily_budget") * horizon)
+    scored = score({k: v for k, v in trained.items() if k != "point"}, grid).withColumn("spend", F.col("planned_future_daily_budget") * horizon)
     clamped = B.clamp_to_bounds(scored, B.roas_bounds(group_days), "q50", "spend")
     shown = {c: (f"{c}_display" if c == "q50" else c) for c in QUANTILE_COLUMNS}
     totals = clamped.groupingSets([["multiplier"], ["multiplier", "channel"]], "multiplier", "channel").agg(

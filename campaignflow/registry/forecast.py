@@ -1,5 +1,9 @@
 """Pace forecast, accuracy measures, splits, folds and interval calibration."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from campaignflow.functions import metrics as M
@@ -12,8 +16,9 @@ from campaignflow.operators import splits as S
 from campaignflow.registry.base_sql import CTES, FRAME, with_ctes
 from campaignflow.registry.core import iso, query, rnd, rounded, shared, sql_iso, sql_rnd, sql_rounded
 from campaignflow.registry.features import SCORING, features
-from campaignflow.schema import BANDS, QUANTILE_COLUMNS, QUANTILES, quantile_column
+from campaignflow.schema import BANDS, NUMERIC_FEATURES, QUANTILE_COLUMNS, QUANTILES, quantile_column
 from campaignflow.sources.fixtures import ad_canonical
+from campaignflow.sources.workdir import stored
 
 # Quantiles of a pace forecast as multiples of its median: a model-free forecast every engine computes alike.
 PACE_SPREAD = [0.35, 0.5, 0.75, 1.0, 1.3, 1.8, 2.2]
@@ -318,19 +323,40 @@ def out_of_fold(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), rnd(F.expr(EXACT_REVENUE), 2).alias("revenue"))
 
 
-ATTRIBUTED = ["revenue_roll_mean_28", "spend_roll_mean_28", "planned_future_daily_budget", "was_observed_frac_30"]
+CTES["drivers"] = """
+SELECT f.*, month(date) AS month, weekofyear(date) AS week_of_year, isodow(date) - 1 AS day_of_week, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend,
+       CAST(day(date) = 1 AS INTEGER) AS is_month_start, CAST(last_day(date) = date AS INTEGER) AS is_month_end, CAST(month(date) >= 10 AS INTEGER) AS is_q4,
+       CAST((strftime(date, '%m%d') BETWEEN '0101' AND '0107') OR (strftime(date, '%m%d') BETWEEN '0210' AND '0214') OR (strftime(date, '%m%d') BETWEEN '0815' AND '0905')
+         OR (strftime(date, '%m%d') BETWEEN '1120' AND '1202') OR (strftime(date, '%m%d') BETWEEN '1218' AND '1231') AS INTEGER) AS is_holiday_window,
+       date_diff('day', date, make_date(CASE WHEN month(date) >= 7 THEN year(date) ELSE year(date) - 1 END, 12, 25)) AS days_to_dec25,
+       w.revenue AS revenue_same_week_last_year
+FROM frame f LEFT JOIN (SELECT campaign_id, isoyear(date) AS y, weekofyear(date) AS k, sum(revenue) AS revenue FROM daily GROUP BY ALL) w
+  ON w.campaign_id = f.campaign_id AND w.y = isoyear(f.date) - 1 AND w.k = weekofyear(f.date)"""
+SLOPES = ", ".join(f"regr_slope(target_revenue, {c}) AS b_{c}, avg({c}) AS m_{c}" for c in NUMERIC_FEATURES if c != "horizon_days")
+ATTRIBUTED = [c for c in NUMERIC_FEATURES if c != "horizon_days"]
 
 
 @query("attribution_topk", with_ctes(f"""
-, s AS (SELECT {', '.join(f"regr_slope(target_revenue, {c}) AS b_{c}, avg({c}) AS m_{c}" for c in ATTRIBUTED)} FROM scored WHERE horizon_days = 30),
-a AS (SELECT channel, unnest([{', '.join(f"'{c}'" for c in ATTRIBUTED)}]) AS feature,
-             unnest([{', '.join(f"b_{c} * ({c} - m_{c})" for c in ATTRIBUTED)}]) AS c FROM scored, s WHERE horizon_days = 30),
-g AS (SELECT channel, feature, avg(abs(c)) AS mean_abs, avg(c) AS mean_signed, count(*) AS n FROM a GROUP BY ALL
-      UNION ALL SELECT 'total', feature, avg(abs(c)), avg(c), count(*) FROM a GROUP BY feature)
-SELECT channel, feature, CAST(row_number() OVER (PARTITION BY channel ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank,
-       {sql_rounded(4, 'mean_abs', 'mean_signed')}, n AS n_rows FROM g WHERE n >= 20 QUALIFY rank <= 3""".replace("\n, s AS", ", s AS", 1), *SCORED))
+, s AS (SELECT horizon_days, {SLOPES} FROM drivers GROUP BY horizon_days),
+a AS (SELECT horizon_days, channel, unnest([{', '.join(f"'{c}'" for c in ATTRIBUTED)}]) AS feature,
+             unnest([{', '.join(f"coalesce(CASE WHEN isfinite(b_{c}) THEN b_{c} * ({c} - m_{c}) END, 0)" for c in ATTRIBUTED)}]) AS c FROM drivers JOIN s USING (horizon_days)),
+g AS (SELECT horizon_days, channel, feature, avg(abs(c)) AS mean_abs, avg(c) AS mean_signed, count(*) AS n FROM a GROUP BY ALL
+      UNION ALL SELECT horizon_days, 'total', feature, avg(abs(c)), avg(c), count(*) FROM a GROUP BY horizon_days, feature)
+SELECT horizon_days, channel, feature, CAST(row_number() OVER (PARTITION BY horizon_days, channel ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank,
+       {sql_rounded(4, 'mean_abs', 'mean_signed')}, n AS n_rows FROM g WHERE n >= 20 QUALIFY rank <= 10""".replace("\n, s AS", ", s AS", 1), *FRAME, "drivers"))
 def attribution_topk(spark, sf_dir):
-    rows = scored(spark, sf_dir).where("horizon_days = 30")
-    slopes = rows.agg(*[F.regr_slope("target_revenue", c).alias(f"b_{c}") for c in ATTRIBUTED])
-    return C.linear_attributions(rows, slopes, ATTRIBUTED, by="channel", top=3).select(
-        "channel", "feature", "rank", *rounded(4, "mean_abs", "mean_signed"), "n_rows")
+    """The ten strongest drivers of every horizon over all numeric features, for the total and each channel."""
+    rows = X.forward_targets(features(spark, sf_dir)).select("horizon_days", "channel", "target_revenue", *[F.col(c).cast("double").alias(c) for c in ATTRIBUTED])
+    rows = stored(rows, "drivers")
+    # A dozen features at a time: wider aggregates are beyond the code generator, and each reads its own columns only.
+    parts = []
+    for at in range(0, len(ATTRIBUTED), 12):
+        some = ATTRIBUTED[at:at + 12]
+        part = rows.select("horizon_days", "channel", "target_revenue", *some)
+        slopes = part.groupBy("horizon_days").agg(*[F.regr_slope("target_revenue", c).alias(f"b_{c}") for c in some])
+        # One row per horizon.
+        part = part.join(F.broadcast(slopes), "horizon_days")
+        parts.append(C.linear_attributions(part, {c: [(F.col(f"b_{c}"), c)] for c in some}, by="channel", top=10, within=["horizon_days"]))
+    order = W.partitionBy("horizon_days", "channel").orderBy(F.col("mean_abs").desc(), "feature")
+    best = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return best.select("horizon_days", "channel", "feature", "rank", *rounded(4, "mean_abs", "mean_signed"), "n_rows")

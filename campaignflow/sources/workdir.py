@@ -29,3 +29,10 @@ def checkpointed(df, spark: SparkSession | None = None):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def stored(df, name: str):
+    """``df`` written to the shared folder as Parquet and read again: computed once, whoever reads it and however often."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
