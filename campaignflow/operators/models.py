@@ -85,7 +85,7 @@ def fit_tweedie(train: DataFrame, power: float):
     unit = mean_target(train)
     glm = GeneralizedLinearRegression(
         family="tweedie", variancePower=power, linkPower=0.0, featuresCol="core", labelCol="units", weightCol=WEIGHT,
-        regParam=0.01, maxIter=15, tol=1e-4)
+        regParam=0.01, maxIter=8, tol=1e-4)
     return glm.fit(train.withColumn("units", F.col(TARGET) / unit)), unit
 
 
@@ -140,7 +140,7 @@ def fit_hurdle(train: DataFrame):
         featuresCol="core", labelCol="sold", weightCol=WEIGHT, regParam=0.01, maxIter=20, predictionCol="sold_class",
         probabilityCol="sold_p", rawPredictionCol="sold_raw").fit(marked)
     gamma = GeneralizedLinearRegression(
-        family="gamma", link="log", featuresCol="core", labelCol="units", weightCol=WEIGHT, regParam=0.01, maxIter=15, tol=1e-4,
+        family="gamma", link="log", featuresCol="core", labelCol="units", weightCol=WEIGHT, regParam=0.01, maxIter=8, tol=1e-4,
         predictionCol="positive_units").fit(marked.where("sold = 1"))
     return classifier, gamma, unit
 

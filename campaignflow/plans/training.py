@@ -15,7 +15,7 @@ from campaignflow.operators import models as D
 from campaignflow.operators import segments as S
 from campaignflow.operators import splits as P
 from campaignflow.operators.daily import group_day
-from campaignflow.schema import CATEGORICAL_FEATURES, FEATURES, HORIZONS, QUANTILE_COLUMNS
+from campaignflow.schema import CATEGORICAL_FEATURES, FEATURES, HORIZONS, NUMERIC_FEATURES, QUANTILE_COLUMNS
 from campaignflow.sources.workdir import stored
 
 ROW = ["campaign_id", "origin_date", "horizon_days"]
@@ -135,16 +135,20 @@ def fold_predictions(frame: DataFrame, kind: str, n_folds: int, settings: dict |
     ``frame`` holds features, target and weight. Folds are fitted side by side, and nothing of a fold's validation rows
     reaches its models: scales, categories, directions and flags come from the fold's training rows, too.
     """
-    rows = D.prepare(fold_rows(frame, kind, n_folds))
+    rows = fold_rows(frame if "x_horizon_days" in frame.columns else D.prepare(frame), kind, n_folds)
     names = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
 
     def one(fold):
         part = rows.where(F.col("fold") == fold)
         train = part.where("role = 'train'")
         encoder = D.fit_encoder(train)
-        forest, leaves = D.fit_quantile_forest(encoder.transform(train).select("features", "target_revenue", "anomaly_weight"), settings)
+        # The forest passes over its rows many times.
+        vectors = encoder.transform(train).select("features", "target_revenue", "anomaly_weight").persist(StorageLevel.MEMORY_AND_DISK)
+        forest, leaves = D.fit_quantile_forest(vectors, settings)
+        table = D.leaf_table(leaves)
+        vectors.unpersist()
         held = encoder.transform(part.where("role = 'validation'")).select(*ROW, "target_revenue", "revenue_roll_mean_28", "fold", "features")
-        return D.predict_quantiles(forest, D.leaf_table(leaves), held).drop("features").withColumn("kind", F.lit(kind))
+        return D.predict_quantiles(forest, table, held).drop("features").withColumn("kind", F.lit(kind))
 
     parts = D.side_by_side(one, names)
     return reduce(DataFrame.unionByName, parts)
@@ -153,11 +157,11 @@ def fold_predictions(frame: DataFrame, kind: str, n_folds: int, settings: dict |
 def out_of_fold(canonical: DataFrame, walks: int = 4, groups: int = 5, settings: dict | None = None) -> DataFrame:
     """Validation forecasts of walk-forward and grouped folds over the rows before the holdout, written to the shared folder."""
     frame = weighted_frame(canonical).where("split IN ('train', 'calibration')")
-    frame = frame.select(*dict.fromkeys([*[c for c in KEPT if c in frame.columns], *FEATURES])).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = dict.fromkeys([*[c for c in KEPT if c in frame.columns], *CATEGORICAL_FEATURES])
+    # Prepared once for all folds: nothing in these columns depends on other rows.
+    frame = stored(D.prepare(frame).select(*kept, *[f"{k}_{c}" for k in ("x", "na") for c in NUMERIC_FEATURES]), "prepared")
     both = fold_predictions(frame, "walk_forward", walks, settings).unionByName(fold_predictions(frame, "grouped", groups, settings))
-    out = stored(both, "out-of-fold")
-    frame.unpersist()
-    return out
+    return stored(both, "out-of-fold")
 
 
 def fold_report(predictions: DataFrame) -> DataFrame:
@@ -178,10 +182,11 @@ def validation_report(predictions: DataFrame) -> DataFrame:
     return per_kind.join(F.broadcast(gap))
 
 
-def choose_settings(canonical: DataFrame, settings: list[dict] | None = None, n_folds: int = 2) -> tuple[DataFrame, dict]:
+def choose_settings(canonical: DataFrame, settings: list[dict] | None = None, n_folds: int = 2, trees: int | None = None) -> tuple[DataFrame, dict]:
     """Mean pinball loss at the median of every setting over walk-forward folds of the training rows, and the best setting.
 
-    The losses of all folds and settings are a table; the winner is its arg-min, the earlier of equal settings.
+    The losses of all folds and settings are a table; the winner is its arg-min, the earlier of equal settings. With ``trees``,
+    settings are compared at that number of trees, which changes the noise of all of them alike.
     """
     settings = D.SETTINGS if settings is None else settings
     frame = weighted_frame(canonical).where("split = 'train'")
@@ -195,7 +200,7 @@ def choose_settings(canonical: DataFrame, settings: list[dict] | None = None, n_
 
     def measure(task):
         fold, i = task
-        forest, leaves = D.fit_quantile_forest(folds[fold].where("role = 'train'"), settings[i])
+        forest, leaves = D.fit_quantile_forest(folds[fold].where("role = 'train'"), settings[i] | ({"trees": trees} if trees else {}))
         held = D.predict_quantiles(forest, D.leaf_table(leaves), folds[fold].where("role = 'validation'"))
         return (fold, i, held.agg(M.pinball("target_revenue", "q50", 0.5).alias("loss")).first()["loss"])
 

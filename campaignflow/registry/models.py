@@ -62,6 +62,10 @@ def point_models(spark, sf_dir):
         "winner", "power", *rounded(2, "tweedie", "hurdle", "boosted", "blend", "best_loss"), *rounded(4, "improvement", "auc", "gamma_deviance"))
 
 
+#: Forest of the folds' queries.
+FOLD_FOREST = {"trees": 4, "depth": 6, "least": 40, "share": "onethird", "sample": 0.6}
+
+
 @query("quantile_forest")
 def quantile_forest(spark, sf_dir):
     out = T.evaluate_forest(trained_forest(spark, sf_dir))
@@ -72,7 +76,7 @@ def quantile_forest(spark, sf_dir):
 @query("forest_settings")
 def forest_settings(spark, sf_dir):
     """Median pinball loss of every setting in every fold, and the setting with the least mean."""
-    losses, best = T.choose_settings(ad_canonical(spark, sf_dir))
+    losses, best = T.choose_settings(ad_canonical(spark, sf_dir), trees=4)
     described = [(i, *(str(s[k]) for k in ("trees", "depth", "least", "share", "sample")), s == best) for i, s in enumerate(D.SETTINGS)]
     names = spark.createDataFrame(described, "setting int, trees string, depth string, least string, share string, sample string, chosen boolean")
     return losses.join(names, "setting").select("fold", "setting", "trees", "depth", "least", "share", "sample", rnd("loss", 2).alias("loss"), "chosen")
@@ -80,7 +84,8 @@ def forest_settings(spark, sf_dir):
 
 @shared
 def fold_forecasts(spark, sf_dir):
-    return T.out_of_fold(ad_canonical(spark, sf_dir))
+    # Nine forests: smaller ones than the forest in use, on all rows.
+    return T.out_of_fold(ad_canonical(spark, sf_dir), settings=FOLD_FOREST)
 
 
 @query("model_folds")
