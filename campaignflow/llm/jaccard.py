@@ -302,20 +302,20 @@ def linked(table: DataFrame, shingle: int, percent: int) -> DataFrame:
         labels = components(links.union(more))
     of_class = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = of_class.join(smallest, "component").select("cls", "component_id")
+    of_class = of_class.join(smallest, "component").select("cls", "component", "component_id")
     out = sets.select("row", "doc_id", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left")
     return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
 def representatives(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``documents``, all columns, that are their component's smallest doc_id; of rows that repeat it, the first.
+    """The rows of ``documents``, all columns, that are their component's smallest doc_id; of a component's rows that repeat it, the first.
 
-    Rows without shingles all stay.
+    Rows without shingles all stay, and so do unlinked texts that repeat a doc_id: components are told apart by their class.
     """
     table = numbered(documents)
     found = linked(table, shingle, percent)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("empty", F.when(F.col("n_shingles") == 0, F.col("row")))
-    keep = keep.groupBy("component_id", "empty").agg(F.min("row").alias("row")).select("row")
+    keep = keep.groupBy("component", "empty").agg(F.min("row").alias("row")).select("row")
     return table.join(keep, "row").select("whole.*")
 
 

@@ -277,6 +277,19 @@ def test_jaccard(docs):
         counted(got, want)
     kept = jaccard.representatives(docs)
     assert kept.columns == docs.columns
+    # One row of each component, its smallest doc_id (null last), and every row without shingles.
+    parts = collections.defaultdict(list)
+    for i, (d, _) in enumerate(own):
+        parts[find(i) if sets[i] else ("empty", i)].append((d is None, d))
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter(min(x, key=lambda y: (y[0], y[1] or 0))[1] for x in parts.values())
+
+
+def test_representatives_keep_unlinked_texts_of_one_id(spark, tmp_path):
+    rng = random.Random(8)
+    one, two, three = (prose(rng, 50) for _ in range(3))
+    spark.createDataFrame([(5, one), (5, two), (6, three), (7, one), (5, two)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = jaccard.representatives(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(5, one), (5, two), (6, three)])
 
 
 def test_components_of_a_long_chain(spark):
