@@ -51,6 +51,14 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def deleted(df: DataFrame) -> None:
+    """Gives back the folder of a ``written`` table whose last reader is done."""
+    spark = df.sparkSession
+    for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread every input bit over all 64 bits."""
     h = h ^ (h >> np.uint64(31))

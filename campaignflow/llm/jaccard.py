@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a prefix filter and hash fragments, and the components of its links.
+"""N-gram Jaccard join by vertical partitioning, and the components of its links.
 
-All shingles have one global order, rare ones first by the counts of a fixed-size sketch. Two similar sets share one of their
-first shingles in that order (at 90 %, a tenth of the set and one more): the head, from which pairs come. Apart from that
-order, shingles are dealt to fragments by their hash. Fragment sizes bound what a pair can share; pairs within the bound are
-counted fragment by fragment, each on its own, and the partial overlaps are summed per pair.
+All shingles have one global order, rare ones first by the counts of a fixed-size sketch. It is cut at its quantiles into
+fragments of finer cells. Two similar sets share one of their first shingles in that order (at 90 %, a tenth of the set and one
+more): the head, from which pairs come. Sizes and then the counts by cell bound what a pair can share; pairs within the bound
+are counted fragment by fragment, each on its own, and the partial overlaps are summed per pair.
 
 Equal sets are one class from the start. In the list of classes that share a head shingle, all are first compared with two
 leaders; only classes that are not connected by then are compared with each other. So a group of near copies costs about
@@ -29,7 +29,8 @@ FRAGMENTS, CELLS = 4, 32
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 SLICE_BYTES = 1 << 22
-LEADERS = 2
+#: Up to so many classes, of 16 bytes each, their numbers go to the texts; beyond, the texts, packed, go to them.
+BROADCAST_CLASSES = 100_000
 #: Classes of a longer list are dealt to blocks of about this many; a task compares two blocks. Shorter lists are joined.
 SHORT_LIST, BLOCK = 64, 512
 
@@ -98,9 +99,17 @@ def sketch(documents: DataFrame, shingle: int) -> np.ndarray:
     return out.ravel()
 
 
-def cell_of(value: np.ndarray) -> np.ndarray:
-    """The cell of each shingle. Fragments go by hash, not by the order of the head."""
-    return ((value >> np.uint64(20)) % np.uint64(FRAGMENTS * CELLS)).astype(np.int64)
+def cuts_of(counts: np.ndarray) -> np.ndarray:
+    """The cell of each stretch of the global order (count, hash): FRAGMENTS x CELLS of about as many shingles each."""
+    order = np.argsort(counts, kind="stable")
+    mass = np.cumsum(counts[order])
+    out = np.zeros(len(counts), np.uint8)
+    out[order] = np.maximum(mass - 1, 0) * (FRAGMENTS * CELLS) // max(1, int(mass[-1]))
+    return out
+
+
+def cell_of(value: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    return cuts[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
 
 
 SETS = "row long, doc_id long, n long, cls long, head array<long>, parts array<int>"
@@ -108,7 +117,7 @@ SETS = "row long, doc_id long, n long, cls long, head array<long>, parts array<i
 
 def set_rows(batches, shared, shingle, percent):
     """Batches of (row, doc_id, text) to each text's class, head shingles and number of shingles by cell."""
-    counts = shared.value
+    counts, cuts = shared.value
     for batch in batches:
         data, offsets = c.text_buffer(batch.column(2))
         pieces = []
@@ -121,7 +130,7 @@ def set_rows(batches, shared, shingle, percent):
             other = np.zeros(to - at, np.uint64)
             np.add.at(other, text, c.mixed(value ^ np.uint64(c.STEP)))
             cls = c.mixed(c.mixed(total) * np.uint64(c.GRAM_STEP) + other + n.astype(np.uint64))
-            parts = np.bincount(text * (FRAGMENTS * CELLS) + cell_of(value), minlength=(to - at) * FRAGMENTS * CELLS)
+            parts = np.bincount(text * (FRAGMENTS * CELLS) + cell_of(value, cuts), minlength=(to - at) * FRAGMENTS * CELLS)
             rank = counts[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             order = np.lexsort((value, rank, text))
             start = np.concatenate([[0], np.cumsum(n)])
@@ -139,16 +148,20 @@ def set_rows(batches, shared, shingle, percent):
             names=["row", "doc_id", "n", "cls", "head", "parts"])
 
 
-def segment_rows(batches, shingle):
-    """Batches of (cls, packed text) to one row per class and fragment with its shingles, 48 bits each."""
+def segment_rows(batches, shared, shingle, packed):
+    """Batches of (cls, text, which may be packed) to one row per class and fragment with its shingles, 48 bits each."""
+    _, cuts = shared.value
     for batch in batches:
         cls = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = c.unpacked_texts(batch.column(1))
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        if packed:
+            texts = c.unpacked_texts(batch.column(1))
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            data = np.frombuffer(b"".join(texts), np.uint8)
+        else:
+            data, offsets = c.text_buffer(batch.column(1))
         for at, to in slices(offsets):
             text, value = sets_of(data, offsets, at, to, shingle)
-            group = text * FRAGMENTS + cell_of(value) // CELLS
+            group = text * FRAGMENTS + cell_of(value, cuts) // CELLS
             order = np.argsort(group, kind="stable")
             group, value = group[order], value[order]
             cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
@@ -175,19 +188,41 @@ def similar(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those that are linked."""
-    a = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
-    b = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
+def sized(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of the candidate pairs (a, b), those whose sizes n_a and n_b allow a link."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}")), side)
+    return pairs.where(similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent))
+
+
+def segments_of(near: DataFrame, rows: DataFrame, classes: DataFrame, shared, shingle: int) -> DataFrame:
+    """The shingles of every class in ``near``, by fragment."""
+    wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "row"), "cls")
+    wanted = c.written(wanted, "wanted")
+    if wanted.count() <= BROADCAST_CLASSES:
+        texts = rows.select("row", "text").join(F.broadcast(wanted), "row").select("cls", "text")
+    else:
+        texts = c.packed_texts(rows.select("row", "text")).join(wanted, "row").select("cls", "packed")
+    out = texts.mapInArrow(partial(segment_rows, shared=shared, shingle=shingle, packed="packed" in texts.columns), "cls long, fragment int, shingles binary")
+    return c.written(out, "segments")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shared, shingle: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b, n_a, n_b), those that are linked; shingles are gathered only for classes whose counts by cell allow it."""
+    a = classes.select(F.col("cls").alias("a"), F.col("parts").alias("parts_a"))
+    b = classes.select(F.col("cls").alias("b"), F.col("parts").alias("parts_b"))
     most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    near = pairs.join(a, "a").where(F.col("n_a") > 0).join(b, "b").where(
-        similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent) & similar(most, F.col("n_a"), F.col("n_b"), percent))
+    near = pairs.join(a, "a").join(b, "b").where(similar(most, F.col("n_a"), F.col("n_b"), percent))
     near = c.written(near.select("a", "b", "n_a", "n_b"), "near")
+    segments = segments_of(near, rows, classes, shared, shingle)
     left = segments.select(F.col("cls").alias("a"), "fragment", F.col("shingles").alias("one"))
     right = segments.select(F.col("cls").alias("b"), "fragment", F.col("shingles").alias("two"))
     both = near.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "one", "two")
     overlap = both.mapInArrow(overlap_rows, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    return near.join(overlap, ["a", "b"]).where(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    links = near.join(overlap, ["a", "b"]).where(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    links = c.written(links, "links")
+    c.deleted(segments)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,12 +248,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across_short(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in each list, whose sizes allow a link: SHORT_LIST / 2 per row at most."""
-    sized = placed.join(classes.select("cls", "n"), "cls")
-    left = sized.select("token", F.col("cls").alias("a"), F.col("component").alias("component_a"), F.col("n").alias("n_a"))
-    right = sized.select("token", F.col("cls").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"))
-    possible = similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent)
-    return left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & possible).select("a", "b")
+    """Pairs of different components in each list, whose sizes allow a link. A list has SHORT_LIST classes at most."""
+    members = placed.join(classes.select("cls", "n"), "cls").groupBy("token").agg(F.collect_list(F.struct("cls", "component", "n")).alias("members"))
+    each = members.select(F.explode("members").alias("one"), "members")
+
+    def other(two: Column) -> Column:
+        one = F.col("one")
+        return (one["cls"] < two["cls"]) & (one["component"] != two["component"]) & similar(F.least(one["n"], two["n"]), one["n"], two["n"], percent)
+
+    return each.select(F.col("one.cls").alias("a"), F.explode(F.filter("members", other)).alias("two")).select("a", F.col("two.cls").alias("b"))
 
 
 def compared(group: pa.Table, percent: int) -> pa.Table:
@@ -270,34 +308,32 @@ def linked(table: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``joined`` of a ``numbered`` table."""
     spark = table.sparkSession
     rows = table.select("row", F.col("whole.doc_id").cast("long").alias("doc_id"), F.col("whole.text").cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(sketch(rows, shingle))
-    sets = c.written(rows.mapInArrow(partial(set_rows, shared=counts, shingle=shingle, percent=percent), SETS), "sets")
+    counts = sketch(rows, shingle)
+    shared = spark.sparkContext.broadcast((counts, cuts_of(counts)))
+    sets = c.written(rows.mapInArrow(partial(set_rows, shared=shared, shingle=shingle, percent=percent), SETS), "sets")
     some = sets.where("n > 0")
     classes = c.written(some.groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("head").alias("head")), "classes")
     postings = classes.select(F.explode("head").alias("token"), "cls")
-    listed = postings.groupBy("token").agg(
-        F.count(F.lit(1)).alias("size"), *[F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"leader{i}") for i in range(LEADERS)]).where("size > 1")
+    # Classes are hashes, so the least and the greatest of a list are any two; most lists of a group of near copies have the same.
+    listed = postings.groupBy("token").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last")
     lists = c.written(postings.join(listed, "token"), "lists")
-
-    def ordered(a: Column, b: Column, df: DataFrame) -> DataFrame:
-        return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-
-    stars = lists.select("cls", F.explode(F.array(*[f"leader{i}" for i in range(LEADERS)])).alias("leader"))
-    pairs = ordered(F.col("cls"), F.col("leader"), stars)
-    wanted = lists.select("cls").distinct().join(classes.select("cls", "row"), "cls")
-    segments = c.written(c.packed_texts(rows.select("row", "text")).join(wanted, "row").select("cls", "packed").mapInArrow(
-        partial(segment_rows, shingle=shingle), "cls long, fragment int, shingles binary"), "segments")
-    links = c.written(verified(pairs, classes, segments, percent), "links")
+    stars = lists.select("cls", F.explode(F.array("first", "last")).alias("leader")).where("cls <> leader")
+    stars = stars.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+    pairs = c.written(sized(stars, classes, percent), "pairs")
+    links = verified(pairs, rows, classes, shared, shingle, percent)
     labels = components(links)
     # Lists whose classes are in several components still: compare across components, but not what was compared.
     placed = lists.select("token", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     open_lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
     open_lists = open_lists.where("low <> high").select("token", "size")
     placed = c.written(placed.join(open_lists, "token"), "open")
+    c.deleted(lists)
     rest = across_short(placed.where(F.col("size") <= SHORT_LIST), classes, percent).union(across_long(placed.where(F.col("size") > SHORT_LIST), classes, percent))
-    rest = rest.distinct().join(pairs, ["a", "b"], "left_anti")
-    more = c.written(verified(rest, classes, segments, percent), "links")
+    # Pairs that sizes forbid are in neither side.
+    rest = c.written(sized(rest.distinct().join(pairs, ["a", "b"], "left_anti"), classes, percent), "pairs")
+    c.deleted(placed)
+    more = verified(rest, rows, classes, shared, shingle, percent)
     if not more.isEmpty():
         labels = components(links.union(more))
     of_class = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
