@@ -1,11 +1,12 @@
 """Forecast models on Spark ML: Tweedie and hurdle regressions, boosted trees, quantile forest."""
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -99,25 +100,102 @@ def floored(prediction):
     return F.greatest(F.col(prediction), F.lit(0.0))
 
 
+#: Rounds of least squares in the sweep at most, the change of coefficients that ends it, and limits of starting means and of logs.
+SWEEP_ROUNDS, SWEEP_TOLERANCE, START_MEAN, LOG_LIMIT, RIDGE = 8, 1e-4, 0.1, 30.0, 0.01
+SWEEP_ROWS = "fold int, target double, weight double, role string, core array<double>"
+
+
+def batch_inputs(batch: pa.RecordBatch) -> tuple:
+    """Fold, target, weight, role and the inputs with a leading 1 of a batch of SWEEP_ROWS."""
+    fold, target, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+    core = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return fold, target, weight, batch.column(3).to_numpy(zero_copy_only=False), np.column_stack([np.ones(len(core)), core])
+
+
+def step_sums(batches, state, powers):
+    """Sums of the next weighted least-squares step of every (fold, power) over a partition's training rows."""
+    units, coefficients = state.value
+    total: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fold, target, weight, _, x = batch_inputs(batch)
+        for f in np.unique(fold).tolist():
+            own = fold == f
+            xf, y, w = x[own], np.maximum(target[own], 0.0) / units[f], weight[own]
+            for i, power in enumerate(powers):
+                eta = np.log(np.maximum(y, START_MEAN)) if coefficients is None else np.clip(xf @ coefficients[f, i], -LOG_LIMIT, LOG_LIMIT)
+                mean = np.exp(eta)
+                work = w * mean ** (2 - power)
+                xw = xf * work[:, None]
+                sums = np.concatenate([(xw.T @ xf).ravel(), xw.T @ (eta + (y - mean) / mean), [work.sum()]])
+                total[f, i] = total[f, i] + sums if (f, i) in total else sums
+    yield from sum_rows(total)
+
+
+def added_up(batches):
+    """The sums of each (fold, power) that a partition holds, one after another."""
+    total: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for f, i, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            sums = np.frombuffer(raw)
+            total[f, i] = total[f, i] + sums if (f, i) in total else sums
+    yield from sum_rows(total)
+
+
+def sum_rows(total: dict):
+    for (f, i), sums in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([i], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["fold", "place", "sums"])
+
+
+def solved(raw: bytes) -> np.ndarray:
+    """Coefficients from the sums of a step; the ridge spares the constant."""
+    sums = np.frombuffer(raw)
+    k = int(np.sqrt(len(sums)))  # k * k + k + 1 numbers
+    square, right, weight = sums[:k * k].reshape(k, k), sums[k * k:k * k + k], sums[-1]
+    return np.linalg.solve(square + np.diag([1e-12 * weight] + [RIDGE * weight] * (k - 1)), right)
+
+
 def sweep_tweedie(folds: DataFrame, powers=TWEEDIE_POWERS) -> DataFrame:
     """Mean validation deviance per power over the walk-forward folds in ``folds`` (columns fold, role).
 
-    One fit per (fold, power), side by side. Deviances of different powers have different scales, so powers compare by
-    the deviance of power 1.5 of their forecasts.
+    All fits, one per (fold, power), advance in the same passes: each pass sums every fit's next weighted least-squares
+    step by partition, and the driver solves one small system per fit. Deviances of different powers have different
+    scales, so powers compare by the deviance of power 1.5 of their forecasts.
     """
-    ids = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    rows = folds.select("fold", "core", TARGET, WEIGHT, "role").persist()
-
-    def measure(task):
-        fold, power = task
-        part = rows.where(F.col("fold") == fold)
-        out = predict_tweedie(fit_tweedie(part.where("role = 'train'"), power), part.where("role = 'validation'"))
-        found = out.agg(tweedie_deviance(TARGET, "tweedie", power).alias("own"), tweedie_deviance(TARGET, "tweedie", 1.5).alias("common")).first()
-        return (fold, power, found["own"], found["common"])
-
-    measured = side_by_side(measure, [(f, p) for f in ids for p in powers])
-    rows.unpersist()
-    per_fold = folds.sparkSession.createDataFrame(measured, "fold int, power double, own double, common double")
+    spark, sums_type = folds.sparkSession, "fold int, place int, sums binary"
+    rows = folds.select(F.col("fold").cast("int").alias("fold"), F.col(TARGET).cast("double").alias("target"), F.col(WEIGHT).cast("double").alias("weight"),
+                        "role", vector_to_array("core").alias("core"))
+    train = rows.where("role = 'train'")
+    units = {r["fold"]: r["m"] or 1.0 for r in train.groupBy("fold").agg(F.avg("target").alias("m")).collect()}  # a row per fold
+    coefficients = None
+    for _ in range(SWEEP_ROUNDS):
+        state = spark.sparkContext.broadcast((units, coefficients))
+        sums = train.mapInArrow(partial(step_sums, state=state, powers=powers), sums_type)
+        found = sums.repartition(len(units) * len(powers), "fold", "place").mapInArrow(added_up, sums_type).collect()
+        now = {(r["fold"], r["place"]): solved(r["sums"]) for r in found}
+        change = np.inf if coefficients is None else max(np.max(np.abs(now[k] - coefficients[k]) / np.maximum(1.0, np.abs(coefficients[k]))) for k in now)
+        coefficients = now
+        if change < SWEEP_TOLERANCE:
+            break
+    state = spark.sparkContext.broadcast((units, coefficients))
+
+    def forecasts(batches):
+        units, coefficients = state.value
+        for batch in batches:
+            fold, target, _, _, x = batch_inputs(batch)
+            out = np.zeros((len(powers), len(fold)))
+            for f in np.unique(fold).tolist():
+                own = fold == f
+                for i in range(len(powers)):
+                    out[i, own] = np.exp(np.clip(x[own] @ coefficients[f, i], -LOG_LIMIT, LOG_LIMIT)) * units[f]
+            yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(target), *map(pa.array, out)], names=["fold", "target", *names])
+
+    names = [f"p{i}" for i in range(len(powers))]
+    scored = rows.where("role = 'validation'").mapInArrow(forecasts, "fold int, target double, " + ", ".join(f"{n} double" for n in names))
+    per_fold = scored.groupBy("fold").agg(F.array(*[
+        F.struct(F.lit(float(p)).alias("power"), tweedie_deviance("target", n, p).alias("own"), tweedie_deviance("target", n, 1.5).alias("common"))
+        for n, p in zip(names, powers, strict=True)]).alias("each")).select("fold", F.inline("each"))
     return per_fold.groupBy("power").agg(F.avg("own").alias("deviance"), F.avg("common").alias("common_deviance"), F.count(F.lit(1)).alias("n_folds"))
 
 

@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from campaignflow.functions import metrics as M
@@ -152,6 +153,32 @@ def test_settings_winner_is_the_arg_min(spark, frame, monkeypatch):
     assert set(table["n"]) == {2} and best == settings[int(table["setting"].iloc[0])]
 
 
+def test_sweep_equals_plain_fits(spark):
+    """Every (fold, power) of the sweep against least squares in numpy, iterated on that fold's rows alone."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = np.where(rng.random(400) < 0.3, 0.0, np.exp(x @ [0.4, -0.3, 0.1] + rng.normal(0, 0.3, 400)) * 50)
+    w = rng.uniform(0.2, 1, 400)
+    roles = [(f, "train" if i < 200 + 80 * f else "validation", i) for f in range(2) for i in range(400)]
+    data = [(f, role, Vectors.dense(x[i]), float(y[i]), float(w[i])) for f, role, i in roles]
+    folds = spark.createDataFrame(data, ["fold", "role", "core", "target_revenue", "anomaly_weight"]).repartition(5)
+    got = {r["power"]: r for r in D.sweep_tweedie(folds, [1.3, 1.5]).collect()}
+    for power in (1.3, 1.5):
+        losses = []
+        for f in range(2):
+            n = 200 + 80 * f
+            a, unit = np.column_stack([np.ones(n), x[:n]]), y[:n].mean()
+            t, beta = y[:n] / unit, None
+            for _ in range(D.SWEEP_ROUNDS):
+                eta = np.log(np.maximum(t, 0.1)) if beta is None else a @ beta
+                mu = np.exp(eta)
+                k = w[:n] * mu ** (2 - power)
+                beta = np.linalg.solve((a * k[:, None]).T @ a + 0.01 * k.sum() * np.diag([0, 1, 1, 1]), (a * k[:, None]).T @ (eta + (t - mu) / mu))
+            m, t = np.exp(np.column_stack([np.ones(400 - n), x[n:]]) @ beta) * unit, y[n:]
+            losses.append(2 * np.mean(t ** (2 - power) / ((1 - power) * (2 - power)) - t * m ** (1 - power) / (1 - power) + m ** (2 - power) / (2 - power)))
+        assert got[power]["n_folds"] == 2 and abs(got[power]["deviance"] / np.mean(losses) - 1) < 1e-3
+
+
 def test_sweep_and_point_models(spark, frame):
     labelled = frame.withColumn("split", F.when(F.col("origin_date") < F.lit(START + 250 * DAY), "train").when(F.col("origin_date") < F.lit(START + 330 * DAY), "calibration").otherwise("holdout"))
     _, rows = T.assembled(labelled, "split = 'train'")
