@@ -1,5 +1,7 @@
 """Campaign -> type -> channel -> total: coherent totals, residual bands, tree reconciliation, calibration."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from campaignflow.functions.metrics import coverage
 from campaignflow.functions.quantiles import pin_median, sort_row
 from campaignflow.functions.scalars import col, safe_ratio
 from campaignflow.schema import BANDS, QUANTILE_COLUMNS, QUANTILES, quantile_column
+from campaignflow.sources.workdir import stored
 
 TREE = ["channel", "campaign_type", "campaign_id"]
 LEVELS = ["total", "channel", "campaign_type", "campaign"]
@@ -174,37 +177,68 @@ def wls_reconcile(nodes: DataFrame, by=(), forecast="forecast", variance="varian
     return out.drop("child_m", "child_v")
 
 
-def residual_covariance(series: DataFrame, nodes: list[str], by=("horizon_days",)) -> DataFrame:
-    """Shrunk residual covariance between a short, explicit list of nodes (such as the channels).
-
-    One row per pair. The nodes become columns of one row per date, so the moments of all pairs come from a
-    single aggregation and no pair of rows is ever formed. Off-diagonal entries shrink towards 0 by an
-    intensity taken from the moments of the standardised products.
+def block_products(group: pa.Table, by: list[str]) -> pa.Table:
+    """Two blocks of nodes: each pair's mean product of standardised residuals and the variance of these products."""
+    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+    block, z = group.column("block").to_numpy(), group.column("z").to_numpy()
+    day, date = np.unique(group.column("day").to_numpy(), return_inverse=True)
+    n = len(day)
+    sides = []
+    for which in (low, high):
+        names, place = np.unique(np.array(group.column("node_id").to_pylist(), object)[block == which].astype(str), return_inverse=True)
+        dense = np.zeros((n, len(names)))
+        dense[date[block == which], place] = z[block == which]
+        sides.append((names, dense))
+    (names_a, a), (names_b, b) = sides
+    total = a.T @ b
+    spread = ((a * a).T @ (b * b) - total * total / n) / max(1, n - 1)
+    # Within one block each pair counts once.
+    i, j = np.triu_indices(len(names_a), 1) if low == high else (x.ravel() for x in np.indices(total.shape))
+    swap = names_a[i] > names_b[j]
+    first, second = np.where(swap, names_b[j], names_a[i]), np.where(swap, names_a[i], names_b[j])
+    fixed = {c: pa.array([group.column(c)[0].as_py()] * len(i), group.schema.field(c).type) for c in by}
+    return pa.table({**fixed, "node_a": pa.array(first.tolist(), pa.string()), "node_b": pa.array(second.tolist(), pa.string()),
+                     "corr": pa.array(total[i, j] / max(1, n - 1)), "spread": pa.array(spread[i, j])})
+
+
+def residual_covariance(series: DataFrame, level: str = "channel", by=("horizon_days",), block: int = 256) -> DataFrame:
+    """Shrunk residual covariance between all nodes of a level, over the dates on which every one of them has a residual.
+
+    One row per pair and per node. The nodes are dealt to blocks; two blocks meet in one task as matrices of at most
+    ``block`` nodes (on average) by the dates of the calendar. Off-diagonal entries shrink towards 0 by an intensity from
+    the moments of the standardised products. A node whose residuals never vary has covariance 0 and no part in the
+    intensity, which is 1 where no pair says anything. Without nodes there are no rows.
     """
     by = list(by)
-    wide = series.where(F.col("node_id").isin(*nodes)).groupBy(*by, "origin_date").agg(*[
-        F.sum(F.when(F.col("node_id") == n, F.col("y") - F.col("model"))).alias(f"r{i}") for i, n in enumerate(nodes)])
-    wide = wide.dropna()
-    k = range(len(nodes))
-    centre = wide.groupBy(*by).agg(*[F.avg(f"r{i}").alias(f"m{i}") for i in k], *[F.stddev_samp(f"r{i}").alias(f"s{i}") for i in k])
-    z = wide.join(centre, by).select(
-        *by, *[F.col(f"s{i}") for i in k], *[((F.col(f"r{i}") - F.col(f"m{i}")) / F.nullif(F.col(f"s{i}"), F.lit(0.0))).alias(f"z{i}") for i in k])
-    pairs = [(i, j) for i in k for j in k if i < j]
-    moments = z.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in k],
-        *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs],
-        *[F.var_samp(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"v{i}_{j}") for i, j in pairs])
+    own = series.where(F.col("level") == level).select(*by, "origin_date", "node_id", (F.col("y") - F.col("model")).alias("r")).dropna(subset=["r"])
+    expected = own.groupBy(*by).agg(F.count_distinct("node_id").alias("n_nodes"))
+    full = own.groupBy(*by, "origin_date").agg(F.count(F.lit(1)).alias("n_present")).join(expected, by).where("n_present = n_nodes")
+    # Read by the moments and by the pairs.
+    aligned = stored(own.join(full.select(*by, "origin_date", "n_nodes"), [*by, "origin_date"]), "aligned")
+    moments = aligned.groupBy(*by, "node_id").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
+    blocks = F.ceil(F.col("n_nodes") / block).cast("int")
+    z = aligned.join(moments, [*by, "node_id"]).select(
+        *by, "node_id", F.unix_date("origin_date").alias("day"), F.pmod(F.xxhash64("node_id"), blocks).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"), F.coalesce((F.col("r") - F.col("m")) / F.nullif("s", F.lit(0.0)), F.lit(0.0)).alias("z"))
+    met = z.select(*by, F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node_id", "day", "z")
+
+    def products(group: pa.Table) -> pa.Table:
+        return block_products(group, by)
+
+    kinds = dict(series.dtypes)
+    shape = ", ".join([*(f"{c} {kinds[c]}" for c in by), "node_a string, node_b string, corr double, spread double"])
+    pairs = stored(met.groupBy(*by, "low", "high").applyInArrow(products, shape), "pairs")
+    n_days = moments.groupBy(*by).agg(F.max("n").alias("n"))
     n = F.col("n")
-    corr = {(i, j): F.col(f"p{i}_{j}") / (n - 1) for i, j in pairs}
-    noise = sum((F.col(f"v{i}_{j}") * n * n / F.pow(n - 1, F.lit(3.0)) for i, j in pairs), F.lit(0.0))
-    signal = sum((F.pow(c, F.lit(2.0)) for c in corr.values()), F.lit(0.0))
-    shrunk = moments.withColumn("shrinkage", F.least(F.greatest(F.coalesce(noise / F.nullif(signal, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)), F.lit(1.0)))
-    cells = [F.struct(F.lit(nodes[i]).alias("node_a"), F.lit(nodes[i]).alias("node_b"),
-                      F.pow(F.col(f"s{i}"), F.lit(2.0)).alias("covariance")) for i in k]
-    cells += [F.struct(F.lit(nodes[i]).alias("node_a"), F.lit(nodes[j]).alias("node_b"),
-                       ((1 - F.col("shrinkage")) * c * F.col(f"s{i}") * F.col(f"s{j}")).alias("covariance"))
-              for (i, j), c in corr.items()]
-    return shrunk.select(*by, "n", "shrinkage", F.explode(F.array(*cells)).alias("c")).select(*by, "n", "shrinkage", "c.*")
+    noise, signal = F.sum(F.col("spread") * n * n / F.pow(n - 1, F.lit(3.0))), F.sum(F.col("corr") * F.col("corr"))
+    weights = pairs.join(n_days, by).groupBy(*by).agg((noise / F.nullif(signal, F.lit(0.0))).alias("ratio"))
+    shrinkage = F.least(F.greatest(F.coalesce("ratio", F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    shrunk = n_days.join(weights, by, "left").select(*by, "n", shrinkage.alias("shrinkage"))
+    spread = {side: moments.select(*by, F.col("node_id").alias(f"node_{side}"), F.col("s").alias(f"s_{side}")) for side in ("a", "b")}
+    off = pairs.join(spread["a"], [*by, "node_a"]).join(spread["b"], [*by, "node_b"]).select(*by, "node_a", "node_b", "corr", F.expr("s_a * s_b").alias("scale"))
+    own_variance = moments.select(*by, F.col("node_id").alias("node_a"), F.col("node_id").alias("node_b"), F.lit(None).cast("double").alias("corr"), F.expr("s * s").alias("scale"))
+    return off.unionByName(own_variance).join(shrunk, by).select(
+        *by, "n", "shrinkage", "node_a", "node_b", F.when(F.col("corr").isNull(), F.col("scale")).otherwise((1 - F.col("shrinkage")) * F.col("corr") * F.col("scale")).alias("covariance"))
 
 
 def share_of_parent(nodes: DataFrame, value: str, by=("horizon_days",)) -> DataFrame:

@@ -40,10 +40,10 @@ def history(spark, sf_dir):
 
 
 @query("hierarchy_rollup", with_ctes(f"""
-SELECT horizon_days, {sql_iso('origin_date', 'origin_day')}, node_id, level, {sql_rounded(4, 'y', 'model')} FROM node_series WHERE level <> 'campaign'""",
+SELECT horizon_days, {sql_iso('origin_date', 'origin_day')}, node_id, level, {sql_rounded(4, 'y', 'model')} FROM node_series""",
     *SPLIT, "node_series"))
 def hierarchy_rollup(spark, sf_dir):
-    s = H.node_series(history(spark, sf_dir)).where("level <> 'campaign'")
+    s = H.node_series(history(spark, sf_dir))
     return s.select("horizon_days", iso("origin_date", "origin_day"), "node_id", "level", *rounded(4, "y", "model"))
 
 
@@ -116,8 +116,13 @@ def method_counts(spark, sf_dir):
     return reconciled(spark, sf_dir).groupBy("horizon_days", "level", "method").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-@query("coherence_error", with_ctes(
-    "SELECT horizon_days, count(*) FILTER (level <> 'campaign') AS n_parents, true AS coherent FROM live_bands GROUP BY ALL", *LIVE))
+CTES["child_sums"] = """
+SELECT horizon_days, regexp_replace(node_id, '/[^/]*$', '') AS node_id, sum(reconciled_median) AS child_sum FROM live_bands WHERE level <> 'total' GROUP BY ALL"""
+
+
+@query("coherence_error", with_ctes("""
+SELECT b.horizon_days, count(*) AS n_parents, max(abs(reconciled_median - child_sum)) < 1e-4 AS coherent
+FROM live_bands b JOIN child_sums c ON c.horizon_days = b.horizon_days AND c.node_id = b.node_id GROUP BY ALL""", *LIVE, "child_sums"))
 def coherence_error(spark, sf_dir):
     e = H.coherence_error(reconciled(spark, sf_dir))
     return e.select("horizon_days", "n_parents", (F.col("max_abs_error") < 1e-4).alias("coherent"))
@@ -197,25 +202,25 @@ def wls_reconcile(spark, sf_dir):
     return out.select("node_id", rnd("reconciled", 2).alias("reconciled"))
 
 
-CHANNEL_NODES = ["total/partner_net", "total/search_net", "total/social_net"]
-_p = [(0, 1), (0, 2), (1, 2)]
-CTES["cov_wide"] = f"""
-SELECT horizon_days, origin_date, {", ".join(f"sum(y - model) FILTER (node_id = '{n}') AS r{i}" for i, n in enumerate(CHANNEL_NODES))}
-FROM node_series WHERE level = 'channel' GROUP BY ALL HAVING r0 IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL"""
-CTES["cov_z"] = f"""
-SELECT horizon_days, {", ".join(f"stddev_samp(r{i}) OVER h AS s{i}, (r{i} - avg(r{i}) OVER h) / stddev_samp(r{i}) OVER h AS z{i}" for i in range(3))}
-FROM cov_wide WINDOW h AS (PARTITION BY horizon_days)"""
-CTES["cov_m"] = f"""
-SELECT horizon_days, count(*) AS n, {", ".join(f"any_value(s{i}) AS s{i}" for i in range(3))},
- {", ".join(f"sum(z{i} * z{j}) / (count(*) - 1) AS c{i}{j}, var_samp(z{i} * z{j}) AS v{i}{j}" for i, j in _p)} FROM cov_z GROUP BY ALL"""
-CTES["cov_s"] = """SELECT *, least(1, greatest(0, (v01 + v02 + v12) * n * n / pow(n - 1, 3) / (c01 * c01 + c02 * c02 + c12 * c12))) AS shrinkage FROM cov_m"""
-
-
-@query("residual_covariance", with_ctes(" UNION ALL ".join(
-    [f"SELECT horizon_days, '{CHANNEL_NODES[i]}' AS node_a, '{CHANNEL_NODES[i]}' AS node_b, n, {sql_rnd('shrinkage', 6)} AS shrinkage, {sql_rnd(f's{i} * s{i} / 1e6', 4)} AS covariance_m FROM cov_s" for i in range(3)]
-    + [f"SELECT horizon_days, '{CHANNEL_NODES[i]}', '{CHANNEL_NODES[j]}', n, {sql_rnd('shrinkage', 6)}, {sql_rnd(f'(1 - shrinkage) * c{i}{j} * s{i} * s{j} / 1e6', 4)} FROM cov_s" for i, j in _p]),
-    *SPLIT, "node_series", "cov_wide", "cov_z", "cov_m", "cov_s"))
+CTES["cov_z"] = """
+SELECT s.horizon_days, s.origin_date, node_id, stddev_samp(y - model) OVER h AS s,
+       coalesce((y - model - avg(y - model) OVER h) / nullif(stddev_samp(y - model) OVER h, 0), 0) AS z
+FROM node_series s JOIN joint j ON j.horizon_days = s.horizon_days AND j.origin_date = s.origin_date WHERE level = 'channel'
+WINDOW h AS (PARTITION BY s.horizon_days, node_id)"""
+CTES["cov_p"] = """
+SELECT a.horizon_days, a.node_id AS node_a, b.node_id AS node_b, count(*) AS n, any_value(a.s) * any_value(b.s) AS scale,
+       sum(a.z * b.z) / (count(*) - 1) AS c, var_samp(a.z * b.z) AS v
+FROM cov_z a JOIN cov_z b ON a.horizon_days = b.horizon_days AND a.origin_date = b.origin_date AND a.node_id <= b.node_id GROUP BY ALL"""
+CTES["cov_s"] = """
+SELECT horizon_days, least(1, greatest(0, coalesce(sum(v * n * n / pow(n - 1, 3)) FILTER (node_a < node_b) / nullif(sum(c * c) FILTER (node_a < node_b), 0), 1))) AS shrinkage
+FROM cov_p GROUP BY ALL"""
+
+
+@query("residual_covariance", with_ctes(f"""
+SELECT p.horizon_days, node_a, node_b, n, {sql_rnd('shrinkage', 6)} AS shrinkage,
+       {sql_rnd('CASE WHEN node_a = node_b THEN scale ELSE (1 - shrinkage) * c * scale END / 1e6', 4)} AS covariance_m
+FROM cov_p p JOIN cov_s s ON s.horizon_days = p.horizon_days""", *SPLIT, "node_series", "joint", "cov_z", "cov_p", "cov_s"))
 def residual_covariance(spark, sf_dir):
-    c = H.residual_covariance(H.node_series(history(spark, sf_dir)), CHANNEL_NODES)
+    c = H.residual_covariance(H.node_series(history(spark, sf_dir)))
     return c.select("horizon_days", "node_a", "node_b", "n", rnd("shrinkage", 6).alias("shrinkage"),
                     rnd(F.col("covariance") / 1e6, 4).alias("covariance_m"))

@@ -216,8 +216,30 @@ def test_tree_solution_equals_dense_least_squares(spark):
 
 def test_residual_covariance_shrinks_towards_the_diagonal(spark):
     s = H.node_series(spark.createDataFrame(tree_rows(200, 3), SCHEMA))
-    out = pdf(H.residual_covariance(s, ["total/a", "total/b"])).set_index(["node_a", "node_b"])
+    out = pdf(H.residual_covariance(s)).set_index(["node_a", "node_b"])
     wide = pdf(s).assign(r=lambda d: d["y"] - d["model"]).pivot(index="origin_date", columns="node_id", values="r")
     assert out.loc[("total/a", "total/a"), "covariance"] == pytest.approx(wide["total/a"].var())
     raw = wide["total/a"].cov(wide["total/b"])
     assert abs(out.loc[("total/a", "total/b"), "covariance"]) <= abs(raw) and 0 <= out["shrinkage"].iloc[0] <= 1
+
+
+def test_residual_covariance_of_many_nodes_equals_numpy(spark):
+    """Forty campaigns in blocks of about seven, one that never varies, one date that a campaign misses."""
+    rng = np.random.default_rng(5)
+    r = rng.normal(0, 1, (30, 40)) @ rng.normal(0, 1, (40, 40)) * 10
+    r[:, 7] = 3.0
+    rows = [(30, START + d * DAY, f"n{k:02d}", "campaign", float(r[d, k]) + 100, 100.0) for d in range(30) for k in range(40) if (d, k) != (4, 11)]
+    series = spark.createDataFrame(rows, "horizon_days int, origin_date date, node_id string, level string, y double, model double").repartition(3)
+    out = pdf(H.residual_covariance(series, "campaign", block=7))
+    assert len(out) == 40 * 41 // 2 and set(out["n"]) == {29} and (out["node_a"] <= out["node_b"]).all()
+    own = np.delete(r, 4, axis=0)
+    s, n = own.std(axis=0, ddof=1), 29
+    z = np.where(s > 1e-9, (own - own.mean(axis=0)) / np.where(s > 1e-9, s, 1), 0)
+    i, j = np.triu_indices(40, 1)
+    products = z[:, i] * z[:, j]
+    corr = products.sum(axis=0) / (n - 1)
+    shrink = min(1, max(0, (products.var(axis=0, ddof=1) * n * n / (n - 1) ** 3).sum() / (corr ** 2).sum()))
+    want = {(f"n{a:02d}", f"n{b:02d}"): (1 - shrink) * c * s[a] * s[b] for a, b, c in zip(i, j, corr)} | {(f"n{a:02d}",) * 2: s[a] ** 2 for a in range(40)}
+    got = {(a, b): c for a, b, c in zip(out["node_a"], out["node_b"], out["covariance"])}
+    assert got.keys() == want.keys() and out["shrinkage"].iloc[0] == pytest.approx(shrink)
+    assert all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want)
