@@ -13,6 +13,9 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Accepted date formats after ISO.
 DATE_FORMATS = ["M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "MMM d, yyyy"]
 BLANK_TYPES = ["", "nan", "None"]
+NUMERIC_FIELDS = ["spend", "revenue", "conversions", "clicks", "impressions", "reach", "video_views", "daily_budget"]
+# Fixed value: share of filled cells that may fail to parse before a warning.
+WARN_SHARE = 0.02
 
 
 def clean_number(c) -> Column:
@@ -70,26 +73,36 @@ def parse_report(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
                  F.col(f"e_{f}").alias("example")) for f in columns])
     return raw.agg(*aggs).select("n_total", F.explode(cells).alias("c")).select(
         "c.field", "n_total", "c.n_nonempty", "c.n_failed", "c.example",
-        (F.col("c.n_failed") > F.col("c.n_nonempty") * 0.02).alias("warn_unparsed"),
+        (F.col("c.n_failed") > F.col("c.n_nonempty") * WARN_SHARE).alias("warn_unparsed"),
         ((F.col("c.n_nonempty") == 0) & (F.col("n_total") > 0)).alias("warn_all_blank"))
 
 
-def to_canonical(raw: DataFrame, mapping: dict[str, str], source: str, channel: str | None = None) -> DataFrame:
+#: Columns that ``to_canonical`` adds with ``checks``: file, place, missing id, and which numeric cells are filled and cannot be read.
+CHECKS = ("source_file", "row_order", "blank_id", "filled", "failed")
+
+
+def checked_fields(mapping: dict[str, str]) -> list[str]:
+    """Numeric fields of a mapping, in the order of ``filled`` and ``failed``."""
+    return [f for f in NUMERIC_FIELDS if f in mapping.values()]
+
+
+def to_canonical(raw: DataFrame, mapping: dict[str, str], source: str | None, channel: str | Column | None = None, checks: bool = False) -> DataFrame:
     """Project a raw frame through ``mapping`` (raw column -> field) onto the canonical columns.
 
     Rows without a parseable date are dropped. A field the file lacks is NULL everywhere; a blank cell of a
-    field it has counts as 0, except the budget. Without revenue, conversions stand in for it.
+    field it has counts as 0, except the budget. Without revenue, conversions stand in for it. Without ``source`` the file's name
+    is in ``source_name``. With ``checks`` all rows stay, and columns say what is wrong with each.
     """
     by_field = {field: raw_col for raw_col, field in mapping.items()}
 
     def number(field: str) -> Column:
         c = by_field[field]
-        quoted = F.col(f"`{c}`")
+        quoted = text(field)
         divisor = UNIT_DIVISORS.get(plain(c))
         return clean_number(quoted) / divisor if divisor else clean_number(quoted)
 
     def text(field: str) -> Column:
-        return F.col(f"`{by_field[field]}`").cast("string")
+        return F.col("`" + by_field[field].replace("`", "``") + "`").cast("string")
 
     def activity(field: str) -> Column:
         return F.coalesce(number(field), F.lit(0.0))
@@ -97,12 +110,12 @@ def to_canonical(raw: DataFrame, mapping: dict[str, str], source: str, channel:
     missing = F.lit(None).cast("double")
     ident = text("campaign_id")
     name = F.coalesce(text("campaign_name"), F.lit("nan")) if "campaign_name" in by_field else ident
-    if channel:
-        owner = F.lit(channel)
-    elif "channel" in by_field:
-        owner = F.lower(text("channel"))
+    stem = F.lit(os.path.splitext(source)[0].lower()) if source is not None else F.lower(F.regexp_replace("source_name", r"(?<=.)\.[^.]*$", ""))
+    fallback = F.lower(text("channel")) if "channel" in by_field else stem
+    if isinstance(channel, Column):
+        owner = F.when(channel.isNotNull(), channel).otherwise(fallback)
     else:
-        owner = F.lit(os.path.splitext(source)[0].lower())
+        owner = F.lit(channel) if channel else fallback
     kind = campaign_type(text("campaign_type"), name) if "campaign_type" in by_field else infer_type(name)
     columns = {
         "channel": owner,
@@ -116,8 +129,49 @@ def to_canonical(raw: DataFrame, mapping: dict[str, str], source: str, channel:
     }
     for field in ("conversions", "clicks", "impressions", "reach", "video_views"):
         columns[field] = activity(field) if field in by_field else missing
-    extra = [c for c in ("row_order",) if c in raw.columns]
-    return raw.select(*[columns[c].alias(c) for c in CANONICAL], *extra).where(F.col("date").isNotNull())
+    if not checks:
+        extra = [c for c in ("row_order",) if c in raw.columns]
+        return raw.select(*[columns[c].alias(c) for c in CANONICAL], *extra).where(F.col("date").isNotNull())
+    fields = checked_fields(mapping)
+    filled = [is_filled(text(f)) for f in fields]
+    failed = [x & number(f).isNull() for f, x in zip(fields, filled, strict=True)]
+    blank = F.coalesce(F.trim(ident), F.lit("")).isin(BLANK_TYPES)
+    return raw.select(
+        *[columns[c].alias(c) for c in CANONICAL], "source_file", "row_order", blank.alias("blank_id"),
+        F.array(*[x.cast("int") for x in filled]).alias("filled"), F.array(*[x.cast("int") for x in failed]).alias("failed"))
+
+
+def file_report(checked: DataFrame, described: DataFrame) -> DataFrame:
+    """Per file of ``described``: rows, campaigns, days, dropped dates, blank ids, unclassified rows, parse failures and warnings.
+
+    ``checked`` has the columns of ``CHECKS``; ``described`` is a row per file with its mapping and the names of its numeric fields.
+    A file in which no row has a date gets an error.
+    """
+    dated = F.col("date").isNotNull()
+    at = range(len(NUMERIC_FIELDS))
+    counts = checked.groupBy(F.col("source_file").alias("file")).agg(
+        F.count_if(dated).alias("n_rows"), F.count_if(~dated).alias("n_dropped"),
+        F.count_distinct(F.when(dated, F.col("campaign_id"))).alias("n_campaigns"),
+        F.min(F.when(dated, F.col("channel"))).alias("channel"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.count_if(F.col("blank_id")).alias("n_blank_ids"), F.count_if(dated & (F.lower("campaign_type") == UNCLASSIFIED)).alias("n_unclassified"),
+        F.array(*[F.coalesce(F.sum(F.get("filled", F.lit(i))), F.lit(0)) for i in at]).alias("filled"),
+        F.array(*[F.coalesce(F.sum(F.get("failed", F.lit(i))), F.lit(0)) for i in at]).alias("failed"))
+    fields = F.transform("fields", lambda f, i: F.struct(f.alias("field"), F.get("filled", i).alias("n_nonempty"), F.get("failed", i).alias("n_failed")))
+    joined = described.join(counts, "file", "left").withColumn("parsed", fields)
+    n_all = F.col("n_rows") + F.col("n_dropped")
+    unreadable = F.filter("parsed", lambda p: p["n_failed"] > p["n_nonempty"] * WARN_SHARE)
+    empty = F.filter("parsed", lambda p: (p["n_nonempty"] == 0) & (n_all > 0))
+    warnings = F.concat(
+        F.transform(unreadable, lambda p: F.format_string("%s: %d of %d cells are not numbers", p["field"], p["n_failed"], p["n_nonempty"])),
+        F.transform(empty, lambda p: F.concat(p["field"], F.lit(": no cell is filled"))),
+        F.when(F.col("n_dropped") > 0, F.array(F.format_string("%d rows without a date dropped", "n_dropped"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("n_blank_ids") > 0, F.array(F.format_string("%d rows without a campaign id", "n_blank_ids"))).otherwise(F.array().cast("array<string>")))
+    undated = F.when(F.coalesce("n_rows", F.lit(0)) == 0, F.lit("no row has a date that can be read"))
+    count = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_rows", "n_dropped", "n_campaigns", "n_blank_ids", "n_unclassified")}
+    return joined.select(
+        F.col("name").alias("source"), "channel", F.coalesce("error", undated).alias("error"), *count.values(), "first_date", "last_date",
+        "mapped", "fuzzy", "ignored", "rejected", "missing", "revenue_confidence", "parsed",
+        F.coalesce(warnings, F.array().cast("array<string>")).alias("warnings"))
 
 
 def missing_fields(mapping: dict[str, str]) -> list[str]:
