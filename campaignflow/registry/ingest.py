@@ -8,7 +8,9 @@ from campaignflow.operators import validation as V
 from campaignflow.registry.base_sql import CTES, with_ctes
 from campaignflow.registry.core import iso, query, rnd, rounded, sql_iso, sql_rnd, sql_rounded
 from campaignflow.schema import ALIASES, CHANNEL_GLOBS, TYPE_PATTERNS
+from campaignflow.sources.files import ingest_directory
 from campaignflow.sources.fixtures import ad_canonical, table
+from campaignflow.sources.workdir import scratch
 
 # Header words for catalogues derived from the order lines: true aliases, near misses and junk.
 HEADERS = ["CampaignId", "Camp_Nm", "TimePeriod", "Cost_Local", "Ad_Spend_USD", "Revenue", "Conv Count", "Clicks", "cpc", "ctr",
@@ -187,6 +189,53 @@ def schema_report(spark, sf_dir):
                     "null_daily_budget", "null_conversions", "null_reach")
 
 
+def ingested_exports(spark, sf_dir):
+    """The three vendor exports written as CSV files, with blank ids and line breaks in quoted cells, and read back by ``ingest_directory``."""
+    path = scratch(spark, "exports")
+    for flag, layout in (("A", "google"), ("N", "meta"), ("R", "bing")):
+        ident = next(c for c, f in LAYOUTS[layout].items() if f == "campaign_id")
+        frame = vendor_frame(spark, sf_dir, flag, layout).withColumns({
+            ident: F.when(F.col(ident).endswith("3"), "").otherwise(F.col(ident)), "channel": F.lit(layout.upper()),
+            "notes": F.concat(F.lit('first line, "'), F.col(ident), F.lit('"\n\nlast "line'))})
+        # A campaign stays in one file, so that campaigns counted per file add up.
+        frame.repartition(ident).write.options(
+            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{layout}")
+    return ingest_directory(spark, f"{path}/*")
+
+
+CTES["exported"] = """
+SELECT c.*, v.channel, l_partkey % 7 <> 3 AS dated, CASE WHEN l_suppkey % 10 = 3 THEN 'nan' ELSE CAST(l_suppkey AS VARCHAR) END AS ident,
+       CASE WHEN l_returnflag = 'N' THEN 'brand' WHEN l_linestatus = 'F' THEN CASE WHEN l_returnflag = 'A' THEN 'brand' ELSE 'unclassified' END ELSE l_linestatus END AS campaign_type
+FROM cleaned c JOIN (VALUES ('A', 'google'), ('N', 'meta'), ('R', 'bing')) v(flag, channel) ON flag = l_returnflag"""
+EXPORTED = ("dirty", "cleaned", "exported")
+
+
+@query("csv_ingest", with_ctes(f"""
+SELECT channel, channel || '::' || ident AS campaign_id, {sql_iso('CAST(l_shipdate AS DATE)', 'day')}, campaign_type, count(*) AS n_rows,
+       {sql_rnd("sum(CASE l_returnflag WHEN 'A' THEN l_extendedprice ELSE greatest(coalesce(value, 0), 0) END)")} AS spend,
+       {sql_rnd('sum(greatest(coalesce(value, 0), 0))')} AS revenue, {sql_rnd('sum(l_quantity)')} AS clicks
+FROM exported WHERE dated GROUP BY ALL""", *EXPORTED))
+def csv_ingest(spark, sf_dir):
+    data, _ = ingested_exports(spark, sf_dir)
+    return data.groupBy("channel", "campaign_id", iso("date", "day"), "campaign_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), *[rnd(F.sum(c)).alias(c) for c in ("spend", "revenue", "clicks")])
+
+
+@query("csv_report", with_ctes(f"""
+SELECT channel, count(*) FILTER (dated) AS n_rows, count(*) FILTER (NOT dated) AS n_dropped, count(DISTINCT ident) FILTER (dated) AS n_campaigns,
+       {sql_iso('min(CAST(l_shipdate AS DATE)) FILTER (dated)', 'first_day')}, {sql_iso('max(CAST(l_shipdate AS DATE)) FILTER (dated)', 'last_day')},
+       count(*) FILTER (ident = 'nan') AS n_blank_ids, count(*) FILTER (dated AND campaign_type = 'unclassified') AS n_unclassified,
+       count(*) FILTER (channel = 'google' OR trim(amount) <> '') AS spend_cells, count(*) FILTER (channel <> 'google' AND trim(amount) <> '' AND value IS NULL) AS spend_failed
+FROM exported GROUP BY channel""", *EXPORTED))
+def csv_report(spark, sf_dir):
+    _, report = ingested_exports(spark, sf_dir)
+    spend = F.filter("parsed", lambda p: p["field"] == "spend")[0]
+    return report.where("error IS NULL").groupBy("channel").agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_dropped", "n_campaigns")], iso(F.min("first_date"), "first_day"), iso(F.max("last_date"), "last_day"),
+        F.sum("n_blank_ids").alias("n_blank_ids"), F.sum("n_unclassified").alias("n_unclassified"),
+        F.sum(spend["n_nonempty"]).alias("spend_cells"), F.sum(spend["n_failed"]).alias("spend_failed"))
+
+
 @query("schema_violations", with_ctes("""
 SELECT * FROM (""" + " UNION ALL ".join(
     [f"SELECT 'not_null' AS rule, '{c}' AS field, count(*) FILTER ({c} IS NULL) AS n_failures FROM v" for c in V.NOT_NULL]
