@@ -26,7 +26,9 @@ SINGLE, SHARED = 40, 22
 SYMBOLS = 50_259
 #: Pieces in which the embeddings of a partition are averaged.
 SHARDS = 16
-EPOCHS, BATCH, RATE = 3, 32, 0.01
+EPOCHS, BATCH, RATE = 3, 128, 0.01
+#: Ids that a task lays out at a time, and one text at least; windows are shuffled among them.
+PIECE_IDS = 1 << 17
 #: Words that make up at least this share of the training text are looked up in a broadcast table of 1 / share rows at
 #: most; the others are joined.
 FREQUENT_SHARE = 1e-6
@@ -78,8 +80,8 @@ def laid_out(lists: list[np.ndarray], end: int, pad: int, begin: int):
     lead = SPAN - STRIDE
     counts = np.array([-(-(len(x) + 1) // STRIDE) for x in lists], np.int64)
     starts = np.concatenate([[0], np.cumsum(counts * STRIDE + lead)])
-    inputs = np.full(int(starts[-1]), pad, np.int64)
-    target = np.full(int(starts[-1]), -1, np.int64)
+    inputs = np.full(int(starts[-1]), pad, np.int32)
+    target = np.full(int(starts[-1]), -1, np.int32)
     for x, at in zip(lists, starts.tolist(), strict=False):
         at += lead
         inputs[at] = begin
@@ -159,36 +161,46 @@ def attended(q: np.ndarray, k: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def gradients(p: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, pad: int):
     """Mean loss in nats of the targets that are not -1, the symbols read and the gradient of their embeddings, and that of all other weights."""
-    lead = SPAN - STRIDE
+    lead, n_windows = SPAN - STRIDE, len(symbols)
+    # Products with weights run over all places of all windows at once.
     x = p["embed"][symbols] + p["place"]
-    q, k, v = x[:, lead:] @ p["query"], x @ p["key"], x @ p["value"]
+    every, last = x.reshape(-1, WIDTH), x[:, lead:].reshape(-1, WIDTH)
+
+    def by_window(flat):
+        return flat.reshape(n_windows, -1, WIDTH)
+
+    q, k, v = by_window(last @ p["query"]), by_window(every @ p["key"]), by_window(every @ p["value"])
     a = attended(q, k, symbols != pad)
-    av = a @ v
-    h = x[:, lead:] + av @ p["mix"]
-    logits = h @ p["out"] + p["bias"]
-    logits -= logits.max(axis=2, keepdims=True)
-    prob = np.exp(logits)
-    prob /= prob.sum(axis=2, keepdims=True)
-    real = target >= 0
+    av = (a @ v).reshape(-1, WIDTH)
+    h = last + av @ p["mix"]
+    logits = h @ p["out"]
+    logits += p["bias"]
+    logits -= logits.max(axis=1, keepdims=True)
+    prob = np.exp(logits, out=logits)
+    prob /= prob.sum(axis=1, keepdims=True)
+    which = target.ravel()
+    real = which >= 0
     n = max(1, int(real.sum()))
-    which = np.where(real, target, 0)[:, :, None]
-    loss = -np.log(np.take_along_axis(prob, which, 2)[:, :, 0][real] + 1e-30).sum() / n
+    at, right = np.arange(len(which)), np.where(real, which, 0)
+    loss = -np.log(prob[at, right][real] + 1e-30).sum() / n
     d = prob
-    np.put_along_axis(d, which, np.take_along_axis(d, which, 2) - 1, 2)
-    d *= (real / n).astype(np.float32)[:, :, None]
-    g = {"out": np.tensordot(h, d, ((0, 1), (0, 1))), "bias": d.sum(axis=(0, 1))}
+    d[at, right] -= 1
+    d *= (real / n).astype(np.float32)[:, None]
+    g = {"out": h.T @ d, "bias": d.sum(axis=0)}
     dh = d @ p["out"].T
-    g["mix"] = np.tensordot(av, dh, ((0, 1), (0, 1)))
-    dav = dh @ p["mix"].T
-    dv = a.transpose(0, 2, 1) @ dav
-    da = dav @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH ** -0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["query"] = np.tensordot(x[:, lead:], dq, ((0, 1), (0, 1)))
-    g["key"] = np.tensordot(x, dk, ((0, 1), (0, 1)))
-    g["value"] = np.tensordot(x, dv, ((0, 1), (0, 1)))
-    dx = dk @ p["key"].T + dv @ p["value"].T
-    dx[:, lead:] += dh + dq @ p["query"].T
+    g["mix"] = av.T @ dh
+    dav = by_window(dh @ p["mix"].T)
+    dv = (a.transpose(0, 2, 1) @ dav).reshape(-1, WIDTH)
+    ds = dav @ v.transpose(0, 2, 1)
+    ds -= (ds * a).sum(axis=2, keepdims=True)
+    ds *= a
+    ds *= np.float32(WIDTH ** -0.5)
+    dq, dk = (ds @ k).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+    g["query"] = last.T @ dq
+    g["key"] = every.T @ dk
+    g["value"] = every.T @ dv
+    dx = by_window(dk @ p["key"].T + dv @ p["value"].T)
+    dx[:, lead:] += by_window(dh + dq @ p["query"].T)
     g["place"] = dx.sum(axis=0)
     order = np.argsort(symbols, axis=None, kind="stable")
     read = symbols.ravel()[order]
@@ -237,12 +249,25 @@ def trained(flat: np.ndarray, symbols: np.ndarray, target: np.ndarray, pad: int)
     return adam.flat
 
 
+def pieces(lists: list[np.ndarray]):
+    """Consecutive lists of about PIECE_IDS ids together, so that what a step reads does not grow with an Arrow batch."""
+    at, ids = 0, 0
+    for i, x in enumerate(lists):
+        if i > at and ids + len(x) > PIECE_IDS:
+            yield lists[at:i]
+            at, ids = i, 0
+        ids += len(x) + 1
+    if at < len(lists):
+        yield lists[at:]
+
+
 def epoch_of(batches, begin: np.ndarray, v: Vocabulary, epoch: int) -> tuple[Adam, int]:
     """One epoch of Adam over all windows of all texts in batches of lists of ids, and the number of windows."""
     adam, n = Adam(begin), 0
-    for lists in batches:
+    class_of = np.append(v.of, -1).astype(np.int32)  # the target -1 takes the last entry
+    for lists in (some for batch in batches for some in pieces(batch)):
         inputs, target, first, _ = laid_out(lists, v.end, v.pad, v.begin)
-        classes = np.where(target >= 0, v.of[target], -1)
+        classes = class_of[target]
         first = np.random.default_rng(epoch).permutation(first)
         for at in range(0, len(first), BATCH):
             adam.learn(*cut(inputs, classes, first[at:at + BATCH]), v.pad)
