@@ -288,6 +288,17 @@ def across_long(placed: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return whole.groupBy("token", "low", "high").applyInArrow(c.per_group(compared, percent=percent), "a long, b long")
 
 
+def ordered(one: str, two: str, pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
+
+
+def still_open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the lists whose classes are in several components, with each class's component and the list's size."""
+    placed = lists.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    return c.written(placed.join(several.where("low <> high").select("token", "size"), "token"), "open")
+
+
 def numbered(documents: DataFrame) -> DataFrame:
     """Row number and all columns (``whole``), written once: every later job reads the numbers and none counts again."""
     whole = F.struct(*[F.col(f"`{x}`") for x in documents.columns]).alias("whole")
@@ -318,17 +329,27 @@ def linked(table: DataFrame, shingle: int, percent: int) -> DataFrame:
     # Classes are hashes, so the least and the greatest of a list are any two; most lists of a group of near copies have the same.
     listed = postings.groupBy("token").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last")
     lists = c.written(postings.join(listed, "token"), "lists")
-    stars = lists.select("cls", F.explode(F.array("first", "last")).alias("leader")).where("cls <> leader")
-    stars = stars.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
-    pairs = c.written(sized(stars, classes, percent), "pairs")
+    # At first each class meets one leader only, that with which it shares most lists: no more pairs than classes.
+    shared_lists = lists.select("cls", F.explode(F.array("first", "last")).alias("leader")).where("cls <> leader").groupBy("cls", "leader").count()
+    best = shared_lists.groupBy("cls").agg(F.max(F.struct("count", "leader"))["leader"].alias("leader"))
+    pairs = c.written(sized(ordered("cls", "leader", best).distinct(), classes, percent), "pairs")
     links = verified(pairs, rows, classes, shared, shingle, percent)
     labels = components(links)
-    # Lists whose classes are in several components still: compare across components, but not what was compared.
-    placed = lists.select("token", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-    open_lists = open_lists.where("low <> high").select("token", "size")
-    placed = c.written(placed.join(open_lists, "token"), "open")
+    placed = still_open(lists, labels)
     c.deleted(lists)
+    # Then, in lists whose classes are in several components still, each meets the leaders of other components.
+    leaders = labels.select(F.col("cls").alias("leader"), F.col("component").alias("other"))
+    stars = placed.select("cls", "component", F.explode(F.array("first", "last")).alias("leader")).distinct().join(leaders, "leader", "left")
+    stars = ordered("cls", "leader", stars.where(F.col("component") != F.coalesce("other", "leader"))).distinct()
+    second = c.written(sized(stars.join(pairs, ["a", "b"], "left_anti"), classes, percent), "pairs")
+    found = verified(second, rows, classes, shared, shingle, percent)
+    if not found.isEmpty():
+        links = links.union(found)
+        labels = components(links)
+        wide, placed = placed, still_open(placed.drop("component", "size"), labels)
+        c.deleted(wide)
+    pairs = pairs.union(second)
+    # What is in several components even now: compare across components, but not what was compared.
     rest = across_short(placed.where(F.col("size") <= SHORT_LIST), classes, percent).union(across_long(placed.where(F.col("size") > SHORT_LIST), classes, percent))
     # Pairs that sizes forbid are in neither side.
     rest = c.written(sized(rest.distinct().join(pairs, ["a", "b"], "left_anti"), classes, percent), "pairs")
