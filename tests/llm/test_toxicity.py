@@ -138,3 +138,39 @@ def test_without_labels_of_both_kinds(spark, corpus):
     assert toxicity.classified(docs.limit(0), marks).collect() == []
     # Both kinds marked, but on documents that are not there.
     assert {r["score"] for r in toxicity.classified(docs, spark.createDataFrame([(70_000, 1), (70_003, 0), (70_004, 0)], "doc_id long, toxic int")).collect()} <= {0.0, 1 / 3, 1 / 2}
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    n = 4500
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id) AS text", "'en' AS lang")
+    marks = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    rows, counts = toxicity.labelled(docs, marks)
+    want = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = rows.select("packed", "toxic", "kept").toArrow()
+    ids = [int(t[1:]) for t in common.unpacked_texts(got.column("packed"))]
+    assert sorted(ids) == want and sum(counts) == len(want) and [i % 2 for i in ids] == got.column("toxic").to_pylist()
+    assert 0.2 < sum(got.column("kept").to_pylist()) / len(ids) < 0.3
+
+
+def test_shards_learn_together(spark, corpus, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
+    monkeypatch.setattr(toxicity, "EPOCHS", 30)
+    docs, labels = corpus
+    got = toxicity.classified(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")).collect()
+    truth = {d[0]: 1 - d[4] for d in docs if d[4] is not None}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.9 * len(held)
+
+
+def test_long_texts_are_trained_in_pieces(net, monkeypatch):
+    texts, labels = pa.array(TEXTS[2:8], pa.string()), np.array([1, 0, 1, 0, 1, 0], np.float32)
+    words = toxicity.words_of(texts)
+    dropped = np.random.default_rng(5).random(len(words.word)) < 0.3
+    want, rows, pull = net.gradients(words, labels, dropped)
+    data, offsets = common.text_buffer(texts)
+    begin, end, _ = common.word_spans(data, offsets, common.PUNCT_BYTES)
+    for piece in (1, 5, 100):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        some, *found = net.winners(data, begin, end, words.text, len(texts), dropped)
+        got, own, other = net.gradients(some, labels, dropped, found)
+        assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(got, want)) and np.array_equal(own, rows) and np.allclose(other, pull, atol=1e-5)
