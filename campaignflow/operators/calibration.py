@@ -71,13 +71,18 @@ def first_fold(validation: DataFrame, keys=("campaign_id", "origin_date", "horiz
     return validation.withColumn("pick", F.row_number().over(order)).where("pick = 1").drop("pick")
 
 
-def linear_attributions(rows: DataFrame, terms: dict[str, list[tuple]], by: str, top: int = 10, min_rows: int = 20, within=()) -> DataFrame:
+def linear_attributions(rows: DataFrame, terms: dict[str, list[tuple]] | DataFrame, by, *rest, top: int = 10, min_rows: int = 20, within=()) -> DataFrame:
     """Mean absolute and signed contribution of every feature, for the total and per group, strongest first.
 
     A feature's contribution to a row is the sum of ``b * (x - mean x)`` over its ``terms``, pairs of (b, x) with b a number or
     column; means are those of the rows, of each combination of ``within`` where given. Contributions are aggregated
     as columns and only then turned into rows, so the input is never multiplied by the number of features. Missing values add nothing.
+    ``terms`` may be one row of coefficients, ``b_<feature>`` each; then the features come before ``by``.
     """
+    if isinstance(terms, DataFrame):
+        features, (by, *rest) = by, rest
+        rows, terms = rows.join(F.broadcast(terms)), {f: [(F.col(f"b_{f}"), f)] for f in features}
+    top, min_rows = [*rest, *(top, min_rows)[len(rest):]]
     within = list(within)
     columns = {f: [(b if isinstance(b, Column) else F.lit(float(b)), x) for b, x in pairs] for f, pairs in terms.items()}
     names = list(dict.fromkeys(x for pairs in columns.values() for _, x in pairs))
