@@ -10,22 +10,33 @@ from campaignflow.operators.mapping import plain
 from campaignflow.schema import CANONICAL, CHANNEL_GLOBS, OPTIONAL, TYPE_PATTERNS, UNCLASSIFIED, UNIT_DIVISORS
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-# Accepted date formats after ISO.
+# Accepted date formats after ISO, and what every text of a format matches, so that others need not be tried.
 DATE_FORMATS = ["M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "MMM d, yyyy"]
+DATE_SHAPES = [r"/[+-]?\d{4,}$", r"^[+-]?\d{4,}/", r"^[+-]?\d+-\D", r", [+-]?\d{4,}$"]
 BLANK_TYPES = ["", "nan", "None"]
 NUMERIC_FIELDS = ["spend", "revenue", "conversions", "clicks", "impressions", "reach", "video_views", "daily_budget"]
 # Fixed value: share of filled cells that may fail to parse before a warning.
 WARN_SHARE = 0.02
 
 
+def once(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once.
+
+    Written out, the repeats of a value make the generated code of a projection so large that the JVM never compiles it.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def clean_number(c) -> Column:
     """Currency signs, thousands separators, trailing percent and accounting negatives to DOUBLE; else NULL."""
-    text = F.trim(col(c).cast("string"))
-    negative = text.rlike(r"^\(.*\)$")
-    inner = F.regexp_replace(text, r"^\((.*)\)$", "$1")
-    digits = F.regexp_replace(F.regexp_replace(inner, "%$", ""), r"[,$€£₹\s]", "")
-    value = F.when(digits.rlike(NUMBER), digits.try_cast("double"))
-    return F.when(negative, -F.abs(value)).otherwise(value)
+
+    def number(text):
+        inner = F.regexp_replace(text, r"^\((.*)\)$", "$1")
+        digits = F.regexp_replace(F.regexp_replace(inner, "%$", ""), r"[,$€£₹\s]", "")
+        value = once(digits, lambda d: F.when(d.rlike(NUMBER), d.try_cast("double")))
+        return once(value, lambda v: F.when(text.rlike(r"^\(.*\)$"), -F.abs(v)).otherwise(v))
+
+    return once(F.trim(col(c).cast("string")), number)
 
 
 def is_filled(c) -> Column:
@@ -35,8 +46,12 @@ def is_filled(c) -> Column:
 
 def parse_date(c) -> Column:
     """Day of an ISO date or timestamp, or of one of the other accepted formats; NULL if none fits."""
-    text = F.trim(col(c).cast("string"))
-    return F.coalesce(text.try_cast("date"), *[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS])
+
+    def day(text):
+        formats = [F.when(text.rlike(shape), F.to_date(F.try_to_timestamp(text, F.lit(f)))) for f, shape in zip(DATE_FORMATS, DATE_SHAPES, strict=True)]
+        return F.coalesce(text.try_cast("date"), *formats)
+
+    return once(F.trim(col(c).cast("string")), day)
 
 
 def infer_type(name) -> Column:

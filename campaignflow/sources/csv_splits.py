@@ -13,7 +13,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,28 +35,41 @@ def fixed_splits(spark: SparkSession) -> SparkSession:
     return own
 
 
-def ends_quoted(line: Column, quoted: int) -> Column:
-    """1 if a line that begins outside (0) or inside (1) a quoted cell ends inside one, else 0.
+def ends_quoted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each line, 1 if it ends inside a quoted cell, else 0: where it begins outside one, and where it begins inside.
 
     Outside, only a quote at the begin of a cell opens; other quotes of an unquoted cell are text. Inside, doubled quotes are text.
+    So a run of an even number of quotes changes nothing, an odd one swaps the states at the begin of a cell and leaves the
+    outside one elsewhere.
     """
-    runs = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',?"+'), F.lit(0))
-
-    def step(state, run):
-        opens = run.startswith(",")
-        quotes = F.length(run) - opens.cast("int")
-        inside = (quotes + 1) % 2
-        return F.when(state == 1, inside).when(opens, quotes % 2).otherwise(0).cast("int")
-
-    return F.when(F.instr(line, '"') == 0, quoted).otherwise(F.aggregate(runs, F.lit(quoted), step))
+    _, ends, raw = texts.buffers()
+    offsets = np.frombuffer(ends, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    out, inn = np.zeros(len(texts), np.int32), np.ones(len(texts), np.int32)
+    quote = np.flatnonzero(data[offsets[0]:offsets[-1]] == 34) + offsets[0]
+    if not len(quote):
+        return out, inn
+    line = np.searchsorted(offsets, quote, "right") - 1
+    first = np.flatnonzero(np.append(True, (quote[1:] != quote[:-1] + 1) | (line[1:] != line[:-1])))
+    odd = first[np.diff(np.append(first, len(quote))) % 2 == 1]
+    at, line = quote[odd], line[odd]
+    opens = (at == offsets[line]) | (data[at - 1] == 44)
+    own, begin, size = np.unique(line, return_index=True, return_counts=True)
+    last = begin + size - 1
+    swaps = np.cumsum(opens)
+    leaves = np.maximum.accumulate(np.where(opens, -1, np.arange(len(at))))[last] if len(at) else last
+    fixed = leaves >= begin
+    swapped = (swaps[last] - np.where(fixed, swaps[leaves], swaps[begin] - opens[begin])) % 2
+    out[own], inn[own] = swapped, np.where(fixed, swapped, 1 - swapped)
+    return out, inn
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines with file, begin of their split, a number that grows within it, and how they end from either state."""
+    """Lines with file, begin of their split and a number that grows within it."""
     text = fixed_splits(spark).read.option("lineSep", "\n").text(paths)
     return text.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
-        ends_quoted(F.col("value"), 0).alias("out"), ends_quoted(F.col("value"), 1).alias("inn"), F.col("value").alias("text"))
+        F.col("value").alias("text"))
 
 
 def runs_of(batch: pa.RecordBatch):
@@ -86,7 +100,7 @@ def summaries(batches):
             ("file", pa.string()), ("block", pa.int64()), ("header", pa.string()), ("const", pa.int32()), ("swap", pa.int32()), ("breaks", pa.bool_())]))
 
     for batch in batches:
-        out_all, inn_all = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        out_all, inn_all = ends_quoted(batch.column(3))
         for at, to, file, block in runs_of(batch):
             if (file, block) != now:
                 if row:
@@ -95,7 +109,7 @@ def summaries(batches):
             out, inn = out_all[at:to], inn_all[at:to]
             if searching:
                 for i in range(at, to):
-                    text = batch.column(5)[i].as_py()
+                    text = batch.column(3)[i].as_py()
                     if head or text.strip("\ufeff \t\r"):
                         quoted = inn_all[i] if head else out_all[i]
                         head.append(text)
@@ -118,7 +132,8 @@ def survey(spark: SparkSession, paths: list[str]) -> dict[str, dict]:
 
     A file that holds no record is missing from the result.
     """
-    found = lines(spark, paths).where("block = 0 OR out = 1 OR inn = 0").withColumn("text", F.when(F.col("block") == 0, F.col("text")))
+    # A line without a quote leaves the state as it is.
+    found = lines(spark, paths).where((F.col("block") == 0) | F.col("text").contains('"'))
     files: dict[str, dict] = {}
     for r in sorted(found.mapInArrow(summaries, SUMMARY).collect(), key=lambda r: (r["file"], r["block"])):
         own = files.setdefault(r["file"], {"header": None, "breaks": False, "blocks": [], "after": [], "state": 0})
@@ -158,7 +173,7 @@ def records(batches, begins):
 
     for batch in batches:
         ids = batch.column(2).to_numpy(zero_copy_only=False)
-        out_all, inn_all = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        out_all, inn_all = ends_quoted(batch.column(3))
         for at, to, file, block in runs_of(batch):
             if (file, block) != now:
                 if parts and not (header and kind == TAIL):
@@ -171,36 +186,50 @@ def records(batches, begins):
             end = states(out_all[at:to], inn_all[at:to], state)
             begin = np.append(state, end[:-1])
             state = int(end[-1])
-            texts = batch.column(5).slice(at, to - at)
-            single = (begin == 0) & (end == 0)
-            if header:
-                blank = np.array([not t.strip("\ufeff \t\r") for t in texts.to_pylist()]) if not parts else np.zeros(to - at, bool)
-                first = np.flatnonzero(single & ~blank)
-                opened = np.flatnonzero((begin == 0) & (end == 1))
-                if not parts and len(first) and (not len(opened) or first[0] < opened[0]):
-                    single[first[0]] = header = False
-            for i in np.flatnonzero(~((begin == 0) & (end == 0))).tolist():
-                if begin[i] == 0:
-                    open_at, kind = int(ids[at + i]), TAIL
-                elif not parts:
-                    open_at = int(ids[at + i])
-                parts.append(texts[i].as_py())
-                if end[i] == 0:
-                    if header and kind == TAIL:
-                        header = False
-                    else:
-                        yield piece(WHOLE if kind == TAIL else HEAD, open_at, "\n".join(parts).removesuffix("\r"))
-                    parts, kind = [], TAIL
-            chosen = np.flatnonzero(single)
-            if len(chosen):
-                part = batch.slice(at, to - at).take(pa.array(chosen))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(np.full(len(chosen), WHOLE, np.int32)), part.column(5)],
-                    names=["file", "block", "id", "piece", "text"])
+            texts = batch.column(3).slice(at, to - at)
+            closed = np.flatnonzero(end == 0)
+            done = 0
+            if begin[0]:  # the record before goes on
+                if not parts:
+                    open_at = int(ids[at])
+                done = int(closed[0]) + 1 if len(closed) else len(end)
+                parts += texts.slice(0, done).to_pylist()
+                if not len(closed):
+                    continue
+                if header and kind == TAIL:
+                    header = False
+                else:
+                    yield piece(WHOLE if kind == TAIL else HEAD, open_at, "\n".join(parts).removesuffix("\r"))
+                parts, kind = [], TAIL
+            stop = int(closed[-1]) + 1 if len(closed) else 0
+            starts = np.flatnonzero(begin[done:stop] == 0) + done
+            if len(starts):
+                sizes = np.diff(np.append(starts, stop))
+                if header:
+                    for i in range(len(starts)):
+                        if sizes[i] > 1 or texts[int(starts[i])].as_py().strip("\ufeff \t\r"):
+                            header = False
+                            starts, sizes = np.delete(starts, i), np.delete(sizes, i)
+                            break
+                yield whole_records(batch.slice(at, to - at), starts, sizes)
+            if stop < len(end) and stop >= done:
+                open_at, kind, parts = int(ids[at + stop]), TAIL, texts.slice(stop).to_pylist()
     if parts and not (header and kind == TAIL):
         yield piece(kind, open_at, "\n".join(parts))
 
 
+def whole_records(lines: pa.RecordBatch, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """One row per record of ``sizes`` lines from ``starts``; the lines of a record are joined for all records at once."""
+    chosen = lines.take(pa.array(starts))
+    place = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), lines.column(3).take(pa.array(place)))
+    text = pc.binary_join(each, "\n")
+    if (sizes > 1).any() and pc.any(pc.ends_with(text, "\r")).as_py():
+        text = pc.if_else(pa.array(sizes > 1), pc.replace_substring_regex(text, r"\r\z", ""), text)
+    return pa.RecordBatch.from_arrays(
+        [chosen.column(0), chosen.column(1), chosen.column(2), pa.array(np.full(len(starts), WHOLE, np.int32)), text], names=["file", "block", "id", "piece", "text"])
+
+
 def broken_records(spark: SparkSession, paths: list[str], surveyed: dict[str, dict]) -> DataFrame:
     """One text per record of files whose cells hold line breaks."""
     begins = spark.sparkContext.broadcast({file: (own["blocks"], own["after"]) for file, own in surveyed.items()})  # two numbers a split

@@ -119,3 +119,17 @@ def test_sinks_and_optional_read(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 3
     back = files.ingest_file(spark, str(tmp_path / "c"), "a")
     assert pdf(back, "date")["spend"].tolist() == [100.0] * 3 and back.first()["date"] == START
+
+
+def test_cleaning_stays_small_enough_to_be_compiled(spark, capsys):
+    import re
+
+    from campaignflow.operators.canonical import DATE_FORMATS, clean_number, parse_date
+    from pyspark.sql import functions as F
+
+    texts = ["1/2/2020", "01/02/12020", "-1/2/2020", "2020/1/2", "+12020/1/2", "3-Jan-2021", "03-jan-2021", "Jan 3, 2021", "Jan 3,2021", "2020-02-30", "2020", "13/13/2020", "1/2/20", "", None, "x", " 1/2/2020 ", "1/2/2020\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(F.trim("t").try_cast("date"), *[F.to_date(F.try_to_timestamp(F.trim("t"), F.lit(f))) for f in DATE_FORMATS])
+    assert all(r[0] == r[1] for r in df.select(parse_date("t").cast("string"), plain.cast("string")).collect())
+    df.repartition(2).select(*[clean_number("t").alias(f"n{i}") for i in range(8)], parse_date("t")).explain("codegen")
+    assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
