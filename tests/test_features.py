@@ -44,6 +44,16 @@ def test_same_day_rows_are_summed(spark):
     assert (one["spend"], one["reach"], one["daily_budget"]) == (300.0, 5.0, 7.0)
 
 
+def test_day_sums_stand_for_the_rows(spark):
+    """Days, group days and the last date come out the same from the kept sums, attributes and budgets in order of the rows."""
+    rows = [row(i, day=START + i % 3 * DAY, channel="c" if i % 2 else None, daily_budget=None if i % 4 < 2 else float(i)) for i in range(24)]
+    raw = canonical(spark, rows)
+    sums = D.day_sums(raw)
+    assert sums.count() == 6
+    for fn, keys in ((D.campaign_day, ["campaign_id", "date"]), (lambda c: D.group_day(c, ("channel",)), ["date", "channel"]), (lambda c: c.agg(F.max("date").alias("date")), "date")):
+        pd.testing.assert_frame_equal(pdf(fn(raw), keys), pdf(fn(sums), keys))
+
+
 def test_year_over_year_uses_the_same_iso_week(spark):
     rows = [row(i, revenue=float(i)) for i in range(500)]
     out = pdf(X.daily_features(canonical(spark, rows)), "date")

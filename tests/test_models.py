@@ -39,6 +39,20 @@ def test_leaves_are_exact_weighted_quantiles(spark, slices):
     assert got[0, 9] == [0.0] * 7 and got[1, 9] == [5.0] * 7
 
 
+def test_leaves_of_narrow_range_share_one_set_of_cuts(spark):
+    """Leaves whose values lie far apart, in a slice or two each: still exact, without a list of cuts per row and leaf."""
+    rng = np.random.default_rng(9)
+    rows = [(t, l, float(v), float(w)) for t in range(2) for l in range(6) for v, w in zip(np.round(10.0 ** l + rng.random(300), 3), rng.choice([0.5, 1.0], 300))]
+    placed = D.with_slice(spark.createDataFrame(rows, "tree int, leaf_id int, value double, w double"), 8)
+    assert placed.select("slice").distinct().count() <= 8
+    out = D.sliced_quantiles(placed)
+    assert "lambda" not in out._jdf.queryExecution().analyzed().toString()
+    got = {(r["tree"], r["leaf_id"]): r["q"] for r in out.collect()}
+    for key in {r[:2] for r in rows}:
+        own = [r for r in rows if r[:2] == key]
+        assert got[key] == [weighted_quantile([r[2] for r in own], [r[3] for r in own], q) for q in QUANTILES]
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     """Rows with every feature; three are missing here and there, and the target follows two of them."""
@@ -137,6 +151,17 @@ def test_folds_fit_on_their_own_training_rows(spark, frame, monkeypatch):
     assert np.allclose(first, second)
 
 
+@pytest.mark.parametrize("kind, n", [("grouped", 3), ("walk_forward", 4)])
+def test_fold_parts_are_the_fold_rows_without_copies(spark, frame, kind, n):
+    rows, parts = T.fold_rows(frame, kind, n), T.fold_parts(frame, kind, n)
+    names = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+    assert list(parts) == names and len(names) > 1
+    for fold, part in parts.items():
+        shown = [*T.ROW, "role", "target_revenue"]
+        assert sorted(part.select(*shown).collect()) == sorted(rows.where(F.col("fold") == fold).select(*shown).collect())
+        assert "Generate" not in part._jdf.queryExecution().analyzed().toString()
+
+
 def test_validation_report(spark):
     rows = [(k, f, 30, y, p, 1.0) for k, p in (("walk_forward", 9.0), ("grouped", 8.0)) for f in range(2) for y in (10.0, 10.0)]
     frame = spark.createDataFrame(rows, "kind string, fold int, horizon_days int, target_revenue double, p double, revenue_roll_mean_28 double")
