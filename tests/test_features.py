@@ -50,8 +50,8 @@ def test_day_sums_stand_for_the_rows(spark):
     raw = canonical(spark, rows)
     sums = D.day_sums(raw)
     assert sums.count() == 6
-    for fn, keys in ((D.campaign_day, ["campaign_id", "date"]), (lambda c: D.group_day(c, ("channel",)), ["date", "channel"]), (lambda c: c.agg(F.max("date").alias("date")), "date")):
-        pd.testing.assert_frame_equal(pdf(fn(raw), keys), pdf(fn(sums), keys))
+    for fn, keys in ((D.campaign_day, ["campaign_id", "date"]), (lambda c: D.group_day(c, ("channel",)), ["date", "channel"]), (lambda c: c.agg(F.max("date").alias("date")), ["date"])):
+        pd.testing.assert_frame_equal(pdf(fn(raw), *keys), pdf(fn(sums), *keys))
 
 
 def test_year_over_year_uses_the_same_iso_week(spark):
