@@ -6,8 +6,10 @@ more): the head, from which pairs come. Sizes and then the counts by cell bound
 are counted fragment by fragment, each on its own, and the partial overlaps are summed per pair.
 
 Equal sets are one class from the start. In the list of classes that share a head shingle, all are first compared with two
-leaders; only classes that are not connected by then are compared with each other. So a group of near copies costs about
-as many comparisons as it has members, and no link that joins two components is missed.
+leaders; only classes that are not connected by then are compared with each other. Lists with the same leaders, as those of a
+group of near copies are, are one list. What is compared across components is compared inside the tasks, by bitmaps of parities
+first and then by the shingles themselves, and only links that join two components come out: fewer than a list has classes. So
+no table has a row per pair of a list, and no link that joins two components is missed.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ SKETCH_PARTS = 64
 SLICE_BYTES = 1 << 22
 #: Up to so many classes, of 16 bytes each, their numbers go to the texts; beyond, the texts, packed, go to them.
 BROADCAST_CLASSES = 100_000
-#: Classes of a longer list are dealt to blocks of about this many; a task compares two blocks. Shorter lists are joined.
-SHORT_LIST, BLOCK = 64, 512
+#: Classes of a longer list are dealt to blocks of about this many, and each two blocks are compared by themselves.
+SHORT_LIST, BLOCK = 1024, 512
+#: Bits of a set's bitmap; pairs compared at a time.
+BITS, PAIRS = 1024, 1 << 16
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, first: int, last: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +116,22 @@ def cell_of(value: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return cuts[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
 
 
-SETS = "row long, doc_id long, n long, cls long, head array<long>, parts array<int>"
+def bitmaps(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts, the parity of its shingles by the last bits of their hashes, as bytes.
+
+    A shingle that only one of two sets has changes one bit, so bitmaps differ in as many bits as the sets in shingles at most.
+    """
+    out = np.zeros((n, BITS // 8), np.uint8)
+    cell = (value & np.uint64(BITS - 1)).astype(np.int64)
+    np.bitwise_xor.at(out.ravel(), text * (BITS // 8) + (cell >> 3), np.left_shift(1, cell & 7).astype(np.uint8))
+    return out
+
+
+SETS = "row long, doc_id long, n long, cls long, head array<long>, parts array<int>, bits binary"
 
 
 def set_rows(batches, shared, shingle, percent):
-    """Batches of (row, doc_id, text) to each text's class, head shingles and number of shingles by cell."""
+    """Batches of (row, doc_id, text) to each text's class, head shingles, number of shingles by cell and bitmap."""
     counts, cuts = shared.value
     for batch in batches:
         data, offsets = c.text_buffer(batch.column(2))
@@ -137,15 +152,15 @@ def set_rows(batches, shared, shingle, percent):
             place = np.arange(len(text)) - start[text]
             need = n - (percent * n + 99) // 100 + 1
             head = order[place < need[text]]
-            pieces.append((n, cls, parts, value[head], np.bincount(text[head], minlength=to - at)))
+            pieces.append((n, cls, parts, value[head], np.bincount(text[head], minlength=to - at), bitmaps(text, value, to - at)))
         if not pieces:
             continue
-        n, cls, parts, head, sizes = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        n, cls, parts, head, sizes, bits = (np.concatenate(x) for x in zip(*pieces, strict=True))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(c.signed(cls)),
              c.list_column(c.signed(head), np.concatenate([[0], np.cumsum(sizes)])),
-             c.list_column(parts.astype(np.int32), np.arange(len(n) + 1) * FRAGMENTS * CELLS)],
-            names=["row", "doc_id", "n", "cls", "head", "parts"])
+             c.list_column(parts.astype(np.int32), np.arange(len(n) + 1) * FRAGMENTS * CELLS), pa.array([x.tobytes() for x in bits], pa.binary())],
+            names=["row", "doc_id", "n", "cls", "head", "parts", "bits"])
 
 
 def segment_rows(batches, shared, shingle, packed):
@@ -188,17 +203,9 @@ def similar(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def sized(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those whose sizes n_a and n_b allow a link."""
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}")), side)
-    return pairs.where(similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent))
-
-
-def segments_of(near: DataFrame, rows: DataFrame, classes: DataFrame, shared, shingle: int) -> DataFrame:
-    """The shingles of every class in ``near``, by fragment."""
-    wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "row"), "cls")
-    wanted = c.written(wanted, "wanted")
+def segments_of(wanted: DataFrame, rows: DataFrame, classes: DataFrame, shared, shingle: int) -> DataFrame:
+    """The shingles of every class in ``wanted`` (cls), by fragment."""
+    wanted = c.written(wanted.distinct().join(classes.select("cls", "row"), "cls"), "wanted")
     if wanted.count() <= BROADCAST_CLASSES:
         texts = rows.select("row", "text").join(F.broadcast(wanted), "row").select("cls", "text")
     else:
@@ -214,7 +221,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shared, shin
     most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
     near = pairs.join(a, "a").join(b, "b").where(similar(most, F.col("n_a"), F.col("n_b"), percent))
     near = c.written(near.select("a", "b", "n_a", "n_b"), "near")
-    segments = segments_of(near, rows, classes, shared, shingle)
+    segments = segments_of(near.select(F.explode(F.array("a", "b")).alias("cls")), rows, classes, shared, shingle)
     left = segments.select(F.col("cls").alias("a"), "fragment", F.col("shingles").alias("one"))
     right = segments.select(F.col("cls").alias("b"), "fragment", F.col("shingles").alias("two"))
     both = near.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "one", "two")
@@ -247,45 +254,132 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("component"))
 
 
-def across_short(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in each list, whose sizes allow a link. A list has SHORT_LIST classes at most."""
-    members = placed.join(classes.select("cls", "n"), "cls").groupBy("token").agg(F.collect_list(F.struct("cls", "component", "n")).alias("members"))
-    each = members.select(F.explode("members").alias("one"), "members")
+#: What tells the comparisons of two blocks of a list apart; within one, rows are in order of block and class.
+GROUP = ["first", "last", "low", "high"]
+PLACED = "first long, last long, low int, high int, block int, cls long, component long, n long"
 
-    def other(two: Column) -> Column:
-        one = F.col("one")
-        return (one["cls"] < two["cls"]) & (one["component"] != two["component"]) & similar(F.least(one["n"], two["n"]), one["n"], two["n"], percent)
 
-    return each.select(F.col("one.cls").alias("a"), F.explode(F.filter("members", other)).alias("two")).select("a", F.col("two.cls").alias("b"))
+def group_starts(table: pa.Table) -> np.ndarray:
+    """At which rows a group begins."""
+    new = np.zeros(len(table), bool)
+    new[:1] = True
+    for name in GROUP:
+        key = table.column(name).to_numpy()
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
 
 
-def compared(group: pa.Table, percent: int) -> pa.Table:
-    """Two blocks of one list: pairs of different components whose sizes by cell allow a link, each at its first common head shingle."""
-    token, low, high = (group.column(k)[0].as_py() for k in ("token", "low", "high"))
-    cls, component, n, block = (group.column(k).to_numpy() for k in ("cls", "component", "n", "block"))
-    parts = group.column("parts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cls), -1)
-    head = group.column("head").to_pylist()
-    a_out, b_out = [], []
-    for i in np.flatnonzero(block == low):
-        # Within one block, each pair is met from its smaller class.
-        other = (block == high) & (component != component[i]) & ((cls > cls[i]) | (low != high))
-        other = np.flatnonzero(other & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-        most = np.minimum(parts[other], parts[i]).sum(axis=1, dtype=np.int64)
-        for j in other[100 * most >= percent * (n[other] + n[i] - most)]:
-            if min(set(head[i]).intersection(head[j])) == token:
-                a_out.append(min(cls[i], cls[j]))
-                b_out.append(max(cls[i], cls[j]))
-    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-
-def across_long(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The same for long lists, block against block: every comparison is made, only pairs within the bound are rows."""
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(9)), blocks).cast("int")).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
-    dealt = dealt.select("token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "cls", "component")
-    whole = dealt.join(classes.select("cls", "n", "parts", "head"), "cls")
-    return whole.groupBy("token", "low", "high").applyInArrow(c.per_group(compared, percent=percent), "a long, b long")
+def whole_groups(batches):
+    """Sorted batches of one partition to tables of whole groups; a group is kept back until its end is seen."""
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if kept is None else pa.concat_tables([kept, table])
+        at = int(group_starts(table)[-1]) if len(table) else 0
+        if at:
+            yield table.slice(0, at).combine_chunks()
+        kept = table.slice(at)
+    if kept is not None and len(kept):
+        yield kept.combine_chunks()
+
+
+def partners(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, from which row on and up to which it is compared: with the later ones of one block, or with the other block."""
+    begin = group_starts(table)
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(table))))
+    low, high, block = (table.column(k).to_numpy() for k in ("low", "high", "block"))
+    to = np.append(begin[1:], len(table))[group]
+    other = begin[group] + np.bincount(group, block == low)[group].astype(np.int64)
+    return np.where(low == high, np.arange(len(table)) + 1, np.where(block == low, other, to)), to
+
+
+def possible_rows(batches, percent):
+    """Batches of placed classes and their bitmaps to those classes that have a possible link to another component in their group."""
+    for table in whole_groups(batches):
+        cls, component, n = (table.column(k).to_numpy() for k in ("cls", "component", "n"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
+        begin, to = partners(table)
+        pairs = np.concatenate([[0], np.cumsum(to - begin)])
+        found, at = np.zeros(len(cls), bool), 0
+        while at < len(cls):
+            end = max(at + 1, int(np.searchsorted(pairs, pairs[at] + PAIRS, "right")) - 1)
+            each = (to - begin)[at:end]
+            i = np.repeat(np.arange(at, end), each)
+            j = np.arange(len(i)) - np.repeat(pairs[at:end] - pairs[at], each) + begin[i]
+            some = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[some], j[some]
+            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            some = (100 + percent) * differ <= (100 - percent) * (n[i] + n[j])
+            found[i[some]] = found[j[some]] = True
+            at = end
+        if found.any():
+            yield from table.drop_columns("bits").filter(pa.array(found)).to_batches()
+
+
+def linking_rows(batches, percent):
+    """Batches of placed classes with their shingles by fragment to links between different components, a forest per group."""
+    for table in whole_groups(batches):
+        begin = group_starts(table)
+        for at, to in zip(begin.tolist(), [*begin[1:].tolist(), len(table)], strict=True):
+            edges = forest(table.slice(at, to - at), percent)
+            if edges:
+                a, b = zip(*edges, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def forest(group: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links that connect whatever the links between all classes of one group to be compared connect, and no more of them."""
+    every = group.column("cls").to_numpy()
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    raw = [x or b"" for x in group.column("shingles").to_pylist()]
+    size = np.add.reduceat(np.array([len(x) // 6 for x in raw]), first)
+    wide = np.zeros((int(size.sum()), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+    values, shingle = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    group = group.take(pa.array(first))
+    cls, component, n = (group.column(k).to_numpy().copy() for k in ("cls", "component", "n"))
+    mark, edges = np.zeros(len(values), np.int64), []
+    for i, (begin, to) in enumerate(zip(*partners(group), strict=True)):
+        j = np.arange(begin, to)
+        j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+        if not len(j):
+            continue
+        own = shingle[start[i]:start[i + 1]]
+        mark[own] = 1
+        ends = np.cumsum(size[j])
+        place = np.arange(ends[-1]) + np.repeat(start[j] - (ends - size[j]), size[j])
+        overlap = np.add.reduceat(mark[shingle[place]], ends - size[j])
+        mark[own] = 0
+        for k in j[100 * overlap >= percent * (n[i] + n[j] - overlap)]:
+            if component[k] != component[i]:
+                edges.append((min(int(cls[i]), int(cls[k])), max(int(cls[i]), int(cls[k]))))
+                component[component == component[k]] = component[i]
+    return edges
+
+
+def grouped(df: DataFrame, *within: str) -> DataFrame:
+    """Rows of a group together in one partition, in order."""
+    return df.repartition(*GROUP).sortWithinPartitions(*GROUP, *within)
+
+
+def across(lists: DataFrame, labels: DataFrame, rows: DataFrame, classes: DataFrame, shared, shingle: int, percent: int) -> DataFrame:
+    """Links that join components: per list, all classes of different components are compared but the leaders, which are done."""
+    placed = lists.where("cls <> first AND cls <> last").select("first", "last", "cls", "n")
+    placed = placed.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    several = placed.groupBy("first", "last").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    placed = placed.join(several.where("low <> high").select("first", "last", "size"), ["first", "last"])
+    blocks = F.when(F.col("size") <= SHORT_LIST, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
+    placed = placed.join(classes.select("cls", "bits"), "cls").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(9)), blocks).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("first", "last", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "cls", "component", "n", "bits")
+    possible = c.written(grouped(placed, "block", "cls").mapInArrow(partial(possible_rows, percent=percent), PLACED), "open")
+    segments = segments_of(possible.select("cls"), rows, classes, shared, shingle)
+    whole = grouped(possible.join(segments, "cls"), "block", "cls", "fragment").select(*possible.columns, "shingles")
+    links = c.written(whole.mapInArrow(partial(linking_rows, percent=percent), "a long, b long"), "links")
+    c.deleted(segments)
+    c.deleted(possible)
+    return links
 
 
 def numbered(documents: DataFrame) -> DataFrame:
@@ -313,27 +407,27 @@ def linked(table: DataFrame, shingle: int, percent: int) -> DataFrame:
     sets = c.written(rows.mapInArrow(partial(set_rows, shared=shared, shingle=shingle, percent=percent), SETS), "sets")
     some = sets.where("n > 0")
     classes = c.written(some.groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("head").alias("head")), "classes")
+        F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("parts").alias("parts"),
+        F.first("bits").alias("bits"), F.first("head").alias("head")), "classes")
     postings = classes.select(F.explode("head").alias("token"), "cls")
     # Classes are hashes, so the least and the greatest of a list are any two; most lists of a group of near copies have the same.
     listed = postings.groupBy("token").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last")
-    lists = c.written(postings.join(listed, "token"), "lists")
-    stars = lists.select("cls", F.explode(F.array("first", "last")).alias("leader")).where("cls <> leader")
-    stars = stars.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
-    pairs = c.written(sized(stars, classes, percent), "pairs")
-    links = verified(pairs, rows, classes, shared, shingle, percent)
+    lists = postings.join(listed, "token").select("first", "last", "cls").distinct()
+    # Sizes come to the leaders of different lists, not to every posting.
+    size = classes.select("cls", "n")
+    leaders = listed.select("first", "last").distinct()
+    for side in ("first", "last"):
+        leaders = leaders.join(size.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}")), side)
+    lists = c.written(lists.join(leaders, ["first", "last"]).join(size, "cls"), "lists")
+    leader = F.explode(F.array(*[F.struct(F.col(x).alias("cls"), F.col(f"n_{x}").alias("n")) for x in ("first", "last")])).alias("leader")
+    stars = lists.select("cls", "n", leader).where(F.col("cls") != F.col("leader.cls")).where(similar(F.least("n", "leader.n"), F.col("n"), F.col("leader.n"), percent))
+    lower = F.col("cls") < F.col("leader.cls")
+    stars = stars.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b"),
+                         F.when(lower, F.col("n")).otherwise(F.col("leader.n")).alias("n_a"), F.when(lower, F.col("leader.n")).otherwise(F.col("n")).alias("n_b"))
+    links = verified(c.written(stars.distinct(), "pairs"), rows, classes, shared, shingle, percent)
     labels = components(links)
-    # Lists whose classes are in several components still: compare across components, but not what was compared.
-    placed = lists.select("token", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-    open_lists = open_lists.where("low <> high").select("token", "size")
-    placed = c.written(placed.join(open_lists, "token"), "open")
+    more = across(lists, labels, rows, classes, shared, shingle, percent)
     c.deleted(lists)
-    rest = across_short(placed.where(F.col("size") <= SHORT_LIST), classes, percent).union(across_long(placed.where(F.col("size") > SHORT_LIST), classes, percent))
-    # Pairs that sizes forbid are in neither side.
-    rest = c.written(sized(rest.distinct().join(pairs, ["a", "b"], "left_anti"), classes, percent), "pairs")
-    c.deleted(placed)
-    more = verified(rest, rows, classes, shared, shingle, percent)
     if not more.isEmpty():
         labels = components(links.union(more))
     of_class = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

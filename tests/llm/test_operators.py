@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrameWriter
 from tokenizers import Tokenizer
@@ -284,6 +285,68 @@ def test_jaccard(docs):
     assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter(min(x, key=lambda y: (y[0], y[1] or 0))[1] for x in parts.values())
 
 
+def test_jaccard_tables_have_no_row_per_pair(spark, tmp_path, monkeypatch):
+    """Near copies of which few are linked: as many rows as there are texts, a few times, and all components."""
+    rng = random.Random(12)
+    base, some = prose(rng, 300).split(), []
+    for i in range(400):
+        words = list(some[-1] if i % 5 == 4 else base)
+        for at in rng.sample(range(300), 1 if i % 5 == 4 else 4):
+            words[at] = f"other{i}"
+        some.append(words)
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(some)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    sets = [{tuple(w[j:j + 3]) for j in range(len(w) - 2)} for w in ([x.translate(LOWER) for x in t] for t in some)]
+    smallest = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                low, high = sorted((smallest[i], smallest[j]))
+                smallest = [low if x == high else x for x in smallest]
+    assert 200 < len(set(smallest)) < 350
+    written, rows = jaccard.c.written, collections.defaultdict(int)
+
+    def counted_rows(df, name, *args):
+        out = written(df, name, *args)
+        rows[name] = max(rows[name], out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.c, "written", counted_rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.joined(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == dict(enumerate(smallest))
+    assert max(rows[x] for x in ("pairs", "near", "links")) < 10 * len(some), dict(rows)
+
+
+def test_jaccard_forests_of_blocks_connect_what_pairs_do():
+    """Two lists in blocks, in batches that end inside groups: links between components, each block pair a forest, none missed."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, 60, np.int64).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice((0.02, 0.08)), rng.integers(1, 1 << 62, 60).astype(np.uint64), base)) for _ in range(50)]
+    lists, component = [range(0, 35), range(20, 50)], [i // 2 * 2 for i in range(50)]
+    placed = sorted((100 + k, 200 + k, low, high, i % 3, i, component[i], len(sets[i])) for k, some in enumerate(lists) for i in some
+                    for low in range(3) for high in range(low, 3) if i % 3 in (low, high))
+    names = [x.split()[0] for x in jaccard.PLACED.split(", ")]
+    table = pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in placed], pa.schema([(n, pa.int32() if n in ("low", "high", "block") else pa.int64()) for n in names]))
+    bits = [jaccard.bitmaps(np.zeros(len(x), np.int64), x, 1).tobytes() for x in sets]
+    found = list(jaccard.possible_rows(table.append_column("bits", pa.array([bits[r[5]] for r in placed], pa.binary())).to_batches(7), 80))
+    segments = []
+    for r in pa.Table.from_batches(found).to_pylist():
+        raw = np.ascontiguousarray(sets[r["cls"]].view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+        segments += [r | {"shingles": raw[:60]}, r | {"shingles": raw[60:]}]
+    schema = pa.schema([*found[0].schema, ("shingles", pa.binary())])
+    links = {x for b in jaccard.linking_rows(pa.Table.from_pylist(segments, schema).to_batches(11), 80) for x in zip(*(y.to_pylist() for y in b.columns), strict=True)}
+    own = [set(x.tolist()) for x in sets]
+    want = {(i, j) for some in lists for i in some for j in some
+            if i < j and component[i] != component[j] and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j])}
+
+    def parts(edges):
+        of = list(component)
+        for i, j in edges:
+            of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
+        return of
+
+    assert 100 < len(want) and links < want and parts(links) == parts(want) and 1 < len(set(parts(want)))
+
+
 def test_representatives_keep_unlinked_texts_of_one_id(spark, tmp_path):
     rng = random.Random(8)
     one, two, three = (prose(rng, 50) for _ in range(3))
