@@ -364,8 +364,8 @@ def grouped(df: DataFrame, *within: str) -> DataFrame:
 
 
 def across(lists: DataFrame, labels: DataFrame, rows: DataFrame, classes: DataFrame, shared, shingle: int, percent: int) -> DataFrame:
-    """Links that join components: per list, all classes of different components are compared but the leaders, which are done."""
-    placed = lists.where("cls <> first AND cls <> last").select("first", "last", "cls", "n")
+    """Links that join components: per list, without its leaders, which are done, all classes of different components are compared."""
+    placed = lists.select("first", "last", "cls", "n")
     placed = placed.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     several = placed.groupBy("first", "last").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
     placed = placed.join(several.where("low <> high").select("first", "last", "size"), ["first", "last"])
@@ -412,15 +412,17 @@ def linked(table: DataFrame, shingle: int, percent: int) -> DataFrame:
     postings = classes.select(F.explode("head").alias("token"), "cls")
     # Classes are hashes, so the least and the greatest of a list are any two; most lists of a group of near copies have the same.
     listed = postings.groupBy("token").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last")
-    lists = postings.join(listed, "token").select("first", "last", "cls").distinct()
-    # Sizes come to the leaders of different lists, not to every posting.
+    # Most lists are their two leaders; only what a list has beside them has rows of its own, and sizes come to different lists.
     size = classes.select("cls", "n")
     leaders = listed.select("first", "last").distinct()
     for side in ("first", "last"):
         leaders = leaders.join(size.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}")), side)
+    leaders = c.written(leaders, "leaders")
+    lists = postings.join(listed, "token").where("cls <> first AND cls <> last").select("first", "last", "cls").distinct()
     lists = c.written(lists.join(leaders, ["first", "last"]).join(size, "cls"), "lists")
-    leader = F.explode(F.array(*[F.struct(F.col(x).alias("cls"), F.col(f"n_{x}").alias("n")) for x in ("first", "last")])).alias("leader")
-    stars = lists.select("cls", "n", leader).where(F.col("cls") != F.col("leader.cls")).where(similar(F.least("n", "leader.n"), F.col("n"), F.col("leader.n"), percent))
+    both = F.explode(F.array(*[F.struct(F.col(x).alias("cls"), F.col(f"n_{x}").alias("n")) for x in ("first", "last")])).alias("leader")
+    stars = lists.select("cls", "n", both).union(leaders.select("first", "n_first", F.struct(F.col("last").alias("cls"), F.col("n_last").alias("n"))))
+    stars = stars.where(similar(F.least("n", "leader.n"), F.col("n"), F.col("leader.n"), percent))
     lower = F.col("cls") < F.col("leader.cls")
     stars = stars.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b"),
                          F.when(lower, F.col("n")).otherwise(F.col("leader.n")).alias("n_a"), F.when(lower, F.col("leader.n")).otherwise(F.col("n")).alias("n_b"))
@@ -428,6 +430,7 @@ def linked(table: DataFrame, shingle: int, percent: int) -> DataFrame:
     labels = components(links)
     more = across(lists, labels, rows, classes, shared, shingle, percent)
     c.deleted(lists)
+    c.deleted(leaders)
     if not more.isEmpty():
         labels = components(links.union(more))
     of_class = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
