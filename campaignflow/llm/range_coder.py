@@ -15,13 +15,13 @@ import zlib
 import numpy as np
 
 SCALE_BITS = 18
-SLOT_BITS = 11
+SLOT_BITS = 10
 CONFIDENCES = 4
-BLOCK_IDS, LEAST_BLOCK_IDS, WANTED_BLOCKS = 8192, 1024, 256
+BLOCK_IDS, LEAST_BLOCK_IDS, WANTED_BLOCKS = 2048, 1024, 256
 #: Predictions weigh at most this many times all order-0 frequencies together.
 MOST_WEIGHT = 16
 REFRESH = 32
-MAGIC = b"TIDS1\0"
+MAGIC = b"TIDS2\0"
 U64 = np.uint64
 LOW32 = U64(0xFFFFFFFF)
 BITS32 = U64(32)
@@ -38,50 +38,57 @@ def frequencies(ids: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Prediction tables and weights of several blocks that advance together."""
+    """Prediction tables and weights of several blocks that advance together. Orders 1 and 2 stand in two rows of one array."""
 
     def __init__(self, blocks: int, freq: np.ndarray):
-        self.freq, self.total = freq, int(freq.sum())
-        self.cum = np.concatenate([[0], np.cumsum(freq)])[:-1]
-        self.tables = np.zeros((2, blocks << SLOT_BITS), np.int32)
-        self.base = np.arange(blocks, dtype=np.int64) << SLOT_BITS
-        self.lane = np.arange(blocks, dtype=np.int64) * CONFIDENCES
-        self.hits = np.ones((2, blocks * CONFIDENCES), np.int64)
-        self.tries = np.full((2, blocks * CONFIDENCES), 4, np.int64)
-        self.last = np.zeros((2, blocks), np.int64)
-        self.steps = 0
+        self.total = int(freq.sum())
+        # Half as wide where all sums fit, which halves what the steps move.
+        self.wide = np.int32 if self.total * (2 * MOST_WEIGHT + 1) < 1 << 31 else np.int64
+        self.freq, self.cum = freq.astype(self.wide), (np.cumsum(freq) - freq).astype(self.wide)
+        self.tables = np.zeros(2 * (blocks << SLOT_BITS), np.int32)
+        lane = np.arange(2 * blocks, dtype=np.int64).reshape(2, blocks)
+        self.base, self.lane = lane << SLOT_BITS, lane * CONFIDENCES
+        self.hits = np.ones(2 * blocks * CONFIDENCES, np.int64)
+        self.tries = np.full(2 * blocks * CONFIDENCES, 4, np.int64)
         self.weigh()
 
     def weigh(self) -> None:
         miss = self.tries - self.hits
-        self.weights = np.minimum(self.total * self.hits // np.maximum(miss, 1), MOST_WEIGHT * self.total)
-
-    def predict(self, n: int):
-        """Predicted ids of order 1 and 2 for the first ``n`` blocks, and their weights."""
-        one, two = self.last[0, :n], self.last[1, :n]
-        mask = (1 << SLOT_BITS) - 1
-        self.at = (self.base[:n] + ((one * 40503 >> 3) & mask), self.base[:n] + (((one * 40503) ^ (two * 30011 + 77)) >> 2 & mask))
-        self.entry = self.tables[0][self.at[0]], self.tables[1][self.at[1]]
-        self.class_at = self.lane[:n] + (self.entry[0] & 3), self.lane[:n] + (self.entry[1] & 3)
-        return (self.entry[0] >> 2, self.weights[0][self.class_at[0]]), (self.entry[1] >> 2, self.weights[1][self.class_at[1]])
-
-    def learn(self, x: np.ndarray) -> None:
-        n = len(x)
-        for order in (0, 1):
-            entry = self.entry[order]
-            sure = entry & 3
-            hit = (entry >> 2) == x
-            self.hits[order][self.class_at[order]] += hit
-            self.tries[order][self.class_at[order]] += 1
-            lower = np.where(sure > 0, entry - 1, x << 2)
-            self.tables[order][self.at[order]] = np.where(hit, np.minimum(entry + 1, entry | 3), lower)
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = x
-        self.steps += 1
-        if self.steps % REFRESH == 0:
+        self.weights = np.minimum(self.total * self.hits // np.maximum(miss, 1), MOST_WEIGHT * self.total).astype(self.wide)
+
+    def places(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Places in the tables (... x 2 x blocks) after the last id ``one`` and the one before it, ``two`` (... x blocks), 32 bits wide."""
+        at = np.empty((*one.shape[:-1], 2, one.shape[-1]), np.int32)
+        mixed = one * np.int32(40503)  # only low bits are used, so products may wrap
+        np.right_shift(mixed, 3, out=at[..., 0, :])
+        np.right_shift(mixed ^ (two * np.int32(30011) + np.int32(77)), 2, out=at[..., 1, :])
+        at &= (1 << SLOT_BITS) - 1
+        return at + self.base[:, :one.shape[-1]]
+
+    def learn(self, at: np.ndarray, entry: np.ndarray, x: np.ndarray) -> None:
+        """The entries at ``at`` have met the ids ``x`` (both 32 bits wide)."""
+        sure = entry & 3
+        lower = np.where(sure > 0, entry - 1, x << 2)
+        self.tables[at] = np.where((entry >> 2) == x, entry + (sure != 3), lower)
+
+    def count(self, classes: np.ndarray, hit: np.ndarray, last: int) -> None:
+        """Predictions of some steps up to ``last`` and which came true; weights follow every REFRESH steps."""
+        n = np.bincount((classes << 1 | hit).ravel(), minlength=2 * len(self.hits)).reshape(-1, 2)
+        self.hits += n[:, 1]
+        self.tries += n.sum(axis=1)
+        if last % REFRESH == 0:
             self.weigh()
 
 
+def strides(size: int, rest: int, blocks: int):
+    """Steps from, to, and how many blocks take them: REFRESH steps at most, and the last block has ``rest`` steps."""
+    ends = sorted({*range(0, size, REFRESH), rest, size})
+    for begin, end in zip(ends[:-1], ends[1:], strict=True):
+        n = blocks if begin < rest else blocks - 1
+        if n:
+            yield begin, end, n
+
+
 def block_size(n: int) -> int:
     return min(BLOCK_IDS, max(LEAST_BLOCK_IDS, n // WANTED_BLOCKS))
 
@@ -105,31 +112,40 @@ def encode(ids: np.ndarray) -> bytes:
     blocks = -(-len(ids) // size)
     words = [np.zeros(0, np.uint32)] * blocks
     if blocks:
-        padded = np.zeros(blocks * size, np.int64)
+        padded = np.zeros(blocks * size, np.int32)
         padded[:len(ids)] = ids
-        steps = np.ascontiguousarray(padded.reshape(blocks, size).T)
+        # Two rows of zeros first: what is before a block.
+        steps = np.concatenate([np.zeros((2, blocks), np.int32), padded.reshape(blocks, size).T])
         model = Model(blocks, freq)
-        cum, total = model.cum, model.total
         low, span = np.zeros(blocks, U64), np.full(blocks, 0xFFFFFFFFFFFFFFFF, U64)
         out_lane, out_word = [], []
-        for step in range(size):
-            n = blocks if (blocks - 1) * size + step < len(ids) else blocks - 1
-            if not n:
-                break
-            x = steps[step, :n]
-            (p1, m1), (p2, m2) = model.predict(n)
-            start = cum[x] + np.where(p1 < x, m1, 0) + np.where(p2 < x, m2, 0)
-            own = freq[x] + np.where(p1 == x, m1, 0) + np.where(p2 == x, m2, 0)
-            unit = span[:n] // (m1 + m2 + total).astype(U64)
-            low[:n] += unit * start.astype(U64)
-            span[:n] = unit * own.astype(U64)
-            give = narrowed(low[:n], span[:n])
-            if len(give):
-                out_lane.append(give)
-                out_word.append((low[give] >> BITS32).astype(np.uint32))
-                low[give] = (low[give] & LOW32) << BITS32
-                span[give] <<= BITS32
-            model.learn(x)
+        for begin, end, n in strides(size, len(ids) - (blocks - 1) * size, blocks):
+            x = steps[begin + 2:end + 2, :n]
+            at = model.places(steps[begin + 1:end + 1, :n], steps[begin:end, :n])
+            entries = np.empty(at.shape, np.int32)
+            for step, entry in enumerate(entries):
+                model.tables.take(at[step], out=entry, mode="clip")
+                model.learn(at[step], entry, x[step])
+            # The weights stand still in a stride, so its intervals are found together.
+            classes, predicted = (entries & 3) + model.lane[:, :n], entries >> 2
+            weight, hit = model.weights[classes], predicted == x[:, None]
+            less = weight * (predicted < x[:, None])
+            start = (model.cum[x] + less[:, 0] + less[:, 1]).astype(U64)
+            more = weight * hit
+            own = (model.freq[x] + more[:, 0] + more[:, 1]).astype(U64)
+            whole = (weight[:, 0] + weight[:, 1] + model.total).astype(U64)
+            model.count(classes, hit, end)
+            for step in range(end - begin):
+                unit = span[:n] // whole[step]
+                low[:n] += unit * start[step]
+                np.multiply(unit, own[step], out=span[:n])
+                give = narrowed(low[:n], span[:n])
+                if len(give):
+                    lo = low[give]
+                    out_lane.append(give)
+                    out_word.append((lo >> BITS32).astype(np.uint32))
+                    low[give] = lo << BITS32
+                    span[give] <<= BITS32
         every = np.arange(blocks)
         lane = np.concatenate([*out_lane, every, every])
         word = np.concatenate([*out_word, (low >> BITS32).astype(np.uint32), (low & LOW32).astype(np.uint32)])
@@ -170,42 +186,49 @@ def decode(raw: bytes, only: list[int] | None = None) -> np.ndarray:
     data = np.concatenate([*(np.frombuffer(raw, "<u4", int(directory[b, 0]), int(begin[b])) for b in chosen), np.zeros(2, np.uint32)]).astype(U64)
     read = np.concatenate([[0], np.cumsum(directory[chosen, 0].astype(np.int64))])[:-1]
     model = Model(len(chosen), freq)
-    cum, total = model.cum, model.total
+    cum, freq, total = model.cum, model.freq, model.total
+    # The last order-0 unit of each id: what predictions add to it lies behind.
+    last_unit = cum + freq - 1
     of = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
     low, span = np.zeros(len(chosen), U64), np.full(len(chosen), 0xFFFFFFFFFFFFFFFF, U64)
     ahead = (data[read] << BITS32) | data[read + 1]
     read += 2
-    out = np.zeros((size, len(chosen)), np.int64)
-    for step in range(int(length.max())):
-        k = len(chosen) if length[-1] > step else len(chosen) - 1
-        (p1, m1), (p2, m2) = model.predict(k)
-        unit = span[:k] // (m1 + m2 + total).astype(U64)
-        t = np.minimum((ahead[:k] // unit).astype(np.int64), m1 + m2 + (total - 1))
-        first = p1 <= p2
-        a, b = np.where(first, p1, p2), np.where(first, p2, p1)
-        ma = np.where(first, m1, m2)
-        mb = m1 + m2 - ma
-        ca = cum[a]
-        cb = cum[b] + ma
-        ea, eb = ca + freq[a] + ma, cb + freq[b] + mb
-        in_a, in_b = (t >= ca) & (t < ea), (t >= cb) & (t < eb)
-        rest = t - np.where(t >= ea, ma, 0) - np.where(t >= eb, mb, 0)
-        x = np.where(in_a, a, np.where(in_b, b, of[np.where(in_a | in_b, 0, rest)]))
-        start = cum[x] + np.where(p1 < x, m1, 0) + np.where(p2 < x, m2, 0)
-        own = freq[x] + np.where(p1 == x, m1, 0) + np.where(p2 == x, m2, 0)
-        shift = unit * start.astype(U64)
-        low[:k] += shift
-        ahead[:k] -= shift
-        span[:k] = unit * own.astype(U64)
-        give = narrowed(low[:k], span[:k])
-        if len(give):
-            low[give] = (low[give] & LOW32) << BITS32
-            span[give] <<= BITS32
-            ahead[give] = (ahead[give] << BITS32) | data[read[give]]
-            read[give] += 1
-        out[step, :k] = x
-        model.learn(x)
-    ids = np.concatenate([out[:length[i], i] for i in range(len(chosen))])
+    most = int(length.max())
+    out = np.zeros((most + 2, len(chosen)), np.int32)
+    for begin, end, k in strides(most, int(length[-1]), len(chosen)):
+        classes, hit = np.empty((end - begin, 2, k), np.int64), np.empty((end - begin, 2, k), bool)
+        lane = model.lane[:, :k]
+        for step in range(begin, end):
+            at = model.places(out[step + 1, :k], out[step, :k])
+            entry = model.tables.take(at)
+            predicted = entry >> 2
+            weight = model.weights.take(np.add(entry & 3, lane, out=classes[step - begin]))
+            (p1, p2), (m1, m2) = predicted, weight
+            whole = (m1 + m2 + total).astype(U64)
+            unit = span[:k] // whole
+            unit_at = np.minimum(ahead[:k] // unit, whole - U64(1)).astype(model.wide)
+            # Without what the predictions add, first that of order 1, it is a place among the order-0 frequencies.
+            extra = unit_at - last_unit[p1] - (p2 < p1) * m2
+            unit_at -= np.minimum(np.maximum(extra, 0), m1)
+            extra = unit_at - last_unit[p2]
+            unit_at -= np.minimum(np.maximum(extra, 0), m2)
+            x = of[unit_at]
+            right = np.equal(predicted, x, out=hit[step - begin])
+            shift = unit * (cum[x] + (p1 < x) * m1 + (p2 < x) * m2).astype(U64)
+            low[:k] += shift
+            ahead[:k] -= shift
+            np.multiply(unit, (freq[x] + right[0] * m1 + right[1] * m2).astype(U64), out=span[:k])
+            give = narrowed(low[:k], span[:k])
+            if len(give):
+                low[give] <<= BITS32
+                span[give] <<= BITS32
+                ahead[give] = (ahead[give] << BITS32) | data[read[give]]
+                read[give] += 1
+            out[step + 2, :k] = x
+            model.learn(at, entry, x)
+        model.count(classes, hit, end)
+    out = out[2:]
+    ids = np.concatenate([out[:length[i], i] for i in range(len(chosen))]).astype(np.int64)
     ends = np.cumsum(length)
     for i, b in enumerate(chosen):
         if zlib.crc32(ids[ends[i] - length[i]:ends[i]].astype("<u4").tobytes()) != directory[b, 1]:

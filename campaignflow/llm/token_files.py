@@ -53,7 +53,7 @@ def segments(batches, path: str, end: int):
             names=["part", "segment", "n_ids", "n_documents", "ids", "documents"])
 
     for batch in batches:
-        for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
             size = len(ids) // 4 + 1
             if raw and n + size > SEGMENT_IDS:
                 yield packed()

@@ -1,8 +1,13 @@
 """Ids of a byte-level BPE vocabulary, as the tokenizers library gives them, with each piece encoded once per worker.
 
 Byte-level BPE never joins across a space that has a visible character on each side, so the ids of a text whose spaces are
-all like that are those of its parts, one after another. Parts recur, whole texts hardly do. Runs of white space are one unit
-to the tokenizer; a text that has spaces in such runs is cut at its other spaces only.
+all like that are those of its units, one after another: its first part, and each other part with the space before it.
+Units recur, whole texts hardly do, so Arrow finds the distinct ones of many texts and only these are encoded. Runs of white
+space are one unit to the tokenizer; a text that has spaces in such runs is cut at its other spaces only.
+
+Most of a call of the library is spent on cutting a text into words. Units of common characters are cut here, by the same
+pattern, and each different word goes to the library's BPE model in its own spelling, many at a time with a symbol between
+them that no merge has; all other units take the whole call.
 """
 
 from __future__ import annotations
@@ -10,14 +15,45 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import compress
+from unicodedata import category
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Parts kept per generation; when a generation is full, the one before is dropped. This bounds memory, not input.
+#: Units kept per generation; when a generation is full, the one before is dropped. This bounds memory, not input.
 REMEMBERED = 500_000
-#: Parts encoded in one call.
-LINES = 4096
-IN_RUN = re.compile(r" \s|\s ")
+#: Units and words encoded in one call.
+LINES, WORDS_AT_ONCE = 4096, 1024
+
+#: Space, line end and the Latin letters and signs up to U+024F, whose categories no version of Unicode changes.
+_COMMON = " \n" + "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]))
+_KINDS = {x: "space" if x.isspace() else category(x)[0] for x in _COMMON}
+_LETTERS, _NUMBERS = ("".join(re.escape(x) for x in _COMMON if _KINDS[x] == kind) for kind in "LN")
+_SIGNS = "".join(re.escape(x) for x in _COMMON if _KINDS[x] not in ("L", "N", "space"))
+#: Words of units of common characters by the pattern of byte-level BPE; a NUL stands after each unit.
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[{_SIGNS}]+|\s+(?![^\s\0])|\s+|\0")
+LETTER, OTHER_COMMON, OTHER = 0, 1, 2
+KIND = np.full(0x251, OTHER, np.uint8)
+for _x in _COMMON:
+    KIND[ord(_x)] = LETTER if _KINDS[_x] == "L" else OTHER_COMMON
+
+
+def _symbols() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.zeros(256, "<u2")
+    out[own] = own
+    out[np.setdiff1d(np.arange(256), own)] = 256 + np.arange(256 - len(own))
+    return out
+
+
+SYMBOLS = _symbols()
+#: Of byte 0, which no common character holds.
+BETWEEN = chr(SYMBOLS[0])
+#: All white space, and nothing.
+WHITE = pa.array(["", *(chr(i) for i in range(0x3001) if chr(i).isspace())])
 
 
 def stretches(text: str) -> list[str]:
@@ -33,45 +69,83 @@ def stretches(text: str) -> list[str]:
     return out
 
 
-class Parts:
-    """Ids of ``prefix`` + part by part; parts not seen before are encoded many at a time."""
+class Units:
+    """Ids of units of text, as native unsigned 32-bit integers; units not seen before are encoded many at a time."""
 
-    def __init__(self, tokenizer, prefix: str):
-        self.tokenizer, self.prefix = tokenizer, prefix
-        self.known: dict[str, bytes] = {}
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, cut = tokenizer, tokenizer.pre_tokenizer
+        self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         (self.line_end,) = tokenizer.encode("\n", add_special_tokens=False).ids
+        plain = (tokenizer.normalizer is None and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+                 and isinstance(tokenizer.model, BPE) and tokenizer.model.dropout is None)
+        self.between = [i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if BETWEEN in token] if plain else []
+        self.model = Tokenizer(tokenizer.model) if len(self.between) == 1 and tokenizer.token_to_id(BETWEEN) in self.between else None
 
-    def learn(self, lists: list[list[str]]) -> None:
+    def of(self, units: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {}
+            self.old, self.known = self.known, {"": b""}
         known, old = self.known, self.old
-        missing = []
-        for part in {p for parts in lists for p in parts if p not in known}:
-            if part in old:
-                known[part] = old[part]
-            else:
-                missing.append(part)
-        if missing:
-            self._encode(missing)
-
-    def _encode(self, missing: list[str]) -> None:
-        """Parts without white space go as lines of few texts, which is faster; the line ends tell them apart again."""
-        lines = [p for p in missing if len(p.split()) == 1 and not p[0].isspace() and not p[-1].isspace()]
-        rest = set(missing).difference(lines) if len(lines) < len(missing) else ()
+        out = list(map(known.get, units))
+        missing = {u for u, ids in zip(units, out, strict=True) if ids is None}
+        if not missing:
+            return out
+        known.update((u, old[u]) for u in missing if u in old)
+        new = [u for u in missing if u not in known]
+        if new:
+            self._learn(new)
+        return [known[u] if ids is None else ids for u, ids in zip(units, out, strict=True)]
+
+    def _learn(self, missing: list[str]) -> None:
+        if self.model is None:
+            return self._rest(missing)
+        known, size = self.known, np.fromiter(map(len, missing), np.int64, len(missing))
+        points = np.frombuffer("".join(missing).encode("utf-32-le"), "<u4")
+        begin = np.cumsum(size) - size
+        kind = KIND[np.minimum(points, len(KIND) - 1)]
+        kind[begin[points[begin] == 0x20]] = LETTER  # the space before a word is part of it
+        kind = np.maximum.reduceat(kind, begin)
+        words, several, rest = (list(compress(missing, (kind == k).tolist())) for k in (LETTER, OTHER_COMMON, OTHER))
+        cut = WORDS.findall("\0".join([*several, ""]))
+        new = [w for w in {*words, *cut} - {"\0"} if w not in known]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            self._words(new[at:at + WORDS_AT_ONCE])
+        raw = [b"" if w == "\0" else known[w] for w in cut]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))[[w == "\0" for w in cut]].tolist()
+        raw = b"".join(raw)
+        for unit, at, to in zip(several, [0, *ends][:-1], ends, strict=True):
+            known[unit] = raw[at:to]
+        if rest:
+            self._rest(rest)
+
+    def _words(self, words: list[str]) -> None:
+        """Words of common characters, in the vocabulary's symbols, by the model alone."""
+        spelt = SYMBOLS[np.frombuffer("\0".join([*words, ""]).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        self._cut(words, self.model, spelt, self.between[0])
+
+    def _cut(self, units: list[str], tokenizer, joined: str, end: int) -> None:
+        """Ids of ``joined``, in which each unit is followed by what has the id ``end``."""
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        raw, begin = ids.tobytes(), 0
+        for unit, at in zip(units, (4 * np.flatnonzero(ids == end)).tolist(), strict=True):
+            self.known[unit] = raw[begin:at]
+            begin = at + 4
+
+    def _rest(self, units: list[str]) -> None:
+        """Units without white space inside go as lines of few texts, which is faster; the line ends tell them apart again."""
+        lines, others = [], []
+        for unit in units:
+            body = unit.removeprefix(" ")
+            (lines if body.split() == [body] else others).append(unit)
         for at in range(0, len(lines), LINES):
             some = lines[at:at + LINES]
-            joined = "".join(f"{self.prefix}{p}\n" for p in some)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            raw, start = ids.tobytes(), 0
-            ends = np.flatnonzero(ids == self.line_end).tolist()
-            for part, end in zip(some, ends, strict=True):
-                self.known[part] = raw[4 * start:4 * end]
-                start = end + 1
-        if rest:
-            rest = list(rest)
-            for part, e in zip(rest, self.tokenizer.encode_batch_fast([self.prefix + p for p in rest], add_special_tokens=False), strict=True):
-                self.known[part] = np.array(e.ids, np.uint32).tobytes()
+            self._cut(some, self.tokenizer, "\n".join([*some, ""]), self.line_end)
+        for unit, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.known[unit] = np.array(e.ids, np.uint32).tobytes()
 
 
 class Encoder:
@@ -88,43 +162,67 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.whole, self.held = Tokenizer.from_file(path), None
-        strings = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        if added and strings:
-            self.held = re.compile("|".join(map(re.escape, strings)))
-        self.bare, self.spaced = Parts(self.tokenizer, ""), Parts(self.tokenizer, " ")
-
-    def parts(self, texts: list[str | None]) -> Iterator[list[bytes]]:
-        """For each text, null being empty, the ids of its parts in order, as native unsigned 32-bit integers."""
-        heads, tails, whole = [], [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                cut = [[], []]
-            elif self.held and self.held.search(text):
-                cut = [[], []]
-                whole[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-            elif IN_RUN.search(text):
-                cut = [stretches(text), []]
-            else:
-                parts = text.split(" ")
-                cut = [parts[:1], parts[1:]]
-            heads.append(cut[0])
-            tails.append(cut[1])
-        self.bare.learn(heads)
-        self.spaced.learn(tails)
-        bare, spaced = self.bare.known, self.spaced.known
-        for i, (head, tail) in enumerate(zip(heads, tails, strict=True)):
-            yield [whole[i]] if i in whole else [*map(bare.__getitem__, head), *map(spaced.__getitem__, tail)]
-
-    def encode(self, texts: list[str | None], about: int = 1 << 22) -> Iterator[bytes]:
-        """The ids of each text in order, ``about`` characters worked on at a time."""
+        self.whole = Tokenizer.from_file(path)
+        self.held = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content] if added else []
+        self.units = Units(self.tokenizer)
+
+    def some(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, none of them null."""
+        lists = pc.split_pattern(texts, " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        ends -= ends[0]
+        part, distinct = coded.indices.to_numpy(), coded.dictionary
+        first = np.zeros(len(part), bool)
+        first[ends[:-1]] = True
+        last = np.zeros(len(part), bool)
+        last[ends[1:] - 1] = True
+
+        apart: dict[int, bytes] = {}
+        for string in self.held:
+            for i in np.flatnonzero(pc.match_substring(texts, string).to_numpy(zero_copy_only=False)).tolist():
+                apart[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32).tobytes()
+        # A space stands in a run of white space if such a character, or nothing, is on one side of it.
+        begins, stops = (
+            pc.is_in(pc.utf8_slice_codeunits(distinct, at, to), WHITE).to_numpy(zero_copy_only=False) for at, to in ((0, 1), (-1, None)))
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))
+        in_run = np.unique(text[(begins[part] & ~first) | (stops[part] & ~last)])
+        for i in in_run.tolist():
+            if i not in apart:
+                apart[i] = b"".join(self.units.of(stretches(texts[i].as_py())))
+
+        here = np.ones(len(texts), bool)
+        here[list(apart)] = False
+        here = here[text]
+        # First parts are units as they are, others with the space before them.
+        code = part.astype(np.int64) + np.where(first, len(distinct), 0)
+        used = np.zeros(2 * len(distinct), bool)
+        used[code[here]] = True
+        n = len(distinct)
+        other, own = distinct.filter(pa.array(used[:n])), distinct.filter(pa.array(used[n:]))
+        used = np.flatnonzero(used)
+        spaced = pc.binary_join_element_wise("", other, " ")
+        raw = self.units.of(np.concatenate([x.to_numpy(zero_copy_only=False) for x in (spaced, own)]).tolist())
+        size, begin = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
+        size[used] = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        begin[used] = np.cumsum(size[used]) - size[used]
+        ids = np.frombuffer(b"".join(raw), np.uint32)
+
+        size = size[code] * here
+        to = np.concatenate([[0], np.cumsum(size)])
+        out = memoryview(ids[np.repeat(begin[code] - to[:-1], size) + np.arange(to[-1])].tobytes())
+        at = (4 * to[ends]).tolist()
+        for i in range(len(texts)):
+            yield apart[i] if i in apart else bytes(out[at[i]:at[i + 1]])
+
+    def encode(self, texts: pa.Array | list[str | None], about: int = 1 << 23) -> Iterator[bytes]:
+        """The ids of each text in order, null being empty, as native unsigned 32-bit integers; about ``about`` bytes are worked on at a time."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        total = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
         at = 0
         while at < len(texts):
-            to, n = at, 0
-            while to < len(texts) and (to == at or n < about):
-                n += len(texts[to] or "")
-                to += 1
-            yield from map(b"".join, self.parts(texts[at:to]))
+            to = max(at + 1, int(np.searchsorted(total, total[at] + about, "right")) - 1)
+            yield from self.some(texts.slice(at, to - at))
             at = to
 
 

@@ -543,3 +543,27 @@ def test_token_files_hold_the_librarys_ids(spark, tmp_path):
     want = {i: [*tk.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(some)}
     assert {r["doc_id"]: r["ids"] for r in token_files.read_tokens(spark, str(tmp_path / "ids"), with_ids=True).collect()} == want
     assert want[0].count(50256) == 1
+
+
+def test_common_words_go_to_the_model_alone():
+    """Every common character beside others gives the library's ids, and units of them never take the library's whole call."""
+    own, tk = tokens.Encoder(JSON), Tokenizer.from_file(JSON)
+    tk.encode_special_tokens = True
+    whole = []
+    own.units._rest = whole.extend
+    beside = ["", "a", " ", "1", "'", " a", "\n"]
+    some = [f"{x}{c}{y}" for c in tokens._COMMON for x in beside for y in ("", "b", " b", "!", "s")] + ["don't  stop, café!\n\nx²y"]
+    for t, ids in zip(some, own.encode(some), strict=True):
+        assert np.frombuffer(ids, np.uint32).tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
+    assert not whole
+    own = tokens.Encoder(JSON)
+    some = ["a\0b c", "\0", "Жя, ok", "日本 x", None, "", "a b", "x" * 5000]
+    assert [np.frombuffer(ids, np.uint32).tolist() for ids in own.encode(some, about=3)] == [tk.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_blocks_of_a_full_segment_advance_together():
+    """A segment of four million ids takes 2048 steps over as many blocks, and every id is coded."""
+    n = token_files.SEGMENT_IDS
+    assert range_coder.block_size(n) == 2048
+    assert sum((end - begin) * k for begin, end, k in range_coder.strides(2048, n - 3 - 2047 * 2048, 2048)) == n - 3
+    assert list(range_coder.strides(40, 5, 1)) == [(0, 5, 1)]
