@@ -65,11 +65,11 @@ class Model:
         at &= (1 << SLOT_BITS) - 1
         return at + self.base[:, :one.shape[-1]]
 
-    def learn(self, at: np.ndarray, entry: np.ndarray, x: np.ndarray) -> None:
-        """The entries at ``at`` have met the ids ``x`` (both 32 bits wide)."""
+    def learn(self, at: np.ndarray, entry: np.ndarray, x: np.ndarray, hit: np.ndarray) -> None:
+        """The entries at ``at`` have met the ids ``x`` (both 32 bits wide); ``hit`` are those that had predicted them."""
         sure = entry & 3
-        lower = np.where(sure > 0, entry - 1, x << 2)
-        self.tables[at] = np.where((entry >> 2) == x, entry + (sure != 3), lower)
+        lower = np.where(sure, entry - 1, x << 2)
+        self.tables[at] = np.where(hit, entry + (sure != 3), lower)
 
     def count(self, classes: np.ndarray, hit: np.ndarray, last: int) -> None:
         """Predictions of some steps up to ``last`` and which came true; weights follow every REFRESH steps."""
@@ -122,13 +122,13 @@ def encode(ids: np.ndarray) -> bytes:
         for begin, end, n in strides(size, len(ids) - (blocks - 1) * size, blocks):
             x = steps[begin + 2:end + 2, :n]
             at = model.places(steps[begin + 1:end + 1, :n], steps[begin:end, :n])
-            entries = np.empty(at.shape, np.int32)
+            entries, hit = np.empty(at.shape, np.int32), np.empty(at.shape, bool)
             for step, entry in enumerate(entries):
                 model.tables.take(at[step], out=entry, mode="clip")
-                model.learn(at[step], entry, x[step])
+                model.learn(at[step], entry, x[step], np.equal(entry >> 2, x[step], out=hit[step]))
             # The weights stand still in a stride, so its intervals are found together.
             classes, predicted = (entries & 3) + model.lane[:, :n], entries >> 2
-            weight, hit = model.weights[classes], predicted == x[:, None]
+            weight = model.weights.take(classes)
             less = weight * (predicted < x[:, None])
             start = (model.cum[x] + less[:, 0] + less[:, 1]).astype(U64)
             more = weight * hit
@@ -225,7 +225,7 @@ def decode(raw: bytes, only: list[int] | None = None) -> np.ndarray:
                 ahead[give] = (ahead[give] << BITS32) | data[read[give]]
                 read[give] += 1
             out[step + 2, :k] = x
-            model.learn(at, entry, x)
+            model.learn(at, entry, x, right)
         model.count(classes, hit, end)
     out = out[2:]
     ids = np.concatenate([out[:length[i], i] for i in range(len(chosen))]).astype(np.int64)

@@ -15,15 +15,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units kept per generation; when a generation is full, the one before is dropped. This bounds memory, not input.
-REMEMBERED = 500_000
+#: When so many units are known, they are forgotten and learnt anew. This bounds memory, not input.
+REMEMBERED = 1_000_000
 #: Units and words encoded in one call.
 LINES, WORDS_AT_ONCE = 4096, 1024
 
@@ -70,7 +70,7 @@ def stretches(text: str) -> list[str]:
 
 
 class Units:
-    """Ids of units of text, as native unsigned 32-bit integers; units not seen before are encoded many at a time."""
+    """Numbers of units of text, and the ids of each number; units not seen before are encoded many at a time."""
 
     def __init__(self, tokenizer):
         from tokenizers import Tokenizer
@@ -78,32 +78,48 @@ class Units:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, cut = tokenizer, tokenizer.pre_tokenizer
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
         (self.line_end,) = tokenizer.encode("\n", add_special_tokens=False).ids
         plain = (tokenizer.normalizer is None and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
                  and isinstance(tokenizer.model, BPE) and tokenizer.model.dropout is None)
         self.between = [i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if BETWEEN in token] if plain else []
         self.model = Tokenizer(tokenizer.model) if len(self.between) == 1 and tokenizer.token_to_id(BETWEEN) in self.between else None
+        self._forget()
 
-    def of(self, units: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        self.known = {"": 0}
+        self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _add(self, units: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.size)
+        self.known.update(zip(units, range(n, n + len(units)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, units: list[str]) -> np.ndarray:
+        """The number of each unit. Numbers hold until the next call."""
         if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {"": b""}
-        known, old = self.known, self.old
-        out = list(map(known.get, units))
-        missing = {u for u, ids in zip(units, out, strict=True) if ids is None}
-        if not missing:
-            return out
-        known.update((u, old[u]) for u in missing if u in old)
-        new = [u for u in missing if u not in known]
-        if new:
-            self._learn(new)
-        return [known[u] if ids is None else ids for u, ids in zip(units, out, strict=True)]
+            self._forget()
+        out = self._numbers(units)
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            missing = [units[i] for i in at.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            out[at] = self._numbers(missing)
+        return out
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+
+    def read(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids from each ``begin`` on, one after another."""
+        before = np.cumsum(size) - size
+        return self.ids[np.repeat(begin - before, size) + np.arange(size.sum())]
 
     def _learn(self, missing: list[str]) -> None:
         if self.model is None:
             return self._rest(missing)
-        known, size = self.known, np.fromiter(map(len, missing), np.int64, len(missing))
+        size = np.fromiter(map(len, missing), np.int64, len(missing))
         points = np.frombuffer("".join(missing).encode("utf-32-le"), "<u4")
         begin = np.cumsum(size) - size
         kind = KIND[np.minimum(points, len(KIND) - 1)]
@@ -111,29 +127,32 @@ class Units:
         kind = np.maximum.reduceat(kind, begin)
         words, several, rest = (list(compress(missing, (kind == k).tolist())) for k in (LETTER, OTHER_COMMON, OTHER))
         cut = WORDS.findall("\0".join([*several, ""]))
-        new = [w for w in {*words, *cut} - {"\0"} if w not in known]
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            self._words(new[at:at + WORDS_AT_ONCE])
-        raw = [b"" if w == "\0" else known[w] for w in cut]
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))[[w == "\0" for w in cut]].tolist()
-        raw = b"".join(raw)
-        for unit, at, to in zip(several, [0, *ends][:-1], ends, strict=True):
-            known[unit] = raw[at:to]
+        self._words([*words, *(w for w in {*cut}.difference(words, ["\0"]) if w not in self.known)])
+        at = self._numbers(cut)
+        end = np.fromiter(map("\0".__eq__, cut), bool, len(cut))
+        at[end] = 0
+        # A unit that is one word by itself gets a second number with the same ids.
+        self._add(several, self.read(self.begin[at], self.size[at]), np.diff(np.cumsum(self.size[at])[end], prepend=0))
         if rest:
             self._rest(rest)
 
     def _words(self, words: list[str]) -> None:
         """Words of common characters, in the vocabulary's symbols, by the model alone."""
-        spelt = SYMBOLS[np.frombuffer("\0".join([*words, ""]).encode(), np.uint8)].tobytes().decode("utf-16-le")
-        self._cut(words, self.model, spelt, self.between[0])
-
-    def _cut(self, units: list[str], tokenizer, joined: str, end: int) -> None:
-        """Ids of ``joined``, in which each unit is followed by what has the id ``end``."""
-        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-        raw, begin = ids.tobytes(), 0
-        for unit, at in zip(units, (4 * np.flatnonzero(ids == end)).tolist(), strict=True):
-            self.known[unit] = raw[begin:at]
-            begin = at + 4
+        found = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            joined = "\0".join([*words[at:at + WORDS_AT_ONCE], ""])
+            spelt = SYMBOLS[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
+            found.append(self._encoded(self.model, spelt))
+        self._cut(words, found, self.between[0])
+
+    def _encoded(self, tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _cut(self, units: list[str], found: list[np.ndarray], end: int) -> None:
+        """Adds units whose ids ``found`` holds, each followed by ``end``."""
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        inner = ids != end
+        self._add(units, ids[inner], np.diff(np.flatnonzero(~inner), prepend=-1) - 1)
 
     def _rest(self, units: list[str]) -> None:
         """Units without white space inside go as lines of few texts, which is faster; the line ends tell them apart again."""
@@ -141,11 +160,9 @@ class Units:
         for unit in units:
             body = unit.removeprefix(" ")
             (lines if body.split() == [body] else others).append(unit)
-        for at in range(0, len(lines), LINES):
-            some = lines[at:at + LINES]
-            self._cut(some, self.tokenizer, "\n".join([*some, ""]), self.line_end)
-        for unit, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(e.ids, np.uint32).tobytes()
+        self._cut(lines, [self._encoded(self.tokenizer, "\n".join([*lines[at:at + LINES], ""])) for at in range(0, len(lines), LINES)], self.line_end)
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        self._add(others, np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64))
 
 
 class Encoder:
@@ -187,9 +204,11 @@ class Encoder:
             pc.is_in(pc.utf8_slice_codeunits(distinct, at, to), WHITE).to_numpy(zero_copy_only=False) for at, to in ((0, 1), (-1, None)))
         text = np.repeat(np.arange(len(texts)), np.diff(ends))
         in_run = np.unique(text[(begins[part] & ~first) | (stops[part] & ~last)])
-        for i in in_run.tolist():
-            if i not in apart:
-                apart[i] = b"".join(self.units.of(stretches(texts[i].as_py())))
+        in_run = [i for i in in_run.tolist() if i not in apart]
+        cuts = [stretches(texts[i].as_py()) for i in in_run]
+        number = self.units.of([u for units in cuts for u in units])
+        for i, at in zip(in_run, np.split(number, np.cumsum([len(x) for x in cuts])[:-1].astype(np.int64)), strict=False):
+            apart[i] = self.units.read(self.units.begin[at], self.units.size[at]).tobytes()
 
         here = np.ones(len(texts), bool)
         here[list(apart)] = False
@@ -202,15 +221,13 @@ class Encoder:
         other, own = distinct.filter(pa.array(used[:n])), distinct.filter(pa.array(used[n:]))
         used = np.flatnonzero(used)
         spaced = pc.binary_join_element_wise("", other, " ")
-        raw = self.units.of(np.concatenate([x.to_numpy(zero_copy_only=False) for x in (spaced, own)]).tolist())
+        number = self.units.of(np.concatenate([x.to_numpy(zero_copy_only=False) for x in (spaced, own)]).tolist())
         size, begin = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
-        size[used] = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        begin[used] = np.cumsum(size[used]) - size[used]
-        ids = np.frombuffer(b"".join(raw), np.uint32)
+        size[used], begin[used] = self.units.size[number], self.units.begin[number]
 
         size = size[code] * here
         to = np.concatenate([[0], np.cumsum(size)])
-        out = memoryview(ids[np.repeat(begin[code] - to[:-1], size) + np.arange(to[-1])].tobytes())
+        out = memoryview(self.units.read(begin[code], size).tobytes())
         at = (4 * to[ends]).tolist()
         for i in range(len(texts)):
             yield apart[i] if i in apart else bytes(out[at[i]:at[i + 1]])
