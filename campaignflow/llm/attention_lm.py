@@ -10,6 +10,7 @@ SPAN - STRIDE ids before it at least, where the text has them.
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaignflow.llm import common as c
+from campaignflow.llm.attention_graph import Graphs, backward, forward
 from campaignflow.llm.language import held_out
 
 SPAN, STRIDE, WIDTH = 32, 16, 16
@@ -27,14 +29,23 @@ SYMBOLS = 50_259
 #: Pieces in which the embeddings of a partition are averaged.
 SHARDS = 16
 EPOCHS, BATCH, RATE = 3, 128, 0.01
+#: Windows scored at a time.
+WINDOWS_SCORED = 256
+#: Words encoded in one call.
+WORDS_AT_ONCE = 1 << 16
 #: Ids that a task lays out at a time, and one text at least; windows are shuffled among them.
 PIECE_IDS = 1 << 17
 #: Words that make up at least this share of the training text are looked up in a broadcast table of 1 / share rows at
 #: most; the others are joined.
 FREQUENT_SHARE = 1e-6
 SLICE_BYTES = 1 << 20
+#: Bytes of text, and one text at least, whose different words are encoded together.
+TOGETHER_BYTES = 1 << 22
 NEGATIVE = np.float32(-1e9)
 
+#: White space of the vocabulary's pattern that does not separate words here.
+OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
 #: Lower case, and one kind of separator.
 FOLD = bytes(32 if c.SPACE_BYTES[i] else int(c.LOWER[i]) for i in range(256))
 
@@ -61,6 +72,66 @@ class Ids:
         words = raw.translate(FOLD).split()
         return self.encoding.encode_to_numpy(b" ".join(words).decode()).astype(np.int64) if words else np.zeros(0, np.int64)
 
+    def units(self, words: list[bytes], before: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each with ``before`` in front, one word after another, and how many each has. A word has no white space inside."""
+        found = [np.zeros(0, np.uint32)]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at:at + WORDS_AT_ONCE]
+            found.append(self.encoding.encode_to_numpy(b"".join([before, (b"\n" + before).join(some), b"\n"]).decode()))
+        ids = np.concatenate(found)
+        (line_end,) = self.encoding.encode_ordinary("\n")
+        inner = ids != line_end
+        return ids[inner], np.diff(np.flatnonzero(~inner), prepend=-1) - 1
+
+
+class Encoded:
+    """Ids of the lower-cased words of many texts, each text's words joined by one space, as ``Ids.folded`` gives them.
+
+    The pattern cuts before a space that has a visible character on each side, so a text's ids are those of its first word and
+    of each other word with the space before it. Words are told apart by their hashes; of each one that differs the ids are found
+    once. Texts with other white space are encoded whole.
+    """
+
+    def __init__(self, own: Ids, data: np.ndarray, offsets: np.ndarray):
+        self.own, self.raw, self.offsets = own, data.tobytes(), offsets
+        begin, end, self.first = c.word_spans(data, offsets, c.SPACE_BYTES)
+        self.hashes = c.signed(c.word_hashes(data, begin, end, lower=True))
+        coded = pa.array(self.hashes).dictionary_encode()
+        self.words, self.which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        # The dictionary is in the order of first places.
+        place = np.flatnonzero(np.diff(np.maximum.accumulate(self.which), prepend=-1))
+        folded = self.raw.translate(FOLD)
+        words = [folded[a:b] for a, b in zip(begin[place].tolist(), end[place].tolist(), strict=True)]
+        odd = np.zeros(len(words), bool)
+        if OTHER_SPACE.search(folded.decode()):
+            odd = np.fromiter((bool(OTHER_SPACE.search(w.decode())) for w in words), bool, len(words))
+            words = [b"-" if out else w for w, out in zip(words, odd.tolist(), strict=True)]
+        self.whole = np.unique(np.searchsorted(self.first, np.flatnonzero(odd[self.which]), "right") - 1) if odd.any() else np.zeros(0, np.int64)
+        starts = self.first[:-1][np.diff(self.first) > 0]
+        leading, number = np.unique(self.which[starts], return_inverse=True)
+        self.unit = self.which.astype(np.int64)
+        self.unit[starts] = len(words) + number
+        ids, size = zip(own.units(words, b" "), own.units([words[i] for i in leading.tolist()], b""), strict=True)
+        self.ids, self.size = np.concatenate(ids), np.concatenate(size)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def counts(self) -> np.ndarray:
+        """How often each of ``words`` occurs."""
+        return np.bincount(self.which, minlength=len(self.words))
+
+    def lists(self, at: int, to: int) -> list[np.ndarray]:
+        """The ids of each text from ``at`` to ``to``."""
+        first = self.first[at:to + 1]
+        unit = self.unit[first[0]:first[-1]]
+        size = self.size[unit]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.repeat(self.begin[unit] - ends[:-1], size) + np.arange(ends[-1])]
+        ends = ends[first - first[0]].tolist()
+        out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i in self.whole[(self.whole >= at) & (self.whole < to)].tolist():
+            out[i - at] = self.own.folded(self.raw[self.offsets[i]:self.offsets[i + 1]])
+        return out
+
 
 _IDS: dict[str, Ids] = {}
 
@@ -95,7 +166,7 @@ def laid_out(lists: list[np.ndarray], end: int, pad: int, begin: int):
 
 def cut(inputs: np.ndarray, target: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The windows that begin at ``first``: inputs (n x SPAN) and targets (n x STRIDE)."""
-    return inputs[first[:, None] + np.arange(SPAN)], target[first[:, None] + (SPAN - STRIDE) + np.arange(STRIDE)]
+    return np.take(inputs, first[:, None] + np.arange(SPAN)), np.take(target, first[:, None] + (SPAN - STRIDE) + np.arange(STRIDE))
 
 
 def windows(lists: list[np.ndarray], end: int, pad: int, begin: int):
@@ -146,66 +217,88 @@ def start(symbols: int = SYMBOLS) -> np.ndarray:
 LIMIT = np.float32(60)
 CAUSAL = np.arange(SPAN)[None, :] <= (SPAN - STRIDE + np.arange(STRIDE))[:, None]
 
-SEEN = CAUSAL.astype(np.float32)
-
-
-def attended(q: np.ndarray, k: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Attention of the last STRIDE positions to all positions up to each that are not before the text."""
-    score = q @ k.transpose(0, 2, 1) * np.float32(WIDTH ** -0.5)
-    score = np.where(CAUSAL & known[:, None, :], score, NEGATIVE)
-    score -= score.max(axis=2, keepdims=True)
-    np.exp(score, out=score)
-    score /= score.sum(axis=2, keepdims=True)
-    return score
-
-
-def gradients(p: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, pad: int):
-    """Mean loss in nats of the targets that are not -1, the symbols read and the gradient of their embeddings, and that of all other weights."""
-    lead, n_windows = SPAN - STRIDE, len(symbols)
-    # Products with weights run over all places of all windows at once.
-    x = p["embed"][symbols] + p["place"]
-    every, last = x.reshape(-1, WIDTH), x[:, lead:].reshape(-1, WIDTH)
-
-    def by_window(flat):
-        return flat.reshape(n_windows, -1, WIDTH)
-
-    q, k, v = by_window(last @ p["query"]), by_window(every @ p["key"]), by_window(every @ p["value"])
-    a = attended(q, k, symbols != pad)
-    av = (a @ v).reshape(-1, WIDTH)
-    h = last + av @ p["mix"]
-    logits = h @ p["out"]
-    logits += p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    prob = np.exp(logits, out=logits)
-    prob /= prob.sum(axis=1, keepdims=True)
-    which = target.ravel()
-    real = which >= 0
+SCALE = WIDTH ** -0.5
+#: What is added to the scores of the last STRIDE positions: in a window inside a text, and in one that begins it.
+MASKS = np.stack([np.where(seen, np.float32(0), NEGATIVE) for seen in (CAUSAL, CAUSAL & (np.arange(SPAN) >= SPAN - STRIDE))])
+GRAPHS = Graphs()
+
+
+def reads(symbols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of some symbols below ``n``, ascending, and which of them each is."""
+    flat = symbols.ravel()
+    order = np.argsort(flat.astype(np.uint16) if n <= 1 << 16 else flat, kind="stable")  # 16 bits are sorted by digits
+    ordered = flat[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    which = np.empty(len(flat), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], which
+
+
+def sums_of(rows: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of each of ``n`` groups."""
+    cells = np.take(np.arange(n * WIDTH).reshape(n, WIDTH), which, axis=0)
+    return np.bincount(cells.ravel(), rows.ravel(), minlength=n * WIDTH).reshape(n, WIDTH).astype(rows.dtype)
+
+
+def gradients(p: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, pad: int, graphs: bool = True):
+    """Mean loss in nats of the targets that are not -1, the symbols read and the gradient of their embeddings, and that of all other weights.
+
+    Scores are products of inputs with ``query`` times ``key`` transposed, and what is attended to goes through ``value`` times
+    ``mix``: no key or value of a position is computed. Products with weights run over all places of all windows at once. Weights
+    of 32 bits go through ``graphs`` where onnxruntime is there.
+    """
+    read, which = reads(symbols, len(p["embed"]))
+    x = np.take(np.take(p["embed"], read, axis=0), which, axis=0).reshape(len(symbols), SPAN, WIDTH)
+    x += p["place"]
+    kind = x.dtype
+    last = x[:, SPAN - STRIDE:].reshape(-1, WIDTH)
+    w = {"scores_of": p["query"] @ p["key"].T * kind.type(SCALE), "values_of": p["value"] @ p["mix"], "out": p["out"]}
+    graphs = graphs and kind == np.float32
+    ahead = GRAPHS.get("forward", lambda: forward(STRIDE, WIDTH, MASKS, None)) if graphs else None
+    back = GRAPHS.get("backward", lambda: backward(STRIDE, WIDTH)) if graphs else None
+    early = symbols[:, 0] == pad
+    q, a, seen, h, d = (ahead or run_forward)(x=x, last=last, early=early.astype(np.int64), bias=p["bias"], **w)
+    classes = target.ravel()
+    real = classes >= 0
     n = max(1, int(real.sum()))
-    at, right = np.arange(len(which)), np.where(real, which, 0)
-    loss = -np.log(prob[at, right][real] + 1e-30).sum() / n
-    d = prob
-    d[at, right] -= 1
-    d *= (real / n).astype(np.float32)[:, None]
-    g = {"out": h.T @ d, "bias": d.sum(axis=0)}
-    dh = d @ p["out"].T
-    g["mix"] = av.T @ dh
-    dav = by_window(dh @ p["mix"].T)
-    dv = (a.transpose(0, 2, 1) @ dav).reshape(-1, WIDTH)
-    ds = dav @ v.transpose(0, 2, 1)
-    ds -= (ds * a).sum(axis=2, keepdims=True)
-    ds *= a
-    ds *= np.float32(WIDTH ** -0.5)
-    dq, dk = (ds @ k).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-    g["query"] = last.T @ dq
-    g["key"] = every.T @ dk
-    g["value"] = every.T @ dv
-    dx = by_window(dk @ p["key"].T + dv @ p["value"].T)
-    dx[:, lead:] += by_window(dh + dq @ p["query"].T)
-    g["place"] = dx.sum(axis=0)
-    order = np.argsort(symbols, axis=None, kind="stable")
-    read = symbols.ravel()[order]
-    new = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
-    return float(loss), read[new], np.add.reduceat(dx.reshape(-1, WIDTH)[order], new, axis=0), np.concatenate([g[name].ravel() for name, _ in SHAPES])
+    at = np.arange(0, d.size, d.shape[1]) + np.where(real, classes, 0)
+    loss = -np.log(d.ravel()[at][real] + 1e-30).sum() / n
+    d.ravel()[at] -= 1
+    d *= kind.type(1 / n) if n == len(classes) else (real / n).astype(kind)[:, None]
+    g_out, g_values, g_scores, dl, dx = (back or run_backward)(x=x, last=last, q=q, a=a, seen=seen, h=h, d=d, **w)
+    dx[:, SPAN - STRIDE:] += dl.reshape(-1, STRIDE, WIDTH)
+    g_scores = g_scores * kind.type(SCALE)
+    g = {"place": dx.sum(axis=0), "query": g_scores @ p["key"], "key": g_scores.T @ p["query"], "value": g_values @ p["mix"].T,
+         "mix": p["value"].T @ g_values, "out": g_out, "bias": np.ones(len(d), kind) @ d}
+    return float(loss), read, sums_of(dx, which, len(read)), np.concatenate([g[name].ravel() for name, _ in SHAPES])
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
+def run_forward(x, last, early, scores_of, values_of, out, bias):
+    """``attention_graph.forward`` in numpy."""
+    q = (last @ scores_of).reshape(-1, STRIDE, WIDTH)
+    a = softmax(q @ x.transpose(0, 2, 1) + np.take(MASKS, early, axis=0).astype(x.dtype))
+    seen = (a @ x).reshape(-1, WIDTH)
+    h = seen @ values_of + last
+    return q, a, seen, h, softmax(h @ out + bias)
+
+
+def run_backward(x, last, q, a, seen, h, d, scores_of, values_of, out):
+    """``attention_graph.backward`` in numpy."""
+    dh = d @ out.T
+    flat_seen = dh @ values_of.T
+    d_seen = flat_seen.reshape(-1, STRIDE, WIDTH)
+    # The sum of attention times its gradient, over all positions, is that of what is attended to times its own.
+    ds = (d_seen @ x.transpose(0, 2, 1) - (flat_seen * seen).sum(axis=1).reshape(-1, STRIDE, 1)) * a
+    dq = (ds @ x).reshape(-1, WIDTH)
+    dx = a.transpose(0, 2, 1) @ d_seen + ds.transpose(0, 2, 1) @ q
+    return h.T @ d, seen.T @ dh, last.T @ dq, dh + dq @ scores_of.T, dx
 
 
 def gradient(flat: np.ndarray, symbols: np.ndarray, target: np.ndarray, pad: int) -> tuple[float, np.ndarray]:
@@ -217,6 +310,11 @@ def gradient(flat: np.ndarray, symbols: np.ndarray, target: np.ndarray, pad: int
     return loss, g
 
 
+def whole_rows(x: np.ndarray) -> np.ndarray:
+    """A table as one item a row, which is written many times faster than numbers by row."""
+    return x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).reshape(-1)
+
+
 class Adam:
     """Weights and their moments; embeddings and their moments move when they are read."""
 
@@ -234,11 +332,20 @@ class Adam:
         self.step += 1
         self.read[read] += 1
         scale_m, scale_s = np.float32(RATE / (1 - 0.9 ** self.step)), np.float32(1 / (1 - 0.98 ** self.step))
-        for x, m, s, at, g in ((self.weights, self.m_of, self.s_of, read, embed), (self.flat, self.m, self.s, self.rest, rest)):
-            now_m = np.float32(0.9) * m[at] + np.float32(0.1) * g
-            now_s = np.float32(0.98) * s[at] + np.float32(0.02) * (g * g)
-            m[at], s[at] = now_m, now_s
-            x[at] -= scale_m * now_m / (np.sqrt(now_s * scale_s) + np.float32(1e-6))
+
+        def move(x, m, s, g):
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            s *= np.float32(0.98)
+            s += np.float32(0.02) * (g * g)
+            x -= scale_m * m / (np.sqrt(s * scale_s) + np.float32(1e-6))
+
+        tables = (self.weights, self.m_of, self.s_of)
+        rows = [np.take(x, read, axis=0) for x in tables]
+        move(*rows, embed)
+        for x, own in zip(tables, rows, strict=True):
+            np.put(whole_rows(x), read, whole_rows(own))
+        move(*(x[self.rest] for x in (self.flat, self.m, self.s)), rest)
 
 
 def trained(flat: np.ndarray, symbols: np.ndarray, target: np.ndarray, pad: int) -> np.ndarray:
@@ -276,75 +383,87 @@ def epoch_of(batches, begin: np.ndarray, v: Vocabulary, epoch: int) -> tuple[Ada
 
 
 class Scorer:
-    """The model with its inner products prepared per symbol and per place."""
+    """The model with its inner products prepared."""
 
-    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary):
+    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary, graphs: bool = True):
         p, self.vocabulary = unpacked(flat.astype(np.float32)), vocabulary
-        self.of_symbol, self.of_place = (
-            (x @ p["query"] * np.float32(WIDTH ** -0.5), x @ p["key"], x @ p["value"] @ p["mix"], x) for x in (p["embed"], p["place"]))
-        self.out, self.bias = p["out"], p["bias"]
+        self.embed, self.place = p["embed"], p["place"]
+        self.weights = {"scores_of": p["query"] @ p["key"].T * np.float32(SCALE), "values_of": p["value"] @ p["mix"], "out": p["out"], "bias": p["bias"]}
+        self.run = (GRAPHS.get("scores", lambda: forward(STRIDE, WIDTH, MASKS, LIMIT)) if graphs else None) or run_scores
 
     def scores(self, lists: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each list of ids and its end."""
         v, total = self.vocabulary, np.zeros(len(lists))
-        inputs, target, text = windows(lists, v.end, v.end + 2, v.end + 1)
-        lead = SPAN - STRIDE
-        (q, k, value, x), (place_q, place_k, place_value, place_x) = self.of_symbol, self.of_place
-        for at in range(0, len(text), 2048):
-            symbols, ids = inputs[at:at + 2048], target[at:at + 2048]
-            last = symbols[:, lead:]
-            a = (q[last] + place_q[lead:]) @ (k[symbols] + place_k).transpose(0, 2, 1)
-            # Scaled products are limited, so the exponentials need no shift by their maximum.
-            np.clip(a, -LIMIT, LIMIT, out=a)
-            np.exp(a, out=a)
-            a *= SEEN
-            early = np.flatnonzero(symbols[:, 0] == v.pad)
-            a[early] *= (symbols[early] != v.pad)[:, None, :]
-            h = a @ (value[symbols] + place_value)
-            h /= a.sum(axis=2, keepdims=True)
-            h += x[last] + place_x[lead:]
-            real = ids >= 0
-            h, ids, own = h[real], ids[real], np.broadcast_to(text[at:at + 2048, None], real.shape)[real]
-            logits = h @ self.out
-            logits += self.bias
-            np.clip(logits, -LIMIT, LIMIT, out=logits)
-            right = logits[np.arange(len(ids)), v.of[ids]]
-            np.exp(logits, out=logits)
-            log10 = (right - np.log(logits.sum(axis=1))) / np.log(10.0) + v.within[ids]
-            total += np.bincount(own, log10, minlength=len(lists))
+        inputs, target, first, text = laid_out(lists, v.end, v.end + 2, v.end + 1)
+        for at in range(0, len(text), WINDOWS_SCORED):
+            symbols, ids = cut(inputs, target, first[at:at + WINDOWS_SCORED])
+            x = np.take(self.embed, symbols, axis=0)
+            x += self.place
+            (log,) = self.run(x=x, last=x[:, SPAN - STRIDE:].reshape(-1, WIDTH), early=(symbols[:, 0] == v.pad).astype(np.int64), **self.weights)
+            real = np.flatnonzero(ids.ravel() >= 0)
+            ids = ids.ravel()[real]
+            log10 = np.take(log, real * v.n + v.of[ids]) / np.log(10.0) + v.within[ids]
+            total += np.bincount(text[at + real // STRIDE], log10, minlength=len(lists))
         return total
 
 
+def run_scores(x, last, early, scores_of, values_of, out, bias):
+    """``attention_graph.forward`` with limited scores, in numpy."""
+    score = (last @ scores_of).reshape(-1, STRIDE, WIDTH) @ x.transpose(0, 2, 1)
+    a = softmax(np.clip(score, -LIMIT, LIMIT, out=score) + np.take(MASKS, early, axis=0))
+    logits = ((a @ x).reshape(-1, WIDTH) @ values_of + last) @ out + bias
+    # Scores are limited, so the exponentials need no shift by their maximum.
+    np.clip(logits, -LIMIT, LIMIT, out=logits)
+    return (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True)),)
+
+
 WORD, ID, TEXT = 0, 1, 2
 GATHERED = "kind int, item long, n long, ids array<int>"
 
 
 def gathered(batches, path: str):
-    """Batches of (row key, training text) to counts of words and of ids, and all ids of each text."""
+    """Batches of (row, text) to counts of words and of ids, and all ids of each text."""
     own = ids_of(path)
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        data, offsets = c.text_buffer(batch.column(1))
-        begin, end, _ = c.word_spans(data, offsets, c.SPACE_BYTES)
-        word, n = np.unique(c.word_hashes(data, begin, end, lower=True), return_counts=True)
-        yield gathered_rows(WORD, c.signed(word), n)
-        count = np.zeros(own.size, np.int64)
-        for at, to in slices(offsets):
-            lists = [own.folded(data[offsets[i]:offsets[i + 1]].tobytes()) for i in range(at, to)]
-            flat = np.concatenate(lists)
-            count += np.bincount(flat, minlength=own.size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(to - at, TEXT, np.int32)), pa.array(keys[at:to]), pa.array(np.ones(to - at, np.int64)),
-                 c.list_column(flat.astype(np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]))], names=["kind", "item", "n", "ids"])
+        rows = batch.column(0).to_numpy(zero_copy_only=False)
+        words, times, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(own.size, np.int64)
+        for begin, texts in encoded(own, batch.column(1)):
+            words.append(texts.words)
+            times.append(texts.counts())
+            for at, to in slices(texts.offsets, SLICE_BYTES):
+                lists = texts.lists(at, to)
+                flat = np.concatenate(lists)
+                count += np.bincount(flat, minlength=own.size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(to - at, TEXT, np.int32)), pa.array(rows[begin + at:begin + to]), pa.array(np.ones(to - at, np.int64)),
+                     c.list_column(flat.astype(np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]))], names=["kind", "item", "n", "ids"])
+        word, which = np.unique(np.concatenate(words), return_inverse=True)
+        yield gathered_rows(WORD, word, np.bincount(which, np.concatenate(times), len(word)))
         seen = np.flatnonzero(count)
         yield gathered_rows(ID, seen, count[seen])
 
 
-def slices(offsets: np.ndarray):
-    """Texts from, to: SLICE_BYTES or one text at a time."""
+def encoded(own: Ids, column: pa.Array):
+    """The texts of a column, some at a time, with the place of the first of them."""
+    data, offsets = c.text_buffer(column)
+    for at, to in slices(offsets, TOGETHER_BYTES):
+        yield at, Encoded(own, data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at])
+
+
+def hashed(column: pa.Array):
+    """The hashes of the words of a column's texts, and each text's first word, for some texts at a time and the place of the first of them."""
+    data, offsets = c.text_buffer(column)
+    for at, to in slices(offsets, TOGETHER_BYTES):
+        some = data[offsets[at]:offsets[to]]
+        begin, end, first = c.word_spans(some, offsets[at:to + 1] - offsets[at], c.SPACE_BYTES)
+        yield at, c.signed(c.word_hashes(some, begin, end, lower=True)), first
+
+
+def slices(offsets: np.ndarray, most: int):
+    """Texts from, to: ``most`` bytes or one text at a time."""
     at = 0
     while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, to
         at = to
 
@@ -417,16 +536,22 @@ def scored(documents: DataFrame, tokenizer: str) -> DataFrame:
     base_score sums log10((c + 1) / (N + V + 1)) over words and end, with counts over all rows that are not held out; score is the
     model's log10 probability. Null and empty texts are an end alone; texts of any length are scored whole, repeated rows
     alike; a null doc_id is the empty text for the folds. Without training rows all counts are 0 and the model is as it starts.
-    The input must be a stored table, as its rows are numbered twice.
+    Each text is encoded once, and its ids are read for the epochs and the score. The input must be a stored table, as its rows are
+    numbered several times.
     """
     spark = documents.sparkSession
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         held_out(F.col("doc_id"), 7, 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    key = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)).alias("key")
-    stored = c.written(rows.where("NOT held_out").select(key, "text").mapInArrow(partial(gathered, path=tokenizer), GATHERED), "gathered")
+    is_text = F.col("kind") == TEXT
+
+    def kept(some):
+        return some.select("row", "text").mapInArrow(partial(gathered, path=tokenizer), GATHERED)
+
+    stored = c.written(kept(rows.where("NOT held_out")), "gathered")
+    apart = c.written(kept(rows.where("held_out")).where(is_text), "apart")
     words = c.written(stored.where(F.col("kind") == WORD).groupBy(F.col("item").alias("word")).agg(F.sum("n").alias("n")), "words")
-    n_docs = stored.where(F.col("kind") == TEXT).count()
+    n_docs = stored.where(is_text).count()
     n_words, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     train_tokens, distinct = n_words + n_docs, n_distinct + (n_docs > 0)
 
@@ -443,45 +568,49 @@ def scored(documents: DataFrame, tokenizer: str) -> DataFrame:
     order = np.argsort(word)
     shared = spark.sparkContext.broadcast((flat, vocabulary, word[order], np.log10(n[order] + 1.0), np.log10(n_docs + 1.0), n_docs > 0))
 
-    def frequent_words(data, offsets):
-        """Hashes of all words, and the frequent ones' places in the table (-1 for others)."""
+    def frequent_words(hashes):
+        """The frequent words' places in the table (-1 for others)."""
         table = shared.value[2]
-        begin, end, first = c.word_spans(data, offsets, c.SPACE_BYTES)
-        hashes = c.signed(c.word_hashes(data, begin, end, lower=True))
         if not len(table):
-            return hashes, np.full(len(hashes), -1), first
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-        return hashes, np.where(table[at] == hashes, at, -1), first
+        return np.where(table[at] == hashes, at, -1)
 
-    def score(batches):
-        flat, vocabulary, _, log10, end_log10, end_known = shared.value
-        model, own = Scorer(flat, vocabulary), ids_of(tokenizer)
+    def known_words(batches):
+        _, _, _, log10, end_log10, end_known = shared.value
         for batch in batches:
-            data, offsets = c.text_buffer(batch.column(3))
-            _, at, first = frequent_words(data, offsets)
-            text = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            found = at >= 0
-            known = np.bincount(text[found], minlength=batch.num_rows) + end_known
-            part = np.bincount(text[found], log10[at[found]], minlength=batch.num_rows) + end_log10
-            scores = [np.zeros(0)]
-            for i, to in slices(offsets):
-                scores.append(model.scores([own.folded(data[offsets[j]:offsets[j + 1]].tobytes()) for j in range(i, to)]))
+            known, part, n_tokens = ([np.zeros(0)] for _ in range(3))
+            for _, hashes, first in hashed(batch.column(3)):
+                at, n = frequent_words(hashes), len(first) - 1
+                text = np.repeat(np.arange(n), np.diff(first))
+                found = at >= 0
+                known.append(np.bincount(text[found], minlength=n) + end_known)
+                part.append(np.bincount(text[found], log10[at[found]], minlength=n) + end_log10)
+                n_tokens.append(np.diff(first) + 1)
+            known, part, n_tokens = (np.concatenate(x) for x in (known, part, n_tokens))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(first) + 1), pa.array(known.astype(np.int64)), pa.array(part),
-                 pa.array(np.concatenate(scores))], names=["row", "doc_id", "held_out", "n_tokens", "known", "part", "score"])
+                [*batch.columns[:3], pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(part)],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "part"])
 
-    def rare(batches):
+    def score(batches):
+        model = Scorer(*shared.value[:2])
         for batch in batches:
-            data, offsets = c.text_buffer(batch.column(1))
-            hashes, at, first = frequent_words(data, offsets)
-            row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(first))
-            other = at < 0
-            yield pa.RecordBatch.from_arrays([pa.array(row[other]), pa.array(hashes[other])], names=["row", "word"])
+            scores = [np.zeros(0), *(model.scores(some) for some in pieces(lists_of(batch.column(1))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], names=["row", "score"])
 
-    docs = rows.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, score double")
+    def rare(batches):
+        for batch in batches:
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, hashes, first in hashed(batch.column(1)):
+                row = np.repeat(rows[at:at + len(first) - 1], np.diff(first))
+                other = frequent_words(hashes) < 0
+                yield pa.RecordBatch.from_arrays([pa.array(row[other]), pa.array(hashes[other])], names=["row", "word"])
+
+    docs = rows.mapInArrow(known_words, "row long, doc_id long, held_out boolean, n_tokens long, known long, part double")
+    scores = stored.where(is_text).unionByName(apart).select("item", "ids").mapInArrow(score, "row long, score double")
     others = (rows.select("row", "text").mapInArrow(rare, "row long, word long").join(words.where(~many), "word")
               .groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count(F.lit(1)).alias("more_known")))
-    out = docs.join(others, "row", "left")
+    out = docs.join(scores, "row").join(others, "row", "left")
     scale = float(np.log10(train_tokens + distinct + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
