@@ -31,10 +31,12 @@ def clean_number(c) -> Column:
     """Currency signs, thousands separators, trailing percent and accounting negatives to DOUBLE; else NULL."""
 
     def number(text):
-        inner = F.regexp_replace(text, r"^\((.*)\)$", "$1")
-        digits = F.regexp_replace(F.regexp_replace(inner, "%$", ""), r"[,$€£₹\s]", "")
-        value = once(digits, lambda d: F.when(d.rlike(NUMBER), d.try_cast("double")))
-        return once(value, lambda v: F.when(text.rlike(r"^\(.*\)$"), -F.abs(v)).otherwise(v))
+        # Patterns are tried only where the character they begin or end with is there.
+        opened, percent = text.startswith("("), text.contains("%")
+        inner = F.when(opened, F.regexp_replace(text, r"^\((.*)\)$", "$1")).otherwise(text)
+        whole = F.when(percent, F.regexp_replace(inner, "%$", "")).otherwise(inner)
+        value = once(F.regexp_replace(whole, r"[,$€£₹\s]", ""), lambda d: F.when(d.rlike(NUMBER), d.try_cast("double")))
+        return once(value, lambda v: F.when(opened & text.rlike(r"^\(.*\)$"), -F.abs(v)).otherwise(v))
 
     return once(F.trim(col(c).cast("string")), number)
 
@@ -101,6 +103,13 @@ def checked_fields(mapping: dict[str, str]) -> list[str]:
     return [f for f in NUMERIC_FIELDS if f in mapping.values()]
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
+
+
 def to_canonical(raw: DataFrame, mapping: dict[str, str], source: str | None, channel: str | Column | None = None, checks: bool = False) -> DataFrame:
     """Project a raw frame through ``mapping`` (raw column -> field) onto the canonical columns.
 
@@ -109,12 +118,16 @@ def to_canonical(raw: DataFrame, mapping: dict[str, str], source: str | None, ch
     is in ``source_name``. With ``checks`` all rows stay, and columns say what is wrong with each.
     """
     by_field = {field: raw_col for raw_col, field in mapping.items()}
+    # Numbers and the owner stand in columns of their own, so that each is computed once however often it is used.
+    prefix = unused("read ", raw.columns)
 
-    def number(field: str) -> Column:
+    def read_number(field: str) -> Column:
         c = by_field[field]
-        quoted = text(field)
         divisor = UNIT_DIVISORS.get(plain(c))
-        return clean_number(quoted) / divisor if divisor else clean_number(quoted)
+        return clean_number(text(field)) / divisor if divisor else clean_number(text(field))
+
+    def number(field: str) -> Column:
+        return F.col(f"`{prefix}{field}`")
 
     def text(field: str) -> Column:
         return F.col("`" + by_field[field].replace("`", "``") + "`").cast("string")
@@ -131,6 +144,8 @@ def to_canonical(raw: DataFrame, mapping: dict[str, str], source: str | None, ch
         owner = F.when(channel.isNotNull(), channel).otherwise(fallback)
     else:
         owner = F.lit(channel) if channel else fallback
+    raw = raw.withColumns({f"{prefix}{f}": read_number(f) for f in NUMERIC_FIELDS if f in by_field} | {f"{prefix}channel": owner})
+    owner = number("channel")
     kind = campaign_type(text("campaign_type"), name) if "campaign_type" in by_field else infer_type(name)
     columns = {
         "channel": owner,
@@ -164,13 +179,18 @@ def file_report(checked: DataFrame, described: DataFrame) -> DataFrame:
     """
     dated = F.col("date").isNotNull()
     at = range(len(NUMERIC_FIELDS))
-    counts = checked.groupBy(F.col("source_file").alias("file")).agg(
-        F.count_if(dated).alias("n_rows"), F.count_if(~dated).alias("n_dropped"),
-        F.count_distinct(F.when(dated, F.col("campaign_id"))).alias("n_campaigns"),
-        F.min(F.when(dated, F.col("channel"))).alias("channel"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+    cells = [f"{kind}{i}" for kind in ("filled", "failed") for i in at]
+    # Numbers by file and campaign first: they are added up in hash tables before anything is shuffled or sorted.
+    campaigns = checked.groupBy(F.col("source_file").alias("file"), "campaign_id", "channel").agg(
+        F.count_if(dated).alias("n_rows"), F.count_if(~dated).alias("n_dropped"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.count_if(F.col("blank_id")).alias("n_blank_ids"), F.count_if(dated & (F.lower("campaign_type") == UNCLASSIFIED)).alias("n_unclassified"),
-        F.array(*[F.coalesce(F.sum(F.get("filled", F.lit(i))), F.lit(0)) for i in at]).alias("filled"),
-        F.array(*[F.coalesce(F.sum(F.get("failed", F.lit(i))), F.lit(0)) for i in at]).alias("failed"))
+        *[F.sum(F.get(kind, F.lit(i))).alias(f"{kind}{i}") for kind in ("filled", "failed") for i in at])
+    counted = F.col("n_rows") > 0
+    counts = campaigns.groupBy("file").agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_dropped", "n_blank_ids", "n_unclassified", *cells)],
+        F.count_distinct(F.when(counted, F.col("campaign_id"))).alias("n_campaigns"), F.min(F.when(counted, F.col("channel"))).alias("channel"),
+        F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")).withColumns({
+            kind: F.array(*[F.coalesce(f"{kind}{i}", F.lit(0).cast("long")) for i in at]) for kind in ("filled", "failed")}).drop(*cells)
     fields = F.transform("fields", lambda f, i: F.struct(f.alias("field"), F.get("filled", i).alias("n_nonempty"), F.get("failed", i).alias("n_failed")))
     joined = described.join(counts, "file", "left").withColumn("parsed", fields)
     n_all = F.col("n_rows") + F.col("n_dropped")

@@ -261,8 +261,9 @@ def read_records(spark: SparkSession, paths: dict[str, str], names: list[str], s
         parts.append(rows.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                  F.monotonically_increasing_id().alias("id")))
     if broken:
-        rows = broken_records(spark, [paths[f] for f in broken], {f: surveyed[f] for f in broken}).where(F.trim(F.regexp_replace("text", "\r$", "")) != "")
-        cells = F.from_csv(F.regexp_replace("text", "\r$", ""), schema, {**OPTIONS, "multiLine": "true"})
+        rows = broken_records(spark, [paths[f] for f in broken], {f: surveyed[f] for f in broken}).withColumn(
+            "text", F.when(F.col("text").contains("\r"), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text"))).where(F.trim("text") != "")
+        cells = F.from_csv("text", schema, {**OPTIONS, "multiLine": "true"})
         parts.append(rows.select(cells.alias("cells"), "file", "block", "id").select("cells.*", "file", "block", "id"))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     numbered = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(surveyed))], "file string, nth long")

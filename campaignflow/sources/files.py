@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campaignflow.operators.canonical import channel_of_file, checked_fields, file_report, missing_fields, to_canonical
+from campaignflow.operators.canonical import channel_of_file, checked_fields, file_report, missing_fields, to_canonical, unused
 from campaignflow.operators.mapping import map_columns
 from campaignflow.schema import CANONICAL
 from campaignflow.sources.csv_splits import header_names, read_records, survey
@@ -85,15 +85,20 @@ def ingest_directory(spark: SparkSession, directory: str) -> tuple[DataFrame, Da
             "direct" if "revenue" in chosen.values() else "proxy", checked_fields(chosen))
         described += [(f, os.path.basename(path), *facts) for f, path in own.items()]
         if not lacking:
-            raw = raw_rows(spark, own, names, surveyed).withColumn("source_name", F.element_at(F.split(F.url_decode(F.replace("source_file", F.lit("+"), F.lit("%2B"))), "/"), -1))
-            parts.append(to_canonical(raw, chosen, None, channel_of_file("source_name"), checks=True))
+            raw = raw_rows(spark, own, names, surveyed)
+            channel = unused("channel of the file", names)
+            # A name is taken apart once per file, not per row.
+            files = spark.createDataFrame([(f,) for f in own], "source_file string").withColumn(
+                "source_name", F.element_at(F.split(F.url_decode(F.replace("source_file", F.lit("+"), F.lit("%2B"))), "/"), -1))
+            raw = raw.join(F.broadcast(files.withColumn(channel, channel_of_file("source_name"))), "source_file")  # a row per file of the listing
+            parts.append(to_canonical(raw, chosen, None, F.col(channel), checks=True))
     described += [(None, os.path.basename(p), "no header line", {}, {}, [], [], [], None, []) for p in listed if p not in set(opened.values())]
     if not parts:
         raise FileNotFoundError(f"no file in '{directory}' can be used" if listed else f"no CSV file in '{directory}'")
     canonical = parts[0]
     for part in parts[1:]:
         canonical = canonical.unionByName(part)
-    canonical = stored(canonical, "canonical")
+    canonical = stored(canonical, "canonical", spark)  # not by the session of fixed splits, which reads small files in one task
     report = file_report(canonical, spark.createDataFrame(described, schema))
     return canonical.where(F.col("date").isNotNull()).select(*CANONICAL, "row_order"), report
 
